@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import secrets, shards, tokens, urls
+from scoreline.llm import packing, secrets, shards, tokens, urls
 from scoreline.llm.common import limit_batches, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -53,7 +53,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_rows(docs, 8).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_token_counts, op6_url_filters, op9_sharding)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit_batches(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_token_counts, op6_url_filters, op9_sharding, op10_packing)}
 
 ORACLE: dict[str, str] = {}
 

@@ -15,10 +15,13 @@ table gives an empty table; columns named like the results are replaced, all oth
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -44,11 +47,15 @@ def spec_of(path: str) -> str:
         return file.read()
 
 
+_PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+#: Byte to the character that stands for it in the vocabulary: itself where it is visible, else from 256 on.
+_BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 def prove_whole_tokens(spec: str) -> dict[str, int]:
     """Vocabulary strings (as text) that alone encode as exactly the token they name. Bounded by the vocabulary."""
     tokenizer = load(spec)
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    byte_of = {c: b for b, c in _BYTE_CHARS.items()}
     texts: dict[str, int] = {}
     for string, ident in tokenizer.get_vocab(with_added_tokens=False).items():
         if string.endswith("</w>"):
@@ -61,49 +68,106 @@ def prove_whole_tokens(spec: str) -> dict[str, int]:
 
 
 class Encoder(dict):
-    """Pre-token to its token ids: the proven table, then merges by the library as they are met."""
+    """Pre-token to its row in a table of token ids: first the proven ones, then what merging has given."""
 
     def __init__(self, spec: str, whole: dict[str, int]):
         super().__init__()
-        self.whole, self.tokenizer = {t: (i,) for t, i in whole.items()}, load(spec)
+        self.whole, self.tokenizer = whole, load(spec)
+        self.merge = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.update(self.whole)
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.update(zip(self.whole, range(len(self.whole))))
+        self.by_text: dict[str, int] = {}
+        self.flat = array("I", self.whole.values())
+        self.starts = array("I", range(len(self.whole)))
+        self.sizes = array("I", [1]) * len(self.whole)
+
+    def add(self, ids: list[int]) -> int:
+        self.starts.append(len(self.flat))
+        self.sizes.append(len(ids))
+        self.flat.extend(ids)
+        return len(self.sizes) - 1
+
+    def __missing__(self, piece: str) -> int:
+        row = self.add([t.id for t in self.merge(piece.encode().decode("latin-1").translate(_BYTE_CHARS))])
         if len(piece) <= 200:
-            self[piece] = ids
-        return ids
-
-    def pieces(self, text: str) -> list[str]:
-        """Parts of the text that the library encodes one by one as it does the whole."""
-        if len(self) > CACHE:
-            self.clear()
-            self.update(self.whole)
+            self[piece] = row
+        return row
+
+    def by_library(self, text: str) -> int:
+        row = self.by_text.get(text)
+        if row is None:
+            row = self.add(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            if len(text) <= 200:
+                self.by_text[text] = row
+        return row
+
+    def rows(self, text: str) -> np.ndarray:
+        """Rows of the parts that the library encodes one by one as it does the whole text."""
         if any(s in text for s in self.special):
-            return [text]
+            return np.array([self.by_library(text)], np.int64)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return [p for p in _GAPS.split(text) if p]
-        return _PIECE.findall(text.lower())
-
-    def ids(self, text: str) -> list[int]:
-        return [i for ids in map(self.__getitem__, self.pieces(text)) for i in ids]
-
-    def count(self, text: str) -> int:
-        return sum(map(len, map(self.__getitem__, self.pieces(text))))
+            return np.array([self.by_library(p) for p in _GAPS.split(text) if p], np.int64)
+        pieces = _PIECE.findall(text.lower())
+        return np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+
+    def trim(self) -> None:
+        """Between batches: forgets what was merged once it is much."""
+        if len(self.sizes) > CACHE:
+            self.reset()
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Numbers of tokens."""
+        rows = [self.rows(t) for t in texts]
+        sizes = np.array(self.sizes, np.int64)
+        self.trim()
+        return [int(sizes[r].sum()) for r in rows]
+
+    def ids(self, text: str) -> np.ndarray:
+        """The token ids of one text."""
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """The token ids of each text."""
+        rows = [self.rows(t) for t in texts]
+        flat, starts, sizes = (np.array(x, np.int64) for x in (self.flat, self.starts, self.sizes))
+        self.trim()
+        out = []
+        for r in rows:
+            size = sizes[r]
+            ends = size.cumsum()
+            total = int(ends[-1]) if len(ends) else 0
+            out.append(flat[np.arange(total) + np.repeat(starts[r] - ends + size, size)].astype(np.uint32))
+        return out
+
+
+def shared_encoder(spark: SparkSession, path: str) -> Broadcast:
+    """What encoder_on needs on the executors: the tokenizer's file and the proven table, bounded by the vocabulary."""
+    spec = spec_of(path)
+    return spark.sparkContext.broadcast({"spec": spec, "whole": prove_whole_tokens(spec)})
+
+
+def encoder_on(shared: Broadcast) -> Encoder:
+    """This worker's encoder; later tasks of the same worker find it again."""
+    value = shared.value
+    if "encoder" not in value:
+        value["encoder"] = Encoder(value["spec"], value["whole"])
+    return value["encoder"]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (more than limit tokens); needs a column text."""
-    spec = spec_of(tokenizer_path)
-    shared = docs.sparkSession.sparkContext.broadcast((spec, prove_whole_tokens(spec)))
+    shared = shared_encoder(docs.sparkSession, tokenizer_path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shared.value)
+        encoder = encoder_on(shared)
         for batch in batches:
-            n = [encoder.count(t) if t else 0 for t in batch.column("text").to_pylist()]
+            n = encoder.counts([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "n_tokens"])
 
     kept = docs.drop("n_bytes", "n_tokens", "over_limit")
