@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import packing, secrets, shards, tokens, urls
+from scoreline.llm import neardup, packing, quality, secrets, shards, tokens, urls
 from scoreline.llm.common import limit_batches, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -42,12 +42,25 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path(WORD_BPE)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     limit_batches(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit_batches(spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shards.shard_rows(docs, 8).drop("text")
@@ -58,7 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_token_counts, op6_url_filters, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_token_counts, op5_quality_classifier, op6_url_filters, op7_minhash_near_dedup, op9_sharding, op10_packing)}
 
 ORACLE: dict[str, str] = {}
 
