@@ -7,8 +7,8 @@
 3. Network. Two layers in numpy, fitted on at most MAX_TRAIN labelled rows (chosen by hash), then a
    temperature that makes its probabilities fit labelled rows it wasn't trained on.
 
-Words are folded to lower case, those in capitals and numbers become one bucket each, and runs of signs are
-words of their own. Labels, languages, sources and ids are never inputs.
+Words are folded to lower case; words in capitals, numbers, and words that were just said become one bucket
+each; runs of signs are words of their own. Labels, languages, sources and ids are never inputs.
 
 Defined results: null and empty texts get the score of a document without words; labels that are null, or of
 documents that are missing, are left out; the first of several labels of one id by value counts; without both
@@ -37,7 +37,9 @@ MAX_TRAIN = 20_000
 PIECE = 256
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-CAPITALS, NUMBER = 0, 1
+CAPITALS, NUMBER, AGAIN = 0, 1, 2
+#: Buckets from 3 up to here hold runs of signs, those from here on hold words.
+SIGNS = 512
 
 
 class Buckets(dict):
@@ -48,7 +50,8 @@ class Buckets(dict):
             return NUMBER
         if len(token) > 1 and token.isupper():
             return CAPITALS
-        bucket = 2 + zlib.crc32(token.lower()[:64].encode("utf-8", "surrogatepass")) % (BUCKETS - 2)
+        code = zlib.crc32(token.lower()[:64].encode("utf-8", "surrogatepass"))
+        bucket = SIGNS + code % (BUCKETS - SIGNS) if token[0].isalpha() else 3 + code % (SIGNS - 3)
         if len(self) > 400_000:
             self.clear()
         self[token] = bucket
@@ -57,7 +60,11 @@ class Buckets(dict):
 
 def bucket_ids(text: str, buckets: Buckets) -> np.ndarray:
     tokens = _TOKEN.findall(text)
-    return np.fromiter(map(buckets.__getitem__, tokens), np.int64, len(tokens))
+    ids = np.fromiter(map(buckets.__getitem__, tokens), np.int64, len(tokens))
+    again = np.zeros(len(ids), bool)
+    for back in (1, 2):
+        again[back:] |= ids[back:] == ids[:-back]
+    return np.where(again & (ids >= SIGNS), AGAIN, ids)
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
