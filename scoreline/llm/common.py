@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -44,3 +47,31 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The frame's schema and these columns after it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def sum_over(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], length: int, dtype: str) -> np.ndarray:
+    """The sum over all tasks of partial(the task's batches), arrays of this length, which must not grow with the data.
+
+    The arrays are sent in pieces, so that the adding up is spread over tasks that each hold one sum.
+    """
+    size = -(-length // 64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        array = partial(batches)
+        if array is not None:
+            parts = [array[k : k + size].astype(dtype).tobytes() for k in range(0, length, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["piece", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = np.frombuffer(sums, dtype)
+                total[piece] = total[piece] + got if piece in total else got
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([s.tobytes() for s in total.values()], pa.binary())], names=["piece", "sums"])
+
+    schema = "piece int, sums binary"
+    out = np.zeros(length, dtype)
+    for row in df.mapInArrow(send, schema).repartition(16, "piece").mapInArrow(add, schema).collect():  # 64 rows
+        out[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row["sums"], dtype)
+    return out

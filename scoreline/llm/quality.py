@@ -27,14 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import extended
+from scoreline.llm.common import extended, sum_over
 
 BUCKETS, DIM, NONZERO, REACH = 8192, 64, 2, 2
 HIDDEN = 24
 #: Labelled rows that the network is fitted on, at most.
 MAX_TRAIN = 20_000
-#: Rows of word vectors that tasks send as one piece.
-PIECE = 256
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 CAPITALS, NUMBER, AGAIN = 0, 1, 2
@@ -76,8 +74,8 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return places, signs
 
 
-def context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to pieces (piece, sums) of the word vectors of all texts of the task."""
+def context_sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+    """The word vectors that the texts of one task add up to."""
     places, signs = index_vectors()
     sums = np.zeros((BUCKETS + 1) * DIM)
     buckets, gap, seen = Buckets(), np.full(REACH, BUCKETS), False
@@ -92,29 +90,12 @@ def context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for k in range(NONZERO):
                         sums += np.bincount(word * DIM + places[other, k], signs[other, k], len(sums))
             seen = True
-    if seen:
-        pieces = sums[: BUCKETS * DIM].astype("<i8").reshape(-1, PIECE * DIM)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["piece", "sums"])
-
-
-def add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the pieces of one task as they come; holds each piece once."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for piece, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            got = np.frombuffer(sums, "<i8")
-            total[piece] = total[piece] + got if piece in total else got
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([s.tobytes() for s in total.values()], pa.binary())], names=["piece", "sums"])
+    return sums[: BUCKETS * DIM] if seen else None
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """BUCKETS rows of DIM: what the whole corpus says of each bucket. A few MB, whatever the corpus."""
-    pieces = docs.select("text").mapInArrow(context_sums, "piece int, sums binary")
-    added = pieces.repartition(BUCKETS // PIECE, "piece").mapInArrow(add_pieces, "piece int, sums binary").collect()
-    sums = np.zeros((BUCKETS // PIECE, PIECE * DIM))
-    for row in added:
-        sums[row["piece"]] = np.frombuffer(row["sums"], "<i8")
-    sums = sums.reshape(BUCKETS, DIM)
+    sums = sum_over(docs.select("text"), context_sums, BUCKETS * DIM, "<i8").reshape(BUCKETS, DIM).astype(float)
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1)
     places, signs = index_vectors()
     for k in range(NONZERO):

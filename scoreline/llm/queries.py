@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import neardup, packing, quality, secrets, shards, tokens, urls
+from scoreline.llm import decontam, neardup, packing, quality, secrets, shards, tokens, urls
 from scoreline.llm.common import limit_batches, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -36,6 +36,11 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit_batches(spark)
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     limit_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,7 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_token_counts, op5_quality_classifier, op6_url_filters, op7_minhash_near_dedup, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_benchmark_decontamination, op3_token_counts, op5_quality_classifier, op6_url_filters, op7_minhash_near_dedup, op9_sharding, op10_packing)}
 
 ORACLE: dict[str, str] = {}
 
