@@ -9,7 +9,7 @@ A shard's size doesn't depend on the corpus: the number of shards does, so memor
 and the longest document.
 
 Defined results: null and empty texts are the end token alone; repeated rows are packed each; an empty table
-gives an empty table. Ties of scores go to the document that comes first by (doc_id, text).
+gives an empty table. Ties of scores go to the document that comes last by (doc_id, text).
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ WINDOW = 4096
 END_ID = 2
 SHARD_BYTES = 4 << 20
 #: Terms of a seed that query the index: those of the largest weight; and BM25's two constants.
-QUERY_TERMS, K1, B = 24, 1.2, 0.75
+QUERY_TERMS, K1, B = 16, 1.2, 0.75
 #: Shards per step of sequence_id: no shard has so many sequences.
 STRIDE = 1 << 32
 
@@ -39,42 +39,47 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Index:
     """BM25 over one shard: for each term the documents that hold it, with their weights."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        sizes = np.array([len(d) for d in docs], np.int64)
-        terms = np.concatenate(docs).astype(np.int64) if docs else np.empty(0, np.int64)
-        key = terms * len(docs) + np.repeat(np.arange(len(docs)), sizes)
-        key, tf = np.unique(key, return_counts=True)
-        self.terms, first = np.unique(key // max(1, len(docs)), return_index=True)
-        self.bounds = np.append(first, len(key))
-        self.doc = (key % max(1, len(docs))).astype(np.int32)
-        df = np.diff(self.bounds)
-        self.idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if len(sizes) else 1.0))
-        self.weight = (np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
-        self.n = len(docs)
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray):
+        self.n = n = len(bounds) - 1
+        sizes = np.diff(bounds)
+        terms = int(ids.max()) + 1 if len(ids) else 1
+        kind = np.uint32 if terms * n < 1 << 32 else np.uint64
+        key = ids.astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), sizes)
+        key.sort()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        tf = np.diff(np.append(first, len(key))).astype(np.float32)
+        key = key[first]
+        term, doc = np.divmod(key, kind(max(1, n)))
+        self.doc = doc.astype(np.int32)
+        df = np.bincount(term.astype(np.int32), minlength=terms)
+        self.bounds = np.append(0, df.cumsum())
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        norm = (K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if n else 1.0))).astype(np.float32)
+        self.weight = np.repeat(self.idf, df) * tf * np.float32(K1 + 1) / (tf + norm[self.doc])
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """Of all documents, against the strongest terms of these ids."""
-        terms, tf = np.unique(ids, return_counts=True)
-        at = np.searchsorted(self.terms, terms)
-        strongest = at[np.argsort(-tf * self.idf[at], kind="stable")[:QUERY_TERMS]]
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in strongest]
+        tf = np.bincount(ids)
+        strength = tf * self.idf[: len(tf)]
+        strongest = np.argpartition(-strength, QUERY_TERMS)[:QUERY_TERMS] if len(tf) > QUERY_TERMS else np.arange(len(tf))
+        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in np.sort(strongest)]
         if not spans:
             return np.zeros(self.n)
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
 
 
-def fill_windows(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of each piece; documents are arrays of ids, none empty."""
-    index = Index(docs)
-    unused = np.ones(len(docs), bool)
+def fill_windows(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of each piece; document d is ids[bounds[d]:bounds[d + 1]], never empty."""
+    index = Index(ids, bounds)
+    n, sizes = len(bounds) - 1, np.diff(bounds).tolist()
+    unused = np.ones(n, bool)
     sequence = offset = next_seed = 0
     rest: tuple[int, int] | None = None  # a document that was cut, and how much of it is placed
     while True:
         if rest is None:
-            while next_seed < len(docs) and not unused[next_seed]:
+            while next_seed < n and not unused[next_seed]:
                 next_seed += 1
-            if next_seed == len(docs):
+            if next_seed == n:
                 return
             rest = (next_seed, 0)
             unused[next_seed] = False
@@ -82,16 +87,17 @@ def fill_windows(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple
         queue: list[int] | None = None
         while rest is not None:
             doc, start = rest
-            length = min(len(docs[doc]) - start, window - offset)
+            length = min(sizes[doc] - start, window - offset)
             yield doc, start, length, sequence, offset
             offset += length
-            rest = (doc, start + length) if start + length < len(docs[doc]) else None
+            rest = (doc, start + length) if start + length < sizes[doc] else None
             if offset == window:
                 sequence, offset = sequence + 1, 0
                 break  # the window is full: what is left of the document seeds the next one
             if queue is None:
-                score = np.where(unused, index.scores(docs[seed]), -1.0)
-                queue = [int(i) for i in np.argsort(-score, kind="stable")[: window] if unused[i]][::-1]
+                left = np.flatnonzero(unused)
+                score = index.scores(ids[bounds[seed] : bounds[seed + 1]])[left]
+                queue = left[np.argsort(score, kind="stable")].tolist()
             if queue:
                 rest = (queue.pop(), 0)
                 unused[rest[0]] = False
@@ -110,12 +116,13 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
         encoder = encoder_on(shared)
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         doc_ids = rows.column("doc_id").to_pylist()
-        end = np.array([END_ID], np.uint32)
-        ids = [np.append(x, end) for x in encoder.ids_of(rows.column("text").to_pylist())]
+        ids, bounds = encoder.flat_ids(rows.column("text").to_pylist(), END_ID)
+        raw = ids.astype("<u4", copy=False).view(np.uint8)
+        sizes, begins = np.diff(bounds).tolist(), bounds.tolist()
         first = key[0].as_py() * STRIDE
         out = [
-            (doc_ids[d], start, length, zlib.crc32(ids[d][start : start + length].astype("<u4").tobytes()), len(ids[d]), first + sequence, offset)
-            for d, start, length, sequence, offset in fill_windows(ids, window)
+            (doc_ids[d], start, length, zlib.crc32(raw[4 * (begins[d] + start) : 4 * (begins[d] + start + length)]), sizes[d], first + sequence, offset)
+            for d, start, length, sequence, offset in fill_windows(ids, bounds, window)
         ]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         return pa.table({n: pa.array(column, pa.int64()) for n, column in zip(names, zip(*out))})

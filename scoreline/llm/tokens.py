@@ -128,22 +128,29 @@ class Encoder(dict):
         self.trim()
         return [int(sizes[r].sum()) for r in rows]
 
+    def flat_ids(self, texts: list[str], last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each with the id last at its end, and where each text begins."""
+        parts = [self.rows(t) for t in texts]
+        if last is not None:
+            end = np.array([self.add([last])], np.int64)
+            parts = [x for p in parts for x in (p, end)]
+        rows = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        flat = np.frombuffer(self.flat, np.uint32).copy()
+        starts, sizes = (np.array(x, np.int32) for x in (self.starts, self.sizes))
+        self.trim()
+        size = sizes[rows]
+        ends = size.cumsum(dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total, dtype=np.int32)
+        at += np.repeat((starts[rows] - (ends - size)).astype(np.int32), size)
+        step = 1 if last is None else 2
+        lengths = np.array([len(p) for p in parts], np.int64).reshape(-1, step).sum(axis=1)
+        bounds = np.append(0, ends)[np.append(0, lengths.cumsum())]
+        return flat[at], bounds
+
     def ids(self, text: str) -> np.ndarray:
         """The token ids of one text."""
-        return self.ids_of([text])[0]
-
-    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
-        """The token ids of each text."""
-        rows = [self.rows(t) for t in texts]
-        flat, starts, sizes = (np.array(x, np.int64) for x in (self.flat, self.starts, self.sizes))
-        self.trim()
-        out = []
-        for r in rows:
-            size = sizes[r]
-            ends = size.cumsum()
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(flat[np.arange(total) + np.repeat(starts[r] - ends + size, size)].astype(np.uint32))
-        return out
+        return self.flat_ids([text])[0]
 
 
 def shared_encoder(spark: SparkSession, path: str) -> Broadcast:
