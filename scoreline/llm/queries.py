@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import decontam, neardup, packing, quality, secrets, shards, tokens, urls
+from scoreline.llm import ann, chat, decontam, neardup, packing, quality, secrets, shards, tokens, urls
 from scoreline.llm.common import limit_batches, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -47,6 +47,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path(WORD_BPE)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2n (chosen) and 2n + 1 (rejected) are the pair n."""
+    turns = table(spark, sf_dir, "conversations")
+    even = F.pmod("conv_id", F.lit(2)) == 0
+    pairs = chat.preference_pairs(turns.filter(even), turns.filter(~even), F.floor(F.col("conv_id") / 2))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.start, s.end)), ",")
+    return pairs.withColumns({"chosen_spans": spans("chosen_spans"), "rejected_spans": spans("rejected_spans")})
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     limit_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,6 +75,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shards.shard_rows(docs, 8).drop("text")
@@ -76,7 +89,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_benchmark_decontamination, op3_token_counts, op5_quality_classifier, op6_url_filters, op7_minhash_near_dedup, op9_sharding, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scans,
+        op2_benchmark_decontamination,
+        op3_token_counts,
+        op4_chat_formatting,
+        op5_quality_classifier,
+        op6_url_filters,
+        op7_minhash_near_dedup,
+        op8_nearest_neighbours,
+        op9_sharding,
+        op10_packing,
+    )
+}
 
 ORACLE: dict[str, str] = {}
 
@@ -101,3 +128,37 @@ fit AS (
 SELECT c.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM cut c LEFT JOIN fit f ON c.page_id = f.page_id
 """
+
+ORACLE["op4_chat_formatting"] = r"""
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (
+  SELECT pair_id, n, max(side) AS last_side, min(side) AS first_side,
+         bool_and(count_distinct_role = 1) AS same
+  FROM (SELECT pair_id, n, side, count(DISTINCT struct_pack(r := role, x := text)) OVER (PARTITION BY pair_id, n) AS count_distinct_role FROM t) u
+  GROUP BY pair_id, n),
+p AS (
+  SELECT pair_id, CAST(coalesce(min(n) FILTER (NOT (same AND first_side = 0 AND last_side = 1)) - 1, max(n)) AS INTEGER) AS common_turns
+  FROM k GROUP BY pair_id),
+m AS (
+  SELECT t.pair_id, side, n, role, text, common_turns, n <= common_turns AS shared,
+         '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown
+  FROM t JOIN p ON t.pair_id = p.pair_id),
+w AS (
+  SELECT *, sum(length(shown)) OVER (PARTITION BY pair_id, side, shared ORDER BY n) AS stop FROM m),
+o AS (
+  SELECT pair_id, any_value(common_turns) AS common_turns,
+         coalesce(string_agg(shown, '' ORDER BY n) FILTER (shared AND side = 0), '') AS prompt,
+         string_agg(shown, '' ORDER BY n) FILTER (NOT shared AND side = 0) AS chosen,
+         string_agg((stop - length(text) - 11) || ':' || stop, ',' ORDER BY n) FILTER (NOT shared AND side = 0 AND role = 'assistant') AS chosen_spans,
+         string_agg(shown, '' ORDER BY n) FILTER (NOT shared AND side = 1) AS rejected,
+         string_agg((stop - length(text) - 11) || ':' || stop, ',' ORDER BY n) FILTER (NOT shared AND side = 1 AND role = 'assistant') AS rejected_spans,
+         bool_or(side = 0) AS has_c, bool_or(side = 1) AS has_r
+  FROM w GROUP BY pair_id)
+SELECT pair_id, common_turns, prompt,
+       CASE WHEN has_c THEN coalesce(chosen, '') END AS chosen, CASE WHEN has_c THEN coalesce(chosen_spans, '') END AS chosen_spans,
+       CASE WHEN has_r THEN coalesce(rejected, '') END AS rejected, CASE WHEN has_r THEN coalesce(rejected_spans, '') END AS rejected_spans
+FROM o
+"""
