@@ -1,8 +1,71 @@
-"""Five stages from raw documents to packed training sequences."""
+"""Five stages from raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept. The first four return the
+columns of documents; the last returns the pieces of packed sequences.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scoreline.llm import decontam, neardup, packing, quality, secrets
+from scoreline.llm.common import limit_batches, table, written
+
+#: Documents with a lower score are rejected.
+LEAST_QUALITY = 0.7
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier rejects."""
+    limit_batches(spark)
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model).filter(F.col("score") >= LEAST_QUALITY).drop("score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class of near-duplicates."""
+    limit_batches(spark)
+    classes = neardup.near_duplicates(docs).distinct()
+    return docs.join(classes.filter(F.col("doc_id") != F.col("class_id")).select("doc_id"), "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark passage."""
+    limit_batches(spark)
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by a mark; all documents stay."""
+    limit_batches(spark)
+    found = secrets.find_secrets(docs)
+    return found.withColumns({"text": F.col("redacted"), "n_chars": F.when(F.size("secrets") > 0, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of up to 4096 tokens."""
+    limit_batches(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("secret_scans", redact_secrets),
+    ("packing", pack_sequences),
+]
+
+#: Models, signatures and token ids aren't SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result but the last is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
