@@ -95,7 +95,7 @@ def _row(text: Column) -> dict[str, Column]:
     fits = trimmed.rlike(whole)
     numbers = F.when(fits, F.regexp_extract_all(F.regexp_extract(trimmed, whole, 2), F.lit(r"\d+"), 0)).otherwise(F.regexp_extract_all(trimmed, F.lit(r"\d+"), 0))
     first = F.get(numbers, F.lit(0))
-    before = F.substring(trimmed, F.lit(1), F.length(trimmed) - F.length(F.substring_index(trimmed, first, -1)) - F.length(first))
+    before = F.substring(trimmed, F.lit(1), F.length(trimmed) - F.length(F.call_function("substring_index", trimmed, first, F.lit(-1))) - F.length(first))
     cut = lambda name: F.regexp_replace(strip(name), ",+$", "")
     return {
         "name": F.when(fits, cut(F.regexp_extract(trimmed, whole, 1))).when(F.size(numbers) == 0, trimmed).otherwise(cut(before)),
