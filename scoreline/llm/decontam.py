@@ -3,8 +3,8 @@
 1. Words. Texts become arrays of 32-bit word codes, written once to the shared folder.
 2. TF-IDF. Passages are runs of PASSAGE words; their terms are word codes folded to TERMS buckets. Document
    frequencies count every passage of the corpus.
-3. Randomised SVD. The passages' matrix A meets a random matrix, A'(A W) is added up over all tasks, its
-   orthonormal basis Q is taken, and the Gram matrix of A Q, also added up, gives singular values and vectors.
+3. Randomised SVD. With A the matrix of all passages and W a random one, A'(A W) is added up over all tasks; the
+   Nystroem form of the method then gives A's singular values and right singular vectors without another pass.
    Only arrays of fixed size leave the tasks.
 4. Candidates. Overlapping windows and benchmark passages are compared in the latent space (left singular
    coordinates) by cosine, all windows against a block of the benchmark at a time.
@@ -12,7 +12,7 @@
    passage's words, and ANSWER_SHARE of its last ANSWER_WORDS words, where the answer stands. A count of the
    passage's rare words goes first: with too few of them the subsequence can't be long enough.
 
-Defined results: only documents that hold a benchmark passage are returned, one row for each (row, item_id);
+Defined results: only documents that hold a benchmark passage are returned, one row for each (doc_id, item_id);
 null and empty texts hold none; benchmark items of fewer than LEAST_WORDS words, or null, are left out, for no
 text can be told to stem from them; longer items are cut into passages of up to ITEM_WORDS words; an empty
 corpus or benchmark gives an empty table.
@@ -21,23 +21,24 @@ corpus or benchmark gives an empty table.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreline.llm.common import sum_over, written
 
-TERMS, RANK, EXTRA = 8192, 128, 24
-#: Words of a passage; windows have as many and start at every half of it.
+TERMS, RANK, EXTRA = 4096, 96, 16
+#: Words of a passage; windows have as many and start at every block of half of it.
 PASSAGE = 32
-#: Words on either side of a window in which the passage is looked for.
-AROUND = 48
-COSINE, LCS_SHARE = 0.3, 0.7
+BLOCK = PASSAGE // 2
+#: Words on either side of a window in which the passage is looked for: whole blocks.
+AROUND = 3 * BLOCK
+COSINE, LCS_SHARE = 0.2, 0.7
 #: A term is rare if fewer passages than this share hold it.
 RARE = 0.02
 ANSWER_WORDS, ANSWER_SHARE = 8, 0.5
@@ -45,62 +46,96 @@ LEAST_WORDS, ITEM_WORDS = 8, 64
 #: Benchmark items in one broadcast; a larger benchmark is searched for block by block.
 ITEMS = 20_000
 #: Words, and window-item pairs, that numpy handles at once.
-STEP, PAIRS = 1 << 16, 1 << 22
+STEP, PAIRS = 1 << 17, 1 << 21
+#: A longer text is written as several rows, which overlap so that no passage is cut.
+PIECE, OVERLAP = 1 << 18, PASSAGE + 2 * AROUND + ITEM_WORDS
 
-_WORD = re.compile(r"\w+")
 
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words of all texts, one text after another, and where each text begins; last, where all end."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{M}\p{N}_]+")
+    words = parts.flatten().dictionary_encode()
+    code = np.array([zlib.crc32(w.encode()) for w in words.dictionary.to_pylist()], np.uint32)
+    empty = np.array([w == "" for w in words.dictionary.to_pylist()], bool)
+    at = words.indices.to_numpy()
+    offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    if len(at) == 0:
+        return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+    kept = ~empty[at]
+    return code[at][kept], np.append(0, kept.cumsum())[offsets]
 
-class WordCodes(dict):
-    """Word to a 32-bit code that is the same on every machine."""
 
-    def __missing__(self, word: str) -> int:
-        code = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-        if len(self) > 400_000:
-            self.clear()
-        if len(word) <= 100:
-            self[word] = code
-        return code
+def code_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes, bounds = word_codes(batch.column("text"))
+        raw = codes.astype("<u4", copy=False)
+        rows = [(i, raw[k : min(b, k + PIECE + OVERLAP)].tobytes()) for i, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()) for k in range(a, b, PIECE)]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.binary())], names=["doc_id", "codes"])
 
 
-def word_codes(text: str | None, codes: WordCodes) -> np.ndarray:
-    words = _WORD.findall(text.lower()) if text else []
-    return np.fromiter(map(codes.__getitem__, words), np.uint32, len(words))
+class Padded:
+    """The texts of a batch of codes, each filled up to whole passages."""
 
+    def __init__(self, column: pa.Array):
+        self.words = np.frombuffer(b"".join(column.to_pylist()), "<u4")
+        self.sizes = pc.binary_length(column).to_numpy() // 4
+        padded = -(-self.sizes // PASSAGE) * PASSAGE
+        self.starts, self.first = np.append(0, self.sizes.cumsum()), np.append(0, padded.cumsum())
+        #: Of each word among the filled-up texts.
+        self.at = np.arange(len(self.words)) + np.repeat(self.first[:-1] - self.starts[:-1], self.sizes)
+        self.terms = np.full(self.first[-1], TERMS, np.int16)
+        self.terms[self.at] = (self.words % TERMS).astype(np.int16)
 
-def code_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes = WordCodes()
+
+def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows of PASSAGE terms, up to STEP words at a time; TERMS stands where a text has no more words."""
     for batch in batches:
-        coded = [word_codes(t, codes).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(coded, pa.binary())], names=["doc_id", "codes"])
+        terms = Padded(batch.column("codes")).terms.reshape(-1, PASSAGE)
+        for k in range(0, len(terms), STEP // PASSAGE):
+            yield terms[k : k + STEP // PASSAGE]
 
 
-def passages(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """About STEP words at a time: their terms, and where each passage begins; no passage spans two texts."""
-    for batch in batches:
-        parts, starts, total = [], [], 0
-        for raw in batch.column("codes").to_pylist():
-            terms = (np.frombuffer(raw, "<u4") % TERMS).astype(np.uint16)
-            for k in range(0, len(terms), STEP):
-                part = terms[k : k + STEP]
-                parts.append(part)
-                starts.append(np.arange(0, len(part), size) + total)
-                total += len(part)
-                if total >= STEP:
-                    yield np.concatenate(parts), np.concatenate(starts)
-                    parts, starts, total = [], [], 0
-        if total:
-            yield np.concatenate(parts), np.concatenate(starts)
+def sums(table: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """For each row of terms the sum of their rows of the table, whose last row is zero."""
+    out = table[terms[:, 0]]
+    for k in range(1, terms.shape[1]):
+        out += table[terms[:, k]]
+    return out
+
+
+def with_zero(table: np.ndarray) -> np.ndarray:
+    return np.vstack([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
 
 
 def frequencies(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     """For each term the passages that hold it; last, the number of passages."""
     out = np.zeros(TERMS + 1)
-    for terms, starts in passages(batches, PASSAGE):
-        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
-        key = owner * TERMS + terms
-        key.sort()
-        out[:TERMS] += np.bincount(key[np.append(True, key[1:] != key[:-1])] % TERMS, minlength=TERMS)
-        out[TERMS] += len(starts)
+    for terms in passages(batches):
+        ordered = np.sort(terms, axis=1)
+        new = np.ones(ordered.shape, bool)
+        new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        out[:TERMS] += np.bincount(ordered[new], minlength=TERMS + 1)[:TERMS]
+        out[TERMS] += len(terms)
+    return out
+
+
+def spread(rows: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """For each term the sum of the rows of the passages that it stands in, as often as it does."""
+    flat = terms.ravel()
+    order = np.argsort(flat, kind="stable")
+    count = np.bincount(flat, minlength=TERMS + 1)
+    count[TERMS] = 0
+    # Eight occurrences of a term are added at once, by gathers of whole columns; places left over hold a zero row.
+    groups = -(-count // 8)
+    first = np.append(0, groups.cumsum())
+    used = order[: count.sum()]
+    rank = np.arange(len(used)) - np.repeat(count.cumsum() - count, count)
+    owner = np.full((first[-1], 8), len(rows))
+    owner[np.repeat(first[:-1], count) + rank // 8, rank % 8] = used // terms.shape[1]
+    eights = sums(np.vstack([rows, np.zeros((1, rows.shape[1]), rows.dtype)]), owner)
+    out = np.zeros((TERMS, rows.shape[1]))
+    found = np.flatnonzero(count[:TERMS])
+    out[found] = np.add.reduceat(eights, first[found], axis=0)
     return out
 
 
@@ -108,35 +143,26 @@ def fit_latent(coded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """TERMS rows of RANK, what one occurrence of a term adds to a passage's latent coordinates; which terms are rare."""
     sc = coded.sparkSession.sparkContext
     counts = sum_over(coded, frequencies, TERMS + 1, "<f8")
-    idf = np.log((counts[TERMS] + 1) / (counts[:TERMS] + 1)).astype(np.float32)
+    idf = np.log((counts[TERMS] + 1) / (counts[:TERMS] + 1))
     width = RANK + EXTRA
-    omega = np.random.default_rng(11).standard_normal((TERMS, width)).astype(np.float32)
-    shared = sc.broadcast((idf[:, None] * omega, idf))
+    omega = np.linalg.qr(np.random.default_rng(11).standard_normal((TERMS, width)))[0]
+    shared = sc.broadcast(with_zero(idf[:, None] * omega))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        weighted, scale = shared.value
         out = np.zeros((TERMS, width))
-        for terms, starts in passages(batches, PASSAGE):
-            rows = np.add.reduceat(weighted[terms], starts, axis=0)
-            owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
-            order = np.argsort(terms, kind="stable")
-            found, first = np.unique(terms[order], return_index=True)
-            out[found] += np.add.reduceat(rows[owner[order]], first, axis=0) * scale[found, None]
-        return out.ravel()
-
-    basis = np.linalg.qr(sum_over(coded, sketch, TERMS * width, "<f4").reshape(TERMS, width).astype(float))[0]
-    second = sc.broadcast((idf[:, None] * basis).astype(np.float32))
-
-    def gram(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros((width, width))
-        for terms, starts in passages(batches, PASSAGE):
-            rows = np.add.reduceat(second.value[terms], starts, axis=0)
-            out += rows.T @ rows
+        for terms in passages(batches):
+            out += spread(sums(shared.value, terms), terms)
         return out.ravel()
 
-    values, vectors = np.linalg.eigh(sum_over(coded, gram, width * width, "<f8").reshape(width, width))
-    values, vectors = np.maximum(values[::-1][:RANK], 1e-9), vectors[:, ::-1][:, :RANK]
-    return (idf[:, None] * basis @ vectors / np.sqrt(values)).astype(np.float32), counts[:TERMS] < RARE * counts[TERMS]
+    y = idf[:, None] * sum_over(coded, sketch, TERMS * width, "<f4").reshape(TERMS, width).astype(float)
+    # G = A'A is close to Y (W'Y)^-1 Y', here through a Cholesky factor, with a small shift against rounding.
+    shift = 1e-6 * np.linalg.norm(y) + 1e-12
+    y += shift * omega
+    core = omega.T @ y
+    factor = np.linalg.cholesky((core + core.T) / 2)
+    vectors, roots, _ = np.linalg.svd(np.linalg.solve(factor, y.T).T, full_matrices=False)
+    singular = np.sqrt(np.maximum(roots[:RANK] ** 2 - shift, 1e-9))
+    return (idf[:, None] * vectors[:, :RANK] / singular).astype(np.float32), counts[:TERMS] < RARE * counts[TERMS]
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -166,52 +192,61 @@ def check(item: list[int], region: list[int]) -> float:
     return share if sum(common_words(answer, region)) >= ANSWER_SHARE * len(answer) else 0.0
 
 
-def windows(terms: np.ndarray, latent: np.ndarray) -> np.ndarray:
-    """Latent coordinates of the windows that start at every half passage of one text."""
-    halves = np.add.reduceat(latent[terms], np.arange(0, len(terms), PASSAGE // 2), axis=0)
-    return halves[:-1] + halves[1:] if len(halves) > 1 else halves
-
-
 class Benchmark:
     """Benchmark passages as latent vectors, and which rare words each of them needs."""
 
     def __init__(self, items: list[tuple[int, list[int]]], latent: np.ndarray, rare: np.ndarray):
-        self.items, self.latent = items, latent
-        self.across = np.ascontiguousarray(unit(np.array([latent[np.array(p) % TERMS].sum(axis=0) for _, p in items])).T, np.float32)
-        self.vocabulary = np.unique(np.concatenate([np.array(p, np.uint32) for _, p in items]))
-        # Row of an item, place of a rare word in the vocabulary: kept as sorted keys, for most pairs are none.
-        width = len(self.vocabulary) + 1
+        self.items, self.latent = items, with_zero(latent)
+        self.vectors = unit(np.array([latent[np.array(p) % TERMS].sum(axis=0) for _, p in items])).astype(np.float32)
         held = [np.unique(np.array([w for w in p if rare[w % TERMS]], np.uint32)) for _, p in items]
-        self.keys = np.sort(np.concatenate([i * width + np.searchsorted(self.vocabulary, h) for i, h in enumerate(held)]))
-        self.width = width
+        words, owner = np.concatenate(held), np.repeat(np.arange(len(items)), [len(h) for h in held])
+        order = np.argsort(words, kind="stable")
+        self.owner = owner[order]
+        #: Rare words, and where the items that hold each of them begin in owner.
+        self.words, first = np.unique(words[order], return_index=True)
+        self.bounds = np.append(first, len(words))
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self.words & 0xFFFF] = True
         count = np.array([sum(bool(rare[w % TERMS]) for w in p) for _, p in items])
-        self.needed = count - np.array([len(p) - math.ceil(LCS_SHARE * len(p) - 1e-9) for _, p in items])
-
-    def places(self, words: np.ndarray) -> np.ndarray:
-        """Of each word in the vocabulary; past its end where it isn't there."""
-        at = np.searchsorted(self.vocabulary, words)
-        return np.where(self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == words, at, len(self.vocabulary))
-
-    def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(first word, item, cosine) of windows that are close to an item and have its rare words around them."""
-        count, places = max(1, PAIRS // len(self.items)), None
-        for start in range(0, len(words), count * (PASSAGE // 2)):
-            part = words[start : start + (count + 1) * (PASSAGE // 2)]
-            cosines = unit(windows((part % TERMS).astype(np.uint16), self.latent)) @ self.across
-            window, item = np.nonzero(cosines >= COSINE)
-            if not len(window):
-                continue
-            if places is None:
-                places = np.concatenate([np.full(AROUND, self.width - 1), self.places(words), np.full(PASSAGE + 2 * AROUND, self.width - 1)])
-            at = start + window * (PASSAGE // 2)
-            for k in range(0, len(at), STEP // 8):
-                rows = slice(k, k + STEP // 8)
-                around = places[at[rows, None] + np.arange(PASSAGE + 2 * AROUND)]
-                key = around + item[rows, None] * self.width
-                spot = np.searchsorted(self.keys, key)
-                hits = (self.keys[np.minimum(spot, len(self.keys) - 1)] == key).sum(axis=1) if len(self.keys) else np.zeros(len(key))
-                for j in (k + np.flatnonzero(hits >= self.needed[item[rows]])).tolist():
-                    yield int(at[j]), int(item[j]), float(cosines[window[j], item[j]])
+        self.needed = (count - np.array([len(p) - math.ceil(LCS_SHARE * len(p) - 1e-9) for _, p in items]))[:, None]
+
+    def rare_hits(self, texts: Padded) -> tuple[np.ndarray, np.ndarray]:
+        """(block, item) of each rare word of an item that the texts hold, by block."""
+        at = np.flatnonzero(self.maybe[texts.words & 0xFFFF])
+        place = np.minimum(np.searchsorted(self.words, texts.words[at]), max(0, len(self.words) - 1))
+        if len(self.words):
+            at, place = (x[self.words[place] == texts.words[at]] for x in (at, place))
+        n = self.bounds[place + 1] - self.bounds[place] if len(self.words) else np.empty(0, int)
+        entry = np.arange(n.sum()) + np.repeat(self.bounds[place] - n.cumsum() + n, n) if len(n) else np.empty(0, int)
+        return np.repeat(texts.at[at] // BLOCK, n) if len(n) else np.empty(0, int), self.owner[entry]
+
+    def candidates(self, texts: Padded) -> Iterator[tuple[int, int, int, float]]:
+        """(text, first word, item, cosine) of windows that are close to an item and have its rare words around them."""
+        terms = texts.terms.reshape(-1, BLOCK)
+        blocks = np.empty((len(terms), self.latent.shape[1]), np.float32)
+        for k in range(0, len(terms), STEP // BLOCK):
+            blocks[k : k + STEP // BLOCK] = sums(self.latent, terms[k : k + STEP // BLOCK])
+        begins = texts.first // BLOCK
+        ends = np.zeros(len(terms), bool)
+        ends[begins[1:][texts.sizes > 0] - 1] = True
+        hit_block, hit_item = self.rare_hits(texts)
+        count, reach = max(8, PAIRS // len(self.items)), AROUND // BLOCK
+        for k in range(0, len(terms), count):
+            window = blocks[k : k + count].copy()
+            after = blocks[k + 1 : k + count + 1]
+            window[: len(after)] += after * ~ends[k : k + len(after), None]
+            n = len(window)
+            # Rare words of each item in the blocks around each window; blocks of other texts can only add some.
+            low, high = np.searchsorted(hit_block, (k - reach, k + n + reach + 1))
+            width = n + 2 * reach + 2
+            held = np.bincount(hit_item[low:high] * width + hit_block[low:high] - (k - reach) + 1, minlength=len(self.items) * width)
+            held = held.reshape(-1, width).cumsum(axis=1, dtype=np.int32)
+            enough = held[:, 2 * reach + 2 :] - held[:, : -2 * reach - 2] >= self.needed
+            cosines = self.vectors @ unit(window).T
+            for j in np.flatnonzero((enough & (cosines >= COSINE)).ravel()).tolist():
+                item, w = divmod(j, n)
+                text = int(np.searchsorted(begins, k + w, "right")) - 1
+                yield text, (k + w - int(begins[text])) * BLOCK, item, float(cosines[item, w])
 
 
 def item_passages(item_id: int, codes: np.ndarray) -> list[tuple[int, list[int]]]:
@@ -222,17 +257,17 @@ def item_passages(item_id: int, codes: np.ndarray) -> list[tuple[int, list[int]]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs_share, at_word): documents (doc_id, text) that hold items (item_id, text)."""
+    """(doc_id, item_id, cosine, lcs_share): documents (doc_id, text) that hold items (item_id, text)."""
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, cosine double, lcs_share double, at_word long"
+    schema = "doc_id long, item_id long, cosine double, lcs_share double"
     coded = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(code_texts, "doc_id long, codes binary"))
     latent, rare = fit_latent(coded)
-    codes = WordCodes()
     blocks = max(1, math.ceil(benchmark.count() / ITEMS))
-    found = []
+    out = spark.createDataFrame([], schema)
     for block in range(blocks):
-        rows = benchmark.filter((F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) & F.col("item_id").isNotNull()).select("item_id", "text")
-        items = sorted(p for r in rows.collect() for p in item_passages(r["item_id"], word_codes(r["text"], codes)))
+        rows = benchmark.filter((F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) & F.col("item_id").isNotNull()).select("item_id", "text").collect()
+        codes, bounds = word_codes(pa.array([r["text"] for r in rows], pa.string()))
+        items = sorted(p for r, a, b in zip(rows, bounds[:-1], bounds[1:]) for p in item_passages(r["item_id"], codes[a:b]))
         if not items:
             continue
         shared = spark.sparkContext.broadcast((items, latent, rare))
@@ -240,22 +275,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(*shared.value)
             for batch in batches:
-                out = []
-                for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("codes").to_pylist()):
-                    words = np.frombuffer(raw, "<u4")
-                    best: dict[int, tuple[float, float, int]] = {}
-                    for at, i, cosine in bench.candidates(words):
-                        item_id, item = bench.items[i]
-                        if best.get(item_id, (0.0,))[0] < 1.0 and (share := check(item, words[max(0, at - AROUND) : at + PASSAGE + AROUND].tolist())):
-                            best[item_id] = max(best.get(item_id, (0.0, 0.0, 0)), (share, cosine, -at))
-                    out += [(doc_id, i, c, s, -at) for i, (s, c, at) in sorted(best.items())]
-                columns = list(zip(*out)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "cosine", "lcs_share", "at_word"])
-
-        found.append(coded.mapInArrow(search, schema))
-    if not found:
-        return spark.createDataFrame([], schema)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+                texts, best = Padded(batch.column("codes")), {}
+                for text, at, i, cosine in bench.candidates(texts):
+                    item_id, item = bench.items[i]
+                    if best.get((text, item_id), (0.0,))[0] < 1.0:
+                        begin, end = texts.starts[text : text + 2].tolist()
+                        region = texts.words[max(begin, begin + at - AROUND) : min(end, begin + at + PASSAGE + AROUND)]
+                        if share := check(item, region.tolist()):
+                            best[text, item_id] = max(best.get((text, item_id), (0.0, 0.0)), (share, cosine))
+                ids = batch.column("doc_id").to_pylist()
+                columns = list(zip(*((ids[t], i, c, s) for (t, i), (s, c) in best.items()))) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "cosine", "lcs_share"])
+
+        out = out.unionByName(coded.mapInArrow(search, schema))
+    return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share"))
