@@ -3,39 +3,30 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreline.functions.similarity import same_players
-from scoreline.functions.text import score_flags
+from scoreline.functions.text import format_hms, score_flags
 from scoreline.operators import scoreboard as sb
+from scoreline.sources.scratch import written
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder where there is one, so that rounds don't pile up in the plan."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bisect_starts(intervals: DataFrame, board: DataFrame, max_gap: int = 36_000, rounds_per_cut: int = 4) -> DataFrame:
+def bisect_starts(intervals: DataFrame, board: DataFrame, max_gap: int = 36_000) -> DataFrame:
     """(video_id, lo, hi, start, player1, player2, approximate) of transitions in which a start is found.
 
-    Each round probes the middle of every interval wider than PRECISION. A 0:0 in a first game is kept, and the
+    max_gap bounds the rounds: the widest interval takes log2(max_gap / PRECISION). A round's result is written,
+    for it is read twice in the next one. Each round probes the middle of every interval wider than PRECISION. A 0:0 in a first game is kept, and the
     search goes on before it; an early score is a fallback from which points count back in time.
     """
     state = score_flags(intervals.select("video_id", "lo", "hi", *sb.FIELDS).withColumn("success", F.lit(True)))
     early = F.when(F.col("is_early"), F.struct(F.col("hi").cast("double").alias("ts"), F.col("total_points").alias("points"), "player1", "player2"))
     none = "struct<ts:double,player1:string,player2:string>"
     state = state.select("video_id", F.col("lo").cast("double"), F.col("hi").cast("double"), F.col("lo").cast("double").alias("a"), F.col("hi").cast("double").alias("b"), early.alias("early"), F.lit(None).cast(none).alias("best"))
-    state = _cut(state.distinct())
-    for k in range(max(1, math.ceil(math.log2(max_gap / sb.PRECISION)))):
+    state = written(state.distinct())
+    for _ in range(max(1, math.ceil(math.log2(max_gap / sb.PRECISION)))):
         open_ = F.col("b") - F.col("a") > sb.PRECISION
         asked = state.withColumn("t", F.when(open_, (F.col("a") + F.col("b")) / 2))
         probed = score_flags(sb.probe_scoreboard(asked.filter("t IS NOT NULL"), board)).select("video_id", "t", F.struct("success", "actual_ts", "is_match_start", "is_early", "total_points", *sb.FIELDS).alias("r"))
@@ -54,10 +45,9 @@ def bisect_starts(intervals: DataFrame, board: DataFrame, max_gap: int = 36_000,
             F.when(F.coalesce(sooner, F.lit(False)), F.struct(r("actual_ts").alias("ts"), r("total_points").alias("points"), r("player1").alias("player1"), r("player2").alias("player2"))).otherwise(F.col("early")).alias("early"),
             F.when(F.coalesce(start, F.lit(False)), F.struct(r("actual_ts").alias("ts"), r("player1").alias("player1"), r("player2").alias("player2"))).otherwise(F.col("best")).alias("best"),
         )
-        if k % rounds_per_cut == rounds_per_cut - 1:
-            state = _cut(state)
-            if not state.filter(open_).head(1):
-                break
+        state = written(state)
+        if not state.filter(open_).head(1):
+            break
     back = F.greatest(F.lit(0.0), F.col("early.ts") - F.col("early.points") * sb.SECONDS_PER_POINT)
     return state.filter("best IS NOT NULL OR early IS NOT NULL").select(
         "video_id", "lo", "hi", F.coalesce("best.ts", back).alias("start"), F.coalesce("best.player1", "early.player1").alias("player1"), F.coalesce("best.player2", "early.player2").alias("player2"), F.col("best").isNull().alias("approximate")
@@ -83,9 +73,7 @@ def dedup_starts(candidates: DataFrame) -> DataFrame:
 
 def match_starts(board: DataFrame) -> DataFrame:
     """(video_id, start, start_hms, player1, player2, error): all starts of each video, or one row with the error."""
-    from scoreline.functions.text import format_hms
-
-    samples = _cut(sb.coarse_scan(board))
+    samples = written(sb.coarse_scan(board))
     first = score_flags(samples).filter("is_match_start").select("video_id", F.lit(1).alias("phase"), F.col("t").alias("ord"), F.col("actual_ts").alias("start"), "player1", "player2")
     found = bisect_starts(sb.transitions(samples), board).select("video_id", F.lit(2).alias("phase"), F.col("hi").alias("ord"), "start", "player1", "player2")
     kept = dedup_starts(first.union(found))

@@ -16,9 +16,12 @@ from scoreline.operators.scoreboard import FIELDS, MIN_BREAK
 from scoreline.sources.files import match_videos
 
 
-def stream_import(spark: SparkSession, incoming: str, folder: str, checkpoint: str, run_ts: datetime) -> StreamingQuery:
-    """Imports each new match file under incoming once; a video that comes again replaces what it had."""
-    files = spark.readStream.format("text").option("wholetext", True).load(incoming).select(F.col("value").alias("doc"))
+def stream_import(spark: SparkSession, incoming: str, folder: str, checkpoint: str, run_ts: datetime, wholetext: bool = True) -> StreamingQuery:
+    """Imports each new match file under incoming once; a video that comes again replaces what it had.
+
+    A file is one JSON document, or, without wholetext, one on each line.
+    """
+    files = spark.readStream.format("text").option("wholetext", wholetext).load(incoming).select(F.col("value").alias("doc"))
 
     def load(batch: DataFrame, _: int) -> None:
         videos = match_videos(batch).filter("file_err IS NULL").drop("file_err")
