@@ -28,7 +28,7 @@ def parse_duration(text: Column) -> Column:
 def format_hms(seconds: Column) -> Column:
     """HH:MM:SS of whole seconds, cut toward zero."""
     s = seconds.cast("long")
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+    return F.when(s.isNotNull(), F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60))
 
 
 def format_match_time(ts: Column) -> Column:

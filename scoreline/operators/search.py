@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreline.functions.similarity import same_players
@@ -81,6 +81,11 @@ def match_starts(board: DataFrame) -> DataFrame:
     return videos.select("video_id", "start", format_hms(F.col("start")).alias("start_hms"), "player1", "player2", F.when(F.col("start").isNull(), "No match starts found").alias("error"))
 
 
+def sort_matches(starts: DataFrame) -> DataFrame:
+    """Adds n, counting a video's starts by time from 1."""
+    return starts.withColumn("n", F.row_number().over(Window.partitionBy("video_id").orderBy("start", "player1", "player2")))
+
+
 def distinct_pairs(samples: DataFrame) -> DataFrame:
     """(video_id, player1, player2, first_seen): pairs of players as first seen, fuzzy repeats left out."""
 

@@ -87,4 +87,7 @@ def with_adapters(body: str) -> str:
         body = body.replace("{" + n + "}", n)
     if not tables:
         return body
+    body = re.sub(r"^\s*WITH\s+RECURSIVE\s", f"WITH RECURSIVE {tables}, ", body)
+    if re.match(r"\s*WITH\s+RECURSIVE\s", body):
+        return body
     return re.sub(r"^\s*WITH\s", f"WITH {tables}, ", body) if re.match(r"\s*WITH\s", body) else f"WITH {tables} {body}"

@@ -93,29 +93,62 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("a", "b", similar_column(F.col("a"), F.col("b")).alias("similar"))
 
 
-@query()
+#: A video's candidates one by one: kept unless one that is kept has the same players or is too near.
+ALIKE = "((regexp_replace(k.player1, 'X$', '') = regexp_replace(x[1].player1, 'X$', '') AND k.player2 = x[1].player2) OR (regexp_replace(k.player1, 'X$', '') = x[1].player2 AND k.player2 = regexp_replace(x[1].player1, 'X$', '')))"
+FOLD = "list_reduce(list(list_value(struct_pack(ts := actual_ts, player1 := player1, player2 := player2)) ORDER BY t), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: {})) > 0 THEN kept ELSE list_concat(kept, x) END)"
+
+_HIT = ", ".join(f"coalesce(b0.{c}, b1.{c}, b2.{c}, b3.{c}) AS r_{c}" for c in sb.FIELDS)
+_JOINS = " ".join(f"LEFT JOIN ok b{i} ON b{i}.video_id = s.video_id AND b{i}.sec = CAST(trunc(s.t + {o}) AS INT)" for i, o in enumerate(sb.PROBE_OFFSETS))
+_OFF = " ".join(f"WHEN b{i}.sec IS NOT NULL THEN s.t + {o}" for i, o in enumerate(sb.PROBE_OFFSETS))
+#: One interval at a time goes on until it is narrow; the scan's samples take the place of the adapter's.
+BISECTED = f"""RECURSIVE {PROBED}, {FOUND.replace("{samples}", "probed")}, ok AS (SELECT * FROM {{board}} WHERE success),
+tr AS (SELECT DISTINCT video_id, CASE WHEN kind = 'score_appears' THEN pst ELSE pt END AS lo, actual_ts AS hi, {FIELDS} FROM f WHERE kind IS NOT NULL),
+st AS (SELECT video_id, lo, hi, lo AS a, hi AS b, CASE WHEN set1 = 0 AND set2 = 0 AND game1 + game2 <= 15 THEN struct_pack(ts := hi, points := game1 + game2, player1 := player1, player2 := player2) END AS early,
+  CAST(NULL AS STRUCT(ts DOUBLE, player1 VARCHAR, player2 VARCHAR)) AS best FROM tr
+UNION ALL SELECT video_id, lo, hi, CASE WHEN earlier THEN a ELSE t END, CASE WHEN earlier THEN t ELSE b END,
+  CASE WHEN NOT zero AND soon AND (early IS NULL OR found_at < early.ts) THEN struct_pack(ts := found_at, points := r_game1 + r_game2, player1 := r_player1, player2 := r_player2) ELSE early END,
+  CASE WHEN zero THEN struct_pack(ts := found_at, player1 := r_player1, player2 := r_player2) ELSE best END
+  FROM (SELECT *, coalesce(r_set1 = 0 AND r_set2 = 0 AND r_game1 = 0 AND r_game2 = 0, false) AS zero, coalesce(r_set1 = 0 AND r_set2 = 0 AND r_game1 + r_game2 <= 15, false) AS soon,
+    coalesce((r_set1 = 0 AND r_set2 = 0) OR r_game1 + r_game2 > 0 OR r_set1 > 0 OR r_set2 > 0, false) AS earlier
+    FROM (SELECT s.*, CASE {_OFF} END AS found_at, {_HIT} FROM (SELECT *, (a + b) / 2 AS t FROM st WHERE b - a > 10) s {_JOINS}) h) g),
+done AS (SELECT video_id, lo, hi, coalesce(best.ts, greatest(0, early.ts - early.points * 16)) AS start, coalesce(best.player1, early.player1) AS player1, coalesce(best.player2, early.player2) AS player2, best IS NULL AS approximate
+  FROM st WHERE b - a <= 10 AND (best IS NOT NULL OR early IS NOT NULL))"""
+
+
+@query(f"WITH {BISECTED} SELECT * FROM done")
 def bisect_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     board = frame(spark, sf_dir, "board")
     return se.bisect_starts(sb.transitions(sb.coarse_scan(board)), board)
 
 
-@query()
+@query(f"WITH s AS (SELECT video_id, unnest({FOLD.format(ALIKE + ' OR abs(k.ts - x[1].ts) < 300')}) AS k FROM {{samples}} WHERE success AND game1 + game2 < 6 GROUP BY video_id) SELECT video_id, k.ts AS start, k.player1 AS player1, k.player2 AS player2 FROM s")
 def dedup_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = frame(spark, sf_dir, "samples").filter("success AND game1 + game2 < 6")
     return se.dedup_starts(starts.select("video_id", F.lit(1).alias("phase"), F.col("t").alias("ord"), F.col("actual_ts").alias("start"), "player1", "player2"))
 
 
-@query()
+@query(
+    f"""WITH {BISECTED}, cand AS (SELECT video_id, 1 AS phase, t AS t, actual_ts, player1, player2 FROM probed WHERE success AND set1 = 0 AND set2 = 0 AND game1 = 0 AND game2 = 0 UNION ALL SELECT video_id, 2, hi, start, player1, player2 FROM done),
+kept AS (SELECT video_id, unnest({FOLD.replace("ORDER BY t)", "ORDER BY phase, t)").format(ALIKE + " OR abs(k.ts - x[1].ts) < 300")}) AS k FROM cand GROUP BY video_id)
+SELECT v.video_id, k.ts AS start, printf('%02d:%02d:%02d', CAST(trunc(k.ts) AS BIGINT) // 3600, CAST(trunc(k.ts) AS BIGINT) % 3600 // 60, CAST(trunc(k.ts) AS BIGINT) % 60) AS start_hms, k.player1 AS player1, k.player2 AS player2,
+CASE WHEN k IS NULL THEN 'No match starts found' END AS error FROM (SELECT DISTINCT video_id FROM {{board}}) v LEFT JOIN kept ON v.video_id = kept.video_id"""
+)
 def match_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.match_starts(frame(spark, sf_dir, "board"))
 
 
-@query()
+PAIRS = f"s AS (SELECT video_id, unnest({FOLD.format(ALIKE)}) AS k FROM {{samples}} WHERE success GROUP BY video_id), pairs AS (SELECT video_id, k.player1 AS player1, k.player2 AS player2, k.ts AS first_seen FROM s)"
+
+
+@query(f"WITH {PAIRS} SELECT * FROM pairs")
 def distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.distinct_pairs(frame(spark, sf_dir, "samples"))
 
 
-@query()
+@query(
+    f"""WITH {PAIRS} SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM {{samples}} f WHERE f.video_id = p.video_id AND f.success AND f.set1 = 0 AND f.set2 = 0
+AND ((regexp_replace(p.player1, 'X$', '') = regexp_replace(f.player1, 'X$', '') AND p.player2 = f.player2) OR (regexp_replace(p.player1, 'X$', '') = f.player2 AND p.player2 = regexp_replace(f.player1, 'X$', ''))))"""
+)
 def skipped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = frame(spark, sf_dir, "samples")
     starts = samples.filter("success AND set1 = 0 AND set2 = 0").select("video_id", F.col("actual_ts").alias("start"), "player1", "player2").distinct()
@@ -150,7 +183,13 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "frames").withColumn("vec", F.transform("vec", lambda x: x.cast("double") * 20))
 
 
-@query()
+ANCHORS = """RECURSIVE f AS (SELECT video_id, sec, list_transform(vec, lambda x: CAST(x AS DOUBLE) * 20) AS v FROM {frames}),
+a AS (SELECT video_id, sec, true AS kept, v AS anchor FROM f WHERE sec = 0 UNION ALL
+  SELECT video_id, sec, far AS kept, CASE WHEN far THEN v ELSE anchor END AS anchor FROM (
+    SELECT f.video_id, f.sec, f.v, a.anchor, list_sum(list_transform(list_zip(f.v, a.anchor), lambda z: abs(z[1] - z[2]))) / len(f.v) > 3 AS far FROM a JOIN f ON f.video_id = a.video_id AND f.sec = a.sec + 1) n)"""
+
+
+@query(f"WITH {ANCHORS} SELECT video_id, sec, kept FROM a")
 def anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.anchor_dedup(_frames(spark, sf_dir))
 
@@ -194,6 +233,14 @@ def _brightness(vec: Column) -> Column:
     return read(vec)
 
 
+@query()
+def resume_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that an earlier run has read are not read again."""
+    frames = _frames(spark, sf_dir)
+    cache = frames.filter("sec % 3 = 0").select("video_id", F.col("sec").alias("frame"), F.lit("known").alias("text"))
+    return fr.frames_to_scoreboard(frames, _brightness, cache)
+
+
 @query()
 def frames_to_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.frames_to_scoreboard(_frames(spark, sf_dir), _brightness)
@@ -255,3 +302,9 @@ def log_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = seen.select(F.concat(F.lit("out/"), F.expr(IMAGE), F.lit(".jpg")).alias("image"))
     lines = seen.select(F.expr(LINE).alias("line")).distinct()
     return ck.log_contains_join(images, lines, F.regexp_extract_all("line", F.lit("out/[^ ]+"), 0))
+
+
+@query(f"WITH {RUNS} SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY actual_ts) AS INT) AS n, actual_ts AS start FROM p WHERE success AND game1 = 0 AND game2 = 0 AND NOT coalesce(ps AND pg1 = 0 AND pg2 = 0, false)")
+def sort_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = sb.game_starts(frame(spark, sf_dir, "samples")).withColumnRenamed("actual_ts", "start")
+    return se.sort_matches(starts).select("video_id", "n", "start")

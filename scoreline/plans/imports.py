@@ -100,6 +100,12 @@ def import_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return im.import_matches(_before(spark, sf_dir), _videos(spark, sf_dir), RUN_TS)["participants"]
 
 
+@query(f"{AFTER} SELECT match_id, is_doubles FROM new UNION ALL SELECT match_id, false FROM stay")
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches after an import: what is kept of the old ones and the new ones."""
+    return im.import_matches(_before(spark, sf_dir), _videos(spark, sf_dir), RUN_TS)["matches"].select("match_id", "is_doubles")
+
+
 @query(
     f"""{AFTER} SELECT (SELECT count(*) FROM new) + (SELECT count(*) FROM stay) AS matches, (SELECT count(*) FROM new WHERE NOT is_doubles) + (SELECT count(*) FROM stay) AS singles, (SELECT count(*) FROM new WHERE is_doubles) AS doubles,
 (SELECT count(*) FROM (SELECT video_id FROM good UNION SELECT video_id FROM old) u) AS videos, (SELECT count(*) FROM old) - (SELECT count(*) FROM stay) AS deleted"""

@@ -63,6 +63,15 @@ def load_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.load_queue(spark, path).select(ORDER)
 
 
+@query("SELECT channel, count(*) AS n, min(pos) AS top FROM {playlist} GROUP BY channel")
+def save_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved twice: the second replaces the first."""
+    path, rows = shared_path(spark, "queue"), frame(spark, sf_dir, "playlist").withColumn("upload_date", F.lit("1"))
+    fl.save_queue(rows.filter("pos > 3"), path)
+    fl.save_queue(rows, path)
+    return fl.load_queue(spark, path).groupBy("channel").agg(F.count("*").alias("n"), F.min("pos").alias("top"))
+
+
 @query("SELECT video_id, CASE WHEN regexp_full_match(upload_date, '[+-]?\\d+') THEN make_timestamp(CAST(upload_date AS BIGINT) * 1000000) END AS uploaded FROM {videos} ORDER BY uploaded DESC NULLS LAST, video_id")
 def read_pg_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The videos as a table of the session's catalog, read in order."""
