@@ -55,8 +55,9 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the words of all texts, one text after another, and where each text begins; last, where all end."""
     parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{M}\p{N}_]+")
     words = parts.flatten().dictionary_encode()
-    code = np.array([zlib.crc32(w.encode()) for w in words.dictionary.to_pylist()], np.uint32)
-    empty = np.array([w == "" for w in words.dictionary.to_pylist()], bool)
+    distinct = words.dictionary.cast(pa.binary()).to_pylist()
+    code = np.fromiter(map(zlib.crc32, distinct), np.uint32, len(distinct))
+    empty = pc.equal(words.dictionary, "").to_numpy(zero_copy_only=False)
     at = words.indices.to_numpy()
     offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
     if len(at) == 0:
@@ -77,7 +78,9 @@ class Padded:
     """The texts of a batch of codes, each filled up to whole passages."""
 
     def __init__(self, column: pa.Array):
-        self.words = np.frombuffer(b"".join(column.to_pylist()), "<u4")
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        self.words = np.frombuffer(data, "<u4", (offsets[-1] - offsets[0]) // 4, offsets[0]) if data and len(column) else np.empty(0, np.uint32)
         self.sizes = pc.binary_length(column).to_numpy() // 4
         padded = -(-self.sizes // PASSAGE) * PASSAGE
         self.starts, self.first = np.append(0, self.sizes.cumsum()), np.append(0, padded.cumsum())
