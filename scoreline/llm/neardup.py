@@ -284,6 +284,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crossed = pairs.join(texts.dropDuplicates(["doc_id"]), "doc_id").groupBy("leader", "low", "high").applyInArrow(link_blocks, "doc_id long, root long")
     edges = linked.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).union(crossed.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     roots = components(edges)
-    classes = prints.join(roots, F.col("rep") == F.col("id"), "left").select("print", F.coalesce("root", "rep").alias("class_id"))
+    # Written, so that both sides of the next join are shuffled for it alone and a common text's rows can be split.
+    classes = written(prints.join(roots, F.col("rep") == F.col("id"), "left").select("print", F.coalesce("root", "rep").alias("class_id")))
     of_text = signed.select("doc_id", "print").join(classes, "print").select("doc_id", "class_id").dropDuplicates(["doc_id"])
     return texts.select("doc_id").join(of_text, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
