@@ -8,7 +8,7 @@
    Only arrays of fixed size leave the tasks.
 4. Candidates. Overlapping windows and benchmark passages are compared in the latent space (left singular
    coordinates) by cosine, all windows against a block of the benchmark at a time.
-5. Checks. Around each candidate window the longest common subsequence must hold LCS_SHARE of the benchmark
+5. Checks. In a stretch around a candidate window the longest common subsequence must hold LCS_SHARE of the benchmark
    passage's words, and ANSWER_SHARE of its last ANSWER_WORDS words, where the answer stands. A count of the
    passage's rare words goes first: with too few of them the subsequence can't be long enough.
 
@@ -186,13 +186,21 @@ def common_words(item: list[int], region: list[int]) -> list[bool]:
 
 
 def check(item: list[int], region: list[int]) -> float:
-    """Share of the item's words in a longest common subsequence, or 0 where it or the answer has too few."""
-    held = common_words(item, region)
-    share = sum(held) / len(held)
-    if share < LCS_SHARE:
+    """Share of the item's words in a longest common subsequence, or 0 where it or the answer has too few.
+
+    The share counts within stretches half as long again as the item, so that words common to all texts don't add
+    up over a wide region.
+    """
+    if sum(common_words(item, region)) < LCS_SHARE * len(item):
+        return 0.0
+    span, last = len(item) + len(item) // 2, max(0, len(region) - len(item) - len(item) // 2)
+    stretches = [region[k : k + span] for k in [*range(0, last, max(1, len(item) // 4)), last]]
+    shares = [sum(common_words(item, s)) / len(item) for s in stretches]
+    best = max(shares)
+    if best < LCS_SHARE:
         return 0.0
     answer = item[-ANSWER_WORDS:]
-    return share if sum(common_words(answer, region)) >= ANSWER_SHARE * len(answer) else 0.0
+    return best if sum(common_words(answer, stretches[shares.index(best)])) >= ANSWER_SHARE * len(answer) else 0.0
 
 
 class Benchmark:
