@@ -25,14 +25,18 @@ def schedule_join(matches: DataFrame, tournaments: DataFrame, participants: Data
 
 
 def team_agg(participants: DataFrame) -> DataFrame:
-    """(match_id, team_a, team_b): names of a side by name, joined by ' / '; null for a side without any."""
-    names = lambda side: F.expr(f"listagg(player, ' / ') WITHIN GROUP (ORDER BY player) FILTER (WHERE side = '{side}')")
-    return participants.groupBy("match_id").agg(names("A").alias("team_a"), names("B").alias("team_b"))
+    """(match_id, team_a, team_b): a side's names, each once, by name, joined by ' / '; null for a side without any.
+
+    Sets drop repeated participants in the same shuffle that brings a match together.
+    """
+    rows = participants.groupBy("match_id").agg(*[F.collect_set(F.when(F.col("side") == side, F.col("player"))).alias(f"_{side}") for side in "AB"])
+    names = lambda c: F.when(F.size(c) > 0, F.array_join(F.sort_array(c), " / "))
+    return rows.select("match_id", names("_A").alias("team_a"), names("_B").alias("team_b"))
 
 
 def tournament_schedule(matches: DataFrame, tournaments: DataFrame, videos: DataFrame, participants: DataFrame) -> DataFrame:
     """One row for each match that has participants, ordered by match time, then match_id."""
-    teams = team_agg(participants_dedupe(participants))
+    teams = team_agg(participants)
     rows = matches.join(teams, "match_id").join(tournaments, "tournament_id").join(videos, "video_id")
     when = fx.match_timestamp(F.col("upload_date"), F.col("video_offset_seconds"))
     return rows.select(
