@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from scoreline.functions import titles as tt
 from scoreline.functions.text import parse_upload_epoch
+from scoreline.sources.scratch import written
 
 SCHEMAS = {
     "tournaments": "tournament string, year int",
@@ -92,7 +93,8 @@ def import_matches(catalogue: dict[str, DataFrame], videos: DataFrame, run_ts: d
 
     Tournaments are created for failed videos too; what a video had before goes in any case.
     """
-    staged, rejected = import_policy(stage_videos(videos, run_ts), policy)
+    # Written once: every table of the catalogue is made from it.
+    staged, rejected = import_policy(written(stage_videos(videos, run_ts), "staged"), policy)
     exploded = explode_matches(staged)
     new_matches = exploded.select(match_id(), "video_id", "tournament", "year", F.col("timestamp").cast("int").alias("video_offset_seconds"), F.coalesce(tt.is_doubles(F.col("player1"), F.col("player2")), F.lit(False)).alias("is_doubles"))
     new_people = participants_of(exploded)

@@ -32,7 +32,7 @@ def tournament_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TEAMS} SELECT * FROM teams")
 def team_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ct.team_agg(ct.participants_dedupe(frame(spark, sf_dir, "participants")))
+    return ct.team_agg(frame(spark, sf_dir, "participants"))
 
 
 @query("SELECT DISTINCT match_id, player, side FROM {participants}")
@@ -141,9 +141,9 @@ def filter_new_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.filter_new_streams(frame(spark, sf_dir, "playlist"), "Finals").select(ORDER)
 
 
-@query("SELECT channel, pos, video_id, title FROM {playlist} WHERE contains(title, 'WTT')")
+@query("SELECT channel, pos, video_id, title FROM {playlist} WHERE contains(title, 'Grand')")
 def filter_process_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pl.filter_process_queue(frame(spark, sf_dir, "playlist"), "WTT").select(ORDER)
+    return pl.filter_process_queue(frame(spark, sf_dir, "playlist"), "Grand").select(ORDER)
 
 
 @query("SELECT channel, pos, video_id FROM {playlist} WHERE pos <= 5")
