@@ -26,6 +26,10 @@ def bisect_starts(intervals: DataFrame, board: DataFrame, max_gap: int = 36_000)
     none = "struct<ts:double,player1:string,player2:string>"
     state = state.select("video_id", F.col("lo").cast("double"), F.col("hi").cast("double"), F.col("lo").cast("double").alias("a"), F.col("hi").cast("double").alias("b"), early.alias("early"), F.lit(None).cast(none).alias("best"))
     state = written(state.distinct())
+    # Rounds read only seconds that a probe of some interval can reach, from a table made once.
+    reach = state.select(F.col("video_id").alias("_v"), (F.col("lo") + min(sb.PROBE_OFFSETS) - 1).alias("_low"), (F.col("hi") + max(sb.PROBE_OFFSETS)).alias("_high"))
+    inside = (F.col("video_id") == F.col("_v")) & F.col("sec").between(F.col("_low"), F.col("_high"))
+    board = written(board.filter("success").join(reach, inside, "left_semi"))
     for _ in range(max(1, math.ceil(math.log2(max_gap / sb.PRECISION)))):
         open_ = F.col("b") - F.col("a") > sb.PRECISION
         asked = state.withColumn("t", F.when(open_, (F.col("a") + F.col("b")) / 2))
