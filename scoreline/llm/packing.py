@@ -1,15 +1,21 @@
 """Lexical retrieval packing: windows filled with a seed document and its closest unused neighbours.
 
-Documents are dealt by hash to shards of about SHARD_BYTES of text. In each shard an inverted index of token
-ids gives BM25 scores: the first unused document seeds a window, the index returns unused neighbours in order
-of score, and they fill the window greedily; the document that no longer fits is cut, and its rest opens the
-next window, whose neighbours it seeks. So every sequence but a shard's last one is exactly full.
+1. Token ids of all documents are written once; document frequencies and the mean length count the whole corpus.
+2. Documents are dealt to shards of about SHARD_BYTES of text by lexical content: about PIVOTS documents a shard are
+   pivots, related ones next to each other, in a tree of up to FAN branches a node. Each document goes to the pivot
+   with the largest cosine of its terms' weights; shards are runs of the order of pivots, cut where a sample says.
+   Related documents thus stand in the same or in adjoining shards at any size; more documents of one pivot than fit
+   a shard are split by hash.
+3. In each shard all terms of a seed give BM25 scores, with the corpus' statistics: the first unused document seeds a
+   window, unused neighbours in order of score fill it greedily; the document that no longer fits is cut, and its
+   rest opens the next window, whose neighbours it seeks. So every sequence but a shard's last one is exactly full.
 
 A shard's size doesn't depend on the corpus: the number of shards does, so memory is bounded by SHARD_BYTES
-and the longest document.
+and the longest document; the driver holds the
+pivots and SAMPLE keys.
 
 Defined results: null and empty texts are the end token alone; repeated rows are packed each; an empty table
-gives an empty table. Ties of scores go to the document that comes last by (doc_id, text).
+gives an empty table. Ties of scores go to the document that comes last by (doc_id, token ids).
 """
 
 from __future__ import annotations
@@ -23,54 +29,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreline.llm.common import sum_over, written
 from scoreline.llm.tokens import encoder_on, shared_encoder
 
 WINDOW = 4096
 END_ID = 2
 SHARD_BYTES = 4 << 20
-#: Terms of a seed that query the index: those of the largest weight; and BM25's two constants.
-QUERY_TERMS, K1, B = 16, 1.2, 0.75
+#: BM25's two constants.
+K1, B = 1.2, 0.75
+#: Pivots for each shard, FAN at least in all; branches of a node of their tree, and its levels (10 bits of a key each).
+PIVOTS, FAN, LEVELS = 4, 512, 3
+#: Pairs of document and pivot that numpy handles at once.
+PAIRS = 1 << 18
+#: Rows, about, whose keys tell where shards are cut.
+SAMPLE = 1 << 17
 #: Shards per step of sequence_id: no shard has so many sequences.
 STRIDE = 1 << 32
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def distinct_terms(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times) of each term of each document, in this order."""
+    n = len(bounds) - 1
+    terms = int(ids.max()) + 1 if len(ids) else 1
+    kind = np.uint32 if terms * n < 1 << 32 else np.uint64
+    key = np.repeat(np.arange(n, dtype=kind), np.diff(bounds)) * kind(terms) + ids.astype(kind)
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    doc, term = np.divmod(key[first], kind(terms))
+    return doc.astype(np.int32), term.astype(np.int32), np.diff(np.append(first, len(key))).astype(np.float32)
+
+
+class Corpus:
+    """What BM25 knows of all documents: for each term how many hold it, and their number and mean length."""
+
+    def __init__(self, df: np.ndarray, docs: float, tokens: float):
+        self.df, self.docs, self.mean = df, docs, max(1.0, tokens / docs if docs else 1.0)
+        self.idf = np.log1p((docs - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
 class Index:
-    """BM25 over one shard: for each term the documents that hold it, with their weights."""
-
-    def __init__(self, ids: np.ndarray, bounds: np.ndarray):
-        self.n = n = len(bounds) - 1
-        sizes = np.diff(bounds)
-        terms = int(ids.max()) + 1 if len(ids) else 1
-        kind = np.uint32 if terms * n < 1 << 32 else np.uint64
-        key = ids.astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), sizes)
-        key.sort()
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-        tf = np.diff(np.append(first, len(key))).astype(np.float32)
-        key = key[first]
-        term, doc = np.divmod(key, kind(max(1, n)))
-        self.doc = doc.astype(np.int32)
-        df = np.bincount(term.astype(np.int32), minlength=terms)
-        self.bounds = np.append(0, df.cumsum())
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = (K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if n else 1.0))).astype(np.float32)
-        self.weight = np.repeat(self.idf, df) * tf * np.float32(K1 + 1) / (tf + norm[self.doc])
+    """BM25 weights of the terms of one shard's documents, document by document."""
+
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, corpus: Corpus | None = None):
+        self.docs = np.arange(len(bounds) - 1)
+        doc, self.term, tf = distinct_terms(ids, bounds)
+        corpus = corpus or Corpus(np.bincount(self.term), len(self.docs), len(ids))
+        norm = (K1 * (1 - B + B * np.diff(bounds) / corpus.mean)).astype(np.float32)
+        self.weight = corpus.idf[self.term] * tf * np.float32(K1 + 1) / (tf + norm[doc])
+        self.sizes = np.bincount(doc, minlength=len(self.docs))
+        self.asked = np.zeros(len(corpus.idf), np.float32)
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Forgets used documents once they are half of those held."""
+        kept = unused[self.docs]
+        if 2 * kept.sum() < len(kept):
+            entry = np.repeat(kept, self.sizes)
+            self.docs, self.sizes, self.term, self.weight = self.docs[kept], self.sizes[kept], self.term[entry], self.weight[entry]
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        """Of all documents, against the strongest terms of these ids."""
-        tf = np.bincount(ids)
-        strength = tf * self.idf[: len(tf)]
-        strongest = np.argpartition(-strength, QUERY_TERMS)[:QUERY_TERMS] if len(tf) > QUERY_TERMS else np.arange(len(tf))
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in np.sort(strongest)]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        """Of the documents that are held, against all terms of these ids."""
+        if not len(self.docs):
+            return np.empty(0, np.float32)
+        self.asked[ids] = 1
+        out = np.add.reduceat(self.weight * self.asked[self.term], self.sizes.cumsum() - self.sizes)
+        self.asked[ids] = 0
+        return out
 
 
-def fill_windows(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+def fill_windows(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW, corpus: Corpus | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece; document d is ids[bounds[d]:bounds[d + 1]], never empty."""
-    index = Index(ids, bounds)
+    index = Index(ids, bounds, corpus)
     n, sizes = len(bounds) - 1, np.diff(bounds).tolist()
     unused = np.ones(n, bool)
     sequence = offset = next_seed = 0
@@ -95,37 +125,179 @@ def fill_windows(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> I
                 sequence, offset = sequence + 1, 0
                 break  # the window is full: what is left of the document seeds the next one
             if queue is None:
-                left = np.flatnonzero(unused)
-                score = index.scores(ids[bounds[seed] : bounds[seed + 1]])[left]
-                queue = left[np.argsort(score, kind="stable")].tolist()
+                index.keep(unused)
+                score = index.scores(ids[bounds[seed] : bounds[seed + 1]])
+                left = unused[index.docs]
+                queue = index.docs[left][np.argsort(score[left], kind="stable")].tolist()
             if queue:
                 rest = (queue.pop(), 0)
                 unused[rest[0]] = False
         # Here a window has just been filled, or no document is left unused.
 
 
+def ids_of(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The token ids of a column of binaries one after another, and where each row begins."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // np.dtype(kind).itemsize
+    data = column.buffers()[2]
+    ids = np.frombuffer(data, kind)[offsets[0] : offsets[-1]] if data and len(column) else np.empty(0, kind)
+    return ids, (offsets - offsets[0]).astype(np.int64)
+
+
+def unit_vectors(ids: np.ndarray, bounds: np.ndarray, corpus: Corpus) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, weight) of each term of each document, in this order; each document's vector has length 1."""
+    doc, term, tf = distinct_terms(ids, bounds)
+    weight = corpus.idf[term] * tf / (tf + np.float32(K1))
+    length = np.sqrt(np.bincount(doc, weight * weight, len(bounds) - 1))
+    return doc, term, (weight / np.maximum(length, 1e-12)[doc]).astype(np.float32)
+
+
+def part_of(vectors: tuple[np.ndarray, np.ndarray, np.ndarray], members: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors of these of n documents, numbered in the order of members."""
+    place = np.full(n, -1)
+    place[members] = np.arange(len(members))
+    doc, term, weight = vectors
+    kept = place[doc] >= 0
+    doc, term, weight = place[doc[kept]], term[kept], weight[kept]
+    order = np.argsort(doc, kind="stable")
+    return doc[order], term[order], weight[order]
+
+
+class Pivots:
+    """A node of the tree: up to FAN pivots, each next to a related one, and nodes of the pivots closest to each."""
+
+    def __init__(self, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, terms: int, level: int = 1):
+        self.terms, self.size = terms, min(n, FAN)
+        self.hold(part_of(vectors, np.arange(self.size), n))
+        # A chain: after each pivot comes the closest one that is left.
+        alike, chain, left = self.cosines(part_of(vectors, np.arange(self.size), n), self.size), [0], np.ones(self.size, bool)
+        left[0] = False
+        while len(chain) < self.size:
+            chain.append(int(np.argmax(np.where(left, alike[chain[-1]], -1))))
+            left[chain[-1]] = False
+        heads = np.array(chain)
+        self.hold(part_of(vectors, heads, n))
+        self.under: dict[int, Pivots] = {}
+        if n > FAN and level < LEVELS:
+            rest = np.arange(FAN, n)
+            near = self.nearest(part_of(vectors, rest, n), len(rest))
+            for k in np.unique(near).tolist():
+                members = np.append(heads[k], rest[near == k])
+                self.under[k] = Pivots(part_of(vectors, members, n), len(members), terms, level + 1)
+
+    def hold(self, vectors: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        doc, term, weight = vectors
+        order = np.argsort(term, kind="stable")
+        self.owner, self.weight = doc[order], weight[order]
+        self.bounds = np.append(0, np.bincount(term, minlength=self.terms).cumsum())
+
+    def cosines(self, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+        doc, term, weight = vectors
+        low, size = self.bounds[term], self.bounds[term + 1] - self.bounds[term]
+        entry = np.arange(size.sum()) + np.repeat(low - size.cumsum() + size, size)
+        return np.bincount(np.repeat(doc * self.size, size) + self.owner[entry], np.repeat(weight, size) * self.weight[entry], n * self.size).reshape(n, self.size)
+
+    def nearest(self, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+        """For each of n documents the pivot of the largest cosine."""
+        doc, term, weight = vectors
+        out, step = np.zeros(n, np.int64), max(1, PAIRS // self.size)
+        for k in range(0, n, step):
+            a, b = np.searchsorted(doc, (k, k + step))
+            out[k : k + step] = self.cosines((doc[a:b] - k, term[a:b], weight[a:b]), min(step, n - k)).argmax(axis=1)
+        return out
+
+    def places(self, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, level: int = 1) -> np.ndarray:
+        """For each of n documents where its pivot stands in the order of all pivots."""
+        near = self.nearest(vectors, n)
+        out = near << 10 * (LEVELS - level)
+        for k in np.unique(near).tolist():
+            if k in self.under:
+                members = np.flatnonzero(near == k)
+                out[members] += self.under[k].places(part_of(vectors, members, n), len(members), level + 1)
+        return out
+
+
+def lexical_keys(ids: np.ndarray, bounds: np.ndarray, salt: np.ndarray, corpus: Corpus, pivots: Pivots) -> np.ndarray:
+    """For each document the place of its pivot, then the salt, in one number that sorts like them."""
+    return pivots.places(unit_vectors(ids, bounds, corpus), len(bounds) - 1) << 32 | salt & 0xFFFFFFFF
+
+
+def shard_cuts(keys: np.ndarray, sizes: np.ndarray, shards: int) -> np.ndarray:
+    """Keys at which a next shard begins, so that the sampled sizes are shared out evenly."""
+    if not len(keys):
+        return keys
+    order = np.argsort(keys, kind="stable")
+    total = sizes[order].cumsum()
+    return np.unique(keys[order][np.searchsorted(total, total[-1] * np.arange(1, shards) / shards)])
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
     """Pieces of all documents in sequences of at most window tokens; needs doc_id and text."""
     spark = docs.sparkSession
+    shared = shared_encoder(spark, tokenizer_path)
+    terms = encoder_on(shared).tokenizer.get_vocab_size()
+    kind = "<u2" if terms <= 1 << 16 else "<u4"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_on(shared)
+        for batch in batches:
+            ids, bounds = encoder.flat_ids(batch.column("text").to_pylist(), END_ID)
+            ids = ids.astype(kind)
+            offsets = (bounds * ids.itemsize).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("size"), raw], names=["doc_id", "size", "ids"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(terms + 2)
+        for batch in batches:
+            ids, bounds = ids_of(batch.column("ids"), kind)
+            out[:terms] += np.bincount(distinct_terms(ids, bounds)[1], minlength=terms)
+            out[terms:] += len(batch), len(ids)
+        return out
+
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    coded = written(texts.withColumn("size", (F.octet_length("text") + 1).cast("long")).mapInArrow(encode, "doc_id long, size long, ids binary"))
+    counts = sum_over(coded.select("ids"), count, terms + 2, "<f8")
+    corpus = spark.sparkContext.broadcast(Corpus(counts[:terms], counts[terms], counts[terms + 1]))
+    hashed = coded.withColumn("hash", F.xxhash64("doc_id", "ids"))
+    total = coded.agg(F.sum("size")).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
-    shared = shared_encoder(spark, tokenizer_path)
+    one_in = lambda n: F.pmod("hash", F.lit(max(1, int(counts[terms]) // n))) == 0
+    chosen = hashed.filter(one_in(max(FAN, PIVOTS * shards))).select("hash", "ids").distinct().toArrow().sort_by("hash").combine_chunks()
+    if not len(chosen):
+        chosen = pa.table({"ids": pa.array([np.array([END_ID], kind).tobytes()], pa.binary())})
+    ids, bounds = ids_of(chosen.column("ids").chunk(0), kind)
+    pivots = spark.sparkContext.broadcast(Pivots(unit_vectors(ids, bounds, corpus.value), len(chosen), terms))
+
+    def with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        for batch in batches:
+            if len(batch):
+                ids, bounds = ids_of(batch.column("ids"), kind)
+                yield batch, lexical_keys(ids, bounds, batch.column("hash").to_numpy() >> 20, corpus.value, pivots.value)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, keys in with_keys(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("size")], names=["key", "size"])
+
+    sampled = hashed.filter(one_in(SAMPLE)).mapInArrow(sample, "key long, size long").toArrow()  # about SAMPLE rows
+    cuts = shard_cuts(sampled.column("key").to_numpy(), sampled.column("size").to_numpy(), shards)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, keys in with_keys(batches):
+            shard = pa.array(np.searchsorted(cuts, keys, "right").astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), shard], names=["doc_id", "ids", "_shard"])
 
     def pack_shard(key: tuple, rows: pa.Table) -> pa.Table:
-        encoder = encoder_on(shared)
-        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        rows = rows.select(["doc_id", "ids"]).sort_by([("doc_id", "ascending"), ("ids", "ascending")]).combine_chunks()
         doc_ids = rows.column("doc_id").to_pylist()
-        ids, bounds = encoder.flat_ids(rows.column("text").to_pylist(), END_ID)
-        raw = ids.astype("<u4", copy=False).view(np.uint8)
+        ids, bounds = ids_of(rows.column("ids").chunk(0), kind)
+        raw = ids.astype("<u4").view(np.uint8)
         sizes, begins = np.diff(bounds).tolist(), bounds.tolist()
         first = key[0].as_py() * STRIDE
         out = [
             (doc_ids[d], start, length, zlib.crc32(raw[4 * (begins[d] + start) : 4 * (begins[d] + start + length)]), sizes[d], first + sequence, offset)
-            for d, start, length, sequence, offset in fill_windows(ids, bounds, window)
+            for d, start, length, sequence, offset in fill_windows(ids, bounds, window, corpus.value)
         ]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         return pa.table({n: pa.array(column, pa.int64()) for n, column in zip(names, zip(*out))})
 
-    dealt = texts.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("_shard").applyInArrow(pack_shard, SCHEMA)
+    return hashed.mapInArrow(deal, "doc_id long, ids binary, _shard int").groupBy("_shard").applyInArrow(pack_shard, SCHEMA)

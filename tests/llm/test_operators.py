@@ -440,3 +440,30 @@ def test_packing_joins_related_documents():
     for d, _, _, sequence, _ in packing.fill_windows(np.concatenate(docs), bounds, 500):
         topics.setdefault(sequence, []).append(d % 4)
     assert all(len(set(t)) == 1 for t in topics.values())
+
+
+def test_packing_brings_related_documents_together_over_many_shards(spark, monkeypatch):
+    rng = random.Random(16)
+    whole = sorted(t for t in tokens.prove_whole_tokens(tokens.spec_of(BPE)) if t.isalpha() and t.isascii())
+    rng.shuffle(whole)
+    topics, common = [whole[30 * k : 30 * k + 30] for k in range(40)], whole[1200:1400]
+    texts = [" ".join(rng.choices(topics[k % 40], k=60) + rng.choices(common, k=60)) for k in range(1600)]
+    size = sum(map(len, texts))
+    shares = []
+    for shards in (4, 40):
+        monkeypatch.setattr(packing, "SHARD_BYTES", size // shards)
+        windows = {}
+        for r in packing.pack(docs_of(spark, texts), BPE).collect():
+            windows.setdefault(r.sequence_id, set()).add(r.doc_id)
+        shares.append(np.mean([max(np.bincount([d % 40 for d in w])) / len(w) for w in windows.values()]))
+    assert min(shares) > 0.7, shares
+
+
+def test_packing_counts_terms_of_the_whole_corpus():
+    ids, bounds = np.array([5, 6, 5, 7], np.uint32), np.array([0, 2, 4])
+    df = np.zeros(8)
+    df[[5, 6, 7]] = 2, 500, 2
+    index = packing.Index(ids, bounds, packing.Corpus(df, 1000.0, 2000.0))
+    norm = 1 / (1 + packing.K1 * (1 - packing.B + packing.B * 2 / 2)) * (packing.K1 + 1)
+    idf = lambda n: np.log1p((1000 - n + 0.5) / (n + 0.5))
+    assert np.allclose(index.scores(ids[:2]), [norm * (idf(2) + idf(500)), norm * idf(2)], rtol=1e-5)
