@@ -467,3 +467,12 @@ def test_packing_counts_terms_of_the_whole_corpus():
     norm = 1 / (1 + packing.K1 * (1 - packing.B + packing.B * 2 / 2)) * (packing.K1 + 1)
     idf = lambda n: np.log1p((1000 - n + 0.5) / (n + 0.5))
     assert np.allclose(index.scores(ids[:2]), [norm * (idf(2) + idf(500)), norm * idf(2)], rtol=1e-5)
+
+
+def test_packing_asks_for_all_terms_of_a_seed():
+    # The seed shares none of its strongest terms, but its 17th one with document 1 only; document 2 would win a tie.
+    seed = np.repeat(np.arange(10, 40), 3)
+    docs = [np.append(seed, 50), np.array([50, 60, 61]), np.array([70, 71, 72])]
+    bounds = np.append(0, np.cumsum([len(d) for d in docs]))
+    order = [d for d, *_ in packing.fill_windows(np.concatenate(docs).astype(np.uint32), bounds, 1000)]
+    assert order == [0, 1, 2]
