@@ -89,6 +89,15 @@ def test_secret_structures_are_confirmed():
     assert not secrets.confirmed_spans(signed()[:-3] + ".")
 
 
+def test_secret_keys_after_an_equals_sign():
+    key = key_bytes(random.Random(3))
+    for value in (b64(key), base64.b64encode(key).decode()):
+        for before, after in (("private_key=", "\n"), ("export SIGNING_KEY=", ""), ("secret=", " "), ("https://example.com/?k=", "&x=1"), ("a==", ""), ("key = ", ""), ("key='", "'")):
+            text = before + value + after
+            assert (len(before), len(before) + len(value), "key") in secrets.confirmed_spans(text), before
+            assert value not in secrets.redact(text, secrets.in_order(secrets.base_spans(text) + secrets.confirmed_spans(text)))
+
+
 def test_secrets_over_odd_rows(spark):
     token = signed()
     rows = [(1, None, "a"), (1, None, "a"), (2, "", "b"), (3, f"é token = 'abcdef0123456789' {token}", "c"), (None, "x " * 200_000, "d"), (4, "no secrets", None)]
