@@ -25,10 +25,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near-duplicates."""
+    """Keeps the document with the smallest id, nulls last, of each class of near-duplicates."""
     limit_batches(spark)
-    classes = neardup.near_duplicates(docs).distinct()
-    return docs.join(classes.filter(F.col("doc_id") != F.col("class_id")).select("doc_id"), "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"])
+    kept = neardup.row_classes(docs).filter(F.col("row_id") == F.col("kept_row")).select("row_id").distinct()
+    return docs.withColumn("row_id", neardup.row_id()).join(kept, "row_id", "left_semi").dropDuplicates(["row_id"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,10 @@
 3. Verification. Groups are split into blocks of at most BLOCK members. In a block all pairs that are not yet
    linked are compared exactly; then the blocks of one group are compared pairwise, except for texts already
    linked to the leader. Only links that join parts are kept, so there are fewer of them than members.
-4. Classes are the connected components of the links; the class id is the smallest doc_id of the class.
+4. Classes are the connected components of the links; the class id is the smallest doc_id of the class, null if
+   all are null.
+
+Ids of rows here are hashes of doc_id and text, so that null and shared ids keep their texts apart.
 
 Defined results: texts without a word (null, empty) are classes of their own; texts of fewer than five words
 are one shingle; repeated rows share their class; an empty table gives an empty table. The probability
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreline.llm.common import written
@@ -255,9 +258,17 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id) of every row; needs doc_id (unique where texts differ) and text."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+def row_id() -> Column:
+    """An id of the row's doc_id and text; other columns don't count."""
+    ident = F.col("doc_id").cast("long")
+    return F.xxhash64(ident.isNull(), ident, F.col("text").isNull(), "text")
+
+
+def row_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_id, class_id, kept_row) of every row: the smallest doc_id of its class, nulls last, and that row's id."""
+    named = docs.select(F.col("doc_id").cast("long").alias("given"), row_id().alias("doc_id"), "text")
+    texts = named.select("doc_id", "text")
+    least = F.struct(F.col("given").isNull().alias("unnamed"), "given", F.col("doc_id").alias("row"))
     signed = written(texts.mapInArrow(sign, "doc_id long, print binary, bands array<long>"))
     prints = signed.groupBy("print").agg(F.min("doc_id").alias("rep"))
     reps = signed.groupBy("print").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("x.*")
@@ -284,7 +295,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crossed = pairs.join(texts.dropDuplicates(["doc_id"]), "doc_id").groupBy("leader", "low", "high").applyInArrow(link_blocks, "doc_id long, root long")
     edges = linked.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).union(crossed.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     roots = components(edges)
-    # Written, so that both sides of the next join are shuffled for it alone and a common text's rows can be split.
-    classes = written(prints.join(roots, F.col("rep") == F.col("id"), "left").select("print", F.coalesce("root", "rep").alias("class_id")))
-    of_text = signed.select("doc_id", "print").join(classes, "print").select("doc_id", "class_id").dropDuplicates(["doc_id"])
-    return texts.select("doc_id").join(of_text, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    # Written, so that both sides of the next joins are shuffled for them alone and a common text's or class' rows can be split.
+    of_print = written(prints.join(roots, F.col("rep") == F.col("id"), "left").select("print", F.coalesce("root", "rep").alias("root")))
+    of_row = written(signed.select("doc_id", "print").distinct().join(of_print, "print").select("doc_id", "root"))
+    rooted = written(named.select("given", "doc_id").join(of_row, "doc_id", "left").select("given", "doc_id", F.coalesce("root", "doc_id").alias("root")))
+    first = written(rooted.groupBy("root").agg(F.min(least).alias("least")))
+    return rooted.join(first, "root").select(F.col("given").alias("doc_id"), F.col("doc_id").alias("row_id"), F.col("least.given").alias("class_id"), F.col("least.row").alias("kept_row"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of every row; needs doc_id and text. Rows that share a doc_id can be of several classes."""
+    return row_classes(docs).select("doc_id", "class_id")

@@ -346,6 +346,16 @@ def test_near_duplicates_of_repeated_and_no_rows(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    rng = random.Random(17)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(None, a), (None, b), (None, b + " "), (5, c), (5, a), (7, c), (8, None), (8, ""), (None, None)]
+    got = {(r.doc_id, r.class_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, 5), (None, None), (5, 5), (7, 5), (8, 8)}
+    classes = neardup.row_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(classes) == len(rows) and len({r.kept_row for r in classes}) == 6
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (205, 204), (204, 203), (7, 7)]
     got = {r.id: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}

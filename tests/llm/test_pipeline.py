@@ -48,3 +48,12 @@ def test_each_stage_takes_effect(spark, corpus):
     assert text.text.endswith("[SECRET]'") and text.n_chars == len(text.text)
     packed = pipeline.run(spark, corpus).select("doc_id").distinct().count()
     assert packed == len(redacted)
+
+
+def test_dedup_keeps_a_row_of_each_class_whatever_the_ids(spark, corpus):
+    rng = random.Random(2)
+    a, b, c, d = (" ".join(f"word{rng.randrange(4000)}" for _ in range(60)) for _ in range(4))
+    rows = [(i, t, "en", "s", len(t)) for i, t in ((None, a), (None, b), (None, b), (3, c), (3, d), (4, d), (2, d))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.drop_near_duplicates(spark, docs, corpus)
+    assert kept.columns == COLUMNS and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, a), (None, b), (3, c), (2, d)], key=str)
