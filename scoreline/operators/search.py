@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,11 +12,11 @@ from scoreline.operators import scoreboard as sb
 from scoreline.sources.scratch import written
 
 
-def bisect_starts(intervals: DataFrame, board: DataFrame, max_gap: int = 36_000) -> DataFrame:
+def bisect_starts(intervals: DataFrame, board: DataFrame) -> DataFrame:
     """(video_id, lo, hi, start, player1, player2, approximate) of transitions in which a start is found.
 
-    max_gap bounds the rounds: the widest interval takes log2(max_gap / PRECISION). A round's result is written,
-    for it is read twice in the next one. Each round probes the middle of every interval wider than PRECISION. A 0:0 in a first game is kept, and the
+    Rounds go on until no interval is wider than PRECISION: the widest takes log2(width / PRECISION). A round's result
+    is written, for it is read twice in the next one. Each round probes the middle of every interval wider than PRECISION. A 0:0 in a first game is kept, and the
     search goes on before it; an early score is a fallback from which points count back in time.
     """
     state = score_flags(intervals.select("video_id", "lo", "hi", *sb.FIELDS).withColumn("success", F.lit(True)))
@@ -30,8 +28,8 @@ def bisect_starts(intervals: DataFrame, board: DataFrame, max_gap: int = 36_000)
     reach = state.select(F.col("video_id").alias("_v"), (F.col("lo") + min(sb.PROBE_OFFSETS) - 1).alias("_low"), (F.col("hi") + max(sb.PROBE_OFFSETS)).alias("_high"))
     inside = (F.col("video_id") == F.col("_v")) & F.col("sec").between(F.col("_low"), F.col("_high"))
     board = written(board.filter("success").join(reach, inside, "left_semi"))
-    for _ in range(max(1, math.ceil(math.log2(max_gap / sb.PRECISION)))):
-        open_ = F.col("b") - F.col("a") > sb.PRECISION
+    open_ = F.col("b") - F.col("a") > sb.PRECISION
+    while state.filter(open_).head(1):
         asked = state.withColumn("t", F.when(open_, (F.col("a") + F.col("b")) / 2))
         probed = score_flags(sb.probe_scoreboard(asked.filter("t IS NOT NULL"), board)).select("video_id", "t", F.struct("success", "actual_ts", "is_match_start", "is_early", "total_points", *sb.FIELDS).alias("r"))
         r = lambda c: F.col(f"r.{c}")
@@ -50,8 +48,6 @@ def bisect_starts(intervals: DataFrame, board: DataFrame, max_gap: int = 36_000)
             F.when(F.coalesce(start, F.lit(False)), F.struct(r("actual_ts").alias("ts"), r("player1").alias("player1"), r("player2").alias("player2"))).otherwise(F.col("best")).alias("best"),
         )
         state = written(state)
-        if not state.filter(open_).head(1):
-            break
     back = F.greatest(F.lit(0.0), F.col("early.ts") - F.col("early.points") * sb.SECONDS_PER_POINT)
     return state.filter("best IS NOT NULL OR early IS NOT NULL").select(
         "video_id", "lo", "hi", F.coalesce("best.ts", back).alias("start"), F.coalesce("best.player1", "early.player1").alias("player1"), F.coalesce("best.player2", "early.player2").alias("player2"), F.col("best").isNull().alias("approximate")

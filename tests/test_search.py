@@ -134,3 +134,12 @@ def test_short_gap_hides_a_change_and_is_reported(spark):
     assert sb.transitions(samples.filter("t <= 540")).count() == 1 - (540 - 360 < 300)
     starts = se.match_starts(board)
     assert [(r.player1, r.player2) for r in se.skipped_pairs(samples, starts).collect()] == [(r.player1, r.player2) for r in se.distinct_pairs(samples).collect() if (r.player1, r.player2) not in {(x.player1, x.player2) for x in starts.collect()}]
+
+
+def test_wide_intervals_are_searched_until_they_are_narrow(spark):
+    begin = 200_003
+    rows = [("v", 0, False, None, None, -1, -1, -1, -1)] + [("v", s, True, "A", "B", 0, 0, s > begin + 40, 0) for s in range(begin, begin + 400)]
+    board = spark.createDataFrame([(*r[:7], int(r[7]), r[8]) for r in rows], BOARD)
+    got = se.bisect_starts(sb.transitions(sb.coarse_scan(board)), board).collect()
+    assert [r.hi - r.lo > 40_960 for r in got] == [True]
+    assert not got[0].approximate and abs(got[0].start - begin) <= 10
