@@ -166,6 +166,20 @@ def fuzzy_pair_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["video_id", "t"]).select("video_id", "t", same_pair(F.col("player1"), F.col("player2"), F.col("q1"), F.col("q2")).alias("same"))
 
 
+#: SAME, of two samples that follow each other.
+NEXT = "(regexp_replace(a.player1, 'X$', '') = regexp_replace(b.player1, 'X$', '') AND a.player2 = b.player2) OR (regexp_replace(a.player1, 'X$', '') = b.player2 AND a.player2 = regexp_replace(b.player1, 'X$', ''))"
+
+
+@query(f"SELECT a.video_id, a.t, CAST({NEXT} AS BOOLEAN) AS same FROM (SELECT * FROM {{samples}} WHERE success) a JOIN (SELECT * FROM {{samples}} WHERE success) b ON a.video_id = b.video_id AND a.t + 180 = b.t")
+def fuzzy_pair_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all samples, those with noise in their names too; fuzzy_pair_match leaves them out."""
+    a = frame(spark, sf_dir, "samples").filter("success")
+    b = a.select("video_id", (F.col("t") - 180).alias("t"), F.col("player1").alias("q1"), F.col("player2").alias("q2"))
+    from scoreline.functions.similarity import same_pair
+
+    return a.join(b, ["video_id", "t"]).select("video_id", "t", same_pair(F.col("player1"), F.col("player2"), F.col("q1"), F.col("q2")).alias("same"))
+
+
 @query()
 def write_match_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     board = frame(spark, sf_dir, "board")

@@ -41,3 +41,15 @@ def test_query(spark, duck, name):
     order = sorted(range(len(columns)), key=columns.__getitem__)
     assert sorted(columns) == sorted(df.columns)
     assert got == sorted((tuple(plain(r[i]) for i in order) for r in found.fetchall()), key=repr)
+
+
+def test_fuzzy_pairs_cover_names_with_noise(spark):
+    from scoreline.plans.adapters import frame
+
+    seen = frame(spark, DATA, "samples").filter("success")
+    later = seen.selectExpr("video_id", "t - 180 AS t", "player1 AS q1")
+    pairs = seen.join(later, ["video_id", "t"])
+    noisy = pairs.filter("endswith(player1, 'X') OR endswith(q1, 'X')").select("video_id", "t")
+    got = QUERIES["fuzzy_pair_match_all"](spark, DATA)
+    assert got.count() == pairs.count() and noisy.count() > 0
+    assert got.join(noisy, ["video_id", "t"]).filter("same").count() > 0
