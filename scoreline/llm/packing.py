@@ -3,19 +3,20 @@
 1. Token ids of all documents are written once; document frequencies and the mean length count the whole corpus.
 2. Documents are dealt to shards of about SHARD_BYTES of text by lexical content: about PIVOTS documents a shard are
    pivots, related ones next to each other, in a tree of up to FAN branches a node. Each document goes to the pivot
-   with the largest cosine of its terms' weights; shards are runs of the order of pivots, cut where a sample says.
+   with the largest cosine of its terms' weights, as a random projection keeps it; shards are runs of the order of
+   pivots, cut where a sample says.
    Related documents thus stand in the same or in adjoining shards at any size; more documents of one pivot than fit
    a shard are split by hash.
 3. In each shard all terms of a seed give BM25 scores, with the corpus' statistics: the first unused document seeds a
    window, unused neighbours in order of score fill it greedily; the document that no longer fits is cut, and its
    rest opens the next window, whose neighbours it seeks. So every sequence but a shard's last one is exactly full.
 
-A shard's size doesn't depend on the corpus: the number of shards does, so memory is bounded by SHARD_BYTES
-and the longest document; the driver holds the
-pivots and SAMPLE keys.
+A shard's size doesn't depend on the corpus: the number of shards does, so memory is bounded by SHARD_BYTES and
+the longest document; the driver holds the pivots and SAMPLE keys. Rows that are equal in id and text are dealt out
+by their place in the input, so that many of them don't meet in one shard.
 
-Defined results: null and empty texts are the end token alone; repeated rows are packed each; an empty table
-gives an empty table. Ties of scores go to the document that comes last by (doc_id, token ids).
+Defined results: null and empty texts are the end token alone; repeated rows are packed each; null ids stay null; an
+empty table gives an empty table; other columns are ignored. Ties of scores go to the document that comes last by (doc_id, token ids).
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ SHARD_BYTES = 4 << 20
 K1, B = 1.2, 0.75
 #: Pivots for each shard, FAN at least in all; branches of a node of their tree, and its levels (10 bits of a key each).
 PIVOTS, FAN, LEVELS = 4, 512, 3
-#: Pairs of document and pivot that numpy handles at once.
-PAIRS = 1 << 18
+#: Dimensions in which documents and pivots are compared, and terms that numpy projects at once.
+DIM, STEP = 64, 1 << 12
 #: Rows, about, whose keys tell where shards are cut.
 SAMPLE = 1 << 17
 #: Shards per step of sequence_id: no shard has so many sequences.
@@ -70,32 +71,36 @@ class Corpus:
 
 
 class Index:
-    """BM25 weights of the terms of one shard's documents, document by document."""
+    """The inverted index of one shard: for each term the documents that hold it, with their BM25 weights."""
 
     def __init__(self, ids: np.ndarray, bounds: np.ndarray, corpus: Corpus | None = None):
         self.docs = np.arange(len(bounds) - 1)
-        doc, self.term, tf = distinct_terms(ids, bounds)
-        corpus = corpus or Corpus(np.bincount(self.term), len(self.docs), len(ids))
+        doc, term, tf = distinct_terms(ids, bounds)
+        corpus = corpus or Corpus(np.bincount(term), len(self.docs), len(ids))
         norm = (K1 * (1 - B + B * np.diff(bounds) / corpus.mean)).astype(np.float32)
-        self.weight = corpus.idf[self.term] * tf * np.float32(K1 + 1) / (tf + norm[doc])
-        self.sizes = np.bincount(doc, minlength=len(self.docs))
-        self.asked = np.zeros(len(corpus.idf), np.float32)
+        weight = corpus.idf[term] * tf * np.float32(K1 + 1) / (tf + norm[doc])
+        self.terms = len(corpus.idf)
+        self._hold(np.argsort(term, kind="stable"), doc.astype(np.intp), term, weight.astype(float))
+
+    def _hold(self, order: np.ndarray, owner: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        #: Postings by term; owner is a place in docs.
+        self.owner, self.term, self.weight = owner[order], term[order], weight[order]
+        self.bounds = np.append(0, np.bincount(self.term, minlength=self.terms).cumsum())
 
     def keep(self, unused: np.ndarray) -> None:
         """Forgets used documents once they are half of those held."""
         kept = unused[self.docs]
         if 2 * kept.sum() < len(kept):
-            entry = np.repeat(kept, self.sizes)
-            self.docs, self.sizes, self.term, self.weight = self.docs[kept], self.sizes[kept], self.term[entry], self.weight[entry]
+            place = kept.cumsum() - 1
+            self.docs = self.docs[kept]
+            self._hold(np.flatnonzero(kept[self.owner]), place[self.owner], self.term, self.weight)
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """Of the documents that are held, against all terms of these ids."""
-        if not len(self.docs):
-            return np.empty(0, np.float32)
-        self.asked[ids] = 1
-        out = np.add.reduceat(self.weight * self.asked[self.term], self.sizes.cumsum() - self.sizes)
-        self.asked[ids] = 0
-        return out
+        asked = np.unique(ids)
+        low, n = self.bounds[asked], self.bounds[asked + 1] - self.bounds[asked]
+        entry = np.arange(n.sum()) + np.repeat(low - n.cumsum() + n, n)
+        return np.bincount(self.owner.take(entry, mode="clip"), self.weight.take(entry, mode="clip"), len(self.docs))
 
 
 def fill_windows(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW, corpus: Corpus | None = None) -> Iterator[tuple[int, int, int, int, int]]:
@@ -143,82 +148,67 @@ def ids_of(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, (offsets - offsets[0]).astype(np.int64)
 
 
-def unit_vectors(ids: np.ndarray, bounds: np.ndarray, corpus: Corpus) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, weight) of each term of each document, in this order; each document's vector has length 1."""
-    doc, term, tf = distinct_terms(ids, bounds)
-    weight = corpus.idf[term] * tf / (tf + np.float32(K1))
-    length = np.sqrt(np.bincount(doc, weight * weight, len(bounds) - 1))
-    return doc, term, (weight / np.maximum(length, 1e-12)[doc]).astype(np.float32)
+def projection(corpus: Corpus) -> np.ndarray:
+    """For each term a random direction in DIM dimensions, as long as the term is telling. The same on every machine."""
+    table = np.random.default_rng(17).standard_normal((len(corpus.idf), DIM), np.float32)
+    return table * corpus.idf[:, None]
+
 
+def projected(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """One row of length 1 for each document: the sum of all its terms' directions, weighted by BM25's count weight.
 
-def part_of(vectors: tuple[np.ndarray, np.ndarray, np.ndarray], members: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The vectors of these of n documents, numbered in the order of members."""
-    place = np.full(n, -1)
-    place[members] = np.arange(len(members))
-    doc, term, weight = vectors
-    kept = place[doc] >= 0
-    doc, term, weight = place[doc[kept]], term[kept], weight[kept]
-    order = np.argsort(doc, kind="stable")
-    return doc[order], term[order], weight[order]
+    Cosines of rows are those of the documents' weighted terms, give or take 1 / sqrt(DIM).
+    """
+    doc, term, tf = distinct_terms(ids, bounds)
+    n = len(bounds) - 1
+    out, first = np.zeros((n, DIM), np.float32), np.searchsorted(doc, np.arange(n + 1))
+    a = 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(first, first[a] + STEP, "right")) - 1)
+        part = slice(first[a], first[b])
+        rows = table[term[part]] * (tf[part] / (tf[part] + np.float32(K1)))[:, None]
+        out[a:b] = np.add.reduceat(rows, first[a:b] - first[a])
+        a = b
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
 class Pivots:
     """A node of the tree: up to FAN pivots, each next to a related one, and nodes of the pivots closest to each."""
 
-    def __init__(self, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, terms: int, level: int = 1):
-        self.terms, self.size = terms, min(n, FAN)
-        self.hold(part_of(vectors, np.arange(self.size), n))
+    def __init__(self, rows: np.ndarray, level: int = 1):
+        heads = rows[:FAN]
         # A chain: after each pivot comes the closest one that is left.
-        alike, chain, left = self.cosines(part_of(vectors, np.arange(self.size), n), self.size), [0], np.ones(self.size, bool)
+        alike, chain, left = heads @ heads.T, [0], np.ones(len(heads), bool)
         left[0] = False
-        while len(chain) < self.size:
-            chain.append(int(np.argmax(np.where(left, alike[chain[-1]], -1))))
+        while len(chain) < len(heads):
+            chain.append(int(np.argmax(np.where(left, alike[chain[-1]], -2))))
             left[chain[-1]] = False
-        heads = np.array(chain)
-        self.hold(part_of(vectors, heads, n))
+        self.heads = heads[chain]
         self.under: dict[int, Pivots] = {}
-        if n > FAN and level < LEVELS:
-            rest = np.arange(FAN, n)
-            near = self.nearest(part_of(vectors, rest, n), len(rest))
+        if len(rows) > FAN and level < LEVELS:
+            rest = rows[FAN:]
+            near = self.nearest(rest)
             for k in np.unique(near).tolist():
-                members = np.append(heads[k], rest[near == k])
-                self.under[k] = Pivots(part_of(vectors, members, n), len(members), terms, level + 1)
-
-    def hold(self, vectors: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        doc, term, weight = vectors
-        order = np.argsort(term, kind="stable")
-        self.owner, self.weight = doc[order], weight[order]
-        self.bounds = np.append(0, np.bincount(term, minlength=self.terms).cumsum())
-
-    def cosines(self, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
-        doc, term, weight = vectors
-        low, size = self.bounds[term], self.bounds[term + 1] - self.bounds[term]
-        entry = np.arange(size.sum()) + np.repeat(low - size.cumsum() + size, size)
-        return np.bincount(np.repeat(doc * self.size, size) + self.owner[entry], np.repeat(weight, size) * self.weight[entry], n * self.size).reshape(n, self.size)
-
-    def nearest(self, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
-        """For each of n documents the pivot of the largest cosine."""
-        doc, term, weight = vectors
-        out, step = np.zeros(n, np.int64), max(1, PAIRS // self.size)
-        for k in range(0, n, step):
-            a, b = np.searchsorted(doc, (k, k + step))
-            out[k : k + step] = self.cosines((doc[a:b] - k, term[a:b], weight[a:b]), min(step, n - k)).argmax(axis=1)
-        return out
+                self.under[k] = Pivots(np.vstack([self.heads[k : k + 1], rest[near == k]]), level + 1)
+
+    def nearest(self, rows: np.ndarray) -> np.ndarray:
+        """For each row the pivot of the largest cosine."""
+        return np.concatenate([np.empty(0, np.int64), *((rows[k : k + 4096] @ self.heads.T).argmax(axis=1) for k in range(0, len(rows), 4096))])
 
-    def places(self, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, level: int = 1) -> np.ndarray:
-        """For each of n documents where its pivot stands in the order of all pivots."""
-        near = self.nearest(vectors, n)
+    def places(self, rows: np.ndarray, level: int = 1) -> np.ndarray:
+        """For each row where its pivot stands in the order of all pivots."""
+        near = self.nearest(rows)
         out = near << 10 * (LEVELS - level)
         for k in np.unique(near).tolist():
             if k in self.under:
                 members = np.flatnonzero(near == k)
-                out[members] += self.under[k].places(part_of(vectors, members, n), len(members), level + 1)
+                out[members] += self.under[k].places(rows[members], level + 1)
         return out
 
 
-def lexical_keys(ids: np.ndarray, bounds: np.ndarray, salt: np.ndarray, corpus: Corpus, pivots: Pivots) -> np.ndarray:
+def lexical_keys(ids: np.ndarray, bounds: np.ndarray, salt: np.ndarray, table: np.ndarray, pivots: Pivots) -> np.ndarray:
     """For each document the place of its pivot, then the salt, in one number that sorts like them."""
-    return pivots.places(unit_vectors(ids, bounds, corpus), len(bounds) - 1) << 32 | salt & 0xFFFFFFFF
+    return pivots.places(projected(ids, bounds, table)) << 32 | salt & 0xFFFFFFFF
 
 
 def shard_cuts(keys: np.ndarray, sizes: np.ndarray, shards: int) -> np.ndarray:
@@ -244,7 +234,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
             ids = ids.astype(kind)
             offsets = (bounds * ids.itemsize).astype(np.int32)
             raw = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("size"), raw], names=["doc_id", "size", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "size", "place")), raw], names=["doc_id", "size", "place", "ids"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(terms + 2)
@@ -255,10 +245,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
         return out
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    coded = written(texts.withColumn("size", (F.octet_length("text") + 1).cast("long")).mapInArrow(encode, "doc_id long, size long, ids binary"))
+    coded = written(texts.withColumns({"size": (F.octet_length("text") + 1).cast("long"), "place": F.monotonically_increasing_id()}).mapInArrow(encode, "doc_id long, size long, place long, ids binary"))
     counts = sum_over(coded.select("ids"), count, terms + 2, "<f8")
     corpus = spark.sparkContext.broadcast(Corpus(counts[:terms], counts[terms], counts[terms + 1]))
-    hashed = coded.withColumn("hash", F.xxhash64("doc_id", "ids"))
+    # The salt tells equal rows apart by where they stand in the written table.
+    hashed = coded.withColumns({"hash": F.xxhash64("doc_id", "ids"), "salt": F.pmod(F.xxhash64("doc_id", "ids", "place"), F.lit(1 << 32))})
     total = coded.agg(F.sum("size")).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
     one_in = lambda n: F.pmod("hash", F.lit(max(1, int(counts[terms]) // n))) == 0
@@ -266,13 +257,14 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
     if not len(chosen):
         chosen = pa.table({"ids": pa.array([np.array([END_ID], kind).tobytes()], pa.binary())})
     ids, bounds = ids_of(chosen.column("ids").chunk(0), kind)
-    pivots = spark.sparkContext.broadcast(Pivots(unit_vectors(ids, bounds, corpus.value), len(chosen), terms))
+    pivots = spark.sparkContext.broadcast(Pivots(projected(ids, bounds, projection(corpus.value))))
 
     def with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        table = projection(corpus.value)
         for batch in batches:
             if len(batch):
                 ids, bounds = ids_of(batch.column("ids"), kind)
-                yield batch, lexical_keys(ids, bounds, batch.column("hash").to_numpy() >> 20, corpus.value, pivots.value)
+                yield batch, lexical_keys(ids, bounds, batch.column("salt").to_numpy(), table, pivots.value)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, keys in with_keys(batches):
