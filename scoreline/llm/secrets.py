@@ -3,8 +3,9 @@
 Base kinds are patterns (assignments of long values to telling names, access ids, hex runs). On top of them,
 base64 and hex candidates are decoded and parsed before anything is reported: tag-length-value key encodings
 whose nested lengths must add up exactly, key files with length-prefixed fields, armoured keys whose body
-parses, and signed tokens whose header and payload are JSON and whose signature has the length that the
-header's algorithm asks for.
+parses, in the text or itself in base64, and signed tokens whose header and payload are JSON and whose signature has
+the length that the header's algorithm asks for. A wrapped key counts only if what it wraps parses as a key; of an
+encrypted one, which can't be looked into, the scheme and its parameters must parse.
 
 Defined results: null and empty texts have no secrets; each repeated row is scanned; an empty table gives an
 empty table; columns named like the results are replaced, all others stay. Spans are in code points, end
@@ -75,23 +76,60 @@ def read_tlv(data: bytes, at: int, end: int, depth: int = 0) -> list | None:
     return out
 
 
+def number(field: tuple) -> int | None:
+    """The value of an integer field; None where it isn't one in its shortest form, or negative."""
+    tag, raw = field
+    if tag != 2 or not raw or raw[0] & 0x80 or (len(raw) > 1 and raw[0] == 0 and not raw[1] & 0x80):
+        return None
+    return int.from_bytes(raw, "big")
+
+
+def is_scalar_key(fields: list) -> bool:
+    """An elliptic-curve key: version 1, a scalar, then at most the curve's name and the public point."""
+    tags = [t for t, _ in fields]
+    return len(fields) >= 2 and tags[:2] == [2, 4] and fields[0][1] == b"\1" and 16 <= len(fields[1][1]) <= 72 and tags[2:] in ([], [0xA0], [0xA1], [0xA0, 0xA1])
+
+
+def is_list_key(fields: list) -> bool:
+    """A key that is a list of six or nine whole numbers, the first of them its version."""
+    values = [number(f) for f in fields]
+    return len(fields) in (6, 9) and None not in values and values[0] in (0, 1) and values[1] >= 1 << 255 and min(values[2:]) > 0
+
+
+def is_inner_key(algorithm: list, octets: bytes) -> bool:
+    """What a wrapper's octets hold: a list of numbers, an elliptic-curve key, a bare number, or octets of a fixed size."""
+    if not algorithm or algorithm[0][0] != 6:
+        return False
+    top = read_tlv(octets, 0, len(octets))
+    if not top or len(top) != 1:
+        return False
+    tag, inner = top[0]
+    if tag == 0x30:
+        return is_list_key(inner) or is_scalar_key(inner)
+    if tag == 2:  # its parameters stand in the algorithm
+        return (number(top[0]) or 0) >= 1 << 127 and len(algorithm) == 2 and algorithm[1][0] == 0x30
+    return tag == 4 and len(inner) in (32, 56, 57) and len(algorithm) == 1
+
+
 def is_private_key(data: bytes) -> bool:
-    """A private key in its usual encodings: one sequence that fills the data, a small version, then key fields."""
+    """A private key in its usual encodings: one sequence that fills the data and, down to its last length, parses.
+
+    It is a list of numbers, an elliptic-curve key, a wrapper (version, algorithm, the key as octets, attributes) or
+    an encrypted wrapper (algorithm with parameters, octets).
+    """
     if len(data) < 24 or data[0] != 0x30:
         return False
     top = read_tlv(data, 0, len(data))
-    if not top or len(top) != 1 or len(top[0][1]) < 3 - (len(top[0][1]) == 2):
+    if not top or len(top) != 1:
         return False
     fields = top[0][1]
     tags = [t for t, _ in fields]
-    if tags[0] != 2 or fields[0][1] not in (b"\0", b"\1"):
-        return False
-    if tags[1:3] == [0x30, 4]:  # wrapped: algorithm, then the key as octets
-        algorithm = fields[1][1]
-        return bool(algorithm) and algorithm[0][0] == 6 and len(fields[2][1]) >= 16
-    if tags[1:2] == [4]:  # an elliptic-curve scalar
-        return fields[0][1] == b"\1" and 16 <= len(fields[1][1]) <= 72
-    return len(tags) in (6, 9) and set(tags) == {2} and len(fields[1][1]) >= 32  # a list of integers
+    if tags == [0x30, 4]:  # encrypted: a named scheme, its parameters, whole octets
+        scheme = fields[0][1]
+        return [t for t, _ in scheme] == [6, 0x30] and bool(scheme[1][1]) and len(fields[1][1]) >= 24
+    if tags[:3] == [2, 0x30, 4]:
+        return number(fields[0]) in (0, 1) and tags[3:] in ([], [0xA0], [0x81], [0xA1], [0xA0, 0x81], [0xA0, 0xA1]) and is_inner_key(fields[1][1], fields[2][1])
+    return is_scalar_key(fields) or is_list_key(fields)
 
 
 def is_key_file(data: bytes) -> bool:
@@ -99,22 +137,27 @@ def is_key_file(data: bytes) -> bool:
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
         return False
-    at, fields = len(magic), []
-    while at + 4 <= len(data) and len(fields) < 64:
-        if len(fields) == 3:
-            count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-            fields.append(count)
+    at, fields, count = len(magic), [], 0
+    while at + 4 <= len(data) and (len(fields) < 3 or len(fields) < 3 + count + 1):
+        size, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if len(fields) == 3 and not count:
+            count = size
             if not 1 <= count <= 16:
                 return False
             continue
-        size = int.from_bytes(data[at : at + 4], "big")
-        if size > len(data) - at - 4:
+        if size > len(data) - at:
             return False
-        fields.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
-        if len(fields) > 4 and len(fields) == 4 + fields[3] + 1:
-            return at == len(data)
-    return False
+        fields.append(data[at : at + size])
+        at += size
+    return len(fields) == 3 + count + 1 and count > 0 and at == len(data) and bool(fields[0]) and min(map(len, fields[3:])) > 0
+
+
+def armoured(text: str) -> Iterator[tuple[int, int]]:
+    """Where armoured keys stand whose body parses."""
+    for m in _ARMOUR.finditer(text):
+        data = decode64("".join(m[2].split()))
+        if data and (is_private_key(data) or is_key_file(data)):
+            yield m.start(), m.end()
 
 
 def is_signed_token(text: str) -> bool:
@@ -153,14 +196,13 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             out.append((m.start(), m.end(), "key"))
         elif data and is_key_file(data):
             out.append((m.start(), m.end(), "keyfile"))
+        elif data and b"-----BEGIN " in data and any(armoured(data.decode("latin-1"))):
+            out.append((m.start(), m.end(), "armour"))
     for m in _LONG_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and (is_private_key(data := bytes.fromhex(m[0])) or is_key_file(data)):
             out.append((m.start(), m.end(), "key"))
     if "-----BEGIN" in text:
-        for m in _ARMOUR.finditer(text):
-            data = decode64("".join(m[2].split()))
-            if data and (is_private_key(data) or is_key_file(data)):
-                out.append((m.start(), m.end(), "armour"))
+        out += [(a, b, "armour") for a, b in armoured(text)]
     return out
 
 
