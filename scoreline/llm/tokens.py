@@ -4,9 +4,10 @@ Offline, ``prove_whole_tokens`` runs every vocabulary string through the library
 back as the one token they name. Over the corpus, texts are cut into pre-tokens; those in the proven table
 count as one token directly, and only the rest go through the library's merges (kept per worker).
 
-The pre-token pattern is exact for texts of Latin-1 characters, where case folding, white space and letter
-classes are the same in this module and the library. Other texts are cut at plain spaces and each piece is
-given to the library; texts that may hold a special string go to the library whole.
+The pre-token pattern is exact for stretches of Latin-1 characters, where case folding, white space and letter
+classes are the same in this module and the library. A piece between plain spaces that holds any other character
+counts directly if the table proves it as it stands, and is given to the library if not; what stands before and
+after it keeps the shortcut. Texts that may hold a special string go to the library whole.
 
 Defined results: null and empty texts have 0 tokens and 0 bytes; repeated rows are counted each; an empty
 table gives an empty table; columns named like the results are replaced, all others stay.
@@ -31,7 +32,17 @@ from scoreline.llm.common import extended
 CACHE = 400_000
 
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t-\r\x85\xa00-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
-_GAPS = re.compile("[ \t\n\r]+")
+_GAP = re.compile("[ \t\n\r]|$")
+_BEYOND_LATIN1 = re.compile("[^\x00-\xff]")
+
+
+def odd_pieces(text: str) -> Iterator[tuple[int, int]]:
+    """Where the pieces between plain spaces stand that aren't wholly Latin-1."""
+    end = 0
+    while found := _BEYOND_LATIN1.search(text, end):
+        start = max(end, 1 + max(text.rfind(gap, end, found.start()) for gap in " \t\n\r"))
+        end = _GAP.search(text, found.end()).start()
+        yield start, end
 
 
 def load(spec: str) -> Tokenizer:
@@ -80,7 +91,7 @@ class Encoder(dict):
     def reset(self) -> None:
         self.clear()
         self.update(zip(self.whole, range(len(self.whole))))
-        self.by_text: dict[str, int] = {}
+        self.by_text: dict[str, int] = dict(self)
         self.flat = array("I", self.whole.values())
         self.starts = array("I", range(len(self.whole)))
         self.sizes = array("I", [1]) * len(self.whole)
@@ -109,12 +120,13 @@ class Encoder(dict):
         """Rows of the parts that the library encodes one by one as it does the whole text."""
         if any(s in text for s in self.special):
             return np.array([self.by_library(text)], np.int64)
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return np.array([self.by_library(p) for p in _GAPS.split(text) if p], np.int64)
-        pieces = _PIECE.findall(text.lower())
-        return np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        out, at = [], 0
+        for start, end in odd_pieces(text):
+            out += map(self.__getitem__, _PIECE.findall(text[at:start].lower()))
+            out.append(self.by_library(text[start:end]))
+            at = end
+        out += map(self.__getitem__, _PIECE.findall((text[at:] if at else text).lower()))
+        return np.array(out, np.int64)
 
     def trim(self) -> None:
         """Between batches: forgets what was merged once it is much."""
