@@ -1,9 +1,14 @@
 """Preference formatting of conversations, with DataFrame functions only.
 
-``preference_pairs`` takes two tables of turns, chosen and rejected, that share a pair id. The longest common
-prefix of turns (same role and text) is rendered once as the prompt; what is left on either side is its
-completion, with the spans of the completion's characters that a model should learn: the text and end mark of
-assistant turns.
+``preference_pairs`` takes two tables of turns, chosen and rejected, that share a pair id; ``answer_pairs`` makes
+both sides from one table of conversations. The longest common prefix of turns (same role and text) is rendered
+once as the prompt; what is left on either side is its completion, with the spans of the completion's characters
+that a model should learn: the text and end mark of assistant turns.
+
+In ``answer_pairs`` the chosen side is a conversation, and the rejected side is that conversation up to its last
+assistant turn, which the last assistant turn of the conversation with the next id replaces: a real answer, but to
+another question. A conversation without an assistant turn is rejected whole, and so is one with the answer left out
+if the next id has none.
 
 If one side is a prefix of the other, its completion is empty; the prompt is then the whole of it. Turns are
 ordered by turn, role and text, so repeated turns keep a fixed order, and are all kept.
@@ -47,7 +52,23 @@ def learned_spans(turns: Column) -> Column:
 
 def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair: Column) -> DataFrame:
     """(pair_id, common_turns, prompt, chosen, chosen_spans, rejected, rejected_spans) of every pair id."""
-    both = turns_of(chosen, pair, "c").join(turns_of(rejected, pair, "r"), "pair_id", "full")
+    return formatted(turns_of(chosen, pair, "c").join(turns_of(rejected, pair, "r"), "pair_id", "full"))
+
+
+def answer_pairs(turns: DataFrame) -> DataFrame:
+    """The columns of preference_pairs, one row for each conversation of turns (conv_id, turn, role, text)."""
+    sides = turns_of(turns, F.col("conv_id").cast("long"), "c")
+    # The place of the last assistant turn, from 1; 0 where there is none.
+    last = F.array_max(F.transform("c", lambda t, i: F.when(t.role == "assistant", i + 1).otherwise(0)))
+    placed = sides.withColumn("last", last)
+    answers = placed.filter("last > 0").select((F.col("pair_id") - 1).alias("pair_id"), F.element_at("c", F.col("last")).alias("answer"))
+    kept = F.when(F.col("last") > 0, F.slice("c", F.lit(1), F.greatest(F.col("last") - 1, F.lit(0)))).otherwise(F.col("c"))
+    answer = F.filter(F.array("answer"), lambda t: t.isNotNull())
+    return formatted(placed.join(answers, "pair_id", "left").select("pair_id", "c", F.concat(kept, answer).alias("r")))
+
+
+def formatted(both: DataFrame) -> DataFrame:
+    """Pairs (pair_id, c, r) of turns in order, cut after their common prefix and rendered."""
     same = F.zip_with("c", "r", lambda a, b: (a.role == b.role) & (a.text == b.text))
     # zip_with pads the shorter side with nulls, which end the common prefix too.
     differs = F.array_position(F.transform(same, lambda s: F.coalesce(s, F.lit(False))), F.lit(False))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from scoreline.sources.scratch import written  # noqa: F401
+
 #: Arrow batches to Python hold at most so many rows and bytes; one longer row is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -26,24 +26,6 @@ def limit_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="scoreline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scoreline-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The frame's schema and these columns after it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

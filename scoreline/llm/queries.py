@@ -48,10 +48,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2n (chosen) and 2n + 1 (rejected) are the pair n."""
-    turns = table(spark, sf_dir, "conversations")
-    even = F.pmod("conv_id", F.lit(2)) == 0
-    pairs = chat.preference_pairs(turns.filter(even), turns.filter(~even), F.floor(F.col("conv_id") / 2))
+    """Each conversation against itself with the next conversation's last answer; see chat.answer_pairs."""
+    pairs = chat.answer_pairs(table(spark, sf_dir, "conversations"))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.start, s.end)), ",")
     return pairs.withColumns({"chosen_spans": spans("chosen_spans"), "rejected_spans": spans("rejected_spans")})
 
@@ -80,8 +78,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shards.shard_rows(docs, 8).drop("text")
+    return shards.shard_rows(table(spark, sf_dir, "documents"), 8, keep=["doc_id"])
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,35 +127,28 @@ FROM cut c LEFT JOIN fit f ON c.page_id = f.page_id
 """
 
 ORACLE["op4_chat_formatting"] = r"""
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+WITH own AS (
+  SELECT conv_id AS pair_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
   FROM conversations WHERE conv_id IS NOT NULL),
-k AS (
-  SELECT pair_id, n, max(side) AS last_side, min(side) AS first_side,
-         bool_and(count_distinct_role = 1) AS same
-  FROM (SELECT pair_id, n, side, count(DISTINCT struct_pack(r := role, x := text)) OVER (PARTITION BY pair_id, n) AS count_distinct_role FROM t) u
-  GROUP BY pair_id, n),
-p AS (
-  SELECT pair_id, CAST(coalesce(min(n) FILTER (NOT (same AND first_side = 0 AND last_side = 1)) - 1, max(n)) AS INTEGER) AS common_turns
-  FROM k GROUP BY pair_id),
+ends AS (SELECT pair_id, max(n) FILTER (role = 'assistant') AS last FROM own GROUP BY pair_id),
+answers AS (SELECT pair_id - 1 AS pair_id, role, text FROM own JOIN ends USING (pair_id) WHERE n = last),
+t AS (
+  SELECT pair_id, 0 AS side, role, text, n FROM own
+  UNION ALL SELECT pair_id, 1, role, text, n FROM own JOIN ends USING (pair_id) WHERE last IS NULL OR n < last
+  UNION ALL SELECT pair_id, 1, a.role, a.text, coalesce(e.last, (SELECT max(n) + 1 FROM own o WHERE o.pair_id = a.pair_id)) FROM answers a JOIN ends e USING (pair_id)),
+k AS (SELECT pair_id, n, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same FROM t GROUP BY pair_id, n),
+p AS (SELECT pair_id, CAST(coalesce(min(n) FILTER (NOT same) - 1, max(n)) AS INTEGER) AS common_turns FROM k GROUP BY pair_id),
 m AS (
   SELECT t.pair_id, side, n, role, text, common_turns, n <= common_turns AS shared,
          '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown
   FROM t JOIN p ON t.pair_id = p.pair_id),
-w AS (
-  SELECT *, sum(length(shown)) OVER (PARTITION BY pair_id, side, shared ORDER BY n) AS stop FROM m),
-o AS (
-  SELECT pair_id, any_value(common_turns) AS common_turns,
-         coalesce(string_agg(shown, '' ORDER BY n) FILTER (shared AND side = 0), '') AS prompt,
-         string_agg(shown, '' ORDER BY n) FILTER (NOT shared AND side = 0) AS chosen,
-         string_agg((stop - length(text) - 11) || ':' || stop, ',' ORDER BY n) FILTER (NOT shared AND side = 0 AND role = 'assistant') AS chosen_spans,
-         string_agg(shown, '' ORDER BY n) FILTER (NOT shared AND side = 1) AS rejected,
-         string_agg((stop - length(text) - 11) || ':' || stop, ',' ORDER BY n) FILTER (NOT shared AND side = 1 AND role = 'assistant') AS rejected_spans,
-         bool_or(side = 0) AS has_c, bool_or(side = 1) AS has_r
-  FROM w GROUP BY pair_id)
-SELECT pair_id, common_turns, prompt,
-       CASE WHEN has_c THEN coalesce(chosen, '') END AS chosen, CASE WHEN has_c THEN coalesce(chosen_spans, '') END AS chosen_spans,
-       CASE WHEN has_r THEN coalesce(rejected, '') END AS rejected, CASE WHEN has_r THEN coalesce(rejected_spans, '') END AS rejected_spans
-FROM o
+w AS (SELECT *, sum(length(shown)) OVER (PARTITION BY pair_id, side, shared ORDER BY n) AS stop FROM m)
+SELECT pair_id, any_value(common_turns) AS common_turns,
+       coalesce(string_agg(shown, '' ORDER BY n) FILTER (shared AND side = 0), '') AS prompt,
+       coalesce(string_agg(shown, '' ORDER BY n) FILTER (NOT shared AND side = 0), '') AS chosen,
+       coalesce(string_agg((stop - length(text) - 11) || ':' || stop, ',' ORDER BY n) FILTER (NOT shared AND side = 0 AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg(shown, '' ORDER BY n) FILTER (NOT shared AND side = 1), '') AS rejected,
+       coalesce(string_agg((stop - length(text) - 11) || ':' || stop, ',' ORDER BY n) FILTER (NOT shared AND side = 1 AND role = 'assistant'), '') AS rejected_spans
+FROM w GROUP BY pair_id
 """

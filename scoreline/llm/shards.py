@@ -1,83 +1,123 @@
 """Sharding: longest-processing-time scheduling of groups that must stay together.
 
-Rows with equal texts form a group; a group's size is the sum of its rows' sizes. Items are sorted by size,
-largest first, and each goes to the least-loaded shard, taken from a heap. A group of at least 1/FINE of all
-bytes is an item of its own, so at most FINE such items exist; all others are gathered by hash into FINE
-bundles. Thus the heap sees at most 2 * FINE items however large the corpus is, and two shards differ by no
-more than the smallest items that are dealt last.
+Rows with equal texts form a group; a group's size is the sum of its rows' sizes. Groups are sorted by size, largest
+first, and each goes to the least-loaded shard, taken from a heap.
 
-Rows never meet in one task: group sizes are pre-aggregated, the plan is a broadcast table of bounded size,
-and slots come from counts of small buckets, added up, plus the row's number in its bucket.
+Groups of one size are all alike to this law, so the driver needs only how many groups each size has: sizes that
+differ and add up to no more than B bytes are no more than sqrt(2 B) many, about 250,000 for 30 GB, whatever the
+number of groups. For a size with many groups the heap's choices are counted without making them one by one. A group
+then takes the shard of its place among the groups of its size.
+
+Rows never meet in one task: group sizes are pre-aggregated; groups of one size are numbered in buckets of about
+BUCKET, dealt by hash; rows are numbered in the parts in which they are written, so that equal rows need not meet.
 
 Defined results: null texts have size 1, checksum 0 and one group of their own; rows that are equal in all
-columns keep one slot each; an empty table gives an empty table; other columns stay, clashing names are
-replaced.
+columns keep one slot each; an empty table gives an empty table; columns that are named like the results are
+replaced, all others stay, whatever their names. Shards are the same in each run, slots needn't be.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bundles of small groups; also the bound on groups that are scheduled on their own.
-FINE = 1 << 15
-#: Buckets in which the rows of one shard are numbered.
-BUCKETS = 1 << 12
+from scoreline.llm.common import written
+
+#: Groups of one size that are numbered together.
+BUCKET = 1 << 16
+#: Sizes with more groups than this for each shard are counted, not dealt one by one.
+ONE_BY_ONE = 64
+#: A plan with more sizes than this is joined, not broadcast.
+BROADCAST_SIZES = 1 << 17
+RESULTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def dealt_counts(loads: list[int], size: int, groups: int) -> list[int]:
+    """How many of these groups of one size each shard gets, if each goes to the least-loaded shard, the first of equal ones."""
+    # Shard s takes its groups at loads[s], loads[s] + size, ...: the smallest of all these loads are used.
+    below = lambda limit: [max(0, -(-(limit - load) // size)) for load in loads]
+    low, high = min(loads), max(loads) + size * (groups + 1)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(below(middle)) <= groups else (low, middle)
+    counts = below(low)
+    for s, load in enumerate(loads):
+        if sum(counts) < groups and load + counts[s] * size == low:
+            counts[s] += 1
+    return counts
 
 
-def longest_first(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """items: (size, id). id to shard, by a heap of (load, shard)."""
+def longest_first(sizes: list[tuple[int, int]], shards: int) -> dict[int, list[int]]:
+    """sizes: (size, groups). For each size the number of groups up to and with each shard, by a heap of (load, shard)."""
     heap = [(0, s) for s in range(shards)]
     out = {}
-    for size, ident in sorted(items, key=lambda x: (-x[0], x[1])):
-        load, shard = heap[0]
-        out[ident] = shard
-        heapq.heapreplace(heap, (load + size, shard))
+    for size, groups in sorted(sizes, reverse=True):
+        counts = [0] * shards
+        if groups <= ONE_BY_ONE * shards:
+            for _ in range(groups):
+                load, s = heap[0]
+                counts[s] += 1
+                heapq.heapreplace(heap, (load + size, s))
+        else:
+            loads = [load for load, _ in sorted(heap, key=lambda x: x[1])]
+            counts = dealt_counts(loads, size, groups)
+            heap = [(load + size * n, s) for s, (load, n) in enumerate(zip(loads, counts))]
+            heapq.heapify(heap)
+        out[size] = np.cumsum(counts).tolist()
     return out
 
 
-def shard_rows(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """docs with size, text_crc32, law, shard, slot and grown_shard; needs doc_id and text."""
+def shard_rows(docs: DataFrame, shards: int = 8, keep: list[str] | None = None) -> DataFrame:
+    """docs with size, text_crc32, law, shard, slot and grown_shard; needs doc_id and text.
+
+    keep: which columns of docs to return besides, by default all; those left out aren't written or shuffled.
+    """
     spark = docs.sparkSession
-    names = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    rows = docs.drop(*names).withColumns(
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in RESULTS]
+    rows = written(
+        docs.select(
+            F.struct(F.lit(0).alias("_"), *kept).alias("row"),
+            (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+            F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("crc"),
+            F.xxhash64(F.col("text").isNull(), "text").alias("group"),
+        )
+    )
+    groups = written(rows.groupBy("group").agg(F.sum("size").alias("bytes")))
+    sizes = [(r["bytes"], r["n"]) for r in groups.groupBy("bytes").agg(F.count("*").alias("n")).collect()]  # sqrt(2 * all bytes) rows at most
+    plan = longest_first(sizes, shards)
+    table = pa.table(
         {
-            "size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"),
-            "text_crc32": F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long"),
-            "_group": F.xxhash64(F.col("text").isNull(), "text"),
+            "bytes": pa.array([s for s, _ in sizes], pa.int64()),
+            "buckets": pa.array([-(-n // BUCKET) for _, n in sizes], pa.int64()),
+            "upto": pa.array([plan[s] for s, _ in sizes], pa.list_(pa.int64())),
         }
     )
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes"))
-    bundle = F.pmod("_group", F.lit(FINE))
-    # The bundles' total is exact, so the groups are read once more only for those at or over 1/FINE of it.
-    totals = groups.groupBy(bundle.alias("_item")).agg(F.sum("_bytes").alias("_bytes"))
-    sizes = {r["_item"]: r["_bytes"] for r in totals.collect()}  # at most FINE rows
-    least = max(2, -(-sum(sizes.values()) // FINE))
-    large = [(r["_bytes"], r["_group"]) for r in groups.filter(F.col("_bytes") >= least).collect()]  # at most FINE rows
-    for size, group in large:
-        sizes[group % FINE] -= size
-    # Ids of groups and bundles are kept apart by sign of the kind flag in the plan's rows.
-    items = [(size, i) for i, (size, *_) in enumerate(large)] + [(s, len(large) + b) for b, s in sizes.items() if s]
-    plan = longest_first(items, shards)
-    of_group = spark.createDataFrame([(g, plan[i]) for i, (_, g) in enumerate(large)], "_group long, _alone int")
-    of_bundle = spark.createDataFrame([(b, plan[len(large) + b]) for b, s in sizes.items() if s], "_item long, _bundled int")
-    dealt = (
-        rows.withColumn("_item", bundle)
-        .join(F.broadcast(of_group), "_group", "left")
-        .join(F.broadcast(of_bundle), "_item", "left")
-        .withColumn("shard", F.coalesce("_alone", "_bundled"))
-        .withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BUCKETS)).cast("int"))
-        .drop("_group", "_item", "_alone", "_bundled")
-    )
-    counts = dealt.groupBy("shard", "_bucket").count()  # at most shards * BUCKETS rows
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32")
-    return (
-        dealt.withColumn("slot", F.row_number().over(inside).cast("long") - 1)
-        .join(F.broadcast(offsets), ["shard", "_bucket"])
-        .withColumns({"slot": F.col("slot") + F.col("_offset"), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
-        .select(*docs.drop(*names).columns, *names)
-    )
+    of_size = spark.createDataFrame(table) if sizes else spark.createDataFrame([], "bytes long, buckets long, upto array<long>")
+    of_size = F.broadcast(of_size) if len(sizes) <= BROADCAST_SIZES else written(of_size)
+    placed = written(groups.join(of_size, "bytes").withColumn("bucket", F.pmod("group", "buckets")))
+    # Groups before a bucket; sizes of one bucket need no offset.
+    counts = placed.filter("buckets > 1").groupBy("bytes", "bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("bytes").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("bytes", "bucket", before.alias("first"))
+    number = F.row_number().over(Window.partitionBy("bytes", "bucket").orderBy("group"))
+    numbered = placed.withColumn("n", number).join(offsets, ["bytes", "bucket"], "left").withColumn("n", F.col("n") + F.coalesce("first", F.lit(0)))
+    of_group = written(numbered.select("group", F.size(F.filter("upto", lambda last: last < F.col("n"))).alias("shard")))
+    # Each row's part and its place there are written with it, so that counts and slots speak of the same parts.
+    dealt = written(rows.join(of_group, "group").select("row", "size", "crc", "shard", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
+    parts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy("place"))
+    slots = dealt.withColumn("inside", inside).join(parts.select("shard", "part", first.alias("first")), ["shard", "part"])
+    results = {
+        "size": F.col("size"),
+        "text_crc32": F.col("crc"),
+        "law": F.lit("bytes"),
+        "shard": F.col("shard"),
+        "slot": F.col("first") + F.col("inside") - 1,
+        "grown_shard": F.lit(None).cast("int"),
+    }
+    return slots.select(*[F.col("row")[c].alias(c) for c in kept], *[column.alias(name) for name, column in results.items()])
