@@ -11,8 +11,10 @@ Words are folded to lower case; words in capitals, numbers, and words that were
 each; runs of signs are words of their own. Labels, languages, sources and ids are never inputs.
 
 Defined results: null and empty texts get the score of a document without words; labels that are null, or of
-documents that are missing, are left out; the first of several labels of one id by value counts; without both
-labels 0 and 1 the fit is refused; columns named like the results are replaced, all others stay.
+documents that are missing, are left out; the first of several labels of one id by value counts; rows with a null
+or repeated id are scored each, and a null id is not held out. Without both labels 0 and 1 there is nothing to tell
+apart: the network is then not informed, and every score is the same, (ones + 1) / (labels + 2), so 0.5 without any
+label. An empty table gives an empty table; columns named like the results are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -126,6 +128,8 @@ class Network:
     w2: np.ndarray
     b2: float
     temperature: float = 1.0
+    #: Whether it was fitted on labels of both kinds.
+    informed: bool = True
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(((x - self.mean) / self.scale) @ self.w1 + self.b1) @ self.w2 + self.b2
@@ -137,7 +141,9 @@ class Network:
 def fit_network(x: np.ndarray, y: np.ndarray, steps: int = 1500) -> Network:
     """By Adam on batches of 512 with weight decay; one row in five only sets the temperature."""
     if len(np.unique(y)) < 2:
-        raise ValueError("labels of both kinds are needed")
+        width = x.shape[1]
+        prior = (y.sum() + 1) / (len(y) + 2)
+        return Network(np.zeros(width), np.ones(width), np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(prior / (1 - prior))), informed=False)
     rng = np.random.default_rng(5)
     aside = rng.random(len(y)) < 0.2
     if len(np.unique(y[aside])) < 2 or len(np.unique(y[~aside])) < 2:
@@ -174,8 +180,8 @@ def fit_network(x: np.ndarray, y: np.ndarray, steps: int = 1500) -> Network:
 
 
 def is_held_out(doc_id: Column) -> Column:
-    """Whether a row's label stays out of every fit."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+    """Whether a row's label stays out of every fit; not so for a null id."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
@@ -206,7 +212,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network
         .collect()
     )
     x = np.array([np.frombuffer(r["x"], "<f4") for r in rows], float).reshape(-1, DIM)
-    return vectors, fit_network(x, np.array([r["label"] for r in rows]))
+    return vectors, fit_network(x, np.array([r["label"] for r in rows], int))
 
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
