@@ -1,22 +1,28 @@
 """Approximate nearest neighbours by vantage-point trees, one per shard.
 
-Vectors are dealt by hash to shards of about SHARD_ROWS rows; each shard holds a tree whose nodes split their
-vectors at the median distance from a vantage point, down to leaves of LEAF vectors. A query visits the nearer
-side first and prunes the other where the triangle inequality rules it out: with best distance t so far, the
-side is skipped if its distance bound exceeds factor * t. Factor 1 restores exact search; smaller factors
-prune more and may miss.
+1. Trees. Vectors are dealt by hash to shards of about SHARD_ROWS rows. Each shard's tree splits its vectors at the
+   median distance from a vantage point, down to leaves of LEAF vectors; it is built once and written as one row.
+2. Search. Queries are taken in blocks of QUERY_ROWS, which are broadcast; tasks go over the written trees. A block
+   first meets the leaf that each of its queries falls into, then walks the tree once: the queries that still need a
+   side go on to it. With distance t of a query's k-th neighbour so far, a side is pruned for it if the triangle
+   inequality puts the side's vectors farther than factor * t. Factor 1 restores exact search; smaller factors prune
+   more and may miss. What a task has found in one tree prunes the next.
+3. The k best of each task are merged by rank.
 
-Queries meet every shard in blocks of QUERY_ROWS, so a task holds one shard and one block; neighbours of a
-query are merged by rank. Equal vectors are kept once in a tree, with the smallest ids that can still count.
+So vectors are shuffled once, queries never, and a task holds one tree, one block and that block's k best.
+
+Distances in leaves come from one matrix product, which decides only what can't matter; those that can are
+calculated anew, vector by vector, in double precision.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, as query or
 candidate; fewer candidates give fewer rows; ties go to the smaller id; vectors of another length than the
-query's are no candidates; rows that repeat an id are one candidate each, and a query's own id is none.
+query's are no candidates; rows that are no queries' own and repeat an id are one candidate each; all rows of a
+query's id are its own and none of its candidates; a query that is repeated with the same vector is answered once,
+with different vectors once for each; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -25,61 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS, QUERY_ROWS, LEAF = 16_384, 2_048, 64
-
+from scoreline.llm.common import written
 
-class Tree:
-    """A vantage-point tree over distinct vectors of one length."""
-
-    def __init__(self, vectors: np.ndarray, keep: int, ids: np.ndarray):
-        """keep: so many of the smallest ids of equal vectors can be among a query's neighbours."""
-        order = np.argsort(ids, kind="stable")
-        self.points, inverse = np.unique(vectors[order], axis=0, return_inverse=True)
-        self.ids: list[list[int]] = [[] for _ in self.points]
-        for ident, at in zip(ids[order].tolist(), inverse.ravel().tolist()):
-            if len(self.ids[at]) < keep:
-                self.ids[at].append(ident)
-        self.rng = np.random.default_rng(3)
-        self.root = self._node(np.arange(len(self.points)))
-
-    def _node(self, rows: np.ndarray):
-        if len(rows) <= LEAF:
-            return rows
-        vantage = int(rows[self.rng.integers(len(rows))])
-        away = distances(self.points[rows], self.points[vantage])
-        order = np.argsort(away, kind="stable")
-        half = len(rows) // 2
-        near, far = rows[order[:half]], rows[order[half:]]
-        # The shells of both sides: any point's distance from the vantage point lies within its side's.
-        return vantage, (away[order[0]], away[order[half - 1]]), (away[order[half]], away[order[-1]]), self._node(near), self._node(far)
-
-    def nearest(self, query: np.ndarray, own: int, k: int, factor: float) -> list[tuple[float, int]]:
-        """(distance, id) of up to k neighbours, nearest first."""
-        best: list[tuple[float, int]] = []  # a heap of (-distance, -id)
-        queue: list[tuple[float, int, object]] = [(0.0, 0, self.root)]
-        count = 0
-        while queue:
-            bound, _, node = heapq.heappop(queue)
-            if len(best) == k and bound > -best[0][0] * factor:
-                break
-            if isinstance(node, np.ndarray):
-                for away, row in zip(distances(self.points[node], query).tolist(), node.tolist()):
-                    if len(best) < k or away <= -best[0][0]:
-                        for ident in self.ids[row]:
-                            if ident == own:
-                                continue
-                            entry = (-away, -ident)
-                            if len(best) < k:
-                                heapq.heappush(best, entry)
-                            elif entry > best[0]:
-                                heapq.heapreplace(best, entry)
-                continue
-            vantage, *shells, near, far = node
-            away = float(distances(self.points[vantage : vantage + 1], query)[0])
-            for (low, high), side in zip(shells, (near, far)):
-                count += 1
-                heapq.heappush(queue, (max(bound, low - away, away - high), count, side))
-        return sorted((-d, -i) for d, i in best)
+SHARD_ROWS, QUERY_ROWS, LEAF = 16_384, 32_768, 256
+#: Shards and blocks hold fewer rows where vectors are long.
+SHARD_BYTES, QUERY_BYTES = 32 << 20, 32 << 20
+#: Pairs of query and vector that numpy handles at once.
+PAIRS = 1 << 20
+#: Columns of a written tree.
+TREE = ("points", "ids", "starts", "nodes", "vantages")
 
 
 def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -88,41 +48,196 @@ def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.sqrt((gap * gap).sum(axis=1))
 
 
+class Tree:
+    """A vantage-point tree over distinct vectors of one length; the points of a node stand side by side.
+
+    nodes: for each node the first and last point, the vantage point's row in vantages, the nearest and farthest
+    distance of either side from it, and the nodes of both sides; leaves have -1 for the latter.
+    """
+
+    def __init__(self, points: np.ndarray, ids: np.ndarray, starts: np.ndarray, nodes: np.ndarray, vantages: np.ndarray):
+        self.points, self.ids, self.starts, self.nodes, self.vantages = points, ids, starts, nodes, vantages
+        self.norms = (points * points).sum(axis=1)
+
+    @staticmethod
+    def of(vectors: np.ndarray, ids: np.ndarray, keep: int) -> Tree:
+        """keep: so many of the smallest ids of equal vectors can be among a query's neighbours, besides its own id."""
+        order = np.lexsort((ids, *vectors.T[::-1]))
+        vectors, ids = vectors[order], ids[order]
+        new = np.append(True, (vectors[1:] != vectors[:-1]).any(axis=1))
+        point = new.cumsum() - 1
+        other = new | np.append(True, ids[1:] != ids[:-1])
+        run = other.cumsum() - 1
+        repeat, rank = np.arange(len(ids)) - np.flatnonzero(other)[run], run - run[np.flatnonzero(new)][point]
+        kept = (repeat < keep) & (rank <= keep)
+        points, ids, point = vectors[new], ids[kept], point[kept]
+        rows, nodes, vantages, rng = np.arange(len(points)), [], [], np.random.default_rng(3)
+
+        def split(a: int, b: int) -> int:
+            at = len(nodes)
+            nodes.append([a, b, -1, 0.0, 0.0, 0.0, 0.0, -1, -1])
+            if b - a > LEAF:
+                vantages.append(points[rows[a + rng.integers(b - a)]])
+                away = distances(points[rows[a:b]], vantages[-1])
+                inner = np.argsort(away, kind="stable")
+                rows[a:b], away, half = rows[a:b][inner], away[inner], (b - a) // 2
+                nodes[at][2:7] = len(vantages) - 1, away[0], away[half - 1], away[half], away[-1]
+                nodes[at][7:] = split(a, a + half), split(a + half, b)
+            return at
+
+        split(0, len(points))
+        # Ids follow their points.
+        size = np.bincount(point, minlength=len(points))[rows]
+        begin = np.searchsorted(point, rows)
+        ids = ids[np.arange(size.sum()) + np.repeat(begin - size.cumsum() + size, size)]
+        return Tree(points[rows], ids, np.append(0, size.cumsum()), np.array(nodes, float), np.array(vantages, float).reshape(-1, points.shape[1]))
+
+    def row(self) -> list[bytes]:
+        return [x.tobytes() for x in (self.points, self.ids.astype(np.int64), self.starts.astype(np.int64), self.nodes, self.vantages)]
+
+    @staticmethod
+    def from_row(dim: int, points: bytes, ids: bytes, starts: bytes, nodes: bytes, vantages: bytes) -> Tree:
+        return Tree(np.frombuffer(points).reshape(-1, dim), np.frombuffer(ids, np.int64), np.frombuffer(starts, np.int64), np.frombuffer(nodes).reshape(-1, 9), np.frombuffer(vantages).reshape(-1, dim))
+
+
+class Nearest:
+    """A block of queries of one length, and the k best candidates of each so far."""
+
+    def __init__(self, vectors: np.ndarray, own: np.ndarray, k: int, factor: float):
+        self.vectors, self.own, self.k, self.factor = vectors, own, k, factor
+        self.norms = (vectors * vectors).sum(axis=1)
+        self.away = np.full((len(own), k), np.inf)
+        self.ids = np.full((len(own), k), np.iinfo(np.int64).max)
+
+    def visit(self, tree: Tree) -> None:
+        everyone = np.arange(len(self.own))
+        self.home = np.zeros(len(everyone), np.int64)
+        self._descend(tree, 0, everyone)
+        self._walk(tree, 0, everyone, np.zeros(len(everyone)))
+
+    def _descend(self, tree: Tree, node: int, queries: np.ndarray) -> None:
+        """To the leaf on whose side of each vantage point the queries lie."""
+        _, _, vantage, _, inner, outer, _, near, far = tree.nodes[node]
+        if not len(queries):
+            return
+        if near < 0:
+            self.home[queries] = node
+            self._compare(tree, node, queries)
+            return
+        inside = distances(self.vectors[queries], tree.vantages[int(vantage)]) <= (inner + outer) / 2
+        self._descend(tree, int(near), queries[inside])
+        self._descend(tree, int(far), queries[~inside])
+
+    def _walk(self, tree: Tree, node: int, queries: np.ndarray, bound: np.ndarray) -> None:
+        """bound: the least distance that the node's vectors can have from each query."""
+        # A full list is needed before anything can be pruned: it is infinite until then.
+        needed = ~(bound > self.away[queries, -1] * self.factor)
+        queries, bound = queries[needed], bound[needed]
+        if not len(queries):
+            return
+        _, _, vantage, *shells, near, far = tree.nodes[node]
+        if near < 0:
+            self._compare(tree, node, queries[self.home[queries] != node])
+            return
+        away = distances(self.vectors[queries], tree.vantages[int(vantage)])
+        for side, low, high in ((near, *shells[:2]), (far, *shells[2:])):
+            self._walk(tree, int(side), queries, np.maximum(bound, np.maximum(low - away, away - high)))
+
+    def _compare(self, tree: Tree, node: int, queries: np.ndarray) -> None:
+        a, b = tree.nodes[node, :2].astype(int)
+        step = max(1, PAIRS // (b - a))
+        for k in range(0, len(queries), step):
+            self._merge(tree, a, b, queries[k : k + step])
+
+    def _merge(self, tree: Tree, a: int, b: int, queries: np.ndarray) -> None:
+        norms = self.norms[queries][:, None] + tree.norms[a:b]
+        with np.errstate(invalid="ignore", over="ignore"):
+            square = norms - 2 * (self.vectors[queries] @ tree.points[a:b].T)
+            limit = self.away[queries, -1] ** 2
+            if b - a > self.k + 1:  # one more than k, for one of them can be the query's own
+                limit = np.minimum(limit, np.partition(square, self.k, axis=1)[:, self.k])
+            # What rounding can hide is looked at too, and so is what isn't a number.
+            q, p = np.nonzero(~(square > (limit + 1e-9 * np.abs(limit))[:, None] + 1e-9 * norms))
+        n = tree.starts[a + p + 1] - tree.starts[a + p]
+        ids = tree.ids[np.arange(n.sum()) + np.repeat(tree.starts[a + p] - n.cumsum() + n, n)]
+        away = np.concatenate([np.empty(0), *(self._exact(tree, queries[q[s : s + 8192]], a + p[s : s + 8192]) for s in range(0, len(q), 8192))])
+        q, away = np.repeat(q, n), np.repeat(away, n)
+        other = ids != self.own[queries[q]]
+        q, away, ids = q[other], away[other], ids[other]
+        # With the best so far, by query, distance and id; of each query the first k stay.
+        touched, q = np.unique(q, return_inverse=True)
+        rows = queries[touched]
+        q = np.append(q, np.repeat(np.arange(len(rows)), self.k))
+        away, ids = np.append(away, self.away[rows].ravel()), np.append(ids, self.ids[rows].ravel())
+        order = np.lexsort((ids, away, q))
+        q, away, ids = q[order], away[order], ids[order]
+        first = np.searchsorted(q, np.arange(len(rows)))[:, None] + np.arange(self.k)
+        self.away[rows], self.ids[rows] = away[first], ids[first]
+
+    def _exact(self, tree: Tree, queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+        return distances(tree.points[points], self.vectors[queries])
+
+
 def usable(embedding: Column) -> Column:
     """Not null, not zero, all components finite numbers."""
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
     return embedding.isNotNull() & ~bad & F.exists(embedding, lambda x: x != 0)
 
 
+def arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The components of all vectors one after another, and where each vector begins."""
+    offsets = column.offsets.to_numpy()
+    return column.flatten().to_numpy(), offsets - offsets[0]
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, factor: float = 0.9) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row that is_query marks, its k nearest among all others."""
+    spark = vectors.sparkSession
     rows = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks")
     )
-    count, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
-    shards, blocks = max(1, math.ceil(count / SHARD_ROWS)), max(1, math.ceil(asking / QUERY_ROWS))
-    hashed = F.xxhash64("vec_id", "embedding")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    stored = rows.select(F.pmod(hashed, F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), F.lit(False).alias("asks"), "vec_id", "embedding")
-    asked = rows.filter("asks").select(every(shards).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "asks", "vec_id", "embedding")
-
-    def search(key: tuple, table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        ids = table.column("vec_id").to_numpy()
-        embeddings = table.column("embedding").combine_chunks()
-        sizes = np.diff(embeddings.offsets.to_numpy())
-        flat, starts = embeddings.flatten().to_numpy(), np.append(0, sizes.cumsum())
-        out: list[tuple[int, int, float]] = []
-        for size in np.unique(sizes[asks]):
-            mine = np.flatnonzero(~asks & (sizes == size))
-            if len(mine):
-                tree = Tree(flat[starts[mine][:, None] + np.arange(size)], k + 1, ids[mine])
-                for q in np.flatnonzero(asks & (sizes == size)):
-                    query, own = flat[starts[q] : starts[q + 1]], int(ids[q])
-                    out += [(own, i, d) for d, i in tree.nearest(query, own, k, factor)]
-        columns = list(zip(*out)) or [(), (), ()]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()))})
-
-    found = stored.union(asked).groupBy("shard", "block").applyInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    size = F.size("embedding") * 8
+    count, total, asks, asked = rows.agg(F.count("*"), F.sum(size), F.count_if("asks"), F.sum(F.when(F.col("asks"), size))).first()
+    schema = "block int, query int, query_id long, vec_id long, score double"
+    shards = max(1, math.ceil(count / SHARD_ROWS), math.ceil((total or 0) / SHARD_BYTES))
+    blocks = max(1, math.ceil(asks / QUERY_ROWS), math.ceil((asked or 0) / QUERY_BYTES))
+    # Equal rows are dealt out too: their place in the input tells them apart.
+    hashed = F.xxhash64("vec_id", "embedding", F.monotonically_increasing_id())
+    dealt = rows.select(F.pmod(hashed, F.lit(shards)).cast("int").alias("shard"), F.size("embedding").alias("dim"), "vec_id", "embedding")
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        flat, _ = arrays(table.column("embedding").combine_chunks())
+        tree = Tree.of(flat.reshape(len(table), -1), table.column("vec_id").to_numpy(), k)
+        return pa.table({"dim": pa.array([key[1].as_py()], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in zip(TREE, tree.row())}})
+
+    trees = written(dealt.groupBy("shard", "dim").applyInArrow(build, "dim int, " + ", ".join(f"{c} binary" for c in TREE)))
+    asking = written(rows.filter("asks").select("vec_id", "embedding").distinct())
+    found = spark.createDataFrame([], schema)
+    for block in range(blocks):
+        chosen = asking.filter(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == block)
+        table = chosen.toArrow().sort_by("vec_id").combine_chunks()  # about QUERY_ROWS rows
+        if not len(table):
+            continue
+        shared = spark.sparkContext.broadcast(table)
+        found = found.unionByName(trees.mapInArrow(lambda batches, block=block, shared=shared: search(batches, block, shared.value, k, factor), schema))
+    rank = F.row_number().over(Window.partitionBy("block", "query").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search(batches: Iterator[pa.RecordBatch], block: int, asked: pa.Table, k: int, factor: float) -> Iterator[pa.RecordBatch]:
+    """(block, query, query_id, vec_id, score): the k best of each query in the trees of a task."""
+    own = asked.column("vec_id").to_numpy()
+    flat, starts = arrays(asked.column("embedding").combine_chunks())
+    sizes = np.diff(starts)
+    best: dict[int, tuple[np.ndarray, Nearest]] = {}
+    for batch in batches:
+        for dim, *parts in zip(*(column.to_pylist() for column in batch.columns)):
+            if dim not in best:
+                at = np.flatnonzero(sizes == dim)
+                best[dim] = at, Nearest(flat[starts[at][:, None] + np.arange(dim)], own[at], k, factor)
+            if len(best[dim][0]):
+                best[dim][1].visit(Tree.from_row(dim, *parts))
+    for at, near in best.values():
+        row, place = np.nonzero(np.isfinite(near.away) | (near.ids < np.iinfo(np.int64).max))
+        columns = (np.full(len(row), block, np.int32), at[row].astype(np.int32), near.own[row], near.ids[row, place], near.away[row, place])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "query", "query_id", "vec_id", "score"])
