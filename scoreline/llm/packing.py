@@ -230,7 +230,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_on(shared)
         for batch in batches:
-            ids, bounds = encoder.flat_ids(batch.column("text").to_pylist(), END_ID)
+            ids, bounds = encoder.flat_ids(batch.column("text"), END_ID)
             ids = ids.astype(kind)
             offsets = (bounds * ids.itemsize).astype(np.int32)
             raw = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
