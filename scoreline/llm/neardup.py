@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import written
+from scoreline.llm.common import or_over, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -38,6 +38,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 #: Members of a group that are compared in one task.
 BLOCK = 2048
+#: The filter of members has two to this power bits at most (16 MB). Beyond 16 million members more of the other rows
+#: pass it; no member is ever lost.
+FILTER_BITS = 27
 #: Shingles per numpy step.
 STEP = 400_000
 
@@ -244,18 +247,25 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) to (id, root), root being the smallest id that edges lead to; ids without edges are left out.
 
     Alternates hanging each id's larger, then its smaller neighbours on its smallest neighbour, until nothing moves.
+    The smallest neighbour is added up before the shuffle and joined back as a table of one row an id, so that the
+    rows of an id with very many neighbours can be split. Links of one round are counted and summed, not compared.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
+    before = None
+    while before != (before := content(now)):
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = written(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a")
-        hung = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        before, now = now, written(hung)
-        if not now.exceptAll(before).head(1) and not before.exceptAll(now).head(1):
-            return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        now = written(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct())
+    return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
+
+
+def content(edges: DataFrame) -> tuple[int, int, int]:
+    """The number of edges and two sums of their hashes: equal for equal sets of edges."""
+    total = lambda seed: F.coalesce(F.sum(F.xxhash64("a", "b", F.lit(seed)).cast("decimal(20,0)")), F.lit(0))
+    return tuple(int(x) for x in edges.agg(F.count("*"), total(1), total(2)).first())
 
 
 def row_id() -> Column:
@@ -264,6 +274,33 @@ def row_id() -> Column:
     return F.xxhash64(ident.isNull(), ident, F.col("text").isNull(), "text")
 
 
+def filter_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two places in a filter of so many bits, a power of two, for each id."""
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (h, h >> np.uint64(32))]
+
+
+def maybe_in(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """texts without most of the rows whose doc_id isn't among the members; those among them all stay."""
+    bits = 1 << min(FILTER_BITS, max(16, (8 * members.count()).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(bits, bool)
+        for batch in batches:
+            for at in filter_places(batch.column(0).to_numpy(), bits):
+                out[at] = True
+        return np.packbits(out)
+
+    shared = texts.sparkSession.sparkContext.broadcast(or_over(members.select("doc_id").coalesce(16), mark, bits // 8))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [shared.value[at >> 3] >> (7 - (at & 7)) & 1 for at in filter_places(batch.column("doc_id").to_numpy(), bits)]
+            yield batch.filter(pa.array((held[0] & held[1]).astype(bool)))
+
+    return texts.mapInArrow(keep, texts.schema)
+
+
 def row_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, row_id, class_id, kept_row) of every row: the smallest doc_id of its class, nulls last, and that row's id."""
     named = docs.select(F.col("doc_id").cast("long").alias("given"), row_id().alias("doc_id"), "text")
@@ -279,20 +316,20 @@ def row_classes(docs: DataFrame) -> DataFrame:
     placed = members.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # The leader stands in every block of its group.
     inside = placed.filter("doc_id <> leader").union(sizes.select("leader", F.col("leader").alias("doc_id"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
-    linked = written(
-        inside.join(texts.dropDuplicates(["doc_id"]), "doc_id")
-        .groupBy("leader", "block")
-        .applyInArrow(link_block, "leader long, doc_id long, root long, core boolean")
-    )
-    large = placed.filter("blocks > 1")
-    cores = linked.groupBy("leader", "doc_id").agg(F.max("core").alias("core"))
+    # The texts of members only, each once; a filter of fixed size keeps most of the others out of the shuffle.
+    held = written(maybe_in(texts, members).join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    linked = written(inside.join(held, "doc_id").groupBy("leader", "block").applyInArrow(link_block, "leader long, doc_id long, root long, core boolean"))
+    # Blocks meet only where one of them has texts that aren't linked to the leader: those against all of the other block.
+    large = written(placed.filter("blocks > 1").join(linked.groupBy("leader", "doc_id").agg(F.max("core").alias("core")), ["leader", "doc_id"]))
+    apart = large.filter("NOT core").select("leader", F.col("block").alias("other")).distinct()
+    loose = large.filter("NOT core").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = (
-        large.join(cores, ["leader", "doc_id"])
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        loose.select("leader", "doc_id", "core", "block", "other")
+        .union(large.filter("core").join(apart, "leader").select("leader", "doc_id", "core", "block", "other"))
         .filter("other <> block")
         .select("leader", "doc_id", "core", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     )
-    crossed = pairs.join(texts.dropDuplicates(["doc_id"]), "doc_id").groupBy("leader", "low", "high").applyInArrow(link_blocks, "doc_id long, root long")
+    crossed = pairs.join(held, "doc_id").groupBy("leader", "low", "high").applyInArrow(link_blocks, "doc_id long, root long")
     edges = linked.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).union(crossed.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     roots = components(edges)
     # Written, so that both sides of the next joins are shuffled for them alone and a common text's or class' rows can be split.
