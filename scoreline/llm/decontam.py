@@ -7,10 +7,12 @@
    Nystroem form of the method then gives A's singular values and right singular vectors without another pass.
    Only arrays of fixed size leave the tasks.
 4. Candidates. Overlapping windows and benchmark passages are compared in the latent space (left singular
-   coordinates) by cosine, all windows against a block of the benchmark at a time.
+   coordinates) by cosine. A count of the passage's rare words around the window goes first: with too few of them no
+   common subsequence can be long enough, so only pairs with enough of them are compared, which an index of rare
+   words gives. The work grows with such pairs, not with windows times passages.
 5. Checks. In a stretch around a candidate window the longest common subsequence must hold LCS_SHARE of the benchmark
-   passage's words, and ANSWER_SHARE of its last ANSWER_WORDS words, where the answer stands. A count of the
-   passage's rare words goes first: with too few of them the subsequence can't be long enough.
+   passage's words, and, if the passage goes up to the end of its item, where the answer stands, ANSWER_SHARE of the
+   last ANSWER_WORDS words.
 
 Defined results: only documents that hold a benchmark passage are returned, one row for each (doc_id, item_id);
 null and empty texts hold none; benchmark items of fewer than LEAST_WORDS words, or null, are left out, for no
@@ -43,10 +45,10 @@ COSINE, LCS_SHARE = 0.2, 0.7
 RARE = 0.02
 ANSWER_WORDS, ANSWER_SHARE = 8, 0.5
 LEAST_WORDS, ITEM_WORDS = 8, 64
-#: Benchmark items in one broadcast; a larger benchmark is searched for block by block.
-ITEMS = 20_000
-#: Words, and window-item pairs, that numpy handles at once.
-STEP, PAIRS = 1 << 17, 1 << 21
+#: Benchmark items, and bytes of their texts, in one broadcast; a larger benchmark is searched for block by block.
+ITEMS, ITEM_BYTES = 20_000, 16 << 20
+#: Words, and window-item pairs, that numpy handles at once; rare words of items are looked up in so many blocks times items.
+STEP, PAIRS, HITS = 1 << 17, 1 << 14, 1 << 24
 #: A longer text is written as several rows, which overlap so that no passage is cut.
 PIECE, OVERLAP = 1 << 18, PASSAGE + 2 * AROUND + ITEM_WORDS
 
@@ -185,8 +187,8 @@ def common_words(item: list[int], region: list[int]) -> list[bool]:
     return [not state >> i & 1 for i in range(len(item))]
 
 
-def check(item: list[int], region: list[int]) -> float:
-    """Share of the item's words in a longest common subsequence, or 0 where it or the answer has too few.
+def check(item: list[int], region: list[int], ends: bool = True) -> float:
+    """Share of the item's words in a longest common subsequence, or 0 where it or the answer, if it ends there, has too few.
 
     The share counts within stretches half as long again as the item, so that words common to all texts don't add
     up over a wide region.
@@ -199,6 +201,8 @@ def check(item: list[int], region: list[int]) -> float:
     best = max(shares)
     if best < LCS_SHARE:
         return 0.0
+    if not ends:
+        return best
     answer = item[-ANSWER_WORDS:]
     return best if sum(common_words(answer, stretches[shares.index(best)])) >= ANSWER_SHARE * len(answer) else 0.0
 
@@ -206,10 +210,10 @@ def check(item: list[int], region: list[int]) -> float:
 class Benchmark:
     """Benchmark passages as latent vectors, and which rare words each of them needs."""
 
-    def __init__(self, items: list[tuple[int, list[int]]], latent: np.ndarray, rare: np.ndarray):
+    def __init__(self, items: list[tuple[int, list[int], bool]], latent: np.ndarray, rare: np.ndarray):
         self.items, self.latent = items, with_zero(latent)
-        self.vectors = unit(np.array([latent[np.array(p) % TERMS].sum(axis=0) for _, p in items])).astype(np.float32)
-        held = [np.unique(np.array([w for w in p if rare[w % TERMS]], np.uint32)) for _, p in items]
+        self.vectors = unit(np.array([latent[np.array(p) % TERMS].sum(axis=0) for _, p, _ in items])).astype(np.float32)
+        held = [np.unique(np.array([w for w in p if rare[w % TERMS]], np.uint32)) for _, p, _ in items]
         words, owner = np.concatenate(held), np.repeat(np.arange(len(items)), [len(h) for h in held])
         order = np.argsort(words, kind="stable")
         self.owner = owner[order]
@@ -218,12 +222,13 @@ class Benchmark:
         self.bounds = np.append(first, len(words))
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[self.words & 0xFFFF] = True
-        count = np.array([sum(bool(rare[w % TERMS]) for w in p) for _, p in items])
-        self.needed = (count - np.array([len(p) - math.ceil(LCS_SHARE * len(p) - 1e-9) for _, p in items]))[:, None]
+        count = np.array([sum(bool(rare[w % TERMS]) for w in p) for _, p, _ in items])
+        self.needed = (count - np.array([len(p) - math.ceil(LCS_SHARE * len(p) - 1e-9) for _, p, _ in items]))
 
-    def rare_hits(self, texts: Padded) -> tuple[np.ndarray, np.ndarray]:
-        """(block, item) of each rare word of an item that the texts hold, by block."""
-        at = np.flatnonzero(self.maybe[texts.words & 0xFFFF])
+    def rare_hits(self, texts: Padded, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(block, item) of each rare word of an item that these blocks of the texts hold, by block."""
+        first, last = np.searchsorted(texts.at, (low * BLOCK, high * BLOCK))
+        at = first + np.flatnonzero(self.maybe[texts.words[first:last] & 0xFFFF])
         place = np.minimum(np.searchsorted(self.words, texts.words[at]), max(0, len(self.words) - 1))
         if len(self.words):
             at, place = (x[self.words[place] == texts.words[at]] for x in (at, place))
@@ -231,40 +236,49 @@ class Benchmark:
         entry = np.arange(n.sum()) + np.repeat(self.bounds[place] - n.cumsum() + n, n) if len(n) else np.empty(0, int)
         return np.repeat(texts.at[at] // BLOCK, n) if len(n) else np.empty(0, int), self.owner[entry]
 
+    def pairs(self, texts: Padded, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) wherever a window and what stands around it has the item's rare words, by window.
+
+        Windows begin at each block from low to high. Words of other texts' blocks count too: that can only add pairs.
+        """
+        reach = AROUND // BLOCK
+        block, item = self.rare_hits(texts, low - reach, high + reach + 1)
+        # A word counts for all windows that have its block in them or around them.
+        window = (block[:, None] + np.arange(-1 - reach, reach + 1)).ravel()
+        key = window * len(self.items) + np.repeat(item, 2 * reach + 2)
+        key, count = np.unique(key[(window >= low) & (window < high)], return_counts=True)
+        key = key[count >= self.needed[key % len(self.items)]]
+        # Items without enough rare words of their own are compared with every window.
+        free = np.flatnonzero(self.needed <= 0)
+        if len(free):
+            key = np.union1d(key, (np.arange(low, high)[:, None] * len(self.items) + free).ravel())
+        return np.divmod(key, len(self.items))
+
     def candidates(self, texts: Padded) -> Iterator[tuple[int, int, int, float]]:
-        """(text, first word, item, cosine) of windows that are close to an item and have its rare words around them."""
+        """(text, first word, item, cosine) of windows that have an item's rare words around them and are close to it."""
         terms = texts.terms.reshape(-1, BLOCK)
-        blocks = np.empty((len(terms), self.latent.shape[1]), np.float32)
-        for k in range(0, len(terms), STEP // BLOCK):
-            blocks[k : k + STEP // BLOCK] = sums(self.latent, terms[k : k + STEP // BLOCK])
         begins = texts.first // BLOCK
         ends = np.zeros(len(terms), bool)
         ends[begins[1:][texts.sizes > 0] - 1] = True
-        hit_block, hit_item = self.rare_hits(texts)
-        count, reach = max(8, PAIRS // len(self.items)), AROUND // BLOCK
-        for k in range(0, len(terms), count):
-            window = blocks[k : k + count].copy()
-            after = blocks[k + 1 : k + count + 1]
-            window[: len(after)] += after * ~ends[k : k + len(after), None]
-            n = len(window)
-            # Rare words of each item in the blocks around each window; blocks of other texts can only add some.
-            low, high = np.searchsorted(hit_block, (k - reach, k + n + reach + 1))
-            width = n + 2 * reach + 2
-            held = np.bincount(hit_item[low:high] * width + hit_block[low:high] - (k - reach) + 1, minlength=len(self.items) * width)
-            held = held.reshape(-1, width).cumsum(axis=1, dtype=np.int32)
-            enough = held[:, 2 * reach + 2 :] - held[:, : -2 * reach - 2] >= self.needed
-            cosines = self.vectors @ unit(window).T
-            for j in np.flatnonzero((enough & (cosines >= COSINE)).ravel()).tolist():
-                item, w = divmod(j, n)
-                text = int(np.searchsorted(begins, k + w, "right")) - 1
-                yield text, (k + w - int(begins[text])) * BLOCK, item, float(cosines[item, w])
-
-
-def item_passages(item_id: int, codes: np.ndarray) -> list[tuple[int, list[int]]]:
+        step = max(64, HITS // len(self.items))
+        found = (self.pairs(texts, k, min(k + step, len(terms))) for k in range(0, len(terms), step))
+        for at, item in ((w[k : k + PAIRS], i[k : k + PAIRS]) for w, i in found for k in range(0, len(w), PAIRS)):
+            asked, place = np.unique(at, return_inverse=True)
+            rows = sums(self.latent, terms[asked])
+            both = ~ends[asked]
+            rows[both] += sums(self.latent, terms[asked[both] + 1])
+            cosines = np.einsum("ij,ij->i", unit(rows)[place], self.vectors[item])
+            for j in np.flatnonzero(cosines >= COSINE).tolist():
+                text = int(np.searchsorted(begins, at[j], "right")) - 1
+                yield text, int(at[j] - begins[text]) * BLOCK, int(item[j]), float(cosines[j])
+
+
+def item_passages(item_id: int, codes: np.ndarray) -> list[tuple[int, list[int], bool]]:
+    """(item, words, whether they go up to the item's end) of the passages that an item is cut into."""
     if len(codes) < LEAST_WORDS:
         return []
     starts = range(0, max(1, len(codes) - ITEM_WORDS // 2), ITEM_WORDS // 2) if len(codes) > ITEM_WORDS else [0]
-    return [(item_id, codes[s : s + ITEM_WORDS].tolist()) for s in starts]
+    return [(item_id, codes[s : s + ITEM_WORDS].tolist(), s + ITEM_WORDS >= len(codes)) for s in starts]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -273,7 +287,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, cosine double, lcs_share double"
     coded = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(code_texts, "doc_id long, codes binary"))
     latent, rare = fit_latent(coded)
-    blocks = max(1, math.ceil(benchmark.count() / ITEMS))
+    count, size = benchmark.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, math.ceil(count / ITEMS), math.ceil((size or 0) / ITEM_BYTES))
     out = spark.createDataFrame([], schema)
     for block in range(blocks):
         rows = benchmark.filter((F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) & F.col("item_id").isNotNull()).select("item_id", "text").collect()
@@ -288,11 +303,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 texts, best = Padded(batch.column("codes")), {}
                 for text, at, i, cosine in bench.candidates(texts):
-                    item_id, item = bench.items[i]
+                    item_id, item, ends = bench.items[i]
                     if best.get((text, item_id), (0.0,))[0] < 1.0:
                         begin, end = texts.starts[text : text + 2].tolist()
                         region = texts.words[max(begin, begin + at - AROUND) : min(end, begin + at + PASSAGE + AROUND)]
-                        if share := check(item, region.tolist()):
+                        if share := check(item, region.tolist(), ends):
                             best[text, item_id] = max(best.get((text, item_id), (0.0, 0.0)), (share, cosine))
                 ids = batch.column("doc_id").to_pylist()
                 columns = list(zip(*((ids[t], i, c, s) for (t, i), (s, c) in best.items()))) or [()] * 4

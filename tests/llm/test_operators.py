@@ -267,6 +267,61 @@ def test_planted_passages_and_paraphrases_are_found(spark):
     assert decontam.contaminated(df.limit(0), benchmark).count() == 0 and decontam.contaminated(df, benchmark.limit(0)).count() == 0
 
 
+def test_sparse_pairs_are_those_of_plain_counting():
+    rng = random.Random(23)
+    import pyarrow as pa
+
+    for n_items, least in ((6, 1), (6, -40)):
+        items = [(i, [rng.randrange(3000) for _ in range(20)], True) for i in range(n_items)]
+        bench = decontam.Benchmark(items, np.ones((decontam.TERMS, 3), np.float32), np.arange(decontam.TERMS) % 3 != 0)
+        bench.needed = np.minimum(bench.needed, least)
+        texts = [[rng.randrange(3000) for _ in range(rng.randrange(200))] + items[k % n_items][1] for k in range(12)] + [[]]
+        raw = decontam.Padded(pa.array([np.array(t, "<u4").tobytes() for t in texts], pa.binary()))
+        blocks, reach = len(raw.terms) // decontam.BLOCK, decontam.AROUND // decontam.BLOCK
+        word = np.full(len(raw.terms), -1)
+        word[raw.at] = raw.words
+        want = []
+        for w in range(blocks):
+            around = word[max(0, w - reach) * decontam.BLOCK : (w + reach + 2) * decontam.BLOCK].tolist()
+            for i, (_, codes, _) in enumerate(items):
+                rare = {c for c in codes if c % decontam.TERMS % 3}
+                held = sum(x in rare for x in around)
+                if held >= bench.needed[i] and (held or bench.needed[i] <= 0):
+                    want.append((w, i))
+        got = [(w, i) for k in range(0, blocks, 7) for w, i in zip(*bench.pairs(raw, k, min(blocks, k + 7)))]
+        assert got == want
+
+
+def test_retrieval_recalls_what_a_full_comparison_finds(spark):
+    """Paraphrases near the share of 0.7, at any offset, against the longest common subsequence over all windows."""
+    rng = random.Random(24)
+    bench = [(i, words(rng, rng.randrange(15, 60), 20_000)) for i in range(60)]
+    texts = []
+    for d in range(240):
+        item = bench[d % 60][1].split()
+        cut = {k for k in range(len(item) - 6) if rng.random() < rng.choice([0.1, 0.2, 0.28])}
+        told = [f"other{rng.randrange(1000)}" if k in cut else w for k, w in enumerate(item)]
+        texts.append(" ".join([words(rng, rng.randrange(0, 120)), *told, words(rng, rng.randrange(0, 120))]))
+    code = lambda t: [zlib.crc32(w.encode()) for w in t.lower().split()]
+    span = decontam.PASSAGE + 2 * decontam.AROUND
+    want = set()
+    for d, text in enumerate(texts):
+        have = code(text)
+        for i, item in ((bench[d % 60]), bench[(d + 7) % 60]):
+            if any(decontam.check(code(item), have[k : k + span]) for k in range(0, max(1, len(have)), decontam.BLOCK)):
+                want.add((d, i))
+    found = decontam.contaminated(docs_of(spark, texts), spark.createDataFrame(bench, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert len(want) > 150 and len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_only_the_end_of_an_item_is_its_answer():
+    item = list(range(1, 65))
+    lost_end = item[:56] + [999] * 8
+    assert decontam.check(item, lost_end) == 0 and decontam.check(item, lost_end, ends=False) == 56 / 64
+    assert [ends for *_, ends in decontam.item_passages(7, np.arange(150))] == [False, False, False, True]
+
+
 def test_long_texts_in_pieces_keep_passages(spark, monkeypatch):
     monkeypatch.setattr(decontam, "PIECE", 500)
     rng = random.Random(6)
