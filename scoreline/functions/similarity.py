@@ -27,11 +27,16 @@ def similar(a: str | None, b: str | None) -> bool:
     return 2 * min(len(x), len(y)) >= RATIO * (len(x) + len(y)) and difflib.SequenceMatcher(None, x, y).ratio() >= RATIO
 
 
+@lru_cache(maxsize=100_000)
+def known_similar(a: str | None, b: str | None) -> bool:
+    """similar, kept for pairs that a worker has met."""
+    return similar(a, b)
+
+
 def similar_names(a: Column, b: Column) -> Column:
     @F.pandas_udf("boolean")
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        known = lru_cache(maxsize=100_000)(similar)
-        return pd.Series([known(x, y) for x, y in zip(left, right)], dtype="bool")
+        return pd.Series([known_similar(x, y) for x, y in zip(left, right)], dtype="bool")
 
     # Equal names, the usual case, reach the function as nulls.
     equal = normalize_name(a) == normalize_name(b)

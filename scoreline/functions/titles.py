@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Years that a title may name, and categories of a match.
-FIRST_YEAR, LAST_YEAR = 2020, 2100
+#: Categories of a match. Years that a title may name go from 2020 to 2100.
 CATEGORIES = ["MS", "WS", "MD", "WD", "XD"]
 
 _INTEGER = r"^[+-]?\d+$"
@@ -24,47 +23,57 @@ def title_parts(title: Column) -> Column:
     return F.transform(F.split(title, r"\|"), strip)
 
 
-def is_year(word: Column) -> Column:
-    return word.rlike(_INTEGER) & F.coalesce(word.try_cast("int").between(FIRST_YEAR, LAST_YEAR), F.lit(False))
+#: A word that is such a year, signed or not, and what stands before it.
+_YEAR = r"(?:^|(?<=\s))\+?0*(20[2-9]\d|2100)(?=\s|$)"
+_BEFORE_YEAR = rf"(?s)^(.*?){_YEAR}"
+#: Parts of stream titles that don't count.
+_ASIDE = r"^(?:LIVE!|T[+-]?\d+)$|Infinity"
 
 
-def last_where(items: Column, test) -> Column:
-    return F.try_element_at(F.filter(items, test), F.lit(-1))
+def letters(parts: Column, letter) -> Column:
+    """A text with one letter for each part: patterns over it find parts by their order and kind."""
+    return F.array_join(F.transform(parts, letter), "")
+
+
+def last_of(code: Column, kinds: str) -> Column:
+    """The place of the last letter of these kinds, from 1; 0 where there is none."""
+    return F.length(F.regexp_extract(code, rf"^(.*[{kinds}])", 1))
 
 
 def parse_stream_titles(videos: DataFrame, title: str = "title") -> DataFrame:
-    """Adds tournament, year, day and err. The title part is the first with a year; day and finals come from the others."""
-    every = title_parts(F.col(title))
-    kept = F.filter(every, lambda p: (p != "LIVE!") & ~p.contains("Infinity") & ~p.rlike(r"^T[+-]?\d+$"))
+    """Adds tournament, year, day and err. The title part is the first with a year; day and finals come from the others.
+
+    Each part that counts becomes a letter from a to h: it has a year (4), a day (2), finals (1), or what adds up.
+    """
+    every = F.split(F.col(title), r"\|")
+    kept = F.filter(F.transform(every, strip), lambda p: ~p.rlike(_ASIDE))
+    bit = lambda test, value: F.when(test, value).otherwise(0)
+    letter = lambda p: F.substring(F.lit("abcdefgh"), 1 + bit(p.rlike(_YEAR), 4) + bit(p.contains("Day"), 2) + bit(p.rlike("(?i)finals"), 1), F.lit(1))
     staged = videos.withColumns({"_n": F.size(every), "_kept": kept})
-    staged = staged.withColumn("_at", F.array_position(F.transform("_kept", lambda p: F.exists(words(p), is_year)), True))
-    title_words = words(F.try_element_at("_kept", F.col("_at").cast("int")))
-    staged = staged.withColumns({"_words": F.when(F.col("_at") > 0, title_words), "_rest": F.filter(F.transform("_kept", lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda s: s.i != F.col("_at") - 1)})
-    staged = staged.withColumns(
-        {
-            "_year_at": F.array_position(F.transform("_words", is_year), True),
-            "_day": last_where(F.col("_rest"), lambda s: s.p.contains("Day")),
-            "_finals": last_where(F.col("_rest"), lambda s: F.lower(s.p).contains("finals")),
-        }
-    )
-    finals = strip(F.regexp_replace("_finals.p", r"(?i)\s*session\s*\d+", ""))
-    after = F.coalesce(F.try_element_at("_kept", (F.col("_at") + 1).cast("int")), F.lit(""))
+    staged = staged.withColumn("_code", letters(F.col("_kept"), letter))
+    staged = staged.withColumn("_at", F.length(F.regexp_extract("_code", "^([a-d]*)", 1)) + 1)
+    rest = F.overlay("_code", F.lit("a"), "_at")
+    staged = staged.withColumns({"_part": F.try_element_at("_kept", "_at"), "_d": last_of(rest, "cdgh"), "_f": last_of(rest, "bdfh")})
+    found = F.col("_at") <= F.length("_code")
+    day_part, finals_part = (F.try_element_at("_kept", F.nullif(c, F.lit(0))) for c in ("_d", "_f"))
+    finals = strip(F.regexp_replace(finals_part, r"(?i)\s*session\s*\d+", ""))
+    after = F.coalesce(F.try_element_at("_kept", F.col("_at") + 1), F.lit(""))
     day = (
-        F.when(F.col("_day").isNull() & F.col("_finals").isNull(), after)
-        .when(F.col("_finals").isNull(), F.col("_day.p"))
-        .when(F.col("_day").isNull() | (F.col("_day.i") == F.col("_finals.i")), finals)
-        .otherwise(F.concat_ws(" ", "_day.p", finals))
+        F.when((F.col("_d") == 0) & (F.col("_f") == 0), after)
+        .when(F.col("_f") == 0, day_part)
+        .when((F.col("_d") == 0) | (F.col("_d") == F.col("_f")), finals)
+        .otherwise(F.concat_ws(" ", day_part, finals))
     )
-    err = F.when(F.col(title).isNull() | (F.col("_n") < 3), "too few parts").when(F.col("_at") == 0, "no year")
+    err = F.when(F.col(title).isNull() | (F.col("_n") < 3), "too few parts").when(~found, "no year")
     good = err.isNull()
     return staged.withColumns(
         {
-            "tournament": F.when(good, F.array_join(F.slice("_words", F.lit(1), F.greatest(F.col("_year_at") - 1, F.lit(0)).cast("int")), " ")),
-            "year": F.when(good, F.try_element_at("_words", F.col("_year_at").cast("int")).try_cast("int")),
+            "tournament": F.when(good, strip(F.regexp_replace(F.regexp_extract("_part", _BEFORE_YEAR, 1), r"\s+", " "))),
+            "year": F.when(good, F.regexp_extract("_part", _BEFORE_YEAR, 2).try_cast("int")),
             "day": F.when(good, day),
             "err": err,
         }
-    ).drop("_n", "_kept", "_at", "_words", "_rest", "_year_at", "_day", "_finals")
+    ).drop("_n", "_kept", "_code", "_at", "_part", "_d", "_f")
 
 
 def parse_stream_titles_legacy(videos: DataFrame, title: str = "title") -> DataFrame:
@@ -82,45 +91,30 @@ def parse_stream_titles_legacy(videos: DataFrame, title: str = "title") -> DataF
 
 
 def parse_vod_titles(videos: DataFrame, title: str = "title") -> DataFrame:
-    """Adds full_match, players, gender, round, tournament and err, walking the parts from left to right."""
-    start = F.struct(
-        F.lit(False).alias("full"), F.lit("").alias("players"), F.lit("").alias("gender"), F.lit("").alias("round"), F.lit("").alias("tournament"), F.lit(False).alias("done"), F.lit("").alias("err")
+    """Adds full_match, players, gender, round, tournament and err.
+
+    Each part becomes a letter: f full match, v versus, c category with a round, s category alone, o any other. The
+    first s or o ends the title; of what stands before it the last players and the last category count.
+    """
+    category = rf"^(?:{'|'.join(CATEGORIES)})"
+    letter = lambda p: F.when(p == "FULL MATCH", "f").when(p.rlike(r"(?i)(?:^|\s)vs(?:\s|$)"), "v").when(p.rlike(category + r"\s"), "c").when(p.rlike(category + "$"), "s").otherwise("o")
+    staged = videos.withColumn("_parts", title_parts(F.coalesce(title, F.lit(""))))
+    staged = staged.withColumn("_code", letters(F.col("_parts"), letter))
+    staged = staged.withColumn("_before", F.regexp_extract("_code", "^([fvc]*)", 1))
+    before, ends = F.col("_before"), F.length("_before") + 1
+    full, last = before.contains("f"), F.substring("_code", ends, F.lit(1))
+    pick = lambda kind: F.try_element_at("_parts", F.nullif(last_of(before, kind), F.lit(0)))
+    named = F.regexp_replace(F.try_element_at("_parts", ends), "#", "")
+    err = (
+        F.when(F.col("_code").rlike("^f?[cso]"), "no players")
+        .when(last == "s", "no round")
+        .when((last == "o") & ~before.contains("c") & (ends == F.when(full, 3).otherwise(2)), "no category")
+        .when(last == "", "no tournament")
     )
-
-    def walk(s: Column, item: Column) -> Column:
-        i, part = item.i, item.p
-        tokens = words(part)
-        category = F.coalesce(F.try_element_at(tokens, F.lit(1)).isin(CATEGORIES), F.lit(False))
-        is_full = part == "FULL MATCH"
-        versus = F.exists(tokens, lambda w: F.lower(w) == "vs")
-        named = F.regexp_replace(part, "#", "")
-        early = (i == 0) | ((i == 1) & s.full & (s.players == ""))
-        needs_category = (s.round == "") & (i == F.when(s.full, 2).otherwise(1))
-        err = (
-            F.when(early, "no players")
-            .when(category & (F.size(tokens) < 2), "no round")
-            .when(~category & needs_category, "no category")
-            .otherwise("")
-        )
-        other = ~is_full & ~versus
-        ends = other & ~category & (err == "")
-        fields = {
-            "full": s.full | is_full,
-            "players": F.when(~is_full & versus, part).otherwise(s.players),
-            "gender": F.when(other & category & (err == ""), F.try_element_at(tokens, F.lit(1))).otherwise(s.gender),
-            "round": F.when(other & category & (err == ""), F.try_element_at(tokens, F.lit(2))).otherwise(s.round),
-            "tournament": F.when(ends, F.when(named == "", "Unknown").otherwise(named)).otherwise(s.tournament),
-            "done": s.done | (other & (ends | (err != ""))),
-            "err": F.when(other, err).otherwise(s.err),
-        }
-        moved = F.struct(*[v.alias(k) for k, v in fields.items()])
-        return F.when(s.done, s).otherwise(moved)
-
-    numbered = F.transform(title_parts(F.coalesce(title, F.lit(""))), lambda p, i: F.struct(i.alias("i"), p.alias("p")))
-    read = videos.withColumn("_v", F.aggregate(numbered, start, walk))
-    err = F.when(F.col("_v.err") != "", F.col("_v.err")).when(F.col("_v.tournament") == "", "no tournament")
-    keep = lambda name: F.when(err.isNull(), F.col(f"_v.{name}"))
-    return read.withColumns({"full_match": keep("full"), "players": keep("players"), "gender": keep("gender"), "round": keep("round"), "tournament": keep("tournament"), "err": err}).drop("_v")
+    group = lambda k: F.coalesce(F.regexp_extract(pick("c"), r"^(\S+)\s+(\S+)", k), F.lit(""))
+    columns = {"full_match": full, "players": F.coalesce(pick("v"), F.lit("")), "gender": group(1), "round": group(2), "tournament": F.when(named == "", "Unknown").otherwise(named)}
+    read = staged.withColumn("_err", err).withColumns({name: F.when(F.col("_err").isNull(), c) for name, c in columns.items()})
+    return read.withColumn("err", F.col("_err")).drop("_parts", "_code", "_before", "_err")
 
 
 def split_players(names: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreline.sources.scratch import written
+
 #: Least mean brightness of a frame worth reading, and least mean change from the last kept one.
 DARK, CHANGE = 15.0, 3.0
 
@@ -21,17 +23,20 @@ def dark_frame_skip(frames: DataFrame, vector: str = "vec", least: float = DARK)
 def anchor_dedup(frames: DataFrame, change: float = CHANGE) -> DataFrame:
     """(video_id, sec, kept): a frame is kept if it differs enough from the last kept one; the first always is."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sec")
-        kept, anchor = [], None
-        for vec in rows["vec"]:
-            vec = np.asarray(vec, float)
-            keep = anchor is None or float(np.abs(vec - anchor).mean()) > change
-            anchor = vec if keep else anchor
-            kept.append(keep)
-        return pd.DataFrame({"video_id": rows["video_id"], "sec": rows["sec"], "kept": kept})
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, anchor = None, None
+        for rows in batches:
+            kept = []
+            for ident, vec in zip(rows["video_id"], rows["vec"]):
+                vec = np.asarray(vec, float)
+                keep = ident != video or float(np.abs(vec - anchor).mean()) > change
+                video, anchor = ident, vec if keep else anchor
+                kept.append(keep)
+            yield pd.DataFrame({"video_id": rows["video_id"], "sec": rows["sec"], "kept": kept})
 
-    return frames.select("video_id", F.col("sec").cast("long"), "vec").groupBy("video_id").applyInPandas(fold, "video_id string, sec long, kept boolean")
+    # A video's frames pass by in order, batch by batch; only the last kept one is held.
+    ordered = frames.select("video_id", F.col("sec").cast("long"), "vec").repartition("video_id").sortWithinPartitions("video_id", "sec")
+    return ordered.mapInPandas(fold, "video_id string, sec long, kept boolean")
 
 
 def forward_fill_frame(kept: DataFrame) -> DataFrame:
@@ -56,7 +61,7 @@ def frame_result_join(mapping: DataFrame, results: DataFrame) -> DataFrame:
 
 def frames_to_scoreboard(frames: DataFrame, enrich: Callable[[Column], Column], cache: DataFrame | None = None) -> DataFrame:
     """(video_id, sec, frame, text): enrich reads only distinct frames that cache (video_id, frame, text) lacks."""
-    mapping = forward_fill_frame(anchor_dedup(frames))
+    mapping = written(forward_fill_frame(anchor_dedup(frames)), "mapping")  # it is read twice
     todo = pending_frames(mapping, cache) if cache is not None else unique_frames(mapping)
     read = todo.join(frames.select("video_id", F.col("sec").alias("frame"), "vec"), ["video_id", "frame"]).select("video_id", "frame", enrich(F.col("vec")).alias("text"))
     results = read if cache is None else read.unionByName(cache.select("video_id", "frame", "text"))

@@ -7,11 +7,10 @@ video_offset_seconds, is_doubles), participants (match_id, player, side) and pla
 
 from __future__ import annotations
 
-import re
-import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreline.functions import titles as tt
@@ -117,30 +116,71 @@ def import_summary(before: dict[str, DataFrame], after: dict[str, DataFrame]) ->
     return counts.crossJoin(after["videos"].agg(F.count("*").alias("videos"))).crossJoin(gone.agg(F.count("*").alias("deleted")))  # each side is one row
 
 
-def save_snapshot(catalogue: dict[str, DataFrame], folder: str) -> str:
-    """Writes all tables as a new version beside the old ones and then names it in the folder's pointer."""
-    spark = next(iter(catalogue.values())).sparkSession
-    version = f"v{uuid.uuid4().hex}"
+#: Hash parts of a stored catalogue: an import writes only those that its videos fall into.
+PARTS = 256
+
+
+def part_of(video_id: Column) -> Column:
+    return F.pmod(F.xxhash64(video_id), F.lit(PARTS)).cast("int")
+
+
+def save_import(folder: str, number: int, videos: DataFrame, run_ts: datetime, policy: str = "quarantine") -> None:
+    """Imports videos into the stored catalogue at folder as version number, newer than all before; a repeat replaces it.
+
+    Only the parts that the videos fall into are read and written anew; players and tournaments are added. What is
+    written counts once the pointer of its number is there.
+    """
+    spark = videos.sparkSession
+    videos = written(videos, "incoming")
+    parts = written(videos.select(part_of(F.col("video_id")).alias("part")).distinct(), "parts")
+    empty = truncate_all(spark)
+    before = load_snapshot(spark, folder, upto=number - 1, parts=parts) | {name: empty[name] for name in ("players", "tournaments")}
+    after = import_matches(before, videos, run_ts, policy)
+    owner = after["matches"].select("match_id", "video_id")
+    tables = {
+        "videos": after["videos"].withColumn("part", part_of(F.col("video_id"))),
+        "matches": after["matches"].withColumn("part", part_of(F.col("video_id"))),
+        "participants": after["participants"].join(owner, "match_id").withColumn("part", part_of(F.col("video_id"))).drop("video_id"),
+        # Only those of this import; readers take each of all versions once.
+        "players": after["players"],
+        "tournaments": after["tournaments"],
+    }
+    for name, table in tables.items():
+        table.select(*columns_of(name), *(["part"] if "part" in table.columns else [])).write.mode("overwrite").parquet(f"{folder}/v{number}/{name}")
+    parts.coalesce(1).write.mode("overwrite").parquet(f"{folder}/pointers/version={number}")
+
+
+def columns_of(name: str) -> list[str]:
+    return [c.split()[0] for c in SCHEMAS[name].split(", ")]
+
+
+def load_snapshot(spark: SparkSession, folder: str, upto: int | None = None, parts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The stored catalogue: of each part the last version that wrote it, up to one if asked; empty tables where there is none.
+
+    parts: (part); then videos, matches and participants of these parts only.
+    """
+    try:
+        found = spark.read.schema("part int, version long").parquet(f"{folder}/pointers")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return truncate_all(spark)
+    found = found if upto is None else found.filter(F.col("version") <= upto)
+    versions = sorted(r["version"] for r in found.select("version").distinct().collect())
+    if not versions:
+        return truncate_all(spark)
+    newest = found.groupBy("part").agg(F.max("version").alias("version"))  # PARTS rows
+    newest = newest.join(parts, "part", "left_semi") if parts is not None else newest
+    out = {}
     for name in SCHEMAS:
-        catalogue[name].write.parquet(f"{folder}/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{folder}/pointer")
-    return version
-
-
-def load_snapshot(spark: SparkSession, folder: str, version: str | None = None) -> dict[str, DataFrame]:
-    """The tables of a version, by default of the one whose pointer was written last; empty ones where there is none."""
-    if version is None:
-        try:
-            pointers = spark.read.schema("version string").parquet(f"{folder}/pointer").select("version", "_metadata.file_modification_time")
-            found = pointers.orderBy(F.col("file_modification_time").desc()).first()
-        except Exception as error:
-            if not re.search("PATH_NOT_FOUND", str(error)):
-                raise
-            found = None
-        if not found:
-            return truncate_all(spark)
-        version = found["version"]
-    return {name: spark.read.schema(schema).parquet(f"{folder}/{version}/{name}") for name, schema in SCHEMAS.items()}
+        split = name in ("videos", "matches", "participants")
+        schema = SCHEMAS[name] + (", part int" if split else "")
+        stored = spark.read.schema(schema).parquet(*[f"{folder}/v{v}/{name}" for v in versions])
+        if split:
+            version = F.regexp_extract(F.col("_metadata.file_path"), f"/v(\\d+)/{name}/", 1).cast("long")
+            stored = stored.withColumn("version", version).join(F.broadcast(newest), ["part", "version"], "left_semi")
+        out[name] = stored.select(*columns_of(name)) if split else stored.distinct()
+    return out
 
 
 def numbered_last_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -107,10 +107,24 @@ def unwatched(videos: DataFrame, history: DataFrame) -> DataFrame:
     return videos.join(history.select("url").distinct(), "url", "left_anti")
 
 
-def filter_vods(videos: DataFrame, tournament: str = "", title: str = "", gender: str = "MS", full_only: bool = False, nofilters: bool = False) -> DataFrame:
-    """Recordings that pass all that is asked, the last listed first; videos come from parse_vod_titles."""
+def filter_vods(
+    videos: DataFrame,
+    tournament: str = "",
+    title: str = "",
+    gender: str = "MS",
+    full_only: bool = False,
+    nofilters: bool = False,
+    recent: datetime | None = None,
+    history: DataFrame | None = None,
+) -> DataFrame:
+    """Recordings that pass all that is asked, the last listed first; videos come from parse_vod_titles.
+
+    recent: the moment from which only uploads of the last hours count; history: watched recordings, to be left out.
+    """
     keep = F.col("err").isNull()
     if not nofilters:
+        videos = recent_only(videos, recent) if recent else videos
+        videos = unwatched(videos, history) if history is not None else videos
         keep &= F.lower("tournament").contains(tournament.lower()) & F.lower("title").contains(title.lower())
         if gender:
             keep &= F.lower("gender") == gender.lower()

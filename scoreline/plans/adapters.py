@@ -6,23 +6,24 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: One shape for each rule that a title can meet: years and days in any place, parts that don't count, sessions, no year.
 _TITLE = """CASE o_orderkey % 12
-  WHEN 0 THEN 'LIVE! | Day ' || d || ' | Grand Star Contender Chennai ' || y || ' | Finals'
-  WHEN 1 THEN 'LIVE! | Quarterfinals | Day ' || d || ' | Grand Star Contender Chennai ' || y
-  WHEN 2 THEN 'LIVE! | Grand Champions Chongqing ' || y || ' Presented by AITO | Day ' || d || ' | Quarterfinals I Session ' || s
-  WHEN 3 THEN 'LIVE! | Day ' || d || ' Finals Session ' || s || ' | Grand Star Contender Chennai ' || y
-  WHEN 4 THEN 'LIVE! | Quarterfinals | Grand Finals Fukuoka ' || y
-  WHEN 5 THEN 'LIVE! | T1 | Q Day ' || d || ' | Grand Contender Muscat ' || y || ' | Session ' || s
-  WHEN 6 THEN 'Some Video Title'
-  WHEN 7 THEN 'LIVE! | Day ' || d || ' | No Year Here | Finals'
-  WHEN 8 THEN 'LIVE! | T4 | Q Day ' || d || ' | Singapore Smash ' || y || ' Presented by Resorts World Sentosa | Session ' || s
-  WHEN 9 THEN 'LIVE! | Infinity Arena | Day ' || d || ' | Singapore Smash ' || y || ' | Session ' || s
-  WHEN 10 THEN 'LIVE! | Grand Star Contender Doha ' || y || ' | Singles Semifinals and Mixed Doubles Final'
-  ELSE 'LIVE! | Day ' || d || ' | Extra | Grand Youth Contender Linz ' || y END"""
+  WHEN 0 THEN 'Court ' || s || ' | Harbour Open ' || y || ' | Day ' || d
+  WHEN 1 THEN 'LIVE! | Lakeside Masters ' || y || ' by Northwind | Evening finals Session ' || s
+  WHEN 2 THEN 'T' || s || ' | LIVE! | Day ' || d || ' | Valley Smash ' || y
+  WHEN 3 THEN 'Infinity Stage | Day ' || d || ' morning | Ridge Champions ' || y || ' | Semifinals session ' || s || ' | LIVE!'
+  WHEN 4 THEN 'LIVE! | Coast Youth Contender ' || y || ' | Warm-up'
+  WHEN 5 THEN 'LIVE! | Day ' || d || ' | Day ' || s || ' late | Island Cup ' || y
+  WHEN 6 THEN 'Studio talk of ' || y
+  WHEN 7 THEN 'LIVE! | Day ' || d || ' | Archive of 1999 | Rerun'
+  WHEN 8 THEN 'LIVE! | Island Cup ' || y
+  WHEN 9 THEN 'Quarterfinals | LIVE! | Ridge Champions ' || y || ' (replay) | Court 2'
+  WHEN 10 THEN 'LIVE! | Meadow Contender ' || y || ' | Team finals of Day ' || d
+  ELSE 'LIVE! | Lakeside Masters ' || y || ' | ' END"""
 
 _KEYS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, CAST(2020 + o_orderkey % 7 AS STRING) AS y, CAST(1 + o_orderkey % 7 AS STRING) AS d, CAST(1 + o_orderkey % 3 AS STRING) AS s FROM {orders}"
 
-_PLAYERS = "CASE {} WHEN 0 THEN 'SUN YINGSHA' WHEN 1 THEN 'WANG MANYU' WHEN 2 THEN 'LIN YUN-JU' WHEN 3 THEN 'TRULS MOREGARD' ELSE 'FELIX LEBRUN' END"
+_PLAYERS = "CASE {} WHEN 0 THEN 'ADA LINDQVIST' WHEN 1 THEN 'BRUNO OKAFOR' WHEN 2 THEN 'CHI-MEI TANAKA' WHEN 3 THEN 'DORA PELLEGRINI' ELSE 'EMIL VARGAS' END"
 
 _SCORES = f"""SELECT CONCAT('u', CAST(user_id AS STRING)) AS video_id, i, event_type NOT IN ('error', 'signup') AS success,
   {_PLAYERS.format("(i // 6 + user_id) % 5")} || CASE WHEN i % 6 = 4 THEN 'X' ELSE '' END AS player1,
@@ -52,12 +53,12 @@ FROM {orders}""",
     "uploads": "SELECT CONCAT('v', CAST(o_orderkey AS STRING)) AS video_id, CONCAT('v', CAST(o_orderkey AS STRING)) AS youtube_id, o_orderdate AS upload_date, o_orderpriority AS video_title FROM {orders}",
     "playlist": """SELECT CAST(o_custkey AS STRING) AS channel, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS INT) AS pos,
   CONCAT('v', CAST(o_orderkey AS STRING)) AS video_id,
-  CASE o_orderkey % 7 WHEN 0 THEN 'Opening Ceremony' WHEN 1 THEN 'Pre-Show' WHEN 2 THEN 'Semi-Finals' WHEN 3 THEN 'Finals & Closing Ceremony' WHEN 4 THEN 'Grand Champions Chongqing 2026 Day 1' WHEN 5 THEN 'Award Ceremony for Finals' ELSE 'Grand Contender Muscat' END AS title,
+  CASE o_orderkey % 7 WHEN 0 THEN 'Draw ceremony' WHEN 1 THEN 'Morning Show' WHEN 2 THEN 'Last sixteen' WHEN 3 THEN 'Ceremony after the Finals' WHEN 4 THEN 'Ridge Champions 2026 Day 1' WHEN 5 THEN 'Review show: Finals' ELSE 'Meadow Contender' END AS title,
   CASE o_orderstatus WHEN 'F' THEN 'was_live' WHEN 'O' THEN 'is_upcoming' ELSE 'is_live' END AS live_status, o_orderkey,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(1700000000 + o_orderkey AS DOUBLE) END AS release_timestamp, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(1600000000 + o_orderkey AS DOUBLE) END AS timestamp
 FROM {orders}""",
     "processed": "SELECT CONCAT('v', CAST(o_orderkey AS STRING)) AS video_id, o_orderdate AS upload_date, CAST(o_custkey AS STRING) AS channel FROM {orders} WHERE o_orderstatus = 'F'",
-    "schedule": """SELECT o_orderkey AS match_id, CASE o_custkey % 6 WHEN 0 THEN 'Grand Champions Macao' WHEN 1 THEN 'Singapore Smash' WHEN 2 THEN 'Grand Youth Contender Linz' WHEN 3 THEN 'Grand Star Contender Doha' WHEN 4 THEN 'Asian Cup' END AS tournament,
+    "schedule": """SELECT o_orderkey AS match_id, CASE o_custkey % 6 WHEN 0 THEN 'Ridge Champions' WHEN 1 THEN 'Valley Smash' WHEN 2 THEN 'Coast Youth Contender' WHEN 3 THEN 'Meadow Contender' WHEN 4 THEN 'Island Cup' END AS tournament,
   CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE CAST(2020 + o_custkey % 7 AS INT) END AS year, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Day ' || CAST(o_orderkey % 4 AS STRING) END AS day,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 4 AS INT) END AS session, o_orderdate AS upload_date,
   CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderdate END AS effective_timestamp, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 4 = 0 END AS is_doubles,

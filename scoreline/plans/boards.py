@@ -14,6 +14,8 @@ from scoreline.operators import scoreboard as sb
 from scoreline.operators import search as se
 from scoreline.plans.adapters import frame
 from scoreline.plans.registry import query
+from scoreline.sources import files as fl
+from scoreline.sources.scratch import shared_path
 
 FIELDS = ", ".join(sb.FIELDS)
 GRID = "len AS (SELECT video_id, max(sec) + 10 AS duration FROM {board} GROUP BY video_id), grid AS (SELECT video_id, CAST(unnest(range(0, duration, 180)) AS BIGINT) AS t FROM len)"
@@ -87,9 +89,15 @@ def read_golden_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sb.read_golden_scoreboard(_golden(spark, sf_dir))
 
 
-@query()
+@query(
+    """WITH n AS (SELECT DISTINCT p_name AS a, p_partkey % 4 AS k, length(regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g')) AS n FROM part)
+SELECT a, CASE k WHEN 0 THEN a || 'x' WHEN 1 THEN a || 'xyz' WHEN 2 THEN 'qq' || a ELSE '-' || upper(a) END AS b, CASE k WHEN 0 THEN 2.0 * n / (2 * n + 1) WHEN 1 THEN 2.0 * n / (2 * n + 3) WHEN 2 THEN 2.0 * n / (2 * n + 2) ELSE 1 END >= 0.92 AS similar FROM n"""
+)
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("a"), F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 3 == 0, "x").otherwise("xyz")).alias("b")).distinct()
+    """Names against themselves with one, two or three letters more, or written otherwise: the ratio follows from their length."""
+    name, kind = F.col("p_name"), F.col("p_partkey") % 4
+    other = F.when(kind == 0, F.concat(name, F.lit("x"))).when(kind == 1, F.concat(name, F.lit("xyz"))).when(kind == 2, F.concat(F.lit("qq"), name)).otherwise(F.concat(F.lit("-"), F.upper(name)))
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(name.alias("a"), other.alias("b")).distinct()
     return names.select("a", "b", similar_column(F.col("a"), F.col("b")).alias("similar"))
 
 
@@ -127,12 +135,12 @@ def dedup_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.dedup_starts(starts.select("video_id", F.lit(1).alias("phase"), F.col("t").alias("ord"), F.col("actual_ts").alias("start"), "player1", "player2"))
 
 
-@query(
-    f"""WITH {BISECTED}, cand AS (SELECT video_id, 1 AS phase, t AS t, actual_ts, player1, player2 FROM probed WHERE success AND set1 = 0 AND set2 = 0 AND game1 = 0 AND game2 = 0 UNION ALL SELECT video_id, 2, hi, start, player1, player2 FROM done),
-kept AS (SELECT video_id, unnest({FOLD.replace("ORDER BY t)", "ORDER BY phase, t)").format(ALIKE + " OR abs(k.ts - x[1].ts) < 300")}) AS k FROM cand GROUP BY video_id)
-SELECT v.video_id, k.ts AS start, printf('%02d:%02d:%02d', CAST(trunc(k.ts) AS BIGINT) // 3600, CAST(trunc(k.ts) AS BIGINT) % 3600 // 60, CAST(trunc(k.ts) AS BIGINT) % 60) AS start_hms, k.player1 AS player1, k.player2 AS player2,
-CASE WHEN k IS NULL THEN 'No match starts found' END AS error FROM (SELECT DISTINCT video_id FROM {{board}}) v LEFT JOIN kept ON v.video_id = kept.video_id"""
-)
+STARTS = f"""{BISECTED}, cand AS (SELECT video_id, 1 AS phase, t AS t, actual_ts, player1, player2 FROM probed WHERE success AND set1 = 0 AND set2 = 0 AND game1 = 0 AND game2 = 0 UNION ALL SELECT video_id, 2, hi, start, player1, player2 FROM done),
+kept AS (SELECT video_id, unnest({FOLD.replace("ORDER BY t)", "ORDER BY phase, t)").format(ALIKE + " OR abs(k.ts - x[1].ts) < 300")}) AS k FROM cand GROUP BY video_id),
+starts AS (SELECT v.video_id, k.ts AS start, k.player1 AS player1, k.player2 AS player2, CASE WHEN k IS NULL THEN 'No match starts found' END AS error FROM (SELECT DISTINCT video_id FROM {{board}}) v LEFT JOIN kept ON v.video_id = kept.video_id)"""
+
+
+@query(f"WITH {STARTS} SELECT video_id, start, printf('%02d:%02d:%02d', CAST(trunc(start) AS BIGINT) // 3600, CAST(trunc(start) AS BIGINT) % 3600 // 60, CAST(trunc(start) AS BIGINT) % 60) AS start_hms, player1, player2, error FROM starts")
 def match_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.match_starts(frame(spark, sf_dir, "board"))
 
@@ -180,7 +188,10 @@ def fuzzy_pair_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["video_id", "t"]).select("video_id", "t", same_pair(F.col("player1"), F.col("player2"), F.col("q1"), F.col("q2")).alias("same"))
 
 
-@query()
+@query(
+    f"""WITH {STARTS}, m AS (SELECT video_id, string_agg('{{"timestamp":' || CAST(trunc(start) AS INT) || ',"player1":"' || player1 || '","player2":"' || player2 || '"}}', ',' ORDER BY CAST(trunc(start) AS INT), player1, player2) AS listed FROM starts GROUP BY video_id)
+SELECT video_id, '{{"video_id":"' || video_id || '","video_title":"Title of ' || video_id || '","upload_date":"1700000000","matches":[' || coalesce(listed, '') || ']' || CASE WHEN listed IS NULL THEN ',"error":"No match starts found"' ELSE '' END || '}}' AS doc FROM m"""
+)
 def write_match_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     board = frame(spark, sf_dir, "board")
     videos = board.select("video_id").distinct().select("video_id", F.concat(F.lit("Title of "), "video_id").alias("video_title"), F.lit("1700000000").alias("upload_date"))
@@ -240,31 +251,38 @@ def frame_result_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _brightness(vec: Column) -> Column:
+    """What stands for a recogniser: how many components are above zero."""
+
     @F.pandas_udf("string")
     def read(vectors: pd.Series) -> pd.Series:
-        return vectors.map(lambda v: f"{sum(v):.3f}")
+        return vectors.map(lambda v: f"{(v > 0).sum()} bright")
 
     return read(vec)
 
 
-@query()
+SHOWN = f"{ANCHORS}, m AS (SELECT video_id, sec, max(CASE WHEN kept THEN sec END) OVER (PARTITION BY video_id ORDER BY sec) AS frame FROM a)"
+
+
+@query(f"WITH {SHOWN} SELECT m.video_id, m.sec, m.frame, CASE WHEN m.frame % 3 = 0 THEN 'known' ELSE len(list_filter(v, lambda x: x > 0)) || ' bright' END AS text FROM m JOIN f ON f.video_id = m.video_id AND f.sec = m.frame")
 def resume_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames that an earlier run has read are not read again."""
     frames = _frames(spark, sf_dir)
     cache = frames.filter("sec % 3 = 0").select("video_id", F.col("sec").alias("frame"), F.lit("known").alias("text"))
-    return fr.frames_to_scoreboard(frames, _brightness, cache)
+    return fr.frames_to_scoreboard(frames, _brightness, cache).select("video_id", "sec", "frame", "text")
 
 
-@query()
+@query(f"WITH {SHOWN} SELECT m.video_id, m.sec, m.frame, len(list_filter(v, lambda x: x > 0)) || ' bright' AS text FROM m JOIN f ON f.video_id = m.video_id AND f.sec = m.frame")
 def frames_to_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fr.frames_to_scoreboard(_frames(spark, sf_dir), _brightness)
+    return fr.frames_to_scoreboard(_frames(spark, sf_dir), _brightness).select("video_id", "sec", "frame", "text")
 
 
 @query("SELECT regexp_extract(path, '[^/]+$') AS image, arg_max(o_orderpriority, o_orderkey) AS player FROM (SELECT *, CASE WHEN o_orderkey % 9 = 0 THEN 'dir/' ELSE 'dir/img' || o_custkey || '.jpg' END AS path FROM orders) o WHERE regexp_extract(path, '[^/]+$') <> '' GROUP BY 1")
 def read_expected_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(F.col("o_orderkey") % 9 == 0, "dir/").otherwise(F.concat(F.lit("dir/img"), F.col("o_custkey").cast("string"), F.lit(".jpg")))
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(path.alias("image_path"), F.col("o_orderkey").alias("line"), F.col("o_orderpriority").alias("player"))
-    return ck.read_expected_csv(rows)
+    folder = shared_path(spark, "expected")
+    rows.write.option("header", True).csv(folder)
+    return ck.read_expected_csv(fl.read_expected_csv_files(spark, folder).withColumn("line", F.col("line").cast("long")))
 
 
 IMAGE = "video_id || '-' || CAST(CAST(t AS BIGINT) AS STRING)"

@@ -141,9 +141,9 @@ def filter_new_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.filter_new_streams(frame(spark, sf_dir, "playlist"), "Finals").select(ORDER)
 
 
-@query("SELECT channel, pos, video_id, title FROM {playlist} WHERE contains(title, 'Grand')")
+@query("SELECT channel, pos, video_id, title FROM {playlist} WHERE contains(title, 'Champions')")
 def filter_process_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pl.filter_process_queue(frame(spark, sf_dir, "playlist"), "Grand").select(ORDER)
+    return pl.filter_process_queue(frame(spark, sf_dir, "playlist"), "Champions").select(ORDER)
 
 
 @query("SELECT channel, pos, video_id FROM {playlist} WHERE pos <= 5")

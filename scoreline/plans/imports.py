@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline.operators import importer as im
-from scoreline.plans.adapters import frame
+from scoreline.plans.adapters import TABLES, frame
 from scoreline.plans.registry import query
 from scoreline.plans.titles import PARSED, RUN_TS
 from scoreline.sources import files as fl
-from scoreline.streaming.jobs import watch_time
+from scoreline.sources.scratch import shared_path
 
 #: Each video's matches: every name on side one, and one fixed opponent.
 LISTED = "listed AS (SELECT video_id, l_linenumber, l_partkey, offset_s, side, row_number() OVER (PARTITION BY video_id ORDER BY offset_s, side) - 1 AS match_pos FROM (SELECT DISTINCT video_id, l_linenumber, 0 AS l_partkey, offset_s, side FROM {video_matches}) m)"
@@ -35,11 +37,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {LISTED}, n AS (SELECT video_id, count(*) AS n FROM listed GROUP BY video_id) SELECT v.video_id AS file, CASE WHEN pos % 10 <> 3 THEN v.video_id END AS video_id, CASE WHEN pos % 10 <> 3 THEN title END AS video_title, CASE WHEN pos % 10 <> 3 THEN error END AS error,
-CAST(CASE WHEN pos % 10 <> 3 THEN coalesce(n, 0) ELSE -1 END AS INT) AS n_matches, CASE WHEN pos % 10 = 3 THEN 'no videos found' END AS file_err FROM {{videos}} v LEFT JOIN n USING (video_id)"""
+    f"""WITH {LISTED}, n AS (SELECT video_id, count(*) AS n FROM listed GROUP BY video_id), b AS (SELECT *, pos // 500 AS file, row_number() OVER (PARTITION BY pos // 500 ORDER BY pos) AS k FROM {{videos}})
+SELECT file, video_id, title AS video_title, error, CAST(coalesce(n, 0) AS INT) AS n_matches, NULL AS file_err FROM b LEFT JOIN n USING (video_id) WHERE file % 5 <> 1 AND (file % 5 <> 2 OR k = 1)
+UNION ALL SELECT DISTINCT file, NULL, NULL, NULL, -1, 'no videos found' FROM b WHERE file % 5 = 1"""
 )
 def read_match_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fl.match_videos(_docs(spark, sf_dir))
+    """Files of up to 500 videos each; every fifth holds an empty array, and every fifth its first video as one object."""
+    record = F.struct("pos", "video_id", "video_title", "upload_date", "matches", "error")
+    files = _videos(spark, sf_dir).groupBy(F.floor(F.col("pos") / 500).alias("file")).agg(F.sort_array(F.collect_list(record)).alias("v"))
+    doc = F.when(F.col("file") % 5 == 1, "[]").when(F.col("file") % 5 == 2, F.to_json(F.get("v", F.lit(0)))).otherwise(F.to_json("v"))
+    path = shared_path(spark, "matches")
+    files.select("file", doc.alias("value")).write.partitionBy("file").text(path)
+    rows = fl.read_match_json(spark, path).withColumn("file", F.regexp_extract("file", r"file=(\d+)/", 1).cast("long"))
     return rows.select("file", "video_id", "video_title", "error", F.coalesce(F.size("matches"), F.lit(-1)).alias("n_matches"), "file_err")
 
 
@@ -118,29 +127,39 @@ def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 6
     duration = F.when(k == 0, "1:02").when(k == 1, "").when(k == 2, "1:2:3:4").otherwise("59")
-    doc = F.to_json(F.struct(F.col("event_type").alias("url"), F.col("props").alias("title"), F.lit("20240101").alias("upload_date"), duration.alias("duration_string")))
+    doc = F.to_json(F.struct(F.concat_ws("/", "event_type", "event_id").alias("url"), F.col("props").alias("title"), F.lit("20240101").alias("upload_date"), duration.alias("duration_string")))
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.when(k == 4, F.concat(F.lit("WARNING "), doc)).when(k == 5, "{broken}").otherwise(doc).alias("line"))
 
 
-@query("SELECT event_id, event_type AS url, props AS title, CAST(CASE event_id % 6 WHEN 0 THEN 62 WHEN 3 THEN 59 END AS DOUBLE) AS seconds, CASE WHEN event_id % 6 = 2 THEN 'bad duration' END AS err FROM events WHERE event_id % 6 IN (0, 2, 3)")
+@query("SELECT event_type || '/' || event_id AS url, props AS title, CAST(CASE event_id % 6 WHEN 0 THEN 62 WHEN 3 THEN 59 END AS DOUBLE) AS seconds, CASE WHEN event_id % 6 = 2 THEN 'bad duration' END AS err FROM events WHERE event_id % 6 IN (0, 2, 3)")
 def read_ytdlp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fl.ytdlp_lines(_lines(spark, sf_dir)).select("event_id", "url", "title", "seconds", "err")
+    path = shared_path(spark, "listing")
+    _lines(spark, sf_dir).select("line").write.text(path)
+    return fl.read_ytdlp_lines(spark, path).select("url", "title", "seconds", "err")
 
 
 @query(
-    """WITH e AS (SELECT 'Cup ' || p_brand || '/' || p_size % 5 AS folder_t, p_type AS round, p_name AS players, p_partkey, p_partkey % 4 = 0 AS full_match FROM part),
+    """WITH e AS (SELECT 'Cup ' || p_brand || '/' || p_size % 2 AS folder_t, 'Round ' || p_size % 4 AS round, p_name AS players, p_partkey, p_partkey % 4 = 0 AS full_match FROM part),
 f AS (SELECT replace(folder_t, '/', ' and ') || '/' || round AS folder, CASE WHEN full_match THEN 'FULL_' ELSE '' END || players AS stem, p_partkey FROM e)
 SELECT folder, stem, max(p_partkey) AS pos FROM f GROUP BY folder, stem"""
 )
 def partitioned_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(
-        F.concat(F.lit("Cup "), "p_brand", F.lit("/"), (F.col("p_size") % 5).cast("string")).alias("tournament"), F.col("p_type").alias("round"), F.col("p_name").alias("players"), F.col("p_partkey").alias("pos"), (F.col("p_partkey") % 4 == 0).alias("full_match")
+        F.concat(F.lit("Cup "), "p_brand", F.lit("/"), (F.col("p_size") % 2).cast("string")).alias("tournament"), F.concat(F.lit("Round "), (F.col("p_size") % 4).cast("string")).alias("round"), F.col("p_name").alias("players"), F.col("p_partkey").alias("pos"), (F.col("p_partkey") % 4 == 0).alias("full_match")
     )
-    return fl.export_paths(rows).select("folder", "stem", "pos")
+    path = shared_path(spark, "export")
+    fl.partitioned_export(rows, path)
+    return spark.read.schema("folder string, stem string, pos long").json(path).select("folder", "stem", "pos")
+
+
+@query(f"{AFTER}, b AS (SELECT count(*) AS n FROM old), t(table_name, n) AS (SELECT 'matches', n FROM b UNION ALL SELECT 'participants', n FROM b UNION ALL SELECT 'players', 1 UNION ALL SELECT 'tournaments', 1 UNION ALL SELECT 'videos', n FROM b) SELECT table_name, n AS rows_before, 0 AS rows_after FROM t")
+def truncate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table of the catalogue before and after all of them are emptied."""
+    counts = lambda tables, name: [t.agg(F.lit(k).alias("table_name"), F.count("*").alias(name)) for k, t in tables.items()]
+    before, after = (reduce(DataFrame.unionByName, c) for c in (counts(_before(spark, sf_dir), "rows_before"), counts(im.truncate_all(spark), "rows_after")))
+    return before.join(after, "table_name")
 
 
-@query("SELECT user_id AS video_id, CAST(sum(s) AS BIGINT) AS watched_seconds FROM (SELECT 'u' || user_id AS user_id, CAST(floor(arg_max(value, (ts, event_id))) AS BIGINT) AS s FROM events GROUP BY 1, event_id // 100) e GROUP BY 1")
-def stream_watch_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("video_id"), F.floor(F.col("event_id") / 100).alias("session"), F.struct("ts", "event_id").alias("ts"), F.col("value").alias("position"))
-    return watch_time(rows)
+@query(f"SELECT table_name, CAST(ordinal_position AS INT) AS ordinal, column_name FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in TABLES)})")
+def list_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fl.list_columns({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}).select("table_name", "ordinal", "column_name")

@@ -35,6 +35,22 @@ def _ended(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+@query("SELECT user_id AS video_id, CAST(sum(s) AS BIGINT) AS watched_seconds FROM (SELECT 'u' || user_id AS user_id, CAST(floor(arg_max(value, (ts, value))) AS BIGINT) AS s FROM events GROUP BY 1, event_id // 100) e GROUP BY 1")
+def stream_watch_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions as a stream; of each video the total that the last batch with it gives."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("video_id"), F.floor(F.col("event_id") / 100).alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("position"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    out = shared_path(spark, "sink")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+
+    jobs.stream_watch_time(_as_stream(rows)).writeStream.foreachBatch(keep).option("checkpointLocation", shared_path(spark, "progress")).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    totals = spark.read.schema("video_id string, watched_seconds long, batch int").parquet(out)
+    return totals.groupBy("video_id").agg(F.max_by("watched_seconds", "batch").alias("watched_seconds"))
+
+
 @query(f"SELECT DISTINCT video_id, title FROM {{playlist}} p WHERE {NEW} AND NOT EXISTS (SELECT 1 FROM {{processed}} v WHERE v.video_id = p.video_id)")
 def stream_new_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     playlist = frame(spark, sf_dir, "playlist").withColumn("seen_at", F.timestamp_seconds(F.lit(1700000000)))

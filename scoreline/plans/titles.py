@@ -63,15 +63,22 @@ def parse_vod_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tt.parse_vod_titles(frame(spark, sf_dir, "vods")).select("pos", "full_match", "players", "gender", "round", "tournament", "err")
 
 
-@query(f"WITH {VODS} SELECT pos, url, tournament FROM read WHERE err IS NULL AND contains(lower(tournament), 'tour') AND gender = 'MS' AND full_match ORDER BY pos DESC")
+@query(f"""WITH {VODS} SELECT pos, url, tournament FROM read JOIN orders ON o_orderkey = pos WHERE err IS NULL AND contains(lower(tournament), 'tour') AND gender = 'MS' AND full_match
+AND o_orderstatus <> 'F' AND CAST(o_orderdate AS DATE) > TIMESTAMP '1998-01-01 12:00:00' - INTERVAL 48 HOURS ORDER BY pos DESC""")
 def filter_vods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pl.filter_vods(tt.parse_vod_titles(frame(spark, sf_dir, "vods")), tournament="tour", full_only=True).select("pos", "url", "tournament")
+    """Recent full matches of one tour that weren't watched."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    dated = frame(spark, sf_dir, "vods").join(orders.select(F.col("o_orderkey").alias("pos"), F.date_format("o_orderdate", "yyyyMMdd").alias("upload_date")), "pos")
+    return pl.filter_vods(tt.parse_vod_titles(dated), tournament="tour", full_only=True, recent=datetime(1998, 1, 1, 12), history=_watched(spark, sf_dir)).select("pos", "url", "tournament")
+
+
+def _watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'F'").select(F.concat(F.lit("https://example.com/watch?v="), F.col("o_orderkey").cast("string")).alias("url"))
 
 
 @query("""SELECT v.pos, v.url FROM {vods} v WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o_orderstatus = 'F' AND v.url = 'https://example.com/watch?v=' || o_orderkey)""")
 def unwatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'F'").select(F.concat(F.lit("https://example.com/watch?v="), F.col("o_orderkey").cast("string")).alias("url"))
-    return pl.unwatched(frame(spark, sf_dir, "vods"), history).select("pos", "url")
+    return pl.unwatched(frame(spark, sf_dir, "vods"), _watched(spark, sf_dir)).select("pos", "url")
 
 
 @query(

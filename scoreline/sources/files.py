@@ -79,6 +79,8 @@ def partitioned_export(matches: DataFrame, path: str, order: str = "pos") -> Non
     export_paths(matches, order).write.mode("overwrite").partitionBy("tournament", "round").json(path)
 
 
-def list_columns(tables: dict[str, DataFrame]) -> list[tuple[str, int, str, str, bool]]:
-    """(table, ordinal, column, type, nullable) of schemas, by table and ordinal."""
-    return [(t, i, f.name, f.dataType.simpleString(), f.nullable) for t in sorted(tables) for i, f in enumerate(tables[t].schema.fields, 1)]
+def list_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, ordinal, column_name, type, nullable) of the tables' schemas, by table and ordinal."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(t, i, f.name, f.dataType.simpleString(), f.nullable) for t in sorted(tables) for i, f in enumerate(tables[t].schema.fields, 1)]
+    return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string, type string, nullable boolean")

@@ -19,14 +19,13 @@ from scoreline.sources.files import match_videos
 def stream_import(spark: SparkSession, incoming: str, folder: str, checkpoint: str, run_ts: datetime, wholetext: bool = True) -> StreamingQuery:
     """Imports each new match file under incoming once; a video that comes again replaces what it had.
 
-    A file is one JSON document, or, without wholetext, one on each line.
+    A file is one JSON document, or, without wholetext, one on each line. The checkpoint counts the versions at folder,
+    so both belong together.
     """
     files = spark.readStream.format("text").option("wholetext", wholetext).load(incoming).select(F.col("value").alias("doc"))
 
-    def load(batch: DataFrame, _: int) -> None:
-        videos = match_videos(batch).filter("file_err IS NULL").drop("file_err")
-        after = importer.import_matches(importer.load_snapshot(batch.sparkSession, folder), videos, run_ts)
-        importer.save_snapshot(after, folder)
+    def load(batch: DataFrame, number: int) -> None:
+        importer.save_import(folder, number, match_videos(batch).filter("file_err IS NULL").drop("file_err"), run_ts)
 
     return files.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -39,24 +38,28 @@ def stream_new_videos(rows: DataFrame, videos: DataFrame, event_time: str = "see
 
 def watch_time(positions: DataFrame) -> DataFrame:
     """(video_id, watched_seconds): the last position of each session, whole seconds, added up."""
-    last = positions.groupBy("video_id", "session").agg(F.max_by(F.floor("position"), "ts").alias("seconds"))
+    last = positions.groupBy("video_id", "session").agg(F.max_by(F.floor("position"), F.struct("ts", "position")).alias("seconds"))
     return last.groupBy("video_id").agg(F.sum("seconds").cast("long").alias("watched_seconds"))
 
 
 class WatchTime(StatefulProcessor):
-    """Keeps each session's last position; a batch gives the video's new total."""
+    """Keeps each session's last position and the video's total, so that a batch only reads the sessions it has rows of."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.sessions = handle.getMapState("sessions", "session long", "ts timestamp, seconds long")
+        self.total = handle.getValueState("total", "seconds long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        total = self.total.get()[0] if self.total.exists() else 0
         for pdf in rows:
             for session, group in pdf.groupby("session"):
-                row = group.sort_values("ts").iloc[-1]
+                row = group.sort_values(["ts", "position"]).iloc[-1]
                 known = self.sessions.getValue((int(session),)) if self.sessions.containsKey((int(session),)) else None
-                if known is None or row["ts"] >= pd.Timestamp(known[0]):
-                    self.sessions.updateValue((int(session),), (row["ts"].to_pydatetime(), int(row["position"] // 1)))
-        total = sum(v[1] for v in self.sessions.values())
+                seconds = int(row["position"] // 1)
+                if known is None or (row["ts"], seconds) >= (pd.Timestamp(known[0]), known[1]):
+                    total += seconds - (known[1] if known is not None else 0)
+                    self.sessions.updateValue((int(session),), (row["ts"].to_pydatetime(), seconds))
+        self.total.update((total,))
         yield pd.DataFrame({"video_id": [key[0]], "watched_seconds": [total]})
 
     def close(self) -> None:

@@ -13,7 +13,7 @@ from scoreline.sources import files as fl
 from scoreline.streaming import jobs
 
 NOW = datetime(2026, 2, 1, 12)
-TITLE = "LIVE! | T4 | Day 1 | WTT Star Contender Chennai 2026 | Session 1"
+TITLE = "Court 3 | Harbour Open 2026 | Day 1"
 
 
 def record(vid, matches=(), title=TITLE, error=None, day=None):
@@ -72,7 +72,7 @@ def test_stream_watch_time_equals_batch(spark, tmp_path):
 
 
 def test_stream_new_videos(spark, tmp_path):
-    rows = [("a", "Day 1", datetime(2026, 1, 1)), ("a", "Day 1", datetime(2026, 1, 1)), ("b", "Award Ceremony", datetime(2026, 1, 1)), ("c", "Day 2", datetime(2026, 1, 1))]
+    rows = [("a", "Day 1", datetime(2026, 1, 1)), ("a", "Day 1", datetime(2026, 1, 1)), ("b", "Draw ceremony", datetime(2026, 1, 1)), ("c", "Day 2", datetime(2026, 1, 1))]
     df = spark.createDataFrame(rows, "video_id string, title string, seen_at timestamp")
     df.write.parquet(f"{tmp_path}/in")
     fresh = jobs.stream_new_videos(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), spark.createDataFrame([("c",)], "video_id string"))
@@ -88,8 +88,9 @@ def test_queues(spark, tmp_path):
     old = queue(spark, ("B", "x"), ("C", "x"))
     both = pl.queue_prepend(queue(spark, ("A", "x")), old).orderBy("pos")
     assert [r.video_id for r in both.collect()] == ["A", "B", "C"]
-    titles = [("1", "Opening Ceremony"), ("2", "Pre-Show"), ("3", "Semi-Finals"), ("4", "Finals & Closing Ceremony"), ("5", "Award Ceremony for Finals")]
-    assert sorted(r.video_id for r in pl.filter_new_streams(queue(spark, *titles)).collect()) == ["3", "4", "5"]
+    titles = [("1", "Morning SHOW"), ("2", "Day 2"), ("3", "showdown ceremony"), ("4", "FINALS with ceremony"), ("5", "Final show")]
+    assert sorted(r.video_id for r in pl.filter_new_streams(queue(spark, *titles)).collect()) == ["2", "4"]
+    assert [r.video_id for r in pl.filter_new_streams(queue(spark, *titles), "Day").collect()] == ["2"]
     assert [r.video_id for r in pl.filter_unprocessed(both, spark.createDataFrame([("B",)], "video_id string")).orderBy("pos").collect()] == ["A", "C"]
     none = spark.createDataFrame([], "channel string, cutoff string")
     assert pl.after_cutoff(both, none).count() == 0
@@ -99,7 +100,7 @@ def test_queues(spark, tmp_path):
 
 
 def test_queue_advance(spark):
-    rows = queue(spark, ("C", "WTT"), ("B", "WTT"), ("A", "WTT"))
+    rows = queue(spark, ("C", "Cup"), ("B", "Cup"), ("A", "Cup"))
     stays = lambda outcome, name="": [r.video_id for r in pl.queue_advance(rows, outcome, name).filter("stays").orderBy("pos").collect()]
     of = lambda vid, kind: F.when(F.col("video_id") == vid, kind).otherwise("ok")
     assert stays(F.lit("ok")) == [] and stays(of("B", "failed")) == ["B"] and stays(of("A", "import_failed")) == ["C", "B", "A"]
@@ -121,7 +122,7 @@ def test_lines_and_exports(spark, tmp_path):
     assert sorted((r.folder, r.stem, r.pos) for r in fl.export_paths(rows).collect()) == [("T and 1/R", "A and B", 1), ("T and 1/R", "FULL_A and B", 2)]
     fl.partitioned_export(rows, f"{tmp_path}/tree")
     assert spark.read.json(f"{tmp_path}/tree").count() == 2
-    assert fl.list_columns({"b": rows, "a": df})[0] == ("a", 1, "line", "string", True)
+    assert tuple(fl.list_columns({"b": rows, "a": df}).first()) == ("a", 1, "line", "string", True)
 
 
 def test_frames(spark):

@@ -11,7 +11,7 @@ from scoreline.operators import search as se
 from scoreline.streaming import jobs
 
 BOARD = "video_id string, sec int, success boolean, player1 string, player2 string, set1 int, set2 int, game1 int, game2 int"
-NAMES = ["SUN YINGSHA", "WANG MANYU", "LIN YUN-JU", "TRULS MOREGARD", "FELIX LEBRUN", "SABINE WINTER", "MIWA HARIMOTO", "JANG WOOJIN"]
+NAMES = ["ADA LINDQVIST", "BRUNO OKAFOR", "CHI-MEI TANAKA", "DORA PELLEGRINI", "EMIL VARGAS", "FARAH NASSER", "GUSTAV HOLM", "HANA KOVACS"]
 
 
 def video(rng, vid):
