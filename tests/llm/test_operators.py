@@ -706,3 +706,51 @@ def test_packing_asks_for_all_terms_of_a_seed():
     bounds = np.append(0, np.cumsum([len(d) for d in docs]))
     order = [d for d, *_ in packing.fill_windows(np.concatenate(docs).astype(np.uint32), bounds, 1000)]
     assert order == [0, 1, 2]
+
+
+def naive_scores(docs, query, df, count, mean):
+    """BM25 of each document for the distinct terms of a query, written out."""
+    out = []
+    for doc in docs:
+        total = 0.0
+        for term in set(query):
+            tf = doc.count(term)
+            idf = np.log(1 + (count - df[term] + 0.5) / (df[term] + 0.5))
+            total += idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(doc) / mean))
+        out.append(total)
+    return out
+
+
+def test_bm25_and_windows_against_plain_ones():
+    rng = random.Random(25)
+    docs = [[rng.randrange(60) for _ in range(rng.randrange(1, 40))] for _ in range(50)]
+    bounds = np.append(0, np.cumsum([len(d) for d in docs]))
+    flat = np.array([t for d in docs for t in d], np.uint32)
+    df = np.array([sum(t in d for d in docs) for t in range(61)], float)
+    corpus = packing.Corpus(df, 50.0, float(len(flat)))
+    index = packing.Index(flat, bounds, corpus)
+    for q in range(50):
+        assert np.allclose(index.scores(flat[bounds[q] : bounds[q + 1]]), naive_scores(docs, docs[q], df, 50, len(flat) / 50), rtol=1e-5)
+    # The whole greedy filling: seed, then unused neighbours by score, ties to the later document.
+    window, unused, want, rest, room, opens = 64, list(range(50)), [], None, 64, True
+    while unused or rest:
+        if rest is None:
+            rest = (unused.pop(0), 0)
+        seed = rest[0]
+        queue = None
+        while rest:
+            doc, start = rest
+            n = min(len(docs[doc]) - start, room)
+            want.append((doc, start, n))
+            room -= n
+            rest = (doc, start + n) if start + n < len(docs[doc]) else None
+            if room == 0:
+                room = window
+                break
+            if queue is None:
+                score = naive_scores(docs, docs[seed], df, 50, len(flat) / 50)
+                queue = sorted(unused, key=lambda d: (round(score[d], 9), d))
+            if queue:
+                rest = (queue.pop(), 0)
+                unused.remove(rest[0])
+    assert [(d, a, n) for d, a, n, *_ in packing.fill_windows(flat, bounds, window, corpus)] == want
