@@ -1,7 +1,10 @@
 """Five stages from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept. The first four return the
-columns of documents; the last returns the pieces of packed sequences.
+columns of documents, extra ones too, whatever their names; the last returns the pieces of packed sequences.
+
+In all stages a row stands for itself: null ids, and ids that several texts share, are told apart by id and text
+together. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,42 +14,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline.llm import decontam, neardup, packing, quality, secrets
-from scoreline.llm.common import limit_batches, table, written
+from scoreline.llm.common import limit_batches, table
+from scoreline.sources.scratch import written
 
 #: Documents with a lower score are rejected.
 LEAST_QUALITY = 0.7
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and one column with all others, which then can't clash with what an operator adds."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("others"))
+
+
+def _unpacked(packed: DataFrame, columns: list[str], **changed) -> DataFrame:
+    """The given columns again, some of them changed."""
+    return packed.select(*[changed[c].alias(c) if c in changed else F.col(c) if c in ("doc_id", "text") else F.col("others")[c].alias(c) for c in columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier rejects."""
+    """Drops documents that the quality classifier rejects.
+
+    Null and empty texts have the score of a text without words; repeated rows are judged each. Without labels of both
+    kinds the classifier can tell nothing, and all documents stay.
+    """
     limit_batches(spark)
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).filter(F.col("score") >= LEAST_QUALITY).drop("score")
+    if not model[1].informed:
+        return docs
+    return _unpacked(quality.score_quality(_packed(docs), model).filter(F.col("score") >= LEAST_QUALITY), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id, nulls last, of each class of near-duplicates."""
+    """Keeps one document of each class of near-duplicates: the one with the smallest id, nulls last.
+
+    Of rows with this id and text the one whose columns have the smallest hash stays. Texts without a word are near
+    nothing: a row of them goes only if another has the same id and text.
+    """
     limit_batches(spark)
-    kept = neardup.row_classes(docs).filter(F.col("row_id") == F.col("kept_row")).select("row_id").distinct()
-    return docs.withColumn("row_id", neardup.row_id()).join(kept, "row_id", "left_semi").dropDuplicates(["row_id"]).select(docs.columns)
+    kept = neardup.row_classes(docs).filter(F.col("row_id") == F.col("kept_row")).select(F.col("row_id").alias("kept_id")).distinct()
+    rows = docs.select(neardup.row_id().alias("id"), F.struct(*docs.columns).alias("row")).join(kept, F.col("id") == F.col("kept_id"), "left_semi")
+    return rows.groupBy("id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage."""
+    """Drops documents that hold a benchmark passage, repeated rows of them too. Null and empty texts hold none.
+
+    Other texts with the same id stay. Without a benchmark all documents stay.
+    """
     limit_batches(spark)
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    named = docs.select(neardup.row_id().alias("doc_id"), "text")
+    found = decontam.contaminated(named, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id")).distinct()
+    return docs.join(found, neardup.row_id() == found["found_id"], "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by a mark; all documents stay."""
+    """Replaces secrets by a mark; all rows stay, null and empty texts as they are. n_chars follows the text."""
     limit_batches(spark)
-    found = secrets.find_secrets(docs)
-    return found.withColumns({"text": F.col("redacted"), "n_chars": F.when(F.size("secrets") > 0, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)
+    found = secrets.find_secrets(_packed(docs))
+    changed = {"text": F.col("redacted")}
+    if "n_chars" in docs.columns:
+        old = F.col("others")["n_chars"]
+        changed["n_chars"] = F.when(F.size("secrets") > 0, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(old)
+    return _unpacked(found, docs.columns, **changed)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of up to 4096 tokens."""
+    """Packs what is left into sequences of up to 4096 tokens. Null and empty texts are an end token; repeated rows are packed each."""
     limit_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
