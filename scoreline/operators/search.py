@@ -1,13 +1,15 @@
-"""Match starts: all open intervals of all videos are bisected together, one probe join a round."""
+"""Match starts: intervals between samples meet the seconds that they reach in one join and are bisected there."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreline.functions.similarity import same_players
-from scoreline.functions.text import format_hms, score_flags
+from scoreline.functions.text import EARLY_POINTS, format_hms, score_flags
 from scoreline.operators import scoreboard as sb
 from scoreline.sources.scratch import written
 
@@ -15,43 +17,51 @@ from scoreline.sources.scratch import written
 def bisect_starts(intervals: DataFrame, board: DataFrame) -> DataFrame:
     """(video_id, lo, hi, start, player1, player2, approximate) of transitions in which a start is found.
 
-    Rounds go on until no interval is wider than PRECISION: the widest takes log2(width / PRECISION). A round's result
-    is written, for it is read twice in the next one. Each round probes the middle of every interval wider than PRECISION. A 0:0 in a first game is kept, and the
-    search goes on before it; an early score is a fallback from which points count back in time.
+    Each interval is joined once with the seconds that its probes can reach and bisected where they are, until it is
+    no wider than PRECISION. A 0:0 in a first game is kept, and the search goes on before it; an early score is a
+    fallback from which points count back in time. An interval between two samples reaches some 200 seconds; a gap
+    without samples reaches only what little of a score stands in it.
     """
-    state = score_flags(intervals.select("video_id", "lo", "hi", *sb.FIELDS).withColumn("success", F.lit(True)))
-    early = F.when(F.col("is_early"), F.struct(F.col("hi").cast("double").alias("ts"), F.col("total_points").alias("points"), "player1", "player2"))
-    none = "struct<ts:double,player1:string,player2:string>"
-    state = state.select("video_id", F.col("lo").cast("double"), F.col("hi").cast("double"), F.col("lo").cast("double").alias("a"), F.col("hi").cast("double").alias("b"), early.alias("early"), F.lit(None).cast(none).alias("best"))
-    state = written(state.distinct())
-    # Rounds read only seconds that a probe of some interval can reach, from a table made once.
-    reach = state.select(F.col("video_id").alias("_v"), (F.col("lo") + min(sb.PROBE_OFFSETS) - 1).alias("_low"), (F.col("hi") + max(sb.PROBE_OFFSETS)).alias("_high"))
-    inside = (F.col("video_id") == F.col("_v")) & F.col("sec").between(F.col("_low"), F.col("_high"))
-    board = written(board.filter("success").join(reach, inside, "left_semi"))
-    open_ = F.col("b") - F.col("a") > sb.PRECISION
-    while state.filter(open_).head(1):
-        asked = state.withColumn("t", F.when(open_, (F.col("a") + F.col("b")) / 2))
-        probed = score_flags(sb.probe_scoreboard(asked.filter("t IS NOT NULL"), board)).select("video_id", "t", F.struct("success", "actual_ts", "is_match_start", "is_early", "total_points", *sb.FIELDS).alias("r"))
-        r = lambda c: F.col(f"r.{c}")
-        start = r("success") & r("is_match_start")
-        seen = r("success") & ~r("is_match_start") & r("is_early")
-        left = r("success") & (r("is_match_start") | r("is_early") | (r("total_points") > 0) | (r("set1") > 0) | (r("set2") > 0))
-        sooner = seen & (F.col("early").isNull() | (r("actual_ts") < F.col("early.ts")))
-        asked = asked.join(probed, ["video_id", "t"], "left")
-        state = asked.select(
-            "video_id",
-            "lo",
-            "hi",
-            F.when(F.col("t").isNotNull() & ~F.coalesce(left, F.lit(False)), F.col("t")).otherwise(F.col("a")).alias("a"),
-            F.when(F.col("t").isNotNull() & F.coalesce(left, F.lit(False)), F.col("t")).otherwise(F.col("b")).alias("b"),
-            F.when(F.coalesce(sooner, F.lit(False)), F.struct(r("actual_ts").alias("ts"), r("total_points").alias("points"), r("player1").alias("player1"), r("player2").alias("player2"))).otherwise(F.col("early")).alias("early"),
-            F.when(F.coalesce(start, F.lit(False)), F.struct(r("actual_ts").alias("ts"), r("player1").alias("player1"), r("player2").alias("player2"))).otherwise(F.col("best")).alias("best"),
-        )
-        state = written(state)
-    back = F.greatest(F.lit(0.0), F.col("early.ts") - F.col("early.points") * sb.SECONDS_PER_POINT)
-    return state.filter("best IS NOT NULL OR early IS NOT NULL").select(
-        "video_id", "lo", "hi", F.coalesce("best.ts", back).alias("start"), F.coalesce("best.player1", "early.player1").alias("player1"), F.coalesce("best.player2", "early.player2").alias("player2"), F.col("best").isNull().alias("approximate")
-    )
+    flags = score_flags(intervals.select("video_id", "lo", "hi", *sb.FIELDS).withColumn("success", F.lit(True)))
+    asked = flags.select("video_id", F.col("lo").cast("double"), F.col("hi").cast("double"), "is_early", "total_points", "player1", "player2").distinct()
+    seen = board.filter("success").select(F.col("video_id").alias("_v"), F.col("sec").cast("int").alias("sec"), *[F.col(c).alias(f"_{c}") for c in sb.FIELDS])
+    inside = (F.col("video_id") == F.col("_v")) & F.col("sec").between(F.col("lo") + min(sb.PROBE_OFFSETS) - 1, F.col("hi") + max(sb.PROBE_OFFSETS))
+    second = F.when(F.col("sec").isNotNull(), F.struct("sec", *[F.col(f"_{c}").alias(c) for c in sb.FIELDS]))
+    near = asked.join(seen, inside, "left").groupBy(*asked.columns).agg(F.collect_list(second).alias("seen"))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [(r.video_id, r.lo, r.hi, *found) for r in rows.itertuples() if (found := bisect(r))]
+            yield pd.DataFrame(out, columns=["video_id", "lo", "hi", "start", "player1", "player2", "approximate"])
+
+    return near.mapInPandas(search, "video_id string, lo double, hi double, start double, player1 string, player2 string, approximate boolean")
+
+
+def bisect(interval) -> tuple[float, str, str, bool] | None:
+    """(start, player1, player2, approximate) of one interval with the seconds in its reach."""
+    seen = {s["sec"]: s for s in interval.seen}
+    low, high, best = interval.lo, interval.hi, None
+    early = (interval.hi, interval.total_points, interval.player1, interval.player2) if interval.is_early else None
+    while high - low > sb.PRECISION:
+        t = (low + high) / 2
+        at, hit = next(((t + o, seen[int(t + o)]) for o in sb.PROBE_OFFSETS if int(t + o) in seen), (t, None))
+        if hit is None:
+            low = t
+            continue
+        sets, points = [hit["set1"], hit["set2"]], [hit["game1"], hit["game2"]]
+        total = None if None in points else sum(points)
+        first_game = sets == [0, 0]
+        if first_game and points == [0, 0]:
+            best, high = (at, hit["player1"], hit["player2"]), t
+            continue
+        is_early = first_game and total is not None and total <= EARLY_POINTS
+        if is_early and (early is None or at < early[0]):
+            early = (at, total, hit["player1"], hit["player2"])
+        begun = is_early or (total is not None and total > 0) or any(n is not None and n > 0 for n in sets)
+        low, high = (low, t) if begun else (t, high)
+    if best:
+        return (*best, False)
+    return (max(0.0, early[0] - early[1] * sb.SECONDS_PER_POINT), *early[2:], True) if early else None
 
 
 def dedup_starts(candidates: DataFrame) -> DataFrame:
