@@ -72,6 +72,7 @@ def sanitize_title(name: Column) -> Column:
 
 
 def infer_tournament_type(name: Column) -> Column:
+    # What a name must hold, in this order.
     kinds = [("Champions", "champions"), ("Smash", "smash"), ("Youth Contender", "youthContender"), ("Contender", "contender")]
     out = F.when(name.contains(kinds[0][0]), kinds[0][1])
     for text, kind in kinds[1:]:
@@ -91,7 +92,7 @@ def match_timestamp(upload_date: Column, offset: Column) -> Column:
 def _row(text: Column) -> dict[str, Column]:
     """name, sets and points of one line of a scoreboard, with defaults for what is missing."""
     trimmed = strip(text)
-    whole = r"^(.*?)(?:,\s*|\s+)(\d+(?:[^\d]*\d+)*)$"
+    whole = r"^(.*?)(?:,\s*|\s+)(\d+(?:[^\d]*\d+)*)$"  # fixed: the shape of a row
     fits = trimmed.rlike(whole)
     numbers = F.when(fits, F.regexp_extract_all(F.regexp_extract(trimmed, whole, 2), F.lit(r"\d+"), 0)).otherwise(F.regexp_extract_all(trimmed, F.lit(r"\d+"), 0))
     first = F.get(numbers, F.lit(0))
@@ -107,6 +108,7 @@ def _row(text: Column) -> dict[str, Column]:
 def parse_scoreboard_text(texts: DataFrame, text: str = "text") -> DataFrame:
     """Adds success, player1, player2, set1, set2, game1, game2 and error."""
     t = F.col(text)
+    # The patterns of both rows.
     one, two = F.regexp_extract(t, r"(?is)row 1:\s*(.*?)(?:\s*row 2|$)", 1), F.regexp_extract(t, r"(?is)row 2:\s*(.*?)$", 1)
     readable = t.rlike(r"(?is)row 1:\s*(.*?)(?:\s*row 2|$)") & t.rlike(r"(?is)row 2:\s*(.*?)$")
     staged = texts.withColumn("_ok", F.coalesce(readable, F.lit(False)))
@@ -149,6 +151,7 @@ def training_text(player1: Column, set1: Column, game1: Column, player2: Column,
 def parse_log_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Adds kind ('sampling', 'variance' or null) and the fields of both shapes of log lines."""
     t = F.col(line)
+    # The two shapes of log lines.
     sampling = r"Sampling at ([0-9:]+)\.\.\. Score: (.*) (\d+):(\d+) (.*), Game: (\d+):(\d+), (.*)$"
     variance = r"\[OCR_NAME_VARIANCE\] at ([0-9:]+): '(.*)' vs '(.*)' \(edit distance=1\), (.*)$"
     kind = F.when(t.rlike(sampling), "sampling").when(t.rlike(variance), "variance")

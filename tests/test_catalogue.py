@@ -25,19 +25,20 @@ def load(spark, *docs):
 
 
 def test_imports_replace_and_keep_errors(spark):
-    state = im.truncate_all(spark)
-    state = im.import_matches(state, load(spark, record("a", [(360, "PLAYER_A", "PLAYER_B"), (2700, "PLAYER_C/PLAYER_D", "PLAYER_E/PLAYER_F")])), NOW)
-    assert state["matches"].count() == 2 and state["participants"].count() == 6 and state["players"].count() == 6
+    state = im.import_matches(im.truncate_all(spark), load(spark, record("a", [(90, "ada", "bo"), (4000, " ada / cy ", "di/ed")])), NOW)
+    assert state["matches"].count() == 2 and state["participants"].count() == 6 and state["players"].count() == 5
     assert [r.is_doubles for r in state["matches"].orderBy("video_offset_seconds").collect()] == [False, True]
-    three = record("a", [(1, "PLAYER_A/PLAYER_A", "PLAYER_B"), (2, "X", "Y"), (3, "X", "Z")], title=TITLE.replace("Day 1", "Day 2 Finals"))
-    state = im.import_matches(state, load(spark, [three]), NOW)
-    assert state["matches"].count() == 3 and state["tournaments"].count() == 1
+    # The same video again: its matches, day and players' places are replaced, its tournament is found.
+    again = record("a", [(5, "ada/ada", "bo"), (6, "fay", "gil"), (7, "fay", "hal"), (8, "", "hal")], title=TITLE.replace("Day 1", "Day 2 | Semifinals Session 3"))
+    state = im.import_matches(state, load(spark, [again]), NOW)
+    assert state["matches"].count() == 4 and state["tournaments"].count() == 1
     assert state["participants"].filter("match_id = 'a#0' AND side = 'A'").count() == 1 and state["matches"].filter("match_id = 'a#0'").first().is_doubles
-    assert state["videos"].first().day == "Day 2 Finals" and state["videos"].first().upload_date == datetime(2026, 1, 15)
-    state = im.import_matches(state, load(spark, record("a", error="boom"), record("b", [(5, "X", "Y")], title="LIVE! | Day 1 | Other Cup 2025")), NOW)
+    assert state["videos"].first().day == "Day 2 Semifinals" and state["videos"].first().upload_date == datetime(2026, 1, 15)
+    # An error clears what a video had; another video brings its tournament; a good import clears the error.
+    state = im.import_matches(state, load(spark, record("a", error="no picture"), record("b", [(5, "fay", "gil")], title="Island Cup 2025 | Day 1 | Court 2")), NOW)
     assert state["matches"].count() == 1 and state["tournaments"].count() == 2
-    assert {r.video_id: r.processing_error for r in state["videos"].collect()} == {"a": "boom", "b": None}
-    state = im.import_matches(state, load(spark, record("a", [(9, "X", "Y")]), record("c", title="bad title")), NOW)
+    assert {r.video_id: r.processing_error for r in state["videos"].collect()} == {"a": "no picture", "b": None}
+    state = im.import_matches(state, load(spark, record("a", [(9, "fay", "gil")]), record("c", title="untold")), NOW)
     assert state["videos"].filter("video_id = 'a'").first().processing_error is None and state["rejected"].first().video_id == "c"
 
 
@@ -108,10 +109,12 @@ def test_queue_advance(spark):
 
 
 def test_group_order(spark):
-    rows = [("m1", "Day 1", 1, "2026-01-18T10:00"), ("m5", "Day 4 Finals", 1, "2026-01-16T10:00"), ("m3", "Q Day 1", 3, "2026-01-14T11:00"), ("m2", "Q Day 1", 2, "2026-01-14T11:00"), ("m4", "Q Day 2", 1, "2026-01-12T10:00"), ("m6", "Day 9", None, None)]
-    df = spark.createDataFrame([("t", 2026, *r[:3], datetime.fromisoformat(r[3]) if r[3] else None) for r in rows], "tournament string, year int, match_id string, day string, session int, effective_timestamp timestamp")
+    """Groups by the latest moment of theirs, newest first; then by session, largest first; those without a moment last."""
+    day = lambda d, h=9: datetime(2025, 3, d, h)
+    rows = [("p", "Heats", None, day(2)), ("q", "Heats", None, day(8)), ("r", "Last four", 2, day(5, 20)), ("s", "Last four", 4, day(5, 20)), ("t", "Last four", 2, day(1)), ("u", "Repechage", 7, None), ("w", "Last four", None, day(4))]
+    df = spark.createDataFrame([("Harbour Open", 2025, *r) for r in rows], "tournament string, year int, match_id string, day string, session int, effective_timestamp timestamp")
     got = ct.sort_groups(ct.matches_by_group(df)).orderBy("rank").collect()
-    assert [r.group_key for r in got] == ["Day 1 - Round 1", "Day 4 Finals - Round 1", "Q Day 1 - Round 3", "Q Day 1 - Round 2", "Q Day 2 - Round 1", "Day 9"]
+    assert [r.group_key for r in got] == ["Heats", "Last four - Round 4", "Last four - Round 2", "Last four", "Repechage - Round 7"]
 
 
 def test_lines_and_exports(spark, tmp_path):
