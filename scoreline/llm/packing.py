@@ -12,7 +12,7 @@
    rest opens the next window, whose neighbours it seeks. So every sequence but a shard's last one is exactly full.
 
 A shard's size doesn't depend on the corpus: the number of shards does, so memory is bounded by SHARD_BYTES and
-the longest document; the driver holds the pivots and SAMPLE keys. Rows that are equal in id and text are dealt out
+the longest document; the driver holds the pivots' projections, MAX_PIVOTS at most, and SAMPLE keys. Rows that are equal in id and text are dealt out
 by their place in the input, so that many of them don't meet in one shard.
 
 Defined results: null and empty texts are the end token alone; repeated rows are packed each; null ids stay null; an
@@ -40,6 +40,8 @@ SHARD_BYTES = 4 << 20
 K1, B = 1.2, 0.75
 #: Pivots for each shard, FAN at least in all; branches of a node of their tree, and its levels (10 bits of a key each).
 PIVOTS, FAN, LEVELS = 4, 512, 3
+#: No more pivots than this (64 MB), enough for 256 GB of text; beyond that more documents share a pivot.
+MAX_PIVOTS = 1 << 18
 #: Dimensions in which documents and pivots are compared, and terms that numpy projects at once.
 DIM, STEP = 64, 1 << 12
 #: Rows, about, whose keys tell where shards are cut.
@@ -253,11 +255,18 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
     total = coded.agg(F.sum("size")).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
     one_in = lambda n: F.pmod("hash", F.lit(max(1, int(counts[terms]) // n))) == 0
-    chosen = hashed.filter(one_in(max(FAN, PIVOTS * shards))).select("hash", "ids").distinct().toArrow().sort_by("hash").combine_chunks()
-    if not len(chosen):
-        chosen = pa.table({"ids": pa.array([np.array([END_ID], kind).tobytes()], pa.binary())})
-    ids, bounds = ids_of(chosen.column("ids").chunk(0), kind)
-    pivots = spark.sparkContext.broadcast(Pivots(projected(ids, bounds, projection(corpus.value))))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = projection(corpus.value)
+        for batch in batches:
+            if len(batch):
+                rows = projected(*ids_of(batch.column("ids"), kind), table)
+                yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["hash", "row"])
+
+    wanted = min(MAX_PIVOTS, max(FAN, PIVOTS * shards))
+    chosen = hashed.filter(one_in(wanted)).select("hash", "ids").mapInArrow(project, "hash long, row binary").distinct().toArrow().sort_by("hash")
+    rows = np.frombuffer(b"".join(chosen.column("row").to_pylist()), np.float32).reshape(-1, DIM)
+    pivots = spark.sparkContext.broadcast(Pivots(rows if len(rows) else np.zeros((1, DIM), np.float32)))
 
     def with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         table = projection(corpus.value)
@@ -270,7 +279,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
         for batch, keys in with_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("size")], names=["key", "size"])
 
-    sampled = hashed.filter(one_in(SAMPLE)).mapInArrow(sample, "key long, size long").toArrow()  # about SAMPLE rows
+    sampled = hashed.filter(F.pmod("salt", F.lit(max(1, int(counts[terms]) // SAMPLE))) == 0).mapInArrow(sample, "key long, size long").toArrow()  # about SAMPLE rows
     cuts = shard_cuts(sampled.column("key").to_numpy(), sampled.column("size").to_numpy(), shards)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
