@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreline.functions.similarity import same_pair
 from scoreline.functions.similarity import similar_names as similar_column
 from scoreline.functions.text import training_text
 from scoreline.operators import checks as ck
@@ -163,31 +164,25 @@ def skipped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.skipped_pairs(samples, starts)
 
 
-@query(
-    """SELECT a.video_id, a.t, CAST(a.player1 = b.player1 AS BOOLEAN) AS same FROM (SELECT * FROM {samples} WHERE success AND NOT ends_with(player1, 'X')) a JOIN (SELECT * FROM {samples} WHERE success AND NOT ends_with(player1, 'X')) b ON a.video_id = b.video_id AND a.t + 180 = b.t"""
-)
-def fuzzy_pair_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = frame(spark, sf_dir, "samples").filter("success AND NOT endswith(player1, 'X')")
-    b = a.select("video_id", (F.col("t") - 180).alias("t"), F.col("player1").alias("q1"), F.col("player2").alias("q2"))
-    from scoreline.functions.similarity import same_pair
-
-    return a.join(b, ["video_id", "t"]).select("video_id", "t", same_pair(F.col("player1"), F.col("player2"), F.col("q1"), F.col("q2")).alias("same"))
-
-
 #: SAME, of two samples that follow each other.
 NEXT = "(regexp_replace(a.player1, 'X$', '') = regexp_replace(b.player1, 'X$', '') AND a.player2 = b.player2) OR (regexp_replace(a.player1, 'X$', '') = b.player2 AND a.player2 = regexp_replace(b.player1, 'X$', ''))"
+FUZZY = f"SELECT a.video_id, a.t, CAST({NEXT} AS BOOLEAN) AS same FROM (SELECT * FROM {{samples}} WHERE success) a JOIN (SELECT * FROM {{samples}} WHERE success) b ON a.video_id = b.video_id AND a.t + 180 = b.t"
 
 
-@query(f"SELECT a.video_id, a.t, CAST({NEXT} AS BOOLEAN) AS same FROM (SELECT * FROM {{samples}} WHERE success) a JOIN (SELECT * FROM {{samples}} WHERE success) b ON a.video_id = b.video_id AND a.t + 180 = b.t")
-def fuzzy_pair_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all samples, those with noise in their names too; fuzzy_pair_match leaves them out."""
+@query(FUZZY)
+def fuzzy_pair_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples that follow each other, those with noise in their names too."""
     a = frame(spark, sf_dir, "samples").filter("success")
     b = a.select("video_id", (F.col("t") - 180).alias("t"), F.col("player1").alias("q1"), F.col("player2").alias("q2"))
-    from scoreline.functions.similarity import same_pair
-
     return a.join(b, ["video_id", "t"]).select("video_id", "t", same_pair(F.col("player1"), F.col("player2"), F.col("q1"), F.col("q2")).alias("same"))
 
 
+@query(FUZZY)
+def fuzzy_pair_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under the name that it had while fuzzy_pair_match left noise out."""
+    return fuzzy_pair_match(spark, sf_dir)
+
+
 @query(
     f"""WITH {STARTS}, m AS (SELECT video_id, string_agg('{{"timestamp":' || CAST(trunc(start) AS INT) || ',"player1":"' || player1 || '","player2":"' || player2 || '"}}', ',' ORDER BY CAST(trunc(start) AS INT), player1, player2) AS listed FROM starts GROUP BY video_id)
 SELECT video_id, '{{"video_id":"' || video_id || '","video_title":"Title of ' || video_id || '","upload_date":"1700000000","matches":[' || coalesce(listed, '') || ']' || CASE WHEN listed IS NULL THEN ',"error":"No match starts found"' ELSE '' END || '}}' AS doc FROM m"""
