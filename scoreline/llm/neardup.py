@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scoreline.llm.common import or_over, written
@@ -247,25 +247,28 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) to (id, root), root being the smallest id that edges lead to; ids without edges are left out.
 
     Alternates hanging each id's larger, then its smaller neighbours on its smallest neighbour, until nothing moves.
-    The smallest neighbour is added up before the shuffle and joined back as a table of one row an id, so that the
-    rows of an id with very many neighbours can be split. Links of one round are counted and summed, not compared.
+    The smallest neighbours of the first step are written, one row an id, and joined back, so that the rows of an id
+    with very many neighbours can be split.
     """
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, sums = counted(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    while before != (before := content(now)):
+    while sums != before:
         both = now.union(now.select("b", "a"))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = written(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        now = written(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct())
+        before = sums
+        now, sums = counted(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct())
     return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def content(edges: DataFrame) -> tuple[int, int, int]:
-    """The number of edges and two sums of their hashes: equal for equal sets of edges."""
-    total = lambda seed: F.coalesce(F.sum(F.xxhash64("a", "b", F.lit(seed)).cast("decimal(20,0)")), F.lit(0))
-    return tuple(int(x) for x in edges.agg(F.count("*"), total(1), total(2)).first())
+def counted(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges as a written table, and their number and two sums of their hashes: equal for equal sets of edges."""
+    seen = Observation()
+    total = lambda seed: F.sum(F.xxhash64("a", "b", F.lit(seed)).cast("decimal(20,0)"))
+    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), total(1).alias("one"), total(2).alias("two")))
+    return table, seen.get
 
 
 def row_id() -> Column:
