@@ -23,7 +23,8 @@ LEAST_QUALITY = 0.7
 
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id, text and one column with all others, which then can't clash with what an operator adds."""
-    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("others"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]
+    return docs.select("doc_id", "text", F.struct(*others).alias("others"))
 
 
 def _unpacked(packed: DataFrame, columns: list[str], **changed) -> DataFrame:
