@@ -80,7 +80,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, keep: list[str] | None = None)
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in RESULTS]
     rows = written(
         docs.select(
-            F.struct(F.lit(0).alias("_"), *kept).alias("row"),
+            F.struct(*kept or [F.lit(0).alias("none")]).alias("row"),
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("crc"),
             F.xxhash64(F.col("text").isNull(), "text").alias("group"),
