@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreline.llm.common import or_over, written
@@ -263,12 +263,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def counted(edges: DataFrame) -> tuple[DataFrame, dict]:
+def counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges as a written table, and their number and two sums of their hashes: equal for equal sets of edges."""
-    seen = Observation()
+    table = written(edges)
     total = lambda seed: F.sum(F.xxhash64("a", "b", F.lit(seed)).cast("decimal(20,0)"))
-    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), total(1).alias("one"), total(2).alias("two")))
-    return table, seen.get
+    return table, tuple(table.agg(F.count("*"), total(1), total(2)).first())
 
 
 def row_id() -> Column:
