@@ -48,7 +48,7 @@ LEAST_WORDS, ITEM_WORDS = 8, 64
 #: Benchmark items, and bytes of their texts, in one broadcast; a larger benchmark is searched for block by block.
 ITEMS, ITEM_BYTES = 20_000, 16 << 20
 #: Words, and window-item pairs, that numpy handles at once; rare words of items are looked up in so many blocks times items.
-STEP, PAIRS, HITS = 1 << 17, 1 << 14, 1 << 24
+STEP, PAIRS, HITS = 1 << 17, 1 << 14, 1 << 20
 #: A longer text is written as several rows, which overlap so that no passage is cut.
 PIECE, OVERLAP = 1 << 18, PASSAGE + 2 * AROUND + ITEM_WORDS
 
