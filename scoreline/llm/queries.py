@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import ann, chat, decontam, neardup, packing, quality, secrets, shards, tokens, urls
+from scoreline.llm import ann, chat, decontam, neardup, packing, quality, ranked, secrets, shards, tokens, urls
 from scoreline.llm.common import limit_batches, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -86,6 +86,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit_batches(spark)
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,6 +104,7 @@ QUERIES = {
         op8_nearest_neighbours,
         op9_sharding,
         op10_packing,
+        op11_ranked_lexical_search,
     )
 }
 
@@ -152,3 +158,24 @@ SELECT pair_id, any_value(common_turns) AS common_turns,
        coalesce(string_agg((stop - length(text) - 11) || ':' || stop, ',' ORDER BY n) FILTER (NOT shared AND side = 1 AND role = 'assistant'), '') AS rejected_spans
 FROM w GROUP BY pair_id
 """
+
+ORACLE["op11_ranked_lexical_search"] = r"""
+WITH cut AS (
+  SELECT 'd' AS kind, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  UNION ALL SELECT 'i', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+terms AS (SELECT kind, id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM cut),
+tf AS (SELECT kind, id, term, count(*) AS tf FROM terms GROUP BY kind, id, term),
+lengths AS (SELECT id, CAST(sum(tf) AS BIGINT) AS n FROM tf WHERE kind = 'd' GROUP BY id),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM lengths),
+df AS (SELECT term, count(*) AS df FROM tf WHERE kind = 'd' GROUP BY term),
+scores AS (
+  SELECT i.id AS item_id, d.id AS doc_id,
+         CAST(sum(i.tf * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+                  * ((1000000000 * d.tf) // (1000 * d.tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score
+  FROM tf i JOIN df ON i.term = df.term JOIN tf d ON d.kind = 'd' AND d.term = i.term
+  JOIN lengths ON lengths.id = d.id CROSS JOIN corpus
+  WHERE i.kind = 'i' GROUP BY i.id, d.id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""
