@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import ann, chat, decontam, neardup, packing, quality, ranked, secrets, shards, substrings, tokens, urls
+from scoreline.llm import ann, chat, decontam, neardup, packing, phrases, quality, ranked, secrets, shards, substrings, tokens, urls
 from scoreline.llm.common import limit_batches, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -96,6 +96,11 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit_batches(spark)
+    return phrases.mine_phrases(table(spark, sf_dir, "documents")).withColumn("rank", F.col("rank").cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -111,6 +116,7 @@ QUERIES = {
         op10_packing,
         op11_ranked_lexical_search,
         op12_substring_dedup,
+        op13_phrase_collocations,
     )
 }
 
@@ -201,3 +207,34 @@ SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coales
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
 """
+
+ORACLE["op13_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS p FROM split),
+sizes AS (SELECT unnest([1, 2, 3, 4]) AS size),
+grams AS (
+  SELECT lang, size, array_to_string(words[p : p + size - 1], ' ') AS phrase, count(*) AS f
+  FROM places JOIN sizes ON p + size - 1 <= len(words) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY lang),
+found AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS words, f AS a FROM grams WHERE size > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM found),
+parts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts c JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(words[1 : k], ' ')
+  JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(words[k + 1 :], ' ')),
+best AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT lang, array_to_string(words[p : p + s - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, size - s + 2)) AS p FROM (SELECT *, unnest(range(2, size)) AS s FROM found))
+  GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_phrases i ON b.lang = i.lang AND b.phrase = i.phrase
+  WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) k
+JOIN totals USING (lang) WHERE rank <= 2000
+"""
