@@ -7,14 +7,15 @@ video_offset_seconds, is_doubles), participants (match_id, player, side) and pla
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreline.functions import titles as tt
 from scoreline.functions.text import parse_upload_epoch
+from scoreline.sources.pointers import Folder
 from scoreline.sources.scratch import written
 
 SCHEMAS = {
@@ -116,71 +117,85 @@ def import_summary(before: dict[str, DataFrame], after: dict[str, DataFrame]) ->
     return counts.crossJoin(after["videos"].agg(F.count("*").alias("videos"))).crossJoin(gone.agg(F.count("*").alias("deleted")))  # each side is one row
 
 
-#: Hash parts of a stored catalogue: an import writes only those that its videos fall into.
+#: Hash parts of each table of a stored catalogue, and the column that they go by: an import reads and writes only those that it touches.
 PARTS = 256
+PART_KEY = {"tournaments": "tournament", "players": "player", "videos": "video_id", "matches": "video_id", "participants": "video_id"}
 
 
-def part_of(video_id: Column) -> Column:
-    return F.pmod(F.xxhash64(video_id), F.lit(PARTS)).cast("int")
+def part_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
+
+def touched_parts(rows: DataFrame, key: str) -> list[int]:
+    """The parts that these rows fall into, PARTS at most."""
+    return sorted(r["part"] for r in rows.select(part_of(F.col(key)).alias("part")).distinct().collect())
 
 
 def save_import(folder: str, number: int, videos: DataFrame, run_ts: datetime, policy: str = "quarantine") -> None:
     """Imports videos into the stored catalogue at folder as version number, newer than all before; a repeat replaces it.
 
-    Only the parts that the videos fall into are read and written anew; players and tournaments are added. What is
-    written counts once the pointer of its number is there.
+    A table's part stands in one folder, table/import=n-id/part=p, and the pointer of a version names the import that each
+    part was last written by. So an import lists, reads and writes only the folders of parts that its videos, players and
+    tournaments fall into, and a reader sees the version of one pointer. Folders that no pointer names any more are removed.
     """
     spark = videos.sparkSession
-    videos = written(videos, "incoming")
-    parts = written(videos.select(part_of(F.col("video_id")).alias("part")).distinct(), "parts")
-    empty = truncate_all(spark)
-    before = load_snapshot(spark, folder, upto=number - 1, parts=parts) | {name: empty[name] for name in ("players", "tournaments")}
-    after = import_matches(before, videos, run_ts, policy)
-    owner = after["matches"].select("match_id", "video_id")
-    tables = {
-        "videos": after["videos"].withColumn("part", part_of(F.col("video_id"))),
-        "matches": after["matches"].withColumn("part", part_of(F.col("video_id"))),
-        "participants": after["participants"].join(owner, "match_id").withColumn("part", part_of(F.col("video_id"))).drop("video_id"),
-        # Only those of this import; readers take each of all versions once.
-        "players": after["players"],
-        "tournaments": after["tournaments"],
-    }
-    for name, table in tables.items():
-        table.select(*columns_of(name), *(["part"] if "part" in table.columns else [])).write.mode("overwrite").parquet(f"{folder}/v{number}/{name}")
-    parts.coalesce(1).write.mode("overwrite").parquet(f"{folder}/pointers/version={number}")
+    store = Folder(spark, folder)
+    now = store.newest(upto=number - 1) or {}
+    staged = written(videos, "incoming")
+    parsed = written(stage_videos(staged, run_ts), "parsed")
+    people = participants_of(explode_matches(parsed.filter("err IS NULL")))
+    parts = {"videos": touched_parts(parsed, "video_id"), "tournaments": touched_parts(parsed.filter("err IS NULL"), "tournament"), "players": touched_parts(people, "player")}
+    parts |= {name: parts["videos"] for name in ("matches", "participants")}
+    before = {name: read_parts(spark, folder, name, now, parts[name]) for name in SCHEMAS}
+    after = import_matches(before, staged, run_ts, policy)
+    after["participants"] = after["participants"].join(after["matches"].select("match_id", "video_id"), "match_id")
+    pointers, attempt = {name: dict(now.get(name, {})) for name in SCHEMAS}, f"{number}-{uuid.uuid4().hex}"
+    for name, key in PART_KEY.items():
+        place = f"{folder}/{name}/import={attempt}"
+        rows = after[name].select(*columns_of(name), part_of(F.col(key)).alias("part"))
+        # Rebalanced by part: small parts are one file each, a large one is split by size.
+        rows.hint("rebalance", "part").write.partitionBy("part").parquet(place)
+        held = [n.removeprefix("part=") for n in store.names(f"{name}/import={attempt}") if n.startswith("part=")]
+        pointers[name] = {p: v for p, v in pointers[name].items() if int(p) not in parts[name]} | {p: attempt for p in held}
+    store.point(number, pointers)
+    remove_unnamed(store)
+
+
+def remove_unnamed(store: Folder) -> None:
+    """Removes all but the last pointers, and what earlier imports than the newest wrote and no pointer names any more."""
+    store.forget()
+    numbers = store.numbers()
+    kept = [store.value(n) for n in numbers]
+    for name in SCHEMAS:
+        named = {(v, p) for pointer in kept for p, v in pointer.get(name, {}).items()}
+        for place in store.names(name):
+            attempt = place.removeprefix("import=")
+            if int(attempt.split("-")[0]) < numbers[-1]:
+                held = [n.removeprefix("part=") for n in store.names(f"{name}/{place}") if n.startswith("part=")]
+                gone = [p for p in held if (attempt, p) not in named]
+                for where in [place] if len(gone) == len(held) else [f"{place}/part={p}" for p in gone]:
+                    store.remove(f"{name}/{where}")
 
 
 def columns_of(name: str) -> list[str]:
     return [c.split()[0] for c in SCHEMAS[name].split(", ")]
 
 
-def load_snapshot(spark: SparkSession, folder: str, upto: int | None = None, parts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The stored catalogue: of each part the last version that wrote it, up to one if asked; empty tables where there is none.
+def read_parts(spark: SparkSession, folder: str, name: str, pointer: dict, parts: list[int] | None = None) -> DataFrame:
+    """A table as a pointer names it, or only these parts of it: no other folder is listed."""
+    wanted = {p: v for p, v in pointer.get(name, {}).items() if parts is None or int(p) in set(parts)}
+    if not wanted:
+        return spark.createDataFrame([], SCHEMAS[name])
+    return spark.read.schema(SCHEMAS[name]).parquet(*[f"{folder}/{name}/import={v}/part={p}" for p, v in sorted(wanted.items())])
 
-    parts: (part); then videos, matches and participants of these parts only.
+
+def load_snapshot(spark: SparkSession, folder: str, upto: int | None = None, parts: list[int] | None = None) -> dict[str, DataFrame]:
+    """The stored catalogue as its newest pointer names it, or the newest up to a version; empty tables where there is none.
+
+    parts: then videos, matches and participants of these parts only. The frames can be read until KEEP more imports are done.
     """
-    try:
-        found = spark.read.schema("part int, version long").parquet(f"{folder}/pointers")
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return truncate_all(spark)
-    found = found if upto is None else found.filter(F.col("version") <= upto)
-    versions = sorted(r["version"] for r in found.select("version").distinct().collect())
-    if not versions:
-        return truncate_all(spark)
-    newest = found.groupBy("part").agg(F.max("version").alias("version"))  # PARTS rows
-    newest = newest.join(parts, "part", "left_semi") if parts is not None else newest
-    out = {}
-    for name in SCHEMAS:
-        split = name in ("videos", "matches", "participants")
-        schema = SCHEMAS[name] + (", part int" if split else "")
-        stored = spark.read.schema(schema).parquet(*[f"{folder}/v{v}/{name}" for v in versions])
-        if split:
-            version = F.regexp_extract(F.col("_metadata.file_path"), f"/v(\\d+)/{name}/", 1).cast("long")
-            stored = stored.withColumn("version", version).join(F.broadcast(newest), ["part", "version"], "left_semi")
-        out[name] = stored.select(*columns_of(name)) if split else stored.distinct()
-    return out
+    pointer = Folder(spark, folder).newest(upto) or {}
+    return {name: read_parts(spark, folder, name, pointer, parts if PART_KEY[name] == "video_id" else None) for name in SCHEMAS}
 
 
 def numbered_last_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:

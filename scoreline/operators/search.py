@@ -1,10 +1,13 @@
-"""Match starts: intervals between samples meet the seconds that they reach in one join and are bisected there."""
+"""Match starts: intervals between samples meet the seconds that they reach in buckets and are bisected together there."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,51 +20,77 @@ from scoreline.sources.scratch import written
 def bisect_starts(intervals: DataFrame, board: DataFrame) -> DataFrame:
     """(video_id, lo, hi, start, player1, player2, approximate) of transitions in which a start is found.
 
-    Each interval is joined once with the seconds that its probes can reach and bisected where they are, until it is
-    no wider than PRECISION. A 0:0 in a first game is kept, and the search goes on before it; an early score is a
-    fallback from which points count back in time. An interval between two samples reaches some 200 seconds; a gap
-    without samples reaches only what little of a score stands in it.
+    Intervals and seconds meet in buckets of INTERVAL seconds, so the join is on video and bucket alone and a long
+    video is spread over tasks. Each interval then holds the seconds that its probes can reach, and all intervals of a
+    batch are bisected together until none is wider than PRECISION. A 0:0 in a first game is kept, and the search goes on before
+    it; an early score is a fallback from which points count back in time.
     """
     flags = score_flags(intervals.select("video_id", "lo", "hi", *sb.FIELDS).withColumn("success", F.lit(True)))
-    asked = flags.select("video_id", F.col("lo").cast("double"), F.col("hi").cast("double"), "is_early", "total_points", "player1", "player2").distinct()
-    seen = board.filter("success").select(F.col("video_id").alias("_v"), F.col("sec").cast("int").alias("sec"), *[F.col(c).alias(f"_{c}") for c in sb.FIELDS])
-    inside = (F.col("video_id") == F.col("_v")) & F.col("sec").between(F.col("lo") + min(sb.PROBE_OFFSETS) - 1, F.col("hi") + max(sb.PROBE_OFFSETS))
+    key = ["video_id", "lo", "hi", "early_points", "player1", "player2"]
+    asked = flags.select("video_id", F.col("lo").cast("double"), F.col("hi").cast("double"), F.when(F.col("is_early"), F.col("total_points")).cast("double").alias("early_points"), "player1", "player2").distinct()
+    bucket = lambda second: F.floor(second / sb.INTERVAL)
+    reached = F.sequence(bucket(F.col("lo") + min(sb.PROBE_OFFSETS) - 1), bucket(F.col("hi") + max(sb.PROBE_OFFSETS)))
+    seen = board.filter("success").select("video_id", F.col("sec").cast("long").alias("sec"), bucket(F.col("sec")).alias("bucket"), *[F.col(c).alias(f"_{c}") for c in sb.FIELDS])
     second = F.when(F.col("sec").isNotNull(), F.struct("sec", *[F.col(f"_{c}").alias(c) for c in sb.FIELDS]))
-    near = asked.join(seen, inside, "left").groupBy(*asked.columns).agg(F.collect_list(second).alias("seen"))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = [(r.video_id, r.lo, r.hi, *found) for r in rows.itertuples() if (found := bisect(r))]
-            yield pd.DataFrame(out, columns=["video_id", "lo", "hi", "start", "player1", "player2", "approximate"])
-
-    return near.mapInPandas(search, "video_id string, lo double, hi double, start double, player1 string, player2 string, approximate boolean")
-
-
-def bisect(interval) -> tuple[float, str, str, bool] | None:
-    """(start, player1, player2, approximate) of one interval with the seconds in its reach."""
-    seen = {s["sec"]: s for s in interval.seen}
-    low, high, best = interval.lo, interval.hi, None
-    early = (interval.hi, interval.total_points, interval.player1, interval.player2) if interval.is_early else None
-    while high - low > sb.PRECISION:
-        t = (low + high) / 2
-        at, hit = next(((t + o, seen[int(t + o)]) for o in sb.PROBE_OFFSETS if int(t + o) in seen), (t, None))
-        if hit is None:
-            low = t
-            continue
-        sets, points = [hit["set1"], hit["set2"]], [hit["game1"], hit["game2"]]
-        total = None if None in points else sum(points)
-        first_game = sets == [0, 0]
-        if first_game and points == [0, 0]:
-            best, high = (at, hit["player1"], hit["player2"]), t
-            continue
-        is_early = first_game and total is not None and total <= EARLY_POINTS
-        if is_early and (early is None or at < early[0]):
-            early = (at, total, hit["player1"], hit["player2"])
-        begun = is_early or (total is not None and total > 0) or any(n is not None and n > 0 for n in sets)
-        low, high = (low, t) if begun else (t, high)
-    if best:
-        return (*best, False)
-    return (max(0.0, early[0] - early[1] * sb.SECONDS_PER_POINT), *early[2:], True) if early else None
+    near = asked.withColumn("bucket", F.explode(reached)).join(seen, ["video_id", "bucket"], "left").groupBy(*key).agg(F.collect_list(second).alias("seen"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield bisected(batch)
+
+    return near.mapInArrow(search, "video_id string, lo double, hi double, start double, player1 string, player2 string, approximate boolean")
+
+
+def bisected(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """What bisect_starts returns, for intervals (video_id, lo, hi, early_points, player1, player2, seen)."""
+    plain = lambda column: column.to_numpy(zero_copy_only=False)
+    lists = batch.column("seen")
+    fields = lists.flatten()
+    owner = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    set1, set2, game1, game2 = (plain(fields.field(c).cast(pa.float64())) for c in ("set1", "set2", "game1", "game2"))
+    # Seconds in order, each in one number with its interval's.
+    at = plain(fields.field("sec")).astype(np.int64)
+    code = (owner << 40) + at
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+
+    def second(interval: np.ndarray, sec: np.ndarray) -> np.ndarray:
+        """Where this second of an interval is among all, or -1."""
+        wanted = (interval << 40) + sec
+        place = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
+        return np.where((sec >= 0) & (code[place] == wanted), order[place], -1) if len(code) else np.full(len(sec), -1)
+
+    low, high = plain(batch.column("lo")).copy(), plain(batch.column("hi")).copy()
+    early_points = plain(batch.column("early_points")).astype(float)
+    # The time of the best 0:0 and of the earliest early score so far, and the second that they were read from.
+    best, best_at = np.full(len(low), np.nan), np.full(len(low), -1)
+    early, early_at = np.where(np.isnan(early_points), np.inf, high), np.full(len(low), -1)
+    while len(live := np.flatnonzero(high - low > sb.PRECISION)):
+        t = (low[live] + high[live]) / 2
+        found, hit = t.copy(), np.full(len(live), -1)
+        for off in reversed(sb.PROBE_OFFSETS):
+            here = second(live, np.trunc(t + off).astype(np.int64))
+            hit, found = np.where(here >= 0, here, hit), np.where(here >= 0, t + off, found)
+        with_score = hit >= 0
+        s1, s2, p1, p2 = (np.where(with_score, x[hit], np.nan) if len(x) else np.full(len(hit), np.nan) for x in (set1, set2, game1, game2))
+        first_game, points = (s1 == 0) & (s2 == 0), p1 + p2
+        zero = first_game & (p1 == 0) & (p2 == 0)
+        soon = first_game & ~zero & (points <= EARLY_POINTS)
+        sooner = soon & (found < early[live])
+        best[live[zero]], best_at[live[zero]] = found[zero], hit[zero]
+        k = live[sooner]
+        early[k], early_at[k], early_points[k] = found[sooner], hit[sooner], points[sooner]
+        before = zero | soon | (points > 0) | (s1 > 0) | (s2 > 0)
+        low[live], high[live] = np.where(before, low[live], t), np.where(before, t, high[live])
+    exact = best_at >= 0
+    start = np.where(exact, best, np.maximum(0.0, early - early_points * sb.SECONDS_PER_POINT))
+    kept = np.flatnonzero(exact | ~np.isinf(early))
+    source = np.where(exact, best_at, early_at)[kept]
+    # Names are those of the second, or, where the interval's end itself is the early score, its own.
+    own, place = pa.array(source < 0), pa.array(source, mask=source < 0)
+    names = [pc.if_else(own, batch.column(c).take(pa.array(kept)), fields.field(c).take(place)) for c in ("player1", "player2")]
+    taken = [batch.column(c).take(pa.array(kept)) for c in ("video_id", "lo", "hi")]
+    return pa.RecordBatch.from_arrays([*taken, pa.array(start[kept]), *names, pa.array(~exact[kept])], names=["video_id", "lo", "hi", "start", "player1", "player2", "approximate"])
 
 
 def dedup_starts(candidates: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreline.functions.text import parse_upload_epoch
 from scoreline.operators import importer as im
+from scoreline.operators import playlists as pl
 from scoreline.plans.adapters import frame
 from scoreline.plans.boards import FOUND
-from scoreline.plans.catalog import NEW, ORDER
+from scoreline.plans.catalog import ADVANCED, NEW, ORDER
 from scoreline.plans.imports import STAGED, _docs
 from scoreline.plans.registry import query
 from scoreline.plans.titles import RUN_TS
@@ -79,13 +80,17 @@ def load_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.load_queue(spark, path).select(ORDER)
 
 
-@query("SELECT channel, count(*) AS n, min(pos) AS top FROM {playlist} GROUP BY channel")
+@query(f"WITH {ADVANCED} SELECT channel, CAST(row_number() OVER (PARTITION BY channel ORDER BY pos) AS INT) AS pos, video_id, title FROM adv WHERE status <> 'processed'")
 def save_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved twice: the second replaces the first."""
-    path, rows = shared_path(spark, "queue"), frame(spark, sf_dir, "playlist").withColumn("upload_date", F.lit("1"))
+    """A queue's cycle at one path: saved, loaded, prepended to and saved, loaded, advanced and saved, with its places counted anew."""
+    path, rows = shared_path(spark, "queue"), frame(spark, sf_dir, "playlist").withColumn("upload_date", F.lit("1")).select(*ORDER, "upload_date")
     fl.save_queue(rows.filter("pos > 3"), path)
-    fl.save_queue(rows, path)
-    return fl.load_queue(spark, path).groupBy("channel").agg(F.count("*").alias("n"), F.min("pos").alias("top"))
+    fl.save_queue(pl.queue_prepend(rows.filter("pos <= 3"), fl.load_queue(spark, path)), path)
+    order = F.expr("CAST(substring(video_id, 2) AS BIGINT)")
+    outcome = F.when(order % 11 == 0, "import_failed").when(order % 4 == 0, "failed").otherwise("ok")
+    left = pl.queue_advance(fl.load_queue(spark, path), outcome, "a").filter("stays")
+    fl.save_queue(left.withColumn("pos", F.row_number().over(Window.partitionBy("channel").orderBy("pos"))), path)
+    return fl.load_queue(spark, path).select(ORDER)
 
 
 @query("SELECT video_id, CASE WHEN regexp_full_match(upload_date, '[+-]?\\d+') THEN make_timestamp(CAST(upload_date AS BIGINT) * 1000000) END AS uploaded FROM {videos} ORDER BY uploaded DESC NULLS LAST, video_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreline.functions.text import parse_duration
 from scoreline.operators.importer import numbered_last_wins
+from scoreline.sources.pointers import current_table, replace_table
 
 MATCH_FILE = "array<struct<video_id:string,video_title:string,upload_date:string,matches:array<struct<timestamp:int,player1:string,player2:string>>,error:string>>"
 QUEUE = "channel string, pos int, video_id string, title string, upload_date string"
@@ -55,15 +56,13 @@ def read_table(spark: SparkSession, name: str, url: str | None = None, order: li
 
 
 def save_queue(queue: DataFrame, path: str) -> None:
-    queue.select("channel", "pos", "video_id", "title", "upload_date").write.mode("overwrite").json(path)
+    """Makes queue the one at path, which it may have been read from: the old one stays until the new one is whole."""
+    replace_table(queue.select("channel", "pos", "video_id", "title", "upload_date"), path)
 
 
 def load_queue(spark: SparkSession, path: str) -> DataFrame:
-    """The queue at path; empty where nothing is there."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], QUEUE)
-    return spark.read.schema(QUEUE).json(path)
+    """The queue at path; empty where nothing is there. It can be read until two more have been saved."""
+    return current_table(spark, path, QUEUE)
 
 
 def export_paths(matches: DataFrame, order: str = "pos") -> DataFrame:

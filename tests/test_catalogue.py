@@ -3,6 +3,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from scoreline.operators import catalog as ct
@@ -10,6 +11,7 @@ from scoreline.operators import frames as fr
 from scoreline.operators import importer as im
 from scoreline.operators import playlists as pl
 from scoreline.sources import files as fl
+from scoreline.sources.pointers import KEEP, Folder
 from scoreline.streaming import jobs
 
 NOW = datetime(2026, 2, 1, 12)
@@ -62,6 +64,32 @@ def test_stream_import_and_snapshots(spark, tmp_path):
     assert im.load_snapshot(spark, f"{tmp_path}/nothing")["videos"].count() == 0
 
 
+def test_imports_list_only_their_parts_and_old_versions_go(spark, tmp_path):
+    folder, many = f"{tmp_path}/db", 5
+    im.save_import(folder, 0, load(spark, *[record(f"v{k}", [(1, f"P{k}", "Q")]) for k in range(40)]), NOW)
+    early = im.load_snapshot(spark, folder)
+    files = lambda df: {f.split("/db/")[1].rsplit("/", 1)[0] for f in df.inputFiles()}
+    everything = {name: len(early[name].inputFiles()) for name in early}
+    for n in range(1, many + 1):
+        im.save_import(folder, n, load(spark, record("v7", [(t, "P7", "Q") for t in range(n)]), record(f"new{n}", [])), NOW)
+        if n == 2:
+            assert early["matches"].count() == 40  # a reader keeps the version that it began with
+    now = im.load_snapshot(spark, folder)
+    assert now["matches"].filter("video_id = 'v7'").count() == many and now["videos"].count() == 40 + many and now["participants"].count() == 39 * 2 + many * 2
+    assert now["players"].count() == 41 and now["tournaments"].count() == 1
+    # Each part stands in one folder: files don't grow with the number of imports.
+    assert all(len(now[name].inputFiles()) <= everything[name] + many for name in now)
+    part = spark.range(1).select(im.part_of(F.lit("v7"))).first()[0]
+    assert files(im.load_snapshot(spark, folder, parts=[part])["matches"]) == {x for x in files(now["matches"]) if x.endswith(f"part={part}")}
+    assert len(im.load_snapshot(spark, folder, parts=[part])["matches"].inputFiles()) == 1
+    held = [p for p in (tmp_path / "db" / "matches").iterdir() if any(x.name == f"part={part}" for x in p.iterdir())]
+    assert len(held) <= KEEP and len(Folder(spark, folder).numbers()) == KEEP
+    # A repeat of the last import, as after a crash, changes nothing.
+    im.save_import(folder, many, load(spark, record("v7", [(t, "P7", "Q") for t in range(many)]), record(f"new{many}", [])), NOW)
+    again = im.load_snapshot(spark, folder)
+    assert again["matches"].count() == now["matches"].count() and again["videos"].count() == 40 + many
+
+
 def test_stream_watch_time_equals_batch(spark, tmp_path):
     rows = [("v", 1, datetime(2026, 1, 1, 0, k), 10.7 * k) for k in range(4)] + [("v", 2, datetime(2026, 1, 2), 5.9), ("w", 3, datetime(2026, 1, 3), 7.2)]
     df = spark.createDataFrame(rows, "video_id string, session long, ts timestamp, position double")
@@ -100,6 +128,36 @@ def test_queues(spark, tmp_path):
     assert fl.load_queue(spark, f"{tmp_path}/q").count() == 3 and fl.load_queue(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_a_queue_is_saved_where_it_was_loaded(spark, tmp_path):
+    path = f"{tmp_path}/q"
+    fl.save_queue(queue(spark, ("A", "x")).withColumn("upload_date", F.lit("1")), path)
+    for k in range(6):
+        new = queue(spark, (f"N{k}", "x")).withColumn("upload_date", F.lit("1"))
+        fl.save_queue(pl.queue_prepend(new, fl.load_queue(spark, path)), path)
+    assert [r.video_id for r in fl.load_queue(spark, path).orderBy("pos").collect()] == ["N5", "N4", "N3", "N2", "N1", "N0", "A"]
+    assert len(list((tmp_path / "q" / "tables").iterdir())) == KEEP and len(Folder(spark, path).numbers()) == KEEP
+    # A frame that was loaded before the last save still finds its files.
+    old = fl.load_queue(spark, path)
+    fl.save_queue(old.filter("pos > 1"), path)
+    assert old.count() == 7 and fl.load_queue(spark, path).count() == 6
+
+
+def test_a_crash_leaves_the_old_queue(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/q"
+    fl.save_queue(queue(spark, ("A", "x"), ("B", "x")).withColumn("upload_date", F.lit("1")), path)
+    with monkeypatch.context() as m:
+        m.setattr(Folder, "point", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            fl.save_queue(fl.load_queue(spark, path).filter("pos > 1"), path)
+    assert fl.load_queue(spark, path).count() == 2
+    broken = fl.load_queue(spark, path).withColumn("title", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        fl.save_queue(broken, path)
+    assert fl.load_queue(spark, path).count() == 2
+    fl.save_queue(fl.load_queue(spark, path).filter("pos > 1"), path)
+    assert [r.video_id for r in fl.load_queue(spark, path).collect()] == ["B"]
+
+
 def test_queue_advance(spark):
     rows = queue(spark, ("C", "Cup"), ("B", "Cup"), ("A", "Cup"))
     stays = lambda outcome, name="": [r.video_id for r in pl.queue_advance(rows, outcome, name).filter("stays").orderBy("pos").collect()]

@@ -143,3 +143,28 @@ def test_wide_intervals_are_searched_until_they_are_narrow(spark):
     got = se.bisect_starts(sb.transitions(sb.coarse_scan(board)), board).collect()
     assert [r.hi - r.lo > 40_960 for r in got] == [True]
     assert not got[0].approximate and abs(got[0].start - begin) <= 10
+
+
+def test_a_month_of_one_video_is_spread_and_joined_by_buckets(spark):
+    """A match every two hours for 30 days, each second seen; breaks of ten minutes."""
+    length, days = 7200, 30
+    k, at = (F.col("id") / length).cast("long"), F.col("id") % length
+    who = lambda shift: F.concat(F.lit("PLAYER "), F.substring(F.md5((k * 2 + shift).cast("string")), 1, 12))
+    points = F.least(F.floor(at / 30), F.lit(19)).cast("int")
+    board = spark.range(days * 86_400).filter(at < length - 600).select(F.lit("v").alias("video_id"), F.col("id").cast("int").alias("sec"), F.lit(True).alias("success"), who(0).alias("player1"), who(1).alias("player2"), F.when(at < 3000, 0).otherwise(1).alias("set1"), F.lit(0).alias("set2"), points.alias("game1"), F.lit(0).alias("game2"))
+    found = se.bisect_starts(sb.transitions(sb.coarse_scan(board)), board)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x and "bucket" in x]
+    assert joins and all("sec#" not in x for x in joins)  # nothing is compared but video and bucket
+    starts = sorted(r.start for r in found.collect() if not r.approximate)
+    begun = [m * length for m in range(1, days * 86_400 // length)]
+    assert all(any(abs(s - b) <= 40 for s in starts) for b in begun)
+
+
+def test_missing_scores_and_empty_intervals(spark):
+    """Null points and sets count as no score; an interval without seconds gives what its end says."""
+    board = spark.createDataFrame([("v", s, True, "A", "B", None if s < 300 else 0, 0, None if s < 400 else 0, 0) for s in range(200, 500)] + [("w", 5, False, None, None, -1, -1, -1, -1)], BOARD)
+    ends = spark.createDataFrame([("v", 0.0, 600.0, "A", "B", 0, 0, 2, 1), ("w", 100.0, 400.0, "C", "D", 0, 0, 3, 1), ("w", 100.0, 400.0, "E", "F", 2, 1, 3, 1)], "video_id string, lo double, hi double, player1 string, player2 string, set1 int, set2 int, game1 int, game2 int")
+    got = {(r.video_id, r.player1): (r.start, r.approximate) for r in se.bisect_starts(ends, board).collect()}
+    assert set(got) == {("v", "A"), ("w", "C")} and got["w", "C"] == (336.0, True)
+    assert not got["v", "A"][1] and 400 <= got["v", "A"][0] <= 415
