@@ -61,7 +61,10 @@ def stream_new_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FOUND} SELECT video_id, CASE WHEN kind = 'score_appears' THEN pst ELSE pt END AS lo, actual_ts AS hi, kind, player1, player2 FROM f WHERE kind IS NOT NULL")
 def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ended(jobs.stream_transitions(_as_stream(frame(spark, sf_dir, "samples"))))
+    """Samples as a stream; a last row of another video, much later, lets the watermark pass all of them."""
+    samples = frame(spark, sf_dir, "samples").withColumn("seen_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t")))
+    last = samples.limit(1).withColumns({"video_id": F.lit(""), "seen_at": F.timestamp_seconds(F.lit(4_000_000_000))})
+    return _ended(jobs.stream_transitions(_as_stream(samples.union(last))))
 
 
 @query(f"{STAGED} SELECT video_id || '#' || match_pos AS match_id, CAST(offset_s AS INT) AS video_offset_seconds FROM good JOIN listed USING (video_id) WHERE error IS NULL AND pos % 10 <> 3")

@@ -43,13 +43,20 @@ def watch_time(positions: DataFrame) -> DataFrame:
 
 
 class WatchTime(StatefulProcessor):
-    """Keeps each session's last position and the video's total, so that a batch only reads the sessions it has rows of."""
+    """Keeps the last position of each session that goes on, and the video's total, which closed sessions are part of.
+
+    A session closes once the watermark is SILENT past its last row: its state goes, its seconds stay in the total.
+    """
+
+    def __init__(self, silent_ms: int):
+        self.silent = silent_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.sessions = handle.getMapState("sessions", "session long", "ts timestamp, seconds long")
         self.total = handle.getValueState("total", "seconds long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         total = self.total.get()[0] if self.total.exists() else 0
         for pdf in rows:
             for session, group in pdf.groupby("session"):
@@ -59,54 +66,104 @@ class WatchTime(StatefulProcessor):
                 if known is None or (row["ts"], seconds) >= (pd.Timestamp(known[0]), known[1]):
                     total += seconds - (known[1] if known is not None else 0)
                     self.sessions.updateValue((int(session),), (row["ts"].to_pydatetime(), seconds))
+                    self.handle.registerTimer(millis(row["ts"]) + self.silent)
         self.total.update((total,))
         yield pd.DataFrame({"video_id": [key[0]], "watched_seconds": [total]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed = [s for s, (ts, _) in self.sessions.iterator() if millis(pd.Timestamp(ts)) + self.silent <= expiredTimerInfo.getExpiryTimeInMs()]
+        for session in closed:
+            self.sessions.removeKey(session)
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def stream_watch_time(positions: DataFrame) -> DataFrame:
-    """A stream of new totals; positions: (video_id, session, ts, position). Needs the RocksDB state store."""
-    return positions.groupBy("video_id").transformWithStateInPandas(WatchTime(), "video_id string, watched_seconds long", outputMode="Update", timeMode="None")
+def millis(ts: pd.Timestamp) -> int:
+    """Milliseconds since the epoch of a wall clock time in the session's zone."""
+    return int(ts.timestamp() * 1000) if ts.tzinfo else int(ts.to_pydatetime().timestamp() * 1000)
+
+
+def stream_watch_time(positions: DataFrame, delay: str = "1 hour", silent_hours: float = 24.0) -> DataFrame:
+    """A stream of new totals; positions: (video_id, session, ts, position). Needs the RocksDB state store.
+
+    Rows later than delay are dropped. A session ends after silent_hours without a row; its id then begins another one.
+    """
+    rows = positions.withWatermark("ts", delay)
+    return rows.groupBy("video_id").transformWithStateInPandas(WatchTime(int(silent_hours * 3_600_000)), "video_id string, watched_seconds long", outputMode="Update", timeMode="EventTime")
+
+
+#: What a buffered sample holds, in the order of its columns.
+SAMPLE = "at long, t double, success boolean, actual_ts double, player1 string, player2 string, set1 int, set2 int, game1 int, game2 int"
 
 
 class LiveTransitions(StatefulProcessor):
-    """Keeps each video's last sample and where its run without a score began; later samples only."""
+    """Buffers samples until the watermark has passed them, then goes through them in order.
+
+    Of what has passed only the last sample stays, with where its run without a score began; a video that is silent for
+    `silent` milliseconds of event time loses that too.
+    """
+
+    def __init__(self, silent_ms: int):
+        self.silent = silent_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t double, success boolean, actual_ts double, player1 string, player2 string, sets int, run_start double")
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long, t double, success boolean, actual_ts double, player1 string, player2 string, sets int, run_start double")
+        self.waiting = handle.getListState("waiting", SAMPLE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        samples = pd.concat(list(rows)).sort_values("t")
-        out = []
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kinds = {"double": float, "boolean": bool, "string": str, "int": int}
+        fields = [(name, kinds[kind]) for name, kind in (c.split() for c in SAMPLE.split(", ")[1:])]
+        for pdf in rows:
+            at = [millis(ts) for ts in pdf["seen_at"]]
+            columns = [[None if pd.isna(v) else kind(v) for v in pdf[name]] for name, kind in fields]
+            self.waiting.appendList(list(zip(at, *columns)))
+            for a in set(at):
+                self.handle.registerTimer(a)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = expiredTimerInfo.getExpiryTimeInMs()
+        held = list(self.waiting.get())
+        due = sorted((s for s in held if s[0] <= upto), key=lambda s: (s[1], s[0]))
         prev = self.last.get() if self.last.exists() else None
-        for s in samples.itertuples():
-            if prev is not None and s.t <= prev[0]:
-                continue
-            ts, run = float(s.actual_ts), None
-            if s.success:
-                sets = int(s.set1) + int(s.set2)
-                if prev is not None and not prev[1]:
-                    if ts - prev[6] >= MIN_BREAK:
-                        out.append((key[0], prev[6], ts, "score_appears", s.player1, s.player2))
-                elif prev is not None and not same_players((prev[3], prev[4]), (s.player1, s.player2)):
-                    out.append((key[0], prev[2], ts, "player_change", s.player1, s.player2))
-                elif prev is not None and sets < prev[5]:
-                    out.append((key[0], prev[2], ts, "set_reset", s.player1, s.player2))
-                prev = (float(s.t), True, ts, s.player1, s.player2, sets, None)
+        if not due:
+            if prev is not None and not held and prev[0] + self.silent <= upto:
+                self.last.clear()
+            return
+        later = [s for s in held if s[0] > upto]
+        self.waiting.put(later) if later else self.waiting.clear()
+        out = []
+        for at, t, success, actual_ts, player1, player2, set1, set2, _, _ in due:
+            if prev is not None and t <= prev[1]:
+                continue  # an earlier second that was seen later than one that has passed
+            if success:
+                sets = int(set1 + set2)
+                if prev is not None and not prev[2]:
+                    if actual_ts - prev[7] >= MIN_BREAK:
+                        out.append((key[0], prev[7], actual_ts, "score_appears", player1, player2))
+                elif prev is not None and not same_players((prev[4], prev[5]), (player1, player2)):
+                    out.append((key[0], prev[3], actual_ts, "player_change", player1, player2))
+                elif prev is not None and sets < prev[6]:
+                    out.append((key[0], prev[3], actual_ts, "set_reset", player1, player2))
+                prev = (at, t, True, actual_ts, player1, player2, sets, None)
             else:
-                run = prev[6] if prev is not None and not prev[1] else ts
-                prev = (float(s.t), False, ts, None, None, None, run)
-        if prev is not None:
-            self.last.update(tuple(prev))
+                prev = (at, t, False, actual_ts, None, None, None, prev[7] if prev is not None and not prev[2] else actual_ts)
+        self.last.update(tuple(prev))
+        self.handle.registerTimer(prev[0] + self.silent)
         yield pd.DataFrame(out, columns=["video_id", "lo", "hi", "kind", "player1", "player2"])
 
     def close(self) -> None:
         pass
 
 
-def stream_transitions(samples: DataFrame) -> DataFrame:
-    """transitions of a stream of samples; those older than a video's last one are dropped."""
-    rows = samples.select("video_id", "t", "success", "actual_ts", *FIELDS)
-    return rows.groupBy("video_id").transformWithStateInPandas(LiveTransitions(), "video_id string, lo double, hi double, kind string, player1 string, player2 string", outputMode="Append", timeMode="None")
+def stream_transitions(samples: DataFrame, delay: str = "10 minutes", silent_hours: float = 24.0) -> DataFrame:
+    """transitions of a stream of samples with seen_at, when each was seen. Needs the RocksDB state store.
+
+    Samples that arrive out of order within delay give what all of them give in order; later ones are dropped, and
+    the query's progress counts them (numRowsDroppedByWatermark). A transition comes out once the watermark has passed it.
+    """
+    rows = samples.select("video_id", "seen_at", "t", "success", "actual_ts", *FIELDS).withWatermark("seen_at", delay)
+    return rows.groupBy("video_id").transformWithStateInPandas(LiveTransitions(int(silent_hours * 3_600_000)), "video_id string, lo double, hi double, kind string, player1 string, player2 string", outputMode="Append", timeMode="EventTime")

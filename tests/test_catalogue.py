@@ -97,7 +97,26 @@ def test_stream_watch_time_equals_batch(spark, tmp_path):
     live = jobs.stream_watch_time(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
     live.writeStream.format("memory").queryName("watched").outputMode("update").trigger(availableNow=True).start().awaitTermination()
     pick = lambda d: sorted(map(tuple, d.select("video_id", "watched_seconds").collect()))
-    assert pick(spark.table("watched")) == pick(jobs.watch_time(df)) == [("v", 37), ("w", 7)]
+    assert pick(spark.table("watched").distinct()) == pick(jobs.watch_time(df)) == [("v", 37), ("w", 7)]
+
+
+def test_ended_sessions_leave_the_state(spark, tmp_path):
+    """A session a day: totals go on as in the batch, while the state holds only the last sessions."""
+    shape = "video_id string, session long, ts timestamp, position double"
+    totals, every = {}, []
+
+    def keep(batch, number):
+        totals.update({r.video_id: r.watched_seconds for r in batch.collect()})
+
+    for day in range(1, 7):
+        rows = [("v", day * 10 + k, datetime(2026, 3, day, k + 1), 60.0 * day + k) for k in range(4)]
+        every += rows
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        live = jobs.stream_watch_time(spark.readStream.schema(shape).parquet(f"{tmp_path}/in"))
+        live.writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/at").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+        assert totals == {r.video_id: r.watched_seconds for r in jobs.watch_time(spark.createDataFrame(every, shape)).collect()}
+    left = spark.read.format("statestore").option("stateVarName", "sessions").load(f"{tmp_path}/at").collect()
+    assert 4 <= len(left) <= 8 and sum(r.watched_seconds for r in jobs.watch_time(spark.createDataFrame(every, shape)).collect()) == totals["v"]
 
 
 def test_stream_new_videos(spark, tmp_path):

@@ -110,16 +110,37 @@ def test_match_starts_equal_the_sequential_search(spark, boards):
     assert sum(map(len, got.values())) > 8
 
 
+def drain(stream, tmp_path, name="out"):
+    """Runs the stream over what is there, and returns the progress of its batches."""
+    q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/{name}-at").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q.recentProgress
+
+
 def test_stream_transitions_equal_batch(spark, boards, tmp_path):
+    """Samples come in files dealt at random within the delay; one that is later than that is dropped and counted."""
     board = spark.createDataFrame([r for rows in boards.values() for r in rows], BOARD)
-    samples = sb.coarse_scan(board)
+    samples = sb.coarse_scan(board).withColumn("seen_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t"))).cache()
+    shape = samples.schema
+    flush = lambda at: samples.limit(1).withColumns({"video_id": F.lit("end"), "seen_at": F.timestamp_seconds(F.lit(at))})
+    slot = F.floor((F.col("t") + F.pmod(F.xxhash64("t", "video_id"), F.lit(900))) / 1800)  # up to 900 s late
+    progress = []
     for k in range(3):
-        samples.filter((F.col("t") >= k * 900) & (F.col("t") < (k + 1) * 900 if k < 2 else F.lit(True))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        live = jobs.stream_transitions(spark.readStream.schema(samples.schema).parquet(f"{tmp_path}/in"))
-        live.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        samples.filter(slot == k if k < 2 else slot >= 2).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        progress += drain(jobs.stream_transitions(spark.readStream.schema(shape).parquet(f"{tmp_path}/in"), delay="30 minutes"), tmp_path)
+    flush(2_000_000_000).write.mode("append").parquet(f"{tmp_path}/in")
+    progress += drain(jobs.stream_transitions(spark.readStream.schema(shape).parquet(f"{tmp_path}/in"), delay="30 minutes"), tmp_path)
     pick = lambda df: sorted((r.video_id, r.lo, r.hi, r.kind) for r in df.collect())
     want = pick(sb.transitions(samples))
     assert len(want) > 5 and pick(spark.read.parquet(f"{tmp_path}/out")) == want
+    dropped = lambda p: sum(o["numRowsDroppedByWatermark"] for x in p for o in x["stateOperators"])
+    assert dropped(progress) == 0
+    # Much later nothing of silent videos is left, and a row of the past is dropped and counted.
+    samples.limit(5).union(flush(2_100_000_000)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    late = drain(jobs.stream_transitions(spark.readStream.schema(shape).parquet(f"{tmp_path}/in"), delay="30 minutes"), tmp_path)
+    assert dropped(late) == 5 and pick(spark.read.parquet(f"{tmp_path}/out")) == want
+    state = spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/out-at")
+    assert {r.key.video_id for r in state.collect()} == {"end"}
 
 
 def test_grid_guards(spark):
