@@ -35,74 +35,92 @@ from scoreline.llm.ranked import rows_of
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: Cutting a phrase in two and the whole weigh so much; a phrase goes if a longer one has this share of its occurrences, in percent.
 SCALE, SHARE = 2_000_000, 80
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Tokens of the corpus for each bucket that sums phrases.
 BUCKET = 4 << 20
 #: Parts of a language that are ranked first, so that no task ranks all of its phrases.
 SALTS = 64
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Lower-cases A-Z, and turns what ends a piece into a new line and tabs into spaces.
-_BYTES = bytes(i + 32 if 65 <= i <= 90 else 10 if i in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if i == 9 else i for i in range(256))
+#: Lower-cases A-Z, and turns what ends a piece into a new line.
+_BYTES = bytes(i + 32 if 65 <= i <= 90 else 10 if i in b".,;:!?\x0a\x0b\x0c\x0d" else i for i in range(256))
+#: Stands for the end of a piece among its words, none of which can be it.
+_END = b","
 
 SHARDS = "shard string, tokens binary, lang string, word string, id int, n long"
 PACKED = "bucket int, shard string, words binary, counts binary"
 
 
+class Ids(dict):
+    """Words of one language to their ids; the list holds (lang, word) of all ids so far, whatever their language."""
+
+    def __init__(self, lang: str, words: list[tuple[str, bytes]]):
+        super().__init__({_END: 0})
+        self.lang, self.words = lang, words
+
+    def __missing__(self, word: bytes) -> int:
+        self.words.append((self.lang, word))
+        self[word] = len(self.words)
+        return len(self.words)
+
+
 def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to SHARDS: one row with the tokens of each shard, and one for each of its words."""
     types = [pa.string(), pa.binary(), pa.string(), pa.string(), pa.int32(), pa.int64()]
     names = [c.split()[0] for c in SHARDS.split(", ")]
-    ids: dict[tuple[str, bytes], int] = {}
+    words: list[tuple[str, bytes]] = []
+    langs: dict[str, Ids] = {}
     runs: list[np.ndarray] = []
     size = 0
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        name, tokens = uuid.uuid4().hex, np.concatenate([*runs, np.zeros(1, np.uint32)])
-        counts = np.bincount(tokens, minlength=len(ids) + 1)[1:]
+        tokens = np.concatenate([np.zeros(1, np.uint32), *runs, np.zeros(1, np.uint32)])
+        tokens = tokens[np.append(True, (tokens[1:] > 0) | (tokens[:-1] > 0))]  # one 0 between pieces
+        name, counts = uuid.uuid4().hex, np.bincount(tokens, minlength=len(words) + 1)[1:]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((name, tokens.astype("<u4").tobytes(), None, None, None, None), types)], names=names)
-        langs, words = [k[0] for k in ids], pa.array([k[1] for k in ids], pa.binary()).cast(pa.string())
-        for a in range(0, len(ids), 10_000):
-            n = min(10_000, len(ids) - a)
-            columns = [pa.array([name] * n), pa.nulls(n, pa.binary()), pa.array(langs[a : a + n]), words[a : a + n], pa.array(range(a + 1, a + n + 1), pa.int32()), pa.array(counts[a : a + n])]
+        for a in range(0, len(words), 10_000):
+            part = words[a : a + 10_000]
+            n = len(part)
+            columns = [pa.array([name] * n), pa.nulls(n, pa.binary()), pa.array([w[0] for w in part]), pa.array([w[1] for w in part], pa.binary()).cast(pa.string()), pa.array(range(a + 1, a + n + 1), pa.int32()), pa.array(counts[a : a + n])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     for batch in batches:
         for lang, raw in zip(batch.column("lang").to_pylist(), rows_of(batch.column("text"))):
-            for piece in raw.translate(_BYTES).split(b"\n"):
-                # An id is the next free number; 0 begins each piece.
-                found = [ids.setdefault((lang, w), len(ids) + 1) for w in piece.split(b" ") if w]
-                if found:
-                    runs.append(np.array([0, *found], np.uint32))
+            found = raw.translate(_BYTES).replace(b"\n", b" , ").split()
+            ids = langs.get(lang) or langs.setdefault(lang, Ids(lang, words))
+            runs.append(np.append(np.fromiter(map(ids.__getitem__, found), np.uint32, len(found)), np.uint32(0)))
             size += len(raw)
             if size >= SHARD_BYTES:
                 yield from flushed()
-                ids, runs, size = {}, [], 0
-    if runs:
+                words, langs, runs, size = [], {}, [], 0
+    if words:
         yield from flushed()
 
 
 def by_rank(keys: np.ndarray) -> np.ndarray:
     """Stable order of 32-bit keys, by halves, which numpy sorts by counting."""
-    low = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
-    return low[np.argsort((keys[low] >> 16).astype(np.uint16), kind="stable")]
+    low = np.argsort(keys.astype(np.uint16), kind="stable").astype(np.int32)
+    high = (keys >> 16).astype(np.uint16)
+    return low[np.argsort(high[low], kind="stable")] if high.any() else low
 
 
 class Index:
-    """One direction of an FM-index: the word before each suffix, suffixes being sorted by their first LONGEST words."""
+    """One direction of an FM-index: the word before each suffix, suffixes being sorted by their first words, as many as depth."""
 
-    def __init__(self, tokens: np.ndarray):
-        n = len(tokens)
-        order = np.arange(n)
-        for k in reversed(range(LONGEST)):
-            order = order[by_rank(tokens[(order + k) % n])]
+    def __init__(self, tokens: np.ndarray, depth: int):
+        order = np.arange(len(tokens), dtype=np.int32)
+        for k in reversed(range(depth)):
+            order = order[by_rank(np.roll(tokens, -k)[order])]
         self.before = tokens[order - 1]
-        #: For each row the row of the suffix that is one word longer: rows with the same word before them keep their order.
-        self.longer = np.empty(n, np.int64)
-        self.longer[by_rank(self.before)] = np.arange(n)
         #: Where the suffixes that begin with each word begin.
         self.first = np.append(0, np.bincount(tokens).cumsum())
 
+    def longer(self, row: np.ndarray) -> np.ndarray:
+        """For each row the row of the suffix that is one word longer: rows with the same word before them keep their order."""
+        place = np.empty(len(self.before), np.int32)
+        place[by_rank(self.before)] = np.arange(len(place), dtype=np.int32)
+        return place[row].astype(np.int64)
+
 
 class Phrases:
     """Phrases of one length: words (phrases x length) and their intervals of a forward and a backward index."""
@@ -115,31 +133,40 @@ class Phrases:
 
 
 class ShardIndex:
-    """A bidirectional FM-index of tokens, the pieces of which begin with 0."""
+    """A bidirectional FM-index of tokens, the pieces of which stand between 0s; the backward one is made when it is first asked.
+
+    Intervals of pairs are whole in the forward index, and those of triples in the backward one, which is all that
+    phrases of LONGEST words need.
+    """
 
     def __init__(self, tokens: np.ndarray):
-        self.forward, self.backward = Index(tokens), Index(tokens[::-1])
+        self.tokens, self.forward, self._backward = tokens, Index(tokens, 2), None
+
+    @property
+    def backward(self) -> Index:
+        self._backward = self._backward or Index(self.tokens[::-1], LONGEST - 1)
+        return self._backward
 
     def words(self, ids: np.ndarray) -> Phrases:
         """The intervals of single words."""
         low = self.forward.first[ids]
         return Phrases(ids[:, None], low, low, self.forward.first[ids + 1] - low)
 
-    def extended(self, phrases: Phrases, left: bool) -> Phrases:
-        """All phrases of one more word on that side, with as many occurrences as they have."""
+    def extended(self, phrases: Phrases, left: bool, last: bool = False) -> Phrases:
+        """All phrases of one more word on that side, with as many occurrences as they have; the last ones need no interval there."""
         index, low, other = (self.forward, phrases.low, phrases.back) if left else (self.backward, phrases.back, phrases.low)
-        owner = np.repeat(np.arange(len(low)), phrases.size)
+        owner = np.repeat(np.arange(len(low), dtype=np.int32), phrases.size)
         begin = phrases.size.cumsum() - phrases.size
-        row = np.arange(len(owner)) - begin[owner] + low[owner]
+        row = np.arange(len(owner)) + np.repeat(low - begin, phrases.size)
         word = index.before[row]
         # By phrase, then by word; rows keep their order. In the other index a phrase's rows are sorted by just this word.
         order = by_rank(word)
         order = order[by_rank(owner[order])]
-        owner, word, row = owner[order], word[order], row[order]
+        owner, word = owner[order], word[order]
         first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (word[1:] != word[:-1]))[: len(owner)])
         size = np.diff(np.append(first, len(owner)))
-        owner, word = owner[first], word[first]
-        near, far = index.longer[row[first]], other[owner] + first - begin[owner]
+        owner, word = owner[first], word[first].astype(np.int64)
+        near, far = first if last else index.longer(row[order[first]]), other[owner] + first - begin[owner]
         words = np.column_stack([word, phrases.words[owner]] if left else [phrases.words[owner], word])
         found = Phrases(words, near, far, size) if left else Phrases(words, far, near, size)
         return found.take(np.flatnonzero(word))  # 0 is no word
@@ -238,15 +265,14 @@ def count_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     def read(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, int]]:
         for k, name in enumerate(batch.column("shard").to_pylist()):
-            found = np.frombuffer(batch.column("tokens")[k].as_buffer(), "<u4").astype(np.int64)
+            found = np.frombuffer(batch.column("tokens")[k].as_buffer(), "<u4")
             yield name, found, ids_by_word(batch.column("ids")[k].values.to_numpy(), batch.column("numbers")[k].values.to_numpy(), int(found.max()) + 1), k
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, found, number, _ in read(batch):
-                forward = ShardIndex.__new__(ShardIndex)
-                forward.forward = Index(found)  # pairs need one direction only
-                two = forward.extended(forward.words(np.flatnonzero(number >= 0)), left=True)
+                index = ShardIndex(found)
+                two = index.extended(index.words(np.flatnonzero(number >= 0)), left=True, last=True)
                 two = two.take(np.flatnonzero(number[two.words[:, 0]] >= 0))
                 yield from packed(name, number[two.words], two.size, buckets)
 
@@ -262,26 +288,23 @@ def count_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         for batch in batches:
             for name, found, number, k in read(batch):
                 often = np.concatenate([unpacked(w, 2) for w in batch.column("pairs")[k].as_py()]).astype(np.int64)
-                span = int(number.max()) + 1
-                # A pair's numbers in one: shards know fewer words than 2 ** 31.
-                rank = np.unique(number[number >= 0])
-                key = lambda a, b: np.searchsorted(rank, a) * len(rank) + np.searchsorted(rank, b)  # noqa: E731,B023
-                known = np.sort(key(often[:, 0], often[:, 1]))
-
-                def is_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                    a, b = number[a], number[b]  # noqa: B023
-                    at = np.minimum(np.searchsorted(known, key(np.maximum(a, 0), np.maximum(b, 0))), len(known) - 1)  # noqa: B023
-                    return (a >= 0) & (b >= 0) & (known[at] == key(np.maximum(a, 0), np.maximum(b, 0)))  # noqa: B023
-
-                if not span or not len(known):
+                # The frequent pairs in the shard's own ids, each in one number.
+                ids, span = np.flatnonzero(number >= 0), len(number)
+                ids = ids[np.argsort(number[ids])]
+                local = ids[np.searchsorted(number[ids], often)]
+                known = np.sort(local[:, 0] * span + local[:, 1])
+
+                def paired(phrases: Phrases, at: int) -> Phrases:
+                    """Those of which the words from this place on are a frequent pair."""
+                    code = phrases.words[:, at] * span + phrases.words[:, at + 1]  # noqa: B023
+                    return phrases.take(np.flatnonzero(known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code))  # noqa: B023
+
+                if not len(known):
                     continue
                 index = ShardIndex(found)
-                two = index.extended(index.words(np.flatnonzero(number >= 0)), left=True)
-                two = two.take(np.flatnonzero(is_pair(two.words[:, 0], two.words[:, 1])))
-                three = index.extended(two, left=True)
-                three = three.take(np.flatnonzero(is_pair(three.words[:, 0], three.words[:, 1])))
-                four = index.extended(three, left=False)
-                four = four.take(np.flatnonzero(is_pair(four.words[:, 2], four.words[:, 3])))
+                two = paired(index.extended(index.words(np.unique(local)), left=True), 0)
+                three = paired(index.extended(two, left=True, last=True), 0)
+                four = paired(index.extended(three, left=False, last=True), 2)
                 for phrases in (three, four):
                     for out in packed(name, number[phrases.words], phrases.size, buckets):
                         yield pa.RecordBatch.from_arrays([pa.array([phrases.words.shape[1]], pa.int32()), *(out.column(c) for c in ("bucket", "shard", "words", "counts"))], names=["length", "bucket", "shard", "words", "counts"])
