@@ -122,6 +122,15 @@ class Best:
         self.least[self.item[full]] = self.score[full]
 
 
+def classes_of(bags: DataFrame, k: int) -> DataFrame:
+    """(m, bag, docs): bags (doc_id, m, bag), each once, with the first k documents that have it."""
+    hashed = bags.withColumn("hash", F.xxhash64("m", "bag"))
+    # Numbered and cut to k in each task before the shuffle, so a class of very many copies doesn't meet in one task.
+    of_class = Window.partitionBy("hash", "m", "bag").orderBy(F.col("doc_id").asc_nulls_last())
+    member = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    return hashed.withColumn("_n", F.row_number().over(of_class)).filter(F.col("_n") <= k).groupBy("hash", "m", "bag").agg(F.sort_array(F.collect_list(member)).alias("docs"))
+
+
 def search_block(docs: DataFrame, items: Items, k: int) -> DataFrame:
     """RESULT for the items of one block; docs: (doc_id, text)."""
     spark = docs.sparkSession
@@ -152,11 +161,7 @@ def search_block(docs: DataFrame, items: Items, k: int) -> DataFrame:
     items.weigh(docs_with, sum_over(found.select("bag"), count, len(items.vocabulary), "<i8") if items.vocabulary else np.empty(0, np.int64))
     index = spark.sparkContext.broadcast(items)
     m = F.expr(f"25 + (75 * n * {docs_with}L) div {length or 1}L")
-    hashed = found.select("doc_id", m.alias("m"), "bag").withColumn("hash", F.xxhash64("m", "bag"))
-    # Numbered and cut to k in each task before the shuffle, so a class of very many copies doesn't meet in one task.
-    of_class = Window.partitionBy("hash", "m", "bag").orderBy(F.col("doc_id").asc_nulls_last())
-    member = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
-    classes = hashed.withColumn("_n", F.row_number().over(of_class)).filter(F.col("_n") <= k).groupBy("hash", "m", "bag").agg(F.sort_array(F.collect_list(member)).alias("docs"))
+    classes = classes_of(found.select("doc_id", m.alias("m"), "bag"), k)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = index.value
