@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import difflib
 import re
-from functools import lru_cache
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreline.functions.text import normalize_name
@@ -27,25 +27,50 @@ def similar(a: str | None, b: str | None) -> bool:
     return 2 * min(len(x), len(y)) >= RATIO * (len(x) + len(y)) and difflib.SequenceMatcher(None, x, y).ratio() >= RATIO
 
 
-@lru_cache(maxsize=100_000)
-def known_similar(a: str | None, b: str | None) -> bool:
-    """similar, kept for pairs that a worker has met."""
-    return similar(a, b)
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
-def similar_names(a: Column, b: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([known_similar(x, y) for x, y in zip(left, right)], dtype="bool")
+def undecided(x: Column, y: Column) -> Column:
+    """Whether two different normalized names could still reach the ratio, by their lengths and by the letters they share."""
+    total = F.length(x) + F.length(y)
+    held = lambda name, letter: F.length(name) - F.length(F.replace(name, F.lit(letter), F.lit("")))
+    shared = reduce(lambda a, b: a + b, [F.least(held(x, c), held(y, c)) for c in _LETTERS])
+    # A matching can't hold more of a letter than either name has.
+    short = 2 * F.least(F.length(x), F.length(y)) >= F.lit(RATIO) * total
+    return F.when(x.isNull() | y.isNull() | (x == y) | ~short, False).otherwise(2 * shared >= F.lit(RATIO) * total)
+
+
+def open_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(x, y): the distinct ordered pairs of normalized names in these columns that neither equality nor the bounds settle."""
+    each = [df.select(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in pairs]
+    return reduce(DataFrame.union, each).distinct().filter(undecided(F.col("x"), F.col("y")))
 
-    # Equal names, the usual case, reach the function as nulls.
-    equal = normalize_name(a) == normalize_name(b)
-    return F.coalesce(equal, F.lit(False)) | ratio(F.when(~equal, a), F.when(~equal, b))
 
+def with_similar(df: DataFrame, names: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Adds a boolean column for each pair of names: whether they are similar, in this order.
 
-def same_pair(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
-    """The same two players, straight or swapped."""
-    return (similar_names(a1, b1) & similar_names(a2, b2)) | (similar_names(a1, b2) & similar_names(a2, b1))
+    Equal names and those that their lengths or letters keep apart are settled in the JVM; of the others each ordered pair
+    goes to Python once, and comes back by a join.
+    """
+
+    @F.pandas_udf("boolean")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([similar(x, y) for x, y in zip(left, right)], dtype="bool")
+
+    pairs = {out: (f"_{k}_x", f"_{k}_y") for k, out in enumerate(names)}
+    keyed = df.withColumns({c: normalize_name(side) for out, both in names.items() for c, side in zip(pairs[out], both)})
+    near = open_pairs(keyed, list(pairs.values())).withColumn("near", ratio("x", "y")).filter("near")
+    for out, (x, y) in pairs.items():
+        close = near.select(F.col("x").alias(x), F.col("y").alias(y), F.lit(True).alias("_near"))
+        keyed = keyed.join(close, [x, y], "left").withColumn(out, F.coalesce(F.col(x) == F.col(y), F.lit(False)) | F.col("_near").isNotNull()).drop("_near")
+    return keyed.drop(*[c for both in pairs.values() for c in both])
+
+
+def with_same_pair(df: DataFrame, out: str, a1: Column, a2: Column, b1: Column, b2: Column) -> DataFrame:
+    """Adds whether both are the same two players, straight or swapped."""
+    names = {"_11": (a1, b1), "_22": (a2, b2), "_12": (a1, b2), "_21": (a2, b1)}
+    found = with_similar(df, names)
+    return found.withColumn(out, (F.col("_11") & F.col("_22")) | (F.col("_12") & F.col("_21"))).drop(*names)
 
 
 def same_players(a: tuple[str, str], b: tuple[str, str]) -> bool:

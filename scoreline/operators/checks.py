@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.functions.similarity import similar_names
+from scoreline.functions.similarity import with_similar
 from scoreline.functions.text import normalize_name
+from scoreline.sources.scratch import shared_path, written
 
 
 def read_expected_csv(rows: DataFrame, path: str = "image_path", order: str = "line") -> DataFrame:
@@ -20,10 +25,11 @@ def expected_vs_actual(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """(image, passed, mismatches, hard): actual scores by image against exp_player1/2, exp_set1/2, exp_game1/2."""
     joined = actual.join(expected.withColumn("_known", F.lit(True)), "image", "left")
     text = lambda c: F.when(F.col("success"), F.col(c).cast("string")).otherwise("")
+    joined = with_similar(joined, {f"_named{i}": (F.col(f"exp_player{i}"), text(f"player{i}")) for i in (1, 2)})
     wrong, hard = [], []
     for i in (1, 2):
         game = text(f"game{i}")
-        named = similar_names(F.col(f"exp_player{i}"), text(f"player{i}"))
+        named = F.col(f"_named{i}")
         wrong += [
             F.when(~named, f"player{i}"),
             F.when(F.col(f"exp_set{i}") != text(f"set{i}"), f"set{i}"),
@@ -46,13 +52,47 @@ def reconcile_counts(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("video_id").agg(F.count("*").alias("candidates"), skipped.alias("skipped"), added.alias("added"), (F.count("*") == skipped + added).alias("consistent"))
 
 
-def log_contains_join(images: DataFrame, lines: DataFrame, path_in_line: Column) -> DataFrame:
-    """(image, line, preferred): the log lines that name each image, only preferred ones where there are any.
+#: Paths, and characters of them, that one automaton holds.
+BLOCK_PATHS, BLOCK_CHARS = 100_000, 2 << 20
+
+
+def containing(images: DataFrame, lines: DataFrame) -> DataFrame:
+    """(image, line): each distinct image in each line that contains it; nulls contain nothing.
+
+    The images go to the tasks in blocks of bounded size, as an automaton that finds all of them in one pass over a line;
+    what a block finds is written, so the plan doesn't grow with the blocks.
+    """
+    spark = lines.sparkSession
+    asked = written(images.filter("image IS NOT NULL").select("image").distinct(), "images")
+    count, chars = asked.agg(F.count("*"), F.coalesce(F.sum(F.length("image")), F.lit(0))).first()
+    blocks = max(1, math.ceil(count / BLOCK_PATHS), math.ceil(chars / BLOCK_CHARS))
+    out = shared_path(spark, "contained")
+    for block in range(blocks):
+        # Images of one block, bounded above.
+        shared = spark.sparkContext.broadcast([r["image"] for r in asked.filter(F.pmod(F.xxhash64("image"), F.lit(blocks)) == block).toLocalIterator()])
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton, everywhere = ahocorasick.Automaton(), [w for w in shared.value if not w]
+            for word in shared.value:
+                if word:
+                    automaton.add_word(word, word)
+            automaton.make_automaton()
+            for batch in batches:
+                found = [(w, line) for line in batch.column(0).to_pylist() for w in everywhere + (sorted({w for _, w in automaton.iter(line)}) if len(automaton) else [])]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["image", "line"])
+
+        lines.filter("line IS NOT NULL").select("line").mapInArrow(find, "image string, line string").write.parquet(f"{out}/block={block}")
+    return spark.read.schema("image string, line string").parquet(out).select("image", "line")
+
+
+def log_contains_join(images: DataFrame, lines: DataFrame) -> DataFrame:
+    """(image, line, preferred): the log lines that contain each image, only preferred ones where there are any.
 
-    path_in_line extracts the paths of a line as an array, so the join is on equality.
+    An image that no line contains has one row without a line.
     """
-    named = lines.select("line", F.explode(F.array_distinct(path_in_line)).alias("image"))
     preferred = F.col("line").contains("Sampling at") | F.col("line").contains("OCR_NAME_VARIANCE")
-    hits = images.select("image").distinct().join(named, "image", "left").withColumn("preferred", preferred)
+    hits = images.select("image").distinct().join(containing(images, lines), "image", "left").withColumn("preferred", preferred)
     best = hits.groupBy("image").agg(F.max("preferred").alias("_best"))
     return hits.join(best, "image").filter(F.col("preferred").eqNullSafe(F.col("_best"))).select("image", "line", "preferred")

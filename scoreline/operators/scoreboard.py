@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreline.functions.similarity import same_pair
+from scoreline.functions.similarity import with_same_pair
 
 #: Fixed values of the search, in seconds, and the order in which a probe looks around its second.
 INTERVAL, PRECISION, MIN_BREAK, SECONDS_PER_POINT = 180, 10, 300, 16
@@ -69,14 +69,15 @@ def transitions(samples: DataFrame) -> DataFrame:
     p = lambda c: F.col(f"prev.{c}")
     appears = ~p("success") & F.col("success")
     both = p("success") & F.col("success")
-    changed = both & ~same_pair(p("player1"), p("player2"), F.col("player1"), F.col("player2"))
+    changed = both & ~F.col("_same")
     reset = both & (F.col("set1") + F.col("set2") < p("set1") + p("set2"))
     kind = (
         F.when(appears, F.when(F.col("actual_ts") - F.col("run_start") >= MIN_BREAK, "score_appears"))
         .when(changed, "player_change")
         .when(reset, "set_reset")
     )
-    found = with_runs(samples).withColumn("kind", kind).filter("kind IS NOT NULL")
+    runs = with_same_pair(with_runs(samples), "_same", *[F.when(both, c) for c in (p("player1"), p("player2"), F.col("player1"), F.col("player2"))])
+    found = runs.withColumn("kind", kind).filter("kind IS NOT NULL")
     return found.select("video_id", F.when(F.col("kind") == "score_appears", F.col("run_start")).otherwise(p("actual_ts")).alias("lo"), F.col("actual_ts").alias("hi"), "kind", *FIELDS)
 
 

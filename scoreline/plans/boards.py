@@ -6,8 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.functions.similarity import same_pair
-from scoreline.functions.similarity import similar_names as similar_column
+from scoreline.functions.similarity import with_same_pair, with_similar
 from scoreline.functions.text import training_text
 from scoreline.operators import checks as ck
 from scoreline.operators import frames as fr
@@ -99,7 +98,7 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, kind = F.col("p_name"), F.col("p_partkey") % 4
     other = F.when(kind == 0, F.concat(name, F.lit("x"))).when(kind == 1, F.concat(name, F.lit("xyz"))).when(kind == 2, F.concat(F.lit("qq"), name)).otherwise(F.concat(F.lit("-"), F.upper(name)))
     names = spark.read.parquet(f"{sf_dir}/part.parquet").select(name.alias("a"), other.alias("b")).distinct()
-    return names.select("a", "b", similar_column(F.col("a"), F.col("b")).alias("similar"))
+    return with_similar(names, {"similar": (F.col("a"), F.col("b"))})
 
 
 #: A video's candidates one by one: kept unless one that is kept has the same players or is too near.
@@ -174,13 +173,7 @@ def fuzzy_pair_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples that follow each other, those with noise in their names too."""
     a = frame(spark, sf_dir, "samples").filter("success")
     b = a.select("video_id", (F.col("t") - 180).alias("t"), F.col("player1").alias("q1"), F.col("player2").alias("q2"))
-    return a.join(b, ["video_id", "t"]).select("video_id", "t", same_pair(F.col("player1"), F.col("player2"), F.col("q1"), F.col("q2")).alias("same"))
-
-
-@query(FUZZY)
-def fuzzy_pair_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under the name that it had while fuzzy_pair_match left noise out."""
-    return fuzzy_pair_match(spark, sf_dir)
+    return with_same_pair(a.join(b, ["video_id", "t"]), "same", F.col("player1"), F.col("player2"), F.col("q1"), F.col("q2")).select("video_id", "t", "same")
 
 
 @query(
@@ -315,20 +308,22 @@ def reconcile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ck.reconcile_counts(frame(spark, sf_dir, "samples").filter("success").withColumn("status", status))
 
 
-LINE = f"CASE WHEN set1 = 0 THEN 'Sampling at 1... ' WHEN set1 = 1 THEN 'seen ' ELSE 'nothing ' END || CASE WHEN set1 < 2 THEN 'out/' || {IMAGE} || '.jpg' ELSE '' END || CASE WHEN set1 = 0 AND set2 = 0 THEN ' and out/' || video_id || '-0.jpg' ELSE '' END"
+LINE = f"CASE WHEN set1 = 0 THEN 'Sampling at 1... ' WHEN set1 = 1 THEN 'seen ' ELSE 'nothing ' END || CASE WHEN set1 < 2 THEN 'out/' || {IMAGE} || '.jpg' || CASE WHEN game1 % 2 = 0 THEN '.bak' ELSE '' END ELSE '' END || CASE WHEN set1 = 0 AND set2 = 0 THEN ' and out/' || video_id || '-0.jpg' ELSE '' END"
 
 
 @query(
-    f"""WITH i AS (SELECT 'out/' || {IMAGE} || '.jpg' AS image FROM {{samples}} WHERE success), l AS (SELECT DISTINCT {LINE} AS line FROM {{samples}} WHERE success),
-e AS (SELECT line, unnest(list_distinct(regexp_extract_all(line, 'out/[^ ]+'))) AS named FROM l),
-h AS (SELECT image, line, contains(line, 'Sampling at') AS preferred FROM i LEFT JOIN e ON image = named), b AS (SELECT image, max(preferred) AS best FROM h GROUP BY image)
-SELECT image, line, preferred FROM h JOIN b USING (image) WHERE preferred IS NOT DISTINCT FROM best"""
+    f"""WITH i AS (SELECT DISTINCT 'out/' || {IMAGE} || '.jpg' AS image FROM {{samples}} WHERE success UNION SELECT text FROM benchmark),
+l AS (SELECT DISTINCT {LINE} AS line FROM {{samples}} WHERE success UNION SELECT text FROM documents),
+h AS (SELECT image, line, contains(line, 'Sampling at') AS preferred FROM i LEFT JOIN l ON contains(line, image)), b AS (SELECT image, max(preferred) AS best FROM h GROUP BY image)
+SELECT md5(image) AS image, md5(line) AS line, preferred FROM h JOIN b USING (image) WHERE preferred IS NOT DISTINCT FROM best"""
 )
 def log_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of images in log lines, some inside longer ones, and items of the benchmark in documents; both by their digest."""
     seen = frame(spark, sf_dir, "samples").filter("success")
-    images = seen.select(F.concat(F.lit("out/"), F.expr(IMAGE), F.lit(".jpg")).alias("image"))
-    lines = seen.select(F.expr(LINE).alias("line")).distinct()
-    return ck.log_contains_join(images, lines, F.regexp_extract_all("line", F.lit("out/[^ ]+"), 0))
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").select("text")
+    images = seen.select(F.concat(F.lit("out/"), F.expr(IMAGE), F.lit(".jpg")).alias("image")).union(read("benchmark"))
+    lines = seen.select(F.expr(LINE).alias("line")).union(read("documents")).distinct()
+    return ck.log_contains_join(images, lines).select(F.md5("image").alias("image"), F.md5("line").alias("line"), "preferred")
 
 
 @query(f"WITH {RUNS} SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY actual_ts) AS INT) AS n, actual_ts AS start FROM p WHERE success AND game1 = 0 AND game2 = 0 AND NOT coalesce(ps AND pg1 = 0 AND pg2 = 0, false)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoreline.functions.text import parse_duration
 from scoreline.operators.importer import numbered_last_wins
 from scoreline.sources.pointers import current_table, replace_table
+from scoreline.sources.tree import register
 
 MATCH_FILE = "array<struct<video_id:string,video_title:string,upload_date:string,matches:array<struct<timestamp:int,player1:string,player2:string>>,error:string>>"
 QUEUE = "channel string, pos int, video_id string, title string, upload_date string"
@@ -49,9 +50,22 @@ def read_expected_csv_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
-def read_table(spark: SparkSession, name: str, url: str | None = None, order: list[Column] | None = None, **options) -> DataFrame:
-    """A table of the catalog, or, with a JDBC url, of a database."""
-    table = spark.read.jdbc(url, name, properties=options) if url else spark.table(name)
+def read_table(spark: SparkSession, name: str, url: str | None = None, order: list[Column] | None = None, where: Column | None = None, split: str | None = None, parts: int = 8, **options) -> DataFrame:
+    """A table of the catalog, or, with a JDBC url, of a database, filtered and in order.
+
+    split, a column of numbers, dates or timestamps, lets the database be read in so many parts at once, between its least and
+    greatest value, which the database is asked for. where reaches the database as far as its dialect can say it.
+    """
+    if url is None:
+        table = spark.table(name)
+    else:
+        source = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+        if split:
+            low, high = source.load().agg(F.min(split), F.max(split)).first()
+            if low is not None:
+                source = source.options(partitionColumn=split, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
+        table = source.load()
+    table = table.filter(where) if where is not None else table
     return table.orderBy(*order) if order else table
 
 
@@ -74,12 +88,21 @@ def export_paths(matches: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def partitioned_export(matches: DataFrame, path: str, order: str = "pos") -> None:
-    """Replaces the tree at path: folders by tournament and round, last of equal paths kept."""
-    export_paths(matches, order).write.mode("overwrite").partitionBy("tournament", "round").json(path)
+    """Replaces the tree at path: one file for each match, tournament/round/stem.json, last of equal paths kept."""
+    register(matches.sparkSession)
+    rows = export_paths(matches, order)
+    rows.select("folder", "stem", F.to_json(F.struct(*rows.columns)).alias("doc")).write.format("scoreline_tree").mode("append").option("tree", path).save()
+
+
+def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(folder, stem, and the schema's columns) of a tree: folder and stem are where each file stands."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    inside = F.regexp_extract("path", "([^/]+/[^/]+)/([^/]+)[.]json$", 1), F.regexp_extract("path", "([^/]+)[.]json$", 1)
+    return files.select(inside[0].alias("folder"), inside[1].alias("stem"), F.from_json(F.decode("content", "UTF-8"), schema).alias("_r")).select("folder", "stem", "_r.*")
 
 
 def list_columns(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, ordinal, column_name, type, nullable) of the tables' schemas, by table and ordinal."""
+    """(table_name, ordinal, column_name, type, nullable, default_value) of the tables' schemas, by table and ordinal."""
     spark = next(iter(tables.values())).sparkSession
-    rows = [(t, i, f.name, f.dataType.simpleString(), f.nullable) for t in sorted(tables) for i, f in enumerate(tables[t].schema.fields, 1)]
-    return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string, type string, nullable boolean")
+    rows = [(t, i, f.name, f.dataType.simpleString(), f.nullable, f.metadata.get("CURRENT_DEFAULT")) for t in sorted(tables) for i, f in enumerate(tables[t].schema.fields, 1)]
+    return spark.createDataFrame(rows, "table_name string, ordinal int, column_name string, type string, nullable boolean, default_value string")

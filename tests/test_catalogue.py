@@ -1,12 +1,17 @@
 """Imports, queues, groups, files and streams on small fixtures."""
 
 import json
+import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scoreline.functions import similarity as sm
+from scoreline.functions.text import normalize_name
 from scoreline.operators import catalog as ct
+from scoreline.operators import checks as ck
 from scoreline.operators import frames as fr
 from scoreline.operators import importer as im
 from scoreline.operators import playlists as pl
@@ -200,9 +205,83 @@ def test_lines_and_exports(spark, tmp_path):
     assert sorted((r.url, r.seconds, r.err) for r in fl.ytdlp_lines(df).collect()) == [("u", 60.0, None), ("x", None, "bad duration")]
     rows = spark.createDataFrame([("T/1", "R", "A/B", True, 1), ("T/1", "R", "A/B", True, 2), ("T/1", "R", "A/B", False, 1)], "tournament string, round string, players string, full_match boolean, pos int")
     assert sorted((r.folder, r.stem, r.pos) for r in fl.export_paths(rows).collect()) == [("T and 1/R", "A and B", 1), ("T and 1/R", "FULL_A and B", 2)]
-    fl.partitioned_export(rows, f"{tmp_path}/tree")
-    assert spark.read.json(f"{tmp_path}/tree").count() == 2
-    assert tuple(fl.list_columns({"b": rows, "a": df}).first()) == ("a", 1, "line", "string", True)
+    assert tuple(fl.list_columns({"b": rows, "a": df}).first()) == ("a", 1, "line", "string", True, None)
+
+
+def test_an_export_is_the_tree_of_its_rows(spark, tmp_path):
+    shape, path = "tournament string, round string, players string, full_match boolean, pos int", tmp_path / "tree"
+    rows = spark.createDataFrame([("T/1", "R 1", "A/B", True, 1), ("T/1", "R 1", "A/B", True, 2), ("T/1", "R 1", "É  vs B", False, 1), ("Cup", "F", "P vs Q", True, 5)], shape).repartition(3)
+    listing = lambda: sorted(str(f.relative_to(path)) for f in path.rglob("*") if f.is_file())
+    fl.partitioned_export(rows, str(path))
+    assert listing() == ["Cup/F/FULL_P vs Q.json", "T and 1/R 1/FULL_A and B.json", "T and 1/R 1/É vs B.json"]
+    assert json.loads((path / "T and 1/R 1/FULL_A and B.json").read_text())["pos"] == 2
+    assert sorted(map(tuple, fl.read_export(spark, str(path), "pos int").collect()))[0] == ("Cup/F", "FULL_P vs Q", 5)
+    # An export that fails leaves the tree as it was; one that works takes away what is gone.
+    with pytest.raises(Exception, match="broken"):
+        fl.partitioned_export(rows.withColumn("round", F.when(F.col("pos") == 5, F.raise_error(F.lit("broken"))).otherwise("X")), str(path))
+    assert len(listing()) == 3
+    fl.partitioned_export(rows.filter("pos = 5"), f"file://{path}")
+    assert listing() == ["Cup/F/FULL_P vs Q.json"]
+    fl.partitioned_export(rows.limit(0), str(path))
+    assert listing() == [] and sorted(x.name for x in tmp_path.iterdir()) == ["tree"]
+
+
+def test_tables_of_a_database_are_read_in_parts_with_the_filter_pushed(spark):
+    url = "jdbc:derby:memory:reads;create=true"
+    spark.range(1000).select("id", F.concat(F.lit("v"), "id").alias("name")).write.format("jdbc").options(url=url, dbtable="things", createTableColumnTypes="name VARCHAR(20)").save()
+    got = fl.read_table(spark, "things", url, order=[F.col("id").desc()], where=F.col("name") >= "v98", split="id", parts=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "v98" in plan.split("PushedFilters")[1]
+    assert got.rdd.getNumPartitions() >= 1 and [r.id for r in got.collect()] == [999 - k for k in range(20)] + [99, 98]
+    assert fl.read_table(spark, "things", url, split="id", parts=4).rdd.getNumPartitions() == 4
+    assert fl.read_table(spark, "things", url, where=F.col("name") == "none", split="id").count() == 0
+
+
+def test_lines_contain_paths_inside_longer_ones(spark, monkeypatch):
+    images = ["out/a.jpg", "out/a.jpg.bak", "a", "é/x.jpg", "none.jpg", "", None, "out/a.jpg"]
+    lines = ["see out/a.jpg.bak", "Sampling at out/a.jpg", "OCR_NAME_VARIANCE é/x.jpg!", "xé/x.jpgx", "plain", None, "", "out/a.jpg out/a.jpg"]
+    frame = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string").repartition(3)
+    want = {(i, x) for i in images if i is not None for x in lines if x is not None and i in x}
+    for blocks in (100_000, 2):
+        monkeypatch.setattr(ck, "BLOCK_PATHS", blocks)
+        assert sorted(map(tuple, ck.containing(frame("image", images), frame("line", lines)).collect())) == sorted(want)
+    best = {(r.image, r.line): r.preferred for r in ck.log_contains_join(frame("image", images), frame("line", lines)).collect()}
+    assert [k for k in best if k[0] == "out/a.jpg"] == [("out/a.jpg", "Sampling at out/a.jpg")] and best["out/a.jpg.bak", "see out/a.jpg.bak"] is False
+    assert best["none.jpg", None] is None and [k[1] for k in best if k[0] == "é/x.jpg"] == ["OCR_NAME_VARIANCE é/x.jpg!"]
+
+
+def test_only_undecided_names_reach_the_ratio(spark):
+    rng = random.Random(8)
+    names = ["".join(rng.choice("ABCDEFG ") for _ in range(rng.randrange(0, 30))) for _ in range(60)] + ["ADA LINDQVIST", "ada-lindqvist", "ADA LINDQVISTX", "ADA LINDQVIST XYZ", "LINDQVIST ADA", None, "É", ""]
+    names += [n[:-1] + rng.choice("ABX") for n in names[:60] if n]
+    rows = [(a, b) for a in names for b in names]
+    df = spark.createDataFrame(rows * 2, "a string, b string").repartition(3)
+    got = {(r.a, r.b): r.same for r in sm.with_similar(df, {"same": (F.col("a"), F.col("b"))}).collect()}
+    assert got == {(a, b): sm.similar(a, b) for a, b in rows} and sum(got.values()) > len(names)
+    keyed = df.select(normalize_name(F.col("a")).alias("x"), normalize_name(F.col("b")).alias("y"))
+    asked = sm.open_pairs(keyed, [("x", "y")]).collect()
+    assert len(asked) == len({tuple(r) for r in asked}) < len(rows) / 20 and all(r.x != r.y for r in asked)
+    assert sm.with_similar(df, {"same": (F.col("a"), F.col("b"))}).count() == 2 * len(rows)
+
+
+@pytest.mark.parametrize("kind", ["walk", "still", "jumps", "mixed"])
+def test_long_videos_are_folded_in_chunks(spark, kind):
+    """Random walks, still pictures and jumps: what is kept equals going through all frames in order."""
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for video in ("a", "b", "c"):
+        n = int(rng.integers(150, 260))
+        step = {"walk": 0.9, "still": 0.001, "jumps": 9.0, "mixed": 0.9}[kind]
+        moves = rng.normal(0, step, (n, 4))
+        if kind == "mixed":
+            moves[: n // 2] = 0
+        vectors, anchor = moves.cumsum(axis=0), None
+        for k, v in enumerate(vectors):
+            want[video, k] = anchor is None or bool(np.abs(v - anchor).mean() > 3.0)
+            anchor = v if want[video, k] else anchor
+        rows += [(video, k, v.tolist()) for k, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "video_id string, sec int, vec array<double>").repartition(3)
+    got = {(r.video_id, r.sec): r.kept for r in fr.anchor_dedup(df, span=20).collect()}
+    assert got == want and fr.anchor_dedup(df.limit(0), span=20).count() == 0
 
 
 def test_frames(spark):

@@ -50,6 +50,6 @@ def test_fuzzy_pairs_cover_names_with_noise(spark):
     later = seen.selectExpr("video_id", "t - 180 AS t", "player1 AS q1")
     pairs = seen.join(later, ["video_id", "t"])
     noisy = pairs.filter("endswith(player1, 'X') OR endswith(q1, 'X')").select("video_id", "t")
-    got = QUERIES["fuzzy_pair_match_all"](spark, DATA)
+    got = QUERIES["fuzzy_pair_match"](spark, DATA)
     assert got.count() == pairs.count() and noisy.count() > 0
     assert got.join(noisy, ["video_id", "t"]).filter("same").count() > 0
