@@ -37,7 +37,7 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 SCALE, SHARE = 2_000_000, 80
 SHARD_BYTES = 8 << 20
 #: Tokens of the corpus for each bucket that sums phrases.
-BUCKET = 4 << 20
+BUCKET = 2 << 20
 #: Parts of a language that are ranked first, so that no task ranks all of its phrases.
 SALTS = 64
 
