@@ -35,9 +35,16 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
-_LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Fa-f])")
-_ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: A break inside a key: of lines, indented or not, or one that is written out as in JSON and settings files.
+_BREAK = r"(?:\r?\n[ \t]*|(?:\\r)?\\n)"
+#: Where base64 of a sequence may begin: after anything but a letter or digit, so after =, /, - and _ too.
+_SEQUENCE = re.compile(r"(?<![A-Za-z0-9])(?=M[A-P][A-Za-z0-9+/_-]{14})")
+#: Where base64 of a key file or of an armour may begin, and how far such a run goes.
+_NAMED = re.compile(r"(?<![A-Za-z0-9])(?=b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi)")
+_RUN = re.compile(rf"[A-Za-z0-9+/_-]+(?:{_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_PIECE = re.compile(rf"[A-Za-z0-9+/_-]+|{_BREAK}")
+_LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
+_ARMOUR = re.compile(rf"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|{_BREAK})+)-----END \1-----")
 _SIGNATURE_BYTES = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES384": (96, 96), "ES512": (132, 132), "EdDSA": (64, 114), "RS": (128, 1024), "PS": (128, 1024)}
 
 
@@ -152,10 +159,61 @@ def is_key_file(data: bytes) -> bool:
     return len(fields) == 3 + count + 1 and count > 0 and at == len(data) and bool(fields[0]) and min(map(len, fields[3:])) > 0
 
 
+def unbroken(text: str) -> str:
+    """Base64 without the breaks in it."""
+    return "".join(text.replace("\\r", "").replace("\\n", "").split())
+
+
+def sequence_size(text: str, start: int) -> int:
+    """How many bytes the sequence takes whose base64 begins here, as its first lengths say; 0 where they can't be a key's."""
+    head = decode64(text[start : start + 16])
+    if head is None or head[0] != 0x30:
+        return 0
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or (head[1] & 0x80 and not n):
+        return 0
+    size = int.from_bytes(head[2 : 2 + n], "big") if n else head[1]
+    # A key's first field is its version, or the name of its scheme in a sequence.
+    return 2 + n + size if head[2 + n] in (2, 0x30) else 0
+
+
+def whole_base64(text: str, start: int, chars: int) -> tuple[str, int] | None:
+    """So many characters of base64 from here, breaks skipped, and where they end with their padding; None if they don't end there."""
+    parts, at = [], start
+    while chars > 0 and (m := _PIECE.match(text, at)):
+        if text[at] in "\r\n\\":
+            at = m.end()
+        else:
+            part = text[at : min(m.end(), at + chars)]
+            parts.append(part)
+            chars, at = chars - len(part), at + len(part)
+    if chars or re.compile("[A-Za-z0-9]").match(text, at):
+        return None
+    return "".join(parts), re.compile("={0,2}").match(text, at).end()
+
+
+def keys_in_base64(text: str) -> Iterator[tuple[int, int, str]]:
+    """Spans of private keys whose lengths say where they end, and of key files and armours in runs of base64."""
+    done = 0
+    for m in _SEQUENCE.finditer(text):
+        size = sequence_size(text, m.start()) if m.start() >= done else 0
+        if size >= 24 and size <= len(text) and (found := whole_base64(text, m.start(), -(-size * 4 // 3))):
+            data = decode64(found[0])
+            if data and len(data) == size and is_private_key(data):
+                yield m.start(), found[1], "key"
+                done = found[1]
+    for m in _NAMED.finditer(text):
+        if m.start() >= done and (run := _RUN.match(text, m.start())) and (data := decode64(unbroken(run[0]))):
+            kind = "keyfile" if is_key_file(data) else "armour" if any(armoured(data.decode("latin-1"))) else None
+            if kind:
+                yield run.start(), run.end(), kind
+                done = run.end()
+
+
 def armoured(text: str) -> Iterator[tuple[int, int]]:
     """Where armoured keys stand whose body parses."""
     for m in _ARMOUR.finditer(text):
-        data = decode64("".join(m[2].split()))
+        data = decode64(unbroken(m[2]))
         if data and (is_private_key(data) or is_key_file(data)):
             yield m.start(), m.end()
 
@@ -190,20 +248,13 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "eyJ" in text:
         out += [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
-    for m in _BASE64.finditer(text):
-        data = decode64(m[0])
-        if data and data[0] == 0x30 and is_private_key(data):
-            out.append((m.start(), m.end(), "key"))
-        elif data and is_key_file(data):
-            out.append((m.start(), m.end(), "keyfile"))
-        elif data and b"-----BEGIN " in data and any(armoured(data.decode("latin-1"))):
-            out.append((m.start(), m.end(), "armour"))
+    armours = list(armoured(text)) if "-----BEGIN" in text else []
+    # What stands inside an armour is reported with it.
+    out += [(a, b, kind) for a, b, kind in keys_in_base64(text) if not any(low <= a and b <= high for low, high in armours)]
     for m in _LONG_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and (is_private_key(data := bytes.fromhex(m[0])) or is_key_file(data)):
             out.append((m.start(), m.end(), "key"))
-    if "-----BEGIN" in text:
-        out += [(a, b, "armour") for a, b in armoured(text)]
-    return out
+    return out + [(a, b, "armour") for a, b in armours]
 
 
 def in_order(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
