@@ -6,9 +6,10 @@ once as the prompt; what is left on either side is its completion, with the span
 that a model should learn: the text and end mark of assistant turns.
 
 In ``answer_pairs`` the chosen side is a conversation, and the rejected side is that conversation up to its last
-assistant turn, which the last assistant turn of the conversation with the next id replaces: a real answer, but to
-another question. A conversation without an assistant turn is rejected whole, and so is one with the answer left out
-if the next id has none.
+assistant turn, which the last assistant turn of another conversation replaces: a real answer, but to another
+question. Conversations with an assistant turn are dealt by a hash of their id to rings of about RING; the other one
+is the next in the ring by id, whatever ids there are, and after the last the first. One that is alone in its ring is paired with
+itself. A conversation without an assistant turn has no answer to be replaced and is its own rejected side.
 
 If one side is a prefix of the other, its completion is empty; the prompt is then the whole of it. Turns are
 ordered by turn, role and text, so repeated turns keep a fixed order, and are all kept.
@@ -20,9 +21,14 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreline.llm.common import written
+
+#: Conversations of a ring, about.
+RING = 1000
+
 START, BETWEEN, END = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
@@ -60,11 +66,15 @@ def answer_pairs(turns: DataFrame) -> DataFrame:
     sides = turns_of(turns, F.col("conv_id").cast("long"), "c")
     # The place of the last assistant turn, from 1; 0 where there is none.
     last = F.array_max(F.transform("c", lambda t, i: F.when(t.role == "assistant", i + 1).otherwise(0)))
-    placed = sides.withColumn("last", last)
-    answers = placed.filter("last > 0").select((F.col("pair_id") - 1).alias("pair_id"), F.element_at("c", F.col("last")).alias("answer"))
-    kept = F.when(F.col("last") > 0, F.slice("c", F.lit(1), F.greatest(F.col("last") - 1, F.lit(0)))).otherwise(F.col("c"))
-    answer = F.filter(F.array("answer"), lambda t: t.isNotNull())
-    return formatted(placed.join(answers, "pair_id", "left").select("pair_id", "c", F.concat(kept, answer).alias("r")))
+    placed = written(sides.withColumn("last", last), "conversations")
+    answered = placed.filter("last > 0")
+    rings = max(1, -(-answered.count() // RING))
+    ring = F.pmod(F.conv(F.substring(F.md5(F.col("pair_id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(rings))
+    answer, order = F.element_at("c", F.col("last")), Window.partitionBy("ring").orderBy("pair_id")
+    dealt = answered.withColumns({"ring": ring, "own": answer})
+    other = F.coalesce(F.lead("own").over(order), F.first("own").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    pairs = dealt.select("pair_id", "c", F.concat(F.slice("c", F.lit(1), F.col("last") - 1), F.array(other)).alias("r"))
+    return formatted(pairs.union(placed.filter("last = 0").select("pair_id", "c", F.col("c").alias("r"))))
 
 
 def formatted(both: DataFrame) -> DataFrame:

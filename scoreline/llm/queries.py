@@ -48,7 +48,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation against itself with the next conversation's last answer; see chat.answer_pairs."""
+    """Each conversation against itself with another one's last answer; see chat.answer_pairs."""
     pairs = chat.answer_pairs(table(spark, sf_dir, "conversations"))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.start, s.end)), ",")
     return pairs.withColumns({"chosen_spans": spans("chosen_spans"), "rejected_spans": spans("rejected_spans")})
@@ -150,11 +150,15 @@ WITH own AS (
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
   FROM conversations WHERE conv_id IS NOT NULL),
 ends AS (SELECT pair_id, max(n) FILTER (role = 'assistant') AS last FROM own GROUP BY pair_id),
-answers AS (SELECT pair_id - 1 AS pair_id, role, text FROM own JOIN ends USING (pair_id) WHERE n = last),
+given AS (SELECT pair_id, role, text FROM own JOIN ends USING (pair_id) WHERE n = last),
+rings AS (SELECT *, CAST('0x' || substr(md5(CAST(pair_id AS VARCHAR)), 1, 8) AS BIGINT) % greatest(1, (SELECT (count(*) + 999) // 1000 FROM given)) AS ring FROM given),
+answers AS (
+  SELECT pair_id, coalesce(lead(role) OVER w, first_value(role) OVER w) AS role, coalesce(lead(text) OVER w, first_value(text) OVER w) AS text
+  FROM rings WINDOW w AS (PARTITION BY ring ORDER BY pair_id)),
 t AS (
   SELECT pair_id, 0 AS side, role, text, n FROM own
   UNION ALL SELECT pair_id, 1, role, text, n FROM own JOIN ends USING (pair_id) WHERE last IS NULL OR n < last
-  UNION ALL SELECT pair_id, 1, a.role, a.text, coalesce(e.last, (SELECT max(n) + 1 FROM own o WHERE o.pair_id = a.pair_id)) FROM answers a JOIN ends e USING (pair_id)),
+  UNION ALL SELECT pair_id, 1, a.role, a.text, e.last FROM answers a JOIN ends e USING (pair_id)),
 k AS (SELECT pair_id, n, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same FROM t GROUP BY pair_id, n),
 p AS (SELECT pair_id, CAST(coalesce(min(n) FILTER (NOT same) - 1, max(n)) AS INTEGER) AS common_turns FROM k GROUP BY pair_id),
 m AS (
