@@ -3,16 +3,16 @@
 1. Token ids of all documents are written once; document frequencies and the mean length count the whole corpus.
 2. Documents are dealt to shards of about SHARD_BYTES of text by lexical content: about PIVOTS documents a shard are
    pivots, related ones next to each other, in a tree of up to FAN branches a node. Each document goes to the pivot
-   with the largest cosine of its terms' weights, as a random projection keeps it; shards are runs of the order of
-   pivots, cut where a sample says.
-   Related documents thus stand in the same or in adjoining shards at any size; more documents of one pivot than fit
-   a shard are split by hash.
+   with the largest cosine of its terms' weights, as a random projection keeps it. Ranges of the order of pivots, cut
+   where a sample says, are sorted by it, and shards are cut off them as they pass by.
+   Related documents thus stand in the same or in adjoining shards at any size; documents of one pivot stand in order
+   of a hash.
 3. In each shard all terms of a seed give BM25 scores, with the corpus' statistics: the first unused document seeds a
    window, unused neighbours in order of score fill it greedily; the document that no longer fits is cut, and its
    rest opens the next window, whose neighbours it seeks. So every sequence but a shard's last one is exactly full.
 
-A shard's size doesn't depend on the corpus: the number of shards does, so memory is bounded by SHARD_BYTES and
-the longest document; the driver holds the pivots' projections, MAX_PIVOTS at most, and SAMPLE keys. Rows that are equal in id and text are dealt out
+A shard's size doesn't depend on the corpus or on the sample: rows are counted as they pass, so memory is bounded by
+2 * SHARD_BYTES and the longest document, while Spark's sort holds a range, which may spill; the driver holds the pivots' projections, MAX_PIVOTS at most, and SAMPLE keys. Rows that are equal in id and text are dealt out
 by their place in the input, so that many of them don't meet in one shard.
 
 Defined results: null and empty texts are the end token alone; repeated rows are packed each; null ids stay null; an
@@ -35,6 +35,7 @@ from scoreline.llm.tokens import encoder_on, shared_encoder
 
 WINDOW = 4096
 END_ID = 2
+#: Text of a shard, about; none holds more than twice as much, unless one document does.
 SHARD_BYTES = 4 << 20
 #: BM25's two constants.
 K1, B = 1.2, 0.75
@@ -44,10 +45,10 @@ PIVOTS, FAN, LEVELS = 4, 512, 3
 MAX_PIVOTS = 1 << 18
 #: Dimensions in which documents and pivots are compared, and terms that numpy projects at once.
 DIM, STEP = 64, 1 << 12
-#: Rows, about, whose keys tell where shards are cut.
+#: Rows, about, whose keys tell where ranges of keys are cut; where there are more shards than keys, ranges hold several shards.
 SAMPLE = 1 << 17
-#: Shards per step of sequence_id: no shard has so many sequences.
-STRIDE = 1 << 32
+#: What sequence_id grows by from range to range: no range has so many sequences.
+STRIDE = 1 << 40
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -284,21 +285,49 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, keys in with_keys(batches):
-            shard = pa.array(np.searchsorted(cuts, keys, "right").astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), shard], names=["doc_id", "ids", "_shard"])
-
-    def pack_shard(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.select(["doc_id", "ids"]).sort_by([("doc_id", "ascending"), ("ids", "ascending")]).combine_chunks()
-        doc_ids = rows.column("doc_id").to_pylist()
-        ids, bounds = ids_of(rows.column("ids").chunk(0), kind)
-        raw = ids.astype("<u4").view(np.uint8)
-        sizes, begins = np.diff(bounds).tolist(), bounds.tolist()
-        first = key[0].as_py() * STRIDE
-        out = [
-            (doc_ids[d], start, length, zlib.crc32(raw[4 * (begins[d] + start) : 4 * (begins[d] + start + length)]), sizes[d], first + sequence, offset)
-            for d, start, length, sequence, offset in fill_windows(ids, bounds, window, corpus.value)
-        ]
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        return pa.table({n: pa.array(column, pa.int64()) for n, column in zip(names, zip(*out))})
-
-    return hashed.mapInArrow(deal, "doc_id long, ids binary, _shard int").groupBy("_shard").applyInArrow(pack_shard, SCHEMA)
+            part = pa.array(np.searchsorted(cuts, keys, "right").astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), batch.column("size"), pa.array(keys), part], names=["doc_id", "ids", "size", "_key", "_range"])
+
+    def pack_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = -1, 0
+        for part, rows in shards_of(batches):
+            first, at = (0 if part != at else first), part
+            pieces, used = pack_rows(rows, kind, window, corpus.value, part * STRIDE + first)
+            first += used
+            yield pieces
+
+    ranges = hashed.mapInArrow(deal, "doc_id long, ids binary, size long, _key long, _range int").repartition("_range").sortWithinPartitions("_range", "_key")
+    return ranges.mapInArrow(pack_ranges, SCHEMA)
+
+
+def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(range, rows) of shards: the rows of a range in order, cut where they would pass 2 * SHARD_BYTES. A longer row is a shard."""
+    held: list[pa.RecordBatch] = []
+    part, total = -1, 0
+    for batch in batches:
+        begin = 0
+        for k, (r, size) in enumerate(zip(batch.column("_range").to_pylist(), batch.column("size").to_pylist())):
+            if (held or k > begin) and (r != part or total + size > 2 * SHARD_BYTES):
+                yield part, pa.Table.from_batches([*held, batch.slice(begin, k - begin)])
+                held, begin, total = [], k, 0
+            part, total = r, total + size
+        if begin < len(batch):
+            held.append(batch.slice(begin))
+    if held:
+        yield part, pa.Table.from_batches(held)
+
+
+def pack_rows(rows: pa.Table, kind: str, window: int, corpus: Corpus, first: int) -> tuple[pa.RecordBatch, int]:
+    """SCHEMA for the rows of one shard, whose sequences count from first, and how many sequences they are."""
+    rows = rows.select(["doc_id", "ids"]).sort_by([("doc_id", "ascending"), ("ids", "ascending")]).combine_chunks()
+    doc_ids = rows.column("doc_id").to_pylist()
+    ids, bounds = ids_of(rows.column("ids").chunk(0), kind)
+    raw = ids.astype("<u4").view(np.uint8)
+    sizes, begins = np.diff(bounds).tolist(), bounds.tolist()
+    out = [
+        (doc_ids[d], start, length, zlib.crc32(raw[4 * (begins[d] + start) : 4 * (begins[d] + start + length)]), sizes[d], first + sequence, offset)
+        for d, start, length, sequence, offset in fill_windows(ids, bounds, window, corpus)
+    ]
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    pieces = pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in zip(*out)], names=names)
+    return pieces, out[-1][5] - first + 1
