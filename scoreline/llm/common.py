@@ -33,16 +33,7 @@ def extended(df: DataFrame, ddl: str) -> StructType:
 
 def sum_over(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], length: int, dtype: str) -> np.ndarray:
     """The sum over all tasks of partial(the task's batches), arrays of this length, which must not grow with the data."""
-    return _over(df, partial, length, dtype, np.add)
-
-
-def or_over(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], length: int) -> np.ndarray:
-    """Like sum_over for bytes of bits, of which each is set that is set in any task."""
-    return _over(df, partial, length, "u1", np.bitwise_or)
-
-
-def _over(df: DataFrame, partial, length: int, dtype: str, together) -> np.ndarray:
-    """The arrays are sent in pieces, so that putting them together is spread over tasks that each hold one piece."""
+    # The arrays are sent in pieces, so that adding them up is spread over tasks that each hold one piece.
     size = -(-length // 64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +47,7 @@ def _over(df: DataFrame, partial, length: int, dtype: str, together) -> np.ndarr
         for batch in batches:
             for piece, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 got = np.frombuffer(sums, dtype)
-                total[piece] = together(total[piece], got) if piece in total else got
+                total[piece] = total[piece] + got if piece in total else got
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([s.tobytes() for s in total.values()], pa.binary())], names=["piece", "sums"])
 
     schema = "piece int, sums binary"

@@ -6,13 +6,14 @@
 2. Banding. Texts with the same shingle counts are collapsed to the one with the smallest id. Texts that
    agree on all registers of a band meet in a bucket; the bucket's smallest id is its leader, and every
    member joins its leader's group. Any two texts that share a bucket share a group.
-3. Verification. Groups are split into blocks of at most BLOCK members. In a block all pairs that are not yet
+3. Verification. Groups are split into blocks of about BLOCK members and BLOCK_SHINGLES shingles at most. In a block all pairs that are not yet
    linked are compared exactly; then the blocks of one group are compared pairwise, except for texts already
    linked to the leader. Only links that join parts are kept, so there are fewer of them than members.
 4. Classes are the connected components of the links; the class id is the smallest doc_id of the class, null if
    all are null.
 
-Ids of rows here are hashes of doc_id and text, so that null and shared ids keep their texts apart.
+Rows are told apart by 128 bits of hashes of doc_id and text, so that null and shared ids keep their texts apart;
+collapsed texts have numbers without clashes.
 
 Defined results: texts without a word (null, empty) are classes of their own; texts of fewer than five words
 are one shingle; repeated rows share their class; an empty table gives an empty table. The probability
@@ -30,17 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import or_over, written
+from scoreline.llm.common import written
 
 WORDS = 5
 THRESHOLD = 0.8
 #: 32 bands of 6 registers: a pair of similarity 0.8 shares a band with probability 0.9999.
 BANDS, ROWS = 32, 6
-#: Members of a group that are compared in one task.
-BLOCK = 2048
-#: The filter of members has two to this power bits at most (16 MB). Beyond 16 million members more of the other rows
-#: pass it; no member is ever lost.
-FILTER_BITS = 27
+#: Members of a group that are compared in one task, and distinct shingles of them, about.
+BLOCK, BLOCK_SHINGLES = 2048, 2 << 20
 #: Shingles per numpy step.
 STEP = 400_000
 
@@ -132,17 +130,18 @@ def in_steps(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, print, bands); texts without words are left out."""
+    """(id1, id2, text) to (id1, id2, print, size, bands), size being the distinct shingles; texts without words are left out."""
     hashes = WordHashes()
     for batch in batches:
-        rows = [(i, *shingle(t, hashes)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t]
+        rows = [(i, *shingle(t, hashes)) for i, t in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2).to_pylist()) if t]
         rows = [r for r in rows if len(r[1])]
         for a, b in in_steps([len(r[1]) for r in rows]):
             part = rows[a:b]
             keys = band_keys(prob_minhash([r[1] for r in part], [r[2] for r in part], BANDS * ROWS))
             prints = [hashlib.blake2b(r[1].tobytes() + r[2].tobytes(), digest_size=16).digest() for r in part]
             bands = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(part) + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array(prints, pa.binary()), bands], names=["doc_id", "print", "bands"])
+            ids = [pa.array([r[0][k] for r in part], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(prints, pa.binary()), pa.array([len(r[1]) for r in part], pa.int32()), bands], names=["id1", "id2", "print", "size", "bands"])
 
 
 def prob_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -270,56 +269,31 @@ def counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return table, tuple(table.agg(F.count("*"), total(1), total(2)).first())
 
 
-def row_id() -> Column:
-    """An id of the row's doc_id and text; other columns don't count."""
+def row_ids() -> list[Column]:
+    """Two ids of the row's doc_id and text, 128 bits together; other columns don't count."""
     ident = F.col("doc_id").cast("long")
-    return F.xxhash64(ident.isNull(), ident, F.col("text").isNull(), "text")
-
-
-def filter_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Two places in a filter of so many bits, a power of two, for each id."""
-    h = mix(ids.astype(np.int64).view(np.uint64))
-    return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (h, h >> np.uint64(32))]
-
-
-def maybe_in(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """texts without most of the rows whose doc_id isn't among the members; those among them all stay."""
-    bits = 1 << min(FILTER_BITS, max(16, (8 * members.count()).bit_length()))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(bits, bool)
-        for batch in batches:
-            for at in filter_places(batch.column(0).to_numpy(), bits):
-                out[at] = True
-        return np.packbits(out)
-
-    shared = texts.sparkSession.sparkContext.broadcast(or_over(members.select("doc_id").coalesce(16), mark, bits // 8))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [shared.value[at >> 3] >> (7 - (at & 7)) & 1 for at in filter_places(batch.column("doc_id").to_numpy(), bits)]
-            yield batch.filter(pa.array((held[0] & held[1]).astype(bool)))
-
-    return texts.mapInArrow(keep, texts.schema)
+    return [F.xxhash64(*salt, ident.isNull(), ident, F.col("text").isNull(), "text") for salt in ((), (F.lit("second"),))]
 
 
 def row_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_id, class_id, kept_row) of every row: the smallest doc_id of its class, nulls last, and that row's id."""
-    named = docs.select(F.col("doc_id").cast("long").alias("given"), row_id().alias("doc_id"), "text")
-    texts = named.select("doc_id", "text")
-    least = F.struct(F.col("given").isNull().alias("unnamed"), "given", F.col("doc_id").alias("row"))
-    signed = written(texts.mapInArrow(sign, "doc_id long, print binary, bands array<long>"))
-    prints = signed.groupBy("print").agg(F.min("doc_id").alias("rep"))
-    reps = signed.groupBy("print").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("x.*")
-    keys = written(reps.select("doc_id", F.explode("bands").alias("key")))
+    """(doc_id, id1, id2, class_id, kept1, kept2) of every row: its row_ids, the smallest doc_id of its class, nulls last, and that row's row_ids."""
+    named = docs.select(F.col("doc_id").cast("long").alias("given"), *[c.alias(f"id{k}") for k, c in enumerate(row_ids(), 1)], "text")
+    signed = written(named.select("id1", "id2", "text").mapInArrow(sign, "id1 long, id2 long, print binary, size int, bands array<long>"))
+    # Of texts with the same shingles one goes on, under a number of its own.
+    first = signed.groupBy("print").agg(F.min(F.struct("id1", "id2", "size", "bands")).alias("x")).select("print", "x.*")
+    reps = written(first.withColumn("doc_id", F.monotonically_increasing_id()))
+    keys = written(reps.select("doc_id", "size", F.explode("bands").alias("key")))
     leaders = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
-    members = written(keys.join(leaders, "key").select("leader", "doc_id").distinct())
-    sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    members = written(keys.join(leaders, "key").select("leader", "doc_id", "size").distinct())
+    # Blocks by texts and by shingles, whichever asks for more.
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("leader").agg(blocks.alias("blocks"))
+    placed = members.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).drop("size")
     # The leader stands in every block of its group.
     inside = placed.filter("doc_id <> leader").union(sizes.select("leader", F.col("leader").alias("doc_id"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
-    # The texts of members only, each once; a filter of fixed size keeps most of the others out of the shuffle.
-    held = written(maybe_in(texts, members).join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    # The texts of members only, each once; the ids of members are what tells which.
+    asked = reps.select("id1", "id2", "doc_id").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = written(named.select("id1", "id2", "text").join(asked, ["id1", "id2"]).select("doc_id", "text").dropDuplicates(["doc_id"]))
     linked = written(inside.join(held, "doc_id").groupBy("leader", "block").applyInArrow(link_block, "leader long, doc_id long, root long, core boolean"))
     # Blocks meet only where one of them has texts that aren't linked to the leader: those against all of the other block.
     large = written(placed.filter("blocks > 1").join(linked.groupBy("leader", "doc_id").agg(F.max("core").alias("core")), ["leader", "doc_id"]))
@@ -335,11 +309,15 @@ def row_classes(docs: DataFrame) -> DataFrame:
     edges = linked.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).union(crossed.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     roots = components(edges)
     # Written, so that both sides of the next joins are shuffled for them alone and a common text's or class' rows can be split.
-    of_print = written(prints.join(roots, F.col("rep") == F.col("id"), "left").select("print", F.coalesce("root", "rep").alias("root")))
-    of_row = written(signed.select("doc_id", "print").distinct().join(of_print, "print").select("doc_id", "root"))
-    rooted = written(named.select("given", "doc_id").join(of_row, "doc_id", "left").select("given", "doc_id", F.coalesce("root", "doc_id").alias("root")))
-    first = written(rooted.groupBy("root").agg(F.min(least).alias("least")))
-    return rooted.join(first, "root").select(F.col("given").alias("doc_id"), F.col("doc_id").alias("row_id"), F.col("least.given").alias("class_id"), F.col("least.row").alias("kept_row"))
+    of_print = written(reps.select("print", "doc_id").join(roots, F.col("doc_id") == F.col("id"), "left").select("print", F.coalesce("root", "doc_id").alias("root")))
+    of_row = written(signed.select("id1", "id2", "print").distinct().join(of_print, "print").select("id1", "id2", "root"))
+    # A row without words is of a class of its row_ids.
+    own = lambda c: F.when(F.col("root").isNull(), F.col(c)).otherwise(0)
+    rooted = written(named.drop("text").join(of_row, ["id1", "id2"], "left").select("given", "id1", "id2", F.coalesce("root", F.lit(-1)).alias("root"), own("id1").alias("own1"), own("id2").alias("own2")))
+    least = F.struct(F.col("given").isNull().alias("unnamed"), "given", "id1", "id2")
+    first = written(rooted.groupBy("root", "own1", "own2").agg(F.min(least).alias("least")))
+    out = rooted.join(first, ["root", "own1", "own2"])
+    return out.select(F.col("given").alias("doc_id"), "id1", "id2", F.col("least.given").alias("class_id"), F.col("least.id1").alias("kept1"), F.col("least.id2").alias("kept2"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
