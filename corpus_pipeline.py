@@ -22,14 +22,17 @@ LEAST_QUALITY = 0.7
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and one column with all others, which then can't clash with what an operator adds."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]
-    return docs.select("doc_id", "text", F.struct(*others).alias("others"))
+    """doc_id, text and one column with all others, their names replaced by places, so that they can neither clash nor be taken for paths."""
+    names = docs.columns
+    places = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    others = [f"c{k}" for k, c in enumerate(names) if c not in ("doc_id", "text")]
+    return places.select(*[F.col(f"c{names.index(c)}").alias(c) for c in ("doc_id", "text")], F.struct(*others or [F.lit(0).alias("none")]).alias("others"))
 
 
 def _unpacked(packed: DataFrame, columns: list[str], **changed) -> DataFrame:
     """The given columns again, some of them changed."""
-    return packed.select(*[changed[c].alias(c) if c in changed else F.col(c) if c in ("doc_id", "text") else F.col("others")[c].alias(c) for c in columns])
+    own = {c: F.col(c) for c in ("doc_id", "text")} | changed
+    return packed.select(*[(own[c] if c in own else F.col("others")[f"c{k}"]).alias(f"c{k}") for k, c in enumerate(columns)]).toDF(*columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +55,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     nothing: a row of them goes only if another has the same id and text.
     """
     limit_batches(spark)
-    kept = neardup.row_classes(docs).filter(F.col("row_id") == F.col("kept_row")).select(F.col("row_id").alias("kept_id")).distinct()
-    rows = docs.select(neardup.row_id().alias("id"), F.struct(*docs.columns).alias("row")).join(kept, F.col("id") == F.col("kept_id"), "left_semi")
-    return rows.groupBy("id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    packed = _packed(docs)
+    first, second = neardup.row_ids()
+    same = (F.col("id1") == F.col("kept1")) & (F.col("id2") == F.col("kept2"))
+    kept = neardup.row_classes(packed).filter(same).select("id1", "id2").distinct()
+    rows = packed.withColumns({"id1": first, "id2": second}).join(kept, ["id1", "id2"], "left_semi")
+    once = rows.groupBy("id1", "id2").agg(F.min_by(F.struct("doc_id", "text", "others"), F.xxhash64(F.to_json("others"))).alias("row"))
+    return _unpacked(once.select("row.*"), docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +70,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Other texts with the same id stay. Without a benchmark all documents stay.
     """
     limit_batches(spark)
-    named = docs.select(neardup.row_id().alias("doc_id"), "text")
-    found = decontam.contaminated(named, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, neardup.row_id() == found["found_id"], "left_anti")
+    packed = _packed(docs)
+    row = neardup.row_ids()[0]
+    found = decontam.contaminated(packed.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id")).distinct()
+    return _unpacked(packed.withColumn("row", row).join(found, F.col("row") == F.col("found_id"), "left_anti"), docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +82,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = secrets.find_secrets(_packed(docs))
     changed = {"text": F.col("redacted")}
     if "n_chars" in docs.columns:
-        old = F.col("others")["n_chars"]
+        old = F.col("others")[f"c{docs.columns.index('n_chars')}"]
         changed["n_chars"] = F.when(F.size("secrets") > 0, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(old)
     return _unpacked(found, docs.columns, **changed)
 
