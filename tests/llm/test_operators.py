@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -362,9 +363,49 @@ def test_one_odd_character_leaves_the_shortcut_on(monkeypatch):
     assert "\u2014" in tokens.prove_whole_tokens(spec) and asked == ["\u201cquoted\u201d"]
 
 
+def test_key_forms_and_decoys():
+    """Keys after delimiters, over lines, with written-out breaks and in mixed-case hex; near misses of each give nothing."""
+    rng = random.Random(77)
+    key = key_bytes(rng)
+    std, url = base64.b64encode(key).decode(), b64(key)
+    lines = [std[k : k + 64] for k in range(0, len(std), 64)]
+    armour = lambda br: "-----BEGIN PRIVATE KEY-----" + br + br.join(lines) + br + "-----END PRIVATE KEY-----"
+    found = lambda text: [(k, text[a:b]) for a, b, k in secrets.confirmed_spans(text)]
+    for before in ("https://h/p/", "KEY_", "key-", "x=", "?k=", "a+", '"', " "):
+        for body in (std, url):
+            assert found(f"see {before}{body} end") == [("key", body)], before
+            assert found(f"{before}{body}") == [("key", body)]
+    for br in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n"):
+        assert found(f"{{k: {armour(br)}}}") == [("armour", armour(br))], br
+        assert found("key:\n  " + br.join(lines) + "\nmore text") == [("key", br.join(lines))], br
+    mixed = "".join(rng.choice((c.upper(), c.lower())) for c in key.hex())
+    assert found(f"hex {mixed}.") == [("key", mixed)]
+    assert found(f"two {std} and/{url}") == [("key", std), ("key", url)]
+    broken = bytearray(key)
+    broken[9] ^= 0x40
+    for decoy in (std[:-8], std[1:], "x" + std, std + "A", std[:40] + " " + std[40:], base64.b64encode(bytes(broken)).decode(), "M" * 4000, "MIIE-" * 5000, "MII/" * 5000, key.hex()[:-2], "/".join(lines)):
+        assert found(f"see {decoy} end") == [], decoy[:60]
+
+
 # 4. Chat formatting
 
 
+def test_answers_of_sparse_ids(spark, monkeypatch):
+    """Every conversation with an answer gets another one's, whatever the ids; others stand for themselves."""
+    ids = [1, 5, 70, 8_000_000_000, -3]
+    turns = [(i, t, role, f"{role} {i}") for i in ids for t, role in enumerate(["user", "assistant"])] + [(9, 0, "user", "alone"), (None, 0, "user", "lost")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("last", F.lit("clash"))
+    got = {r.pair_id: r for r in chat.answer_pairs(df).collect()}
+    assert sorted(got) == sorted([*ids, 9]) and (got[9].chosen, got[9].rejected) == ("", "")
+    after = dict(zip(sorted(ids), [*sorted(ids)[1:], min(ids)]))
+    for i in ids:
+        assert got[i].common_turns == 1 and f"assistant {i}<" in got[i].chosen and f"assistant {after[i]}<" in got[i].rejected
+    monkeypatch.setattr(chat, "RING", 2)
+    assert sorted(r.pair_id for r in chat.answer_pairs(df).collect()) == sorted(got)
+    assert chat.answer_pairs(df.limit(0)).count() == 0
+
+
+
 def test_preference_pairs(spark):
     schema = "conv long, turn long, role string, text string, prompt string"
     chosen = [(1, 0, "system", "S", ""), (1, 1, "user", "Q", ""), (1, 2, "assistant", "good é", ""), (2, 0, "user", "only", ""), (3, 0, "user", "same", ""), (4, 0, None, None, ""), (4, 0, None, None, ""), (None, 0, "user", "lost", "")]
@@ -523,7 +564,7 @@ def test_near_duplicates_of_null_and_shared_ids(spark):
     got = {(r.doc_id, r.class_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(None, 5), (None, None), (5, 5), (7, 5), (8, 8)}
     classes = neardup.row_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(classes) == len(rows) and len({r.kept_row for r in classes}) == 6
+    assert len(classes) == len(rows) and len({(r.kept1, r.kept2) for r in classes}) == 6
 
 
 def test_components_of_a_long_chain(spark):
@@ -690,6 +731,38 @@ def test_packing_brings_related_documents_together_over_many_shards(spark, monke
     assert min(shares) > 0.7, shares
 
 
+def test_shards_are_cut_as_rows_pass(monkeypatch):
+    """However few ranges a sample gave, no shard holds more than twice SHARD_BYTES, unless one row does; rows keep their order."""
+    monkeypatch.setattr(packing, "SHARD_BYTES", 1000)
+    rng = random.Random(3)
+    sizes = [rng.choice([1, 30, 200, 900, 2000, 5000]) for _ in range(600)]
+    ranges = sorted(rng.choice([0, 0, 0, 1, 5]) for _ in sizes)
+    table = pa.table({"doc_id": range(600), "ids": [b""] * 600, "size": sizes, "_key": range(600), "_range": ranges})
+    for step in (1, 7, 600):
+        shards = list(packing.shards_of(iter(table.to_batches(max_chunksize=step))))
+        assert [i for _, rows in shards for i in rows.column("doc_id").to_pylist()] == list(range(600))
+        for part, rows in shards:
+            held = rows.column("size").to_pylist()
+            assert set(rows.column("_range").to_pylist()) == {part} and (sum(held) <= 2000 or len(held) == 1)
+        assert len(shards) <= 3 + 2 * sum(sizes) / 2000 + sum(s == 5000 for s in sizes)
+    assert list(packing.shards_of(iter([]))) == []
+
+
+def test_packing_with_far_more_shards_than_sampled_keys(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SAMPLE", 4)
+    monkeypatch.setattr(packing, "SHARD_BYTES", 500)
+    rng = random.Random(4)
+    texts = [words(rng, rng.randrange(1, 60), 300) for _ in range(300)]
+    rows = packing.pack(docs_of(spark, texts).repartition(3), BPE, 128).collect()
+    pieces = {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    assert sorted(pieces) == list(range(300))
+    for held in pieces.values():
+        held.sort()
+        assert [s for s, _, _ in held] == [sum(n for _, n, _ in held[:k]) for k in range(len(held))] and sum(n for _, n, _ in held) == held[0][2]
+
+
 def test_packing_counts_terms_of_the_whole_corpus():
     ids, bounds = np.array([5, 6, 5, 7], np.uint32), np.array([0, 2, 4])
     df = np.zeros(8)

@@ -59,16 +59,16 @@ def test_dedup_keeps_a_row_of_each_class_whatever_the_ids(spark, corpus):
     assert kept.columns == COLUMNS and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, a), (None, b), (3, c), (2, d)], key=str)
 
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, secrets string, row_id string, id string, others string"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, secrets string, row_id string, id string, others string, `a.b` string, c0 string"
 
 
 def odd_rows():
     """Nulls in every column, empty and long texts, repeated rows, shared ids; columns named like operators' own."""
     rng = random.Random(3)
     a, b = (" ".join(f"word{rng.randrange(4000)}" for _ in range(90)) for _ in range(2))
-    more = ("own score", "own secrets", "own row", "own id", "own others")
+    more = ("own score", "own secrets", "own row", "own id", "own others", "own dot", "own place")
     rows = [(7, a), (7, a), (7, b), (None, b + " x"), (None, None), (None, None), (8, None), (8, ""), (9, "!!"), (10, "word1 " * 30_000), (11, "token = 'abcdef0123456789abcdef'")]
-    return [(i, t, None, None, None, *more) for i, t in rows] + [(None,) * 10]
+    return [(i, t, None, None, None, *more) for i, t in rows] + [(None,) * 12]
 
 
 def show(rows):
@@ -81,7 +81,7 @@ def test_stages_over_odd_rows(spark, corpus):
         out = stage(spark, docs, corpus)
         assert out.columns == docs.columns, name
         rows = out.collect()
-        assert all(r.score in ("own score", None) and r.secrets in ("own secrets", None) and r.id in ("own id", None) for r in rows), name
+        assert all(r.score in ("own score", None) and r.secrets in ("own secrets", None) and r.id in ("own id", None) and r["a.b"] in ("own dot", None) and r.c0 in ("own place", None) for r in rows), name
         if name == "minhash_near_dedup":
             # The two long texts are near each other only in their own class; of equal rows one stays.
             assert sorted(((r.doc_id, (r.text or "")[:5]) for r in rows), key=str) == sorted([(7, rows_of(docs, 7)[0]), (7, rows_of(docs, 7)[1]), (None, ""), (8, ""), (8, ""), (9, "!!"), (10, "word1"), (11, "token")], key=str)
