@@ -2,14 +2,17 @@
 
 1. Trees. Vectors are dealt by hash to shards of about SHARD_ROWS rows. Each shard's tree splits its vectors at the
    median distance from a vantage point, down to leaves of LEAF vectors; it is built once and written as one row.
-2. Search. Queries are taken in blocks of QUERY_ROWS, which are broadcast; tasks go over the written trees. A block
+2. Search. Queries are packed in blocks of QUERY_ROWS, one row each. Trees form bundles; a bundle's trees, then all blocks of
+   queries pass by the same task in order, so it holds its trees and one block. A block
    first meets the leaf that each of its queries falls into, then walks the tree once: the queries that still need a
    side go on to it. With distance t of a query's k-th neighbour so far, a side is pruned for it if the triangle
    inequality puts the side's vectors farther than factor * t. Factor 1 restores exact search; smaller factors prune
-   more and may miss. What a task has found in one tree prunes the next.
-3. The k best of each task are merged by rank.
+   more and may miss. What a block has found in one tree of a bundle prunes the next.
+3. The k best of each bundle are merged by rank.
 
-So vectors are shuffled once, queries never, and a task holds one tree, one block and that block's k best.
+So vectors are shuffled once, and queries, which are far fewer, once for each bundle; nothing of either goes through the
+driver, and the plan doesn't grow with the number of blocks. A bundle is one tree as long as there are at most
+BUNDLES trees, and TREES trees at most.
 
 Distances in leaves come from one matrix product, which decides only what can't matter; those that can are
 calculated anew, vector by vector, in double precision.
@@ -33,13 +36,17 @@ from pyspark.sql import functions as F
 
 from scoreline.llm.common import written
 
-SHARD_ROWS, QUERY_ROWS, LEAF = 16_384, 32_768, 256
+SHARD_ROWS, QUERY_ROWS, LEAF = 16_384, 8_192, 256
 #: Shards and blocks hold fewer rows where vectors are long.
-SHARD_BYTES, QUERY_BYTES = 32 << 20, 32 << 20
+SHARD_BYTES, QUERY_BYTES = 32 << 20, 8 << 20
+#: Bundles are larger than a tree where there are more trees than this, and never more trees than that.
+BUNDLES, TREES = 64, 16
 #: Pairs of query and vector that numpy handles at once.
 PAIRS = 1 << 20
 #: Columns of a written tree.
 TREE = ("points", "ids", "starts", "nodes", "vantages")
+#: Columns of a block of queries: its numbers, the ids of its rows, and their vectors.
+QUERIES = ("numbers", "own", "vectors")
 
 
 def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -198,46 +205,51 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, factor: float = 0
     )
     size = F.size("embedding") * 8
     count, total, asks, asked = rows.agg(F.count("*"), F.sum(size), F.count_if("asks"), F.sum(F.when(F.col("asks"), size))).first()
-    schema = "block int, query int, query_id long, vec_id long, score double"
+    schema = "query long, query_id long, vec_id long, score double"
     shards = max(1, math.ceil(count / SHARD_ROWS), math.ceil((total or 0) / SHARD_BYTES))
     blocks = max(1, math.ceil(asks / QUERY_ROWS), math.ceil((asked or 0) / QUERY_BYTES))
     # Equal rows are dealt out too: their place in the input tells them apart.
     hashed = F.xxhash64("vec_id", "embedding", F.monotonically_increasing_id())
     dealt = rows.select(F.pmod(hashed, F.lit(shards)).cast("int").alias("shard"), F.size("embedding").alias("dim"), "vec_id", "embedding")
+    bundle = F.concat_ws("-", F.col("dim"), F.floor(F.col("shard") / min(TREES, max(1, shards // BUNDLES))))
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         flat, _ = arrays(table.column("embedding").combine_chunks())
         tree = Tree.of(flat.reshape(len(table), -1), table.column("vec_id").to_numpy(), k)
-        return pa.table({"dim": pa.array([key[1].as_py()], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in zip(TREE, tree.row())}})
-
-    trees = written(dealt.groupBy("shard", "dim").applyInArrow(build, "dim int, " + ", ".join(f"{c} binary" for c in TREE)))
-    asking = written(rows.filter("asks").select("vec_id", "embedding").distinct())
-    found = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        chosen = asking.filter(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == block)
-        table = chosen.toArrow().sort_by("vec_id").combine_chunks()  # about QUERY_ROWS rows
-        if not len(table):
-            continue
-        shared = spark.sparkContext.broadcast(table)
-        found = found.unionByName(trees.mapInArrow(lambda batches, block=block, shared=shared: search(batches, block, shared.value, k, factor), schema))
-    rank = F.row_number().over(Window.partitionBy("block", "query").orderBy("score", "vec_id"))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([key[1].as_py()], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in zip(TREE, tree.row())}})
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("query").combine_chunks()
+        flat, _ = arrays(table.column("embedding").chunk(0))
+        columns = (table.column("query").to_numpy(), table.column("vec_id").to_numpy(), flat)
+        return pa.table({"dim": pa.array([key[1].as_py()], pa.int32()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(QUERIES, columns)}})
+
+    trees = written(dealt.groupBy("shard", "dim").applyInArrow(build, "shard int, dim int, " + ", ".join(f"{c} binary" for c in TREE))).withColumn("bundle", bundle)
+    asking = written(rows.filter("asks").select("vec_id", "embedding").distinct().withColumn("query", F.monotonically_increasing_id()))
+    placed = asking.select(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"), F.size("embedding").alias("dim"), "query", "vec_id", "embedding")
+    packed = written(placed.groupBy("block", "dim").applyInArrow(pack, "dim int, " + ", ".join(f"{c} binary" for c in QUERIES)))
+    # Each block goes to each bundle of vectors as long as its own.
+    asked_of = packed.join(trees.select("dim", "bundle").distinct(), "dim").select("bundle", F.lit(1).alias("kind"), "dim", *QUERIES)
+    passing = trees.select("bundle", F.lit(0).alias("kind"), "dim", *TREE).unionByName(asked_of, allowMissingColumns=True)
+    found = passing.repartition("bundle").sortWithinPartitions("bundle", "kind").mapInArrow(lambda batches: search(batches, k, factor), schema)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(batches: Iterator[pa.RecordBatch], block: int, asked: pa.Table, k: int, factor: float) -> Iterator[pa.RecordBatch]:
-    """(block, query, query_id, vec_id, score): the k best of each query in the trees of a task."""
-    own = asked.column("vec_id").to_numpy()
-    flat, starts = arrays(asked.column("embedding").combine_chunks())
-    sizes = np.diff(starts)
-    best: dict[int, tuple[np.ndarray, Nearest]] = {}
+def search(batches: Iterator[pa.RecordBatch], k: int, factor: float) -> Iterator[pa.RecordBatch]:
+    """(query, query_id, vec_id, score): the k best in a bundle of each query of the blocks that come after its trees."""
+    bundle, trees = None, []
     for batch in batches:
-        for dim, *parts in zip(*(column.to_pylist() for column in batch.columns)):
-            if dim not in best:
-                at = np.flatnonzero(sizes == dim)
-                best[dim] = at, Nearest(flat[starts[at][:, None] + np.arange(dim)], own[at], k, factor)
-            if len(best[dim][0]):
-                best[dim][1].visit(Tree.from_row(dim, *parts))
-    for at, near in best.values():
-        row, place = np.nonzero(np.isfinite(near.away) | (near.ids < np.iinfo(np.int64).max))
-        columns = (np.full(len(row), block, np.int32), at[row].astype(np.int32), near.own[row], near.ids[row, place], near.away[row, place])
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "query", "query_id", "vec_id", "score"])
+        for row in batch.to_pylist():
+            if row["bundle"] != bundle:
+                bundle, trees = row["bundle"], []
+            if row["kind"] == 0:
+                trees.append(Tree.from_row(row["dim"], *(row[c] for c in TREE)))
+                continue
+            query, own = (np.frombuffer(row[c], np.int64) for c in QUERIES[:2])
+            near = Nearest(np.frombuffer(row[QUERIES[2]]).reshape(len(own), -1), own, k, factor)
+            for tree in trees:
+                near.visit(tree)
+            at, place = np.nonzero(np.isfinite(near.away) | (near.ids < np.iinfo(np.int64).max))
+            columns = (query[at], own[at], near.ids[at, place], near.away[at, place])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "query_id", "vec_id", "score"])
