@@ -15,9 +15,13 @@
    last ANSWER_WORDS words.
 
 Defined results: only documents that hold a benchmark passage are returned, one row for each (doc_id, item_id);
-null and empty texts hold none; benchmark items of fewer than LEAST_WORDS words, or null, are left out, for no
-text can be told to stem from them; longer items are cut into passages of up to ITEM_WORDS words; an empty
-corpus or benchmark gives an empty table.
+null and empty texts hold none; benchmark items of fewer than LEAST_WORDS words, which no share of common words can
+tell, are found where all their words stand in order without a gap, with a cosine and share of 1; items without words
+are left out; longer items are cut into passages of up to ITEM_WORDS words; an empty corpus or benchmark gives an
+empty table.
+
+A benchmark of any size is searched for in blocks; what each finds is written, so neither the plan nor the driver's
+memory grows with their number.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreline.llm.common import sum_over, written
+from scoreline.sources.scratch import shared_path
 
 TERMS, RANK, EXTRA = 4096, 96, 16
 #: Words of a passage; windows have as many and start at every block of half of it.
@@ -281,28 +286,61 @@ def item_passages(item_id: int, codes: np.ndarray) -> list[tuple[int, list[int],
     return [(item_id, codes[s : s + ITEM_WORDS].tolist(), s + ITEM_WORDS >= len(codes)) for s in starts]
 
 
+class Short:
+    """Items of fewer than LEAST_WORDS words, by their number of words."""
+
+    def __init__(self, items: list[tuple[int, tuple[int, ...]]]):
+        self.by_size: dict[int, dict[tuple, list[int]]] = {}
+        for item, words in items:
+            self.by_size.setdefault(len(words), {}).setdefault(words, []).append(item)
+        #: Hashes of the items of each size, in order.
+        self.known = {n: np.unique(self._hashed(np.array(list(held), np.uint32))) for n, held in self.by_size.items()}
+
+    @staticmethod
+    def _hashed(words: np.ndarray) -> np.ndarray:
+        code = np.zeros(len(words), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(words.shape[1]):
+                code = (code + words[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        return code
+
+    def found(self, words: np.ndarray) -> set[int]:
+        """The items that stand in these words."""
+        out: set[int] = set()
+        for n, held in self.by_size.items():
+            if len(words) >= n:
+                runs = np.lib.stride_tricks.sliding_window_view(words, n)
+                for at in np.flatnonzero(np.isin(self._hashed(runs), self.known[n])).tolist():
+                    out.update(held.get(tuple(runs[at].tolist()), ()))
+        return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share): documents (doc_id, text) that hold items (item_id, text)."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, cosine double, lcs_share double"
     coded = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(code_texts, "doc_id long, codes binary"))
     latent, rare = fit_latent(coded)
-    count, size = benchmark.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    asked = written(benchmark.filter("item_id IS NOT NULL").select("item_id", "text").withColumn("place", F.monotonically_increasing_id()), "items")
+    count, size = asked.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     blocks = max(1, math.ceil(count / ITEMS), math.ceil((size or 0) / ITEM_BYTES))
-    out = spark.createDataFrame([], schema)
+    out, wrote = shared_path(spark, "contaminated"), False
     for block in range(blocks):
-        rows = benchmark.filter((F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) & F.col("item_id").isNotNull()).select("item_id", "text").collect()
+        rows = asked.filter(F.pmod(F.xxhash64("place"), F.lit(blocks)) == block).select("item_id", "text").collect()  # bounded above
         codes, bounds = word_codes(pa.array([r["text"] for r in rows], pa.string()))
-        items = sorted(p for r, a, b in zip(rows, bounds[:-1], bounds[1:]) for p in item_passages(r["item_id"], codes[a:b]))
-        if not items:
-            continue
-        shared = spark.sparkContext.broadcast((items, latent, rare))
+        each = [(r["item_id"], codes[a:b]) for r, a, b in zip(rows, bounds[:-1], bounds[1:])]
+        items = sorted(p for item, words in each for p in item_passages(item, words))
+        short = [(item, tuple(words.tolist())) for item, words in each if 0 < len(words) < LEAST_WORDS]
+        shared = spark.sparkContext.broadcast((items, short, latent, rare))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(*shared.value)
+            items, short, latent, rare = shared.value
+            bench, short = Benchmark(items, latent, rare) if items else None, Short(short)
             for batch in batches:
                 texts, best = Padded(batch.column("codes")), {}
-                for text, at, i, cosine in bench.candidates(texts):
+                for text in range(len(texts.starts) - 1) if short.by_size else ():
+                    best |= {(text, i): (1.0, 1.0) for i in short.found(texts.words[texts.starts[text] : texts.starts[text + 1]])}
+                for text, at, i, cosine in bench.candidates(texts) if bench else ():
                     item_id, item, ends = bench.items[i]
                     if best.get((text, item_id), (0.0,))[0] < 1.0:
                         begin, end = texts.starts[text : text + 2].tolist()
@@ -313,5 +351,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = list(zip(*((ids[t], i, c, s) for (t, i), (s, c) in best.items()))) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "cosine", "lcs_share"])
 
-        out = out.unionByName(coded.mapInArrow(search, schema))
-    return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share"))
+        if items or short:
+            coded.mapInArrow(search, schema).write.parquet(f"{out}/block={block}")
+            wrote = True
+        shared.unpersist()
+    if not wrote:
+        return spark.createDataFrame([], schema)
+    found = spark.read.schema(schema).parquet(out).select("doc_id", "item_id", "cosine", "lcs_share")
+    return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share"))
