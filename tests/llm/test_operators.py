@@ -332,6 +332,19 @@ def test_long_texts_in_pieces_keep_passages(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, 1) for i in range(len(texts))]
 
 
+def test_short_items_are_found_word_for_word(spark, monkeypatch):
+    rng = random.Random(23)
+    plain = [words(rng, 60) for _ in range(30)]
+    texts = plain + [plain[0] + " alpha Beta, gamma", "alpha beta", "alpha x beta gamma", "solo", "so lo", "beta gamma alpha", "one two three four five six seven eight", None, ""]
+    bench = [(1, "Alpha beta gamma!"), (2, "solo"), (3, "alpha beta"), (4, ""), (5, None), (6, "one two three four five six seven"), (7, "!?"), (None, "solo"), (8, "alpha beta gamma")]
+    want = {(30, 1), (30, 3), (30, 8), (31, 3), (33, 2), (36, 6)}
+    for items in (20_000, 2):
+        monkeypatch.setattr(decontam, "ITEMS", items)
+        found = decontam.contaminated(docs_of(spark, texts).repartition(3), spark.createDataFrame(bench, "item_id long, text string"))
+        assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+        assert found._jdf.queryExecution().analyzed().toString().count("Relation") == 1  # however many blocks
+
+
 # 3. Token counts
 
 
@@ -557,6 +570,30 @@ def test_near_duplicates_of_repeated_and_no_rows(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_equal_first_hashes_lose_no_row(spark, monkeypatch):
+    """All rows share the first 64 bits of their hashes; the second tell them apart."""
+    ids = neardup.row_ids
+    monkeypatch.setattr(neardup, "row_ids", lambda: [F.lit(5).cast("long"), ids()[1]])
+    rng = random.Random(18)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(1, a), (2, a), (3, b), (4, b + " more"), (None, ""), (None, None), (6, words(rng, 30))]
+    got = neardup.row_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got if r.doc_id) == [(1, 1), (2, 1), (3, 3), (4, 3), (6, 6)] and len(got) == len(rows)
+
+
+def test_groups_of_long_texts_are_split_by_shingles(spark, monkeypatch):
+    """Few texts with many shingles are as many blocks as their shingles ask for, with the same classes."""
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 3000)
+    rng = random.Random(19)
+    base = words(rng, 900, 50_000).split()
+    texts = [" ".join(w if rng.random() > 0.012 * (k % 4) else "x" + w for w in base) for k in range(24)]
+    seen = []
+    block = neardup.F.ceil
+    monkeypatch.setattr(neardup.F, "ceil", lambda c: seen.append(c) or block(c))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert seen and [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_near_duplicates_of_null_and_shared_ids(spark):
     rng = random.Random(17)
     a, b, c = (words(rng, 60) for _ in range(3))
@@ -601,6 +638,10 @@ def test_nearest_neighbours(spark, monkeypatch):
                 assert [i for i, _ in mine] == [i for i, _ in want] and np.allclose([d for _, d in mine], [d for _, d in want])
         assert hits >= least * 10 * len(got)
     assert ann.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    nodes = lambda: ann.nearest(df, F.col("vec_id") % 100 == 0)._jdf.queryExecution().analyzed().toString().count("\n")
+    several = nodes()
+    monkeypatch.setattr(ann, "QUERY_ROWS", 100_000)
+    assert nodes() == several  # the plan doesn't grow with the blocks of queries
     few = ann.nearest(df.filter("vec_id IN (0, 1, 2)"), F.col("vec_id") == 0).collect()
     assert len(few) == 2
 
