@@ -26,9 +26,19 @@ def limit_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def extended(df: DataFrame, ddl: str) -> StructType:
-    """The frame's schema and these columns after it."""
-    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+def with_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """df with these columns after its own; function maps batches of df to batches of both.
+
+    Columns pass by their place, so that a dot in a name isn't taken for a path.
+    """
+    names, added = df.columns, StructType.fromDDL(ddl)
+    places = df.toDF(*[f"c{k}" for k in range(len(names))])
+
+    def by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in function(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns([*[f"c{k}" for k in range(len(names))], *added.names])
+
+    return places.mapInArrow(by_place, StructType([*places.schema.fields, *added.fields])).toDF(*names, *added.names)
 
 
 def sum_over(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], length: int, dtype: str) -> np.ndarray:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import extended, sum_over
+from scoreline.llm.common import with_arrow, sum_over
 
 BUCKETS, DIM, NONZERO, REACH = 8192, 64, 2, 2
 HIDDEN = 24
@@ -227,4 +227,4 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, Network]) -> DataFra
             x = pooled(batch.column("text").to_pylist(), vectors, buckets)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(net.score(x), pa.float64())], names=[*batch.schema.names, "score"])
 
-    return kept.mapInArrow(score, extended(kept, "score double"))
+    return with_arrow(kept, score, "score double")

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scoreline.llm.common import extended
+from scoreline.llm.common import with_arrow
 
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "token", "key", "keyfile", "armour")
@@ -291,7 +291,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 clean.append(redact(text, spans) if spans else text)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _SPANS), pa.array(clean, pa.string())], names=[*batch.schema.names, "secrets", "redacted"])
 
-    return kept.mapInArrow(scan, extended(kept, "secrets array<struct<kind:string,start:int,end:int>>, redacted string"))
+    return with_arrow(kept, scan, "secrets array<struct<kind:string,start:int,end:int>>, redacted string")
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:

@@ -78,9 +78,11 @@ def shard_rows(docs: DataFrame, shards: int = 8, keep: list[str] | None = None)
     """
     spark = docs.sparkSession
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in RESULTS]
+    # Columns go by their place, so that a dot in a name isn't taken for a path.
+    docs = docs.select("text", *[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(kept)])
     rows = written(
         docs.select(
-            F.struct(*kept or [F.lit(0).alias("none")]).alias("row"),
+            F.struct(*[f"c{k}" for k in range(len(kept))] or [F.lit(0).alias("none")]).alias("row"),
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("crc"),
             F.xxhash64(F.col("text").isNull(), "text").alias("group"),
@@ -120,4 +122,4 @@ def shard_rows(docs: DataFrame, shards: int = 8, keep: list[str] | None = None)
         "slot": F.col("first") + F.col("inside") - 1,
         "grown_shard": F.lit(None).cast("int"),
     }
-    return slots.select(*[F.col("row")[c].alias(c) for c in kept], *[column.alias(name) for name, column in results.items()])
+    return slots.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(kept)], *[column.alias(name) for name, column in results.items()])

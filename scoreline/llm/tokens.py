@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scoreline.llm.common import extended
+from scoreline.llm.common import with_arrow
 
 #: A worker's table of merged pre-tokens starts anew beyond so many entries; strings of more bytes aren't kept.
 CACHE, LONGEST = 1_000_000, 200
@@ -210,5 +210,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(encoder.counts(batch.column("text")), pa.int64())], names=[*batch.schema.names, "n_tokens"])
 
     kept = docs.drop("n_bytes", "n_tokens", "over_limit")
-    counted = kept.mapInArrow(count, extended(kept, "n_tokens long"))
+    counted = with_arrow(kept, count, "n_tokens long")
     return counted.withColumns({"n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "over_limit": F.col("n_tokens") > limit})

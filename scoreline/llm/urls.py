@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import extended
+from scoreline.llm.common import with_arrow
 
 #: A broadcast trie of more rules than this is refused: about 200 bytes a rule.
 MAX_RULES = 1_000_000
@@ -94,4 +94,4 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default:
     kept = pages.drop("host", "path", "rule", "verdict")
     host, path = split_url(F.col("url"))
     parts = kept.withColumns({"host": host, "path": path})
-    return parts.mapInArrow(walk, extended(parts, "rule string, verdict string"))
+    return with_arrow(parts, walk, "rule string, verdict string")
