@@ -400,6 +400,12 @@ def test_key_forms_and_decoys():
         assert found(f"see {decoy} end") == [], decoy[:60]
 
 
+def test_columns_with_dots_pass_all_operators(spark):
+    df = docs_of(spark, ["token = 'abcdef0123456789abcdef'", None, "b"]).withColumns({"a.b": F.col("doc_id") + 1, "doc_id.text": F.lit("x")})
+    for out in (secrets.find_secrets(df), tokens.count_tokens(df, BPE), shards.shard_rows(df, 2), urls.judge_urls(df.withColumn("url", F.lit("http://h/p")), [("block", "h", "/")])):
+        assert sorted((r.doc_id, r["a.b"], r["doc_id.text"]) for r in out.collect()) == [(0, 1, "x"), (1, 2, "x"), (2, 3, "x")]
+
+
 # 4. Chat formatting
 
 
