@@ -17,13 +17,11 @@ from scoreline.operators import scoreboard as sb
 from scoreline.sources.scratch import written
 
 
-def bisect_starts(intervals: DataFrame, board: DataFrame) -> DataFrame:
-    """(video_id, lo, hi, start, player1, player2, approximate) of transitions in which a start is found.
+def in_reach(intervals: DataFrame, board: DataFrame) -> DataFrame:
+    """(video_id, lo, hi, early_points, player1, player2, seen): each interval with the seconds that its probes can reach.
 
     Intervals and seconds meet in buckets of INTERVAL seconds, so the join is on video and bucket alone and a long
-    video is spread over tasks. Each interval then holds the seconds that its probes can reach, and all intervals of a
-    batch are bisected together until none is wider than PRECISION. A 0:0 in a first game is kept, and the search goes on before
-    it; an early score is a fallback from which points count back in time.
+    video is spread over tasks.
     """
     flags = score_flags(intervals.select("video_id", "lo", "hi", *sb.FIELDS).withColumn("success", F.lit(True)))
     key = ["video_id", "lo", "hi", "early_points", "player1", "player2"]
@@ -32,13 +30,21 @@ def bisect_starts(intervals: DataFrame, board: DataFrame) -> DataFrame:
     reached = F.sequence(bucket(F.col("lo") + min(sb.PROBE_OFFSETS) - 1), bucket(F.col("hi") + max(sb.PROBE_OFFSETS)))
     seen = board.filter("success").select("video_id", F.col("sec").cast("long").alias("sec"), bucket(F.col("sec")).alias("bucket"), *[F.col(c).alias(f"_{c}") for c in sb.FIELDS])
     second = F.when(F.col("sec").isNotNull(), F.struct("sec", *[F.col(f"_{c}").alias(c) for c in sb.FIELDS]))
-    near = asked.withColumn("bucket", F.explode(reached)).join(seen, ["video_id", "bucket"], "left").groupBy(*key).agg(F.collect_list(second).alias("seen"))
+    return asked.withColumn("bucket", F.explode(reached)).join(seen, ["video_id", "bucket"], "left").groupBy(*key).agg(F.collect_list(second).alias("seen"))
+
+
+def bisect_starts(intervals: DataFrame, board: DataFrame) -> DataFrame:
+    """(video_id, lo, hi, start, player1, player2, approximate) of transitions in which a start is found.
+
+    All intervals of a batch are bisected together until none is wider than PRECISION. A 0:0 in a first game is kept, and
+    the search goes on before it; an early score is a fallback from which points count back in time.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield bisected(batch)
 
-    return near.mapInArrow(search, "video_id string, lo double, hi double, start double, player1 string, player2 string, approximate boolean")
+    return in_reach(intervals, board).mapInArrow(search, "video_id string, lo double, hi double, start double, player1 string, player2 string, approximate boolean")
 
 
 def bisected(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -30,24 +30,26 @@ def _videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document for each video: an object, an array of one, or an empty array."""
+    """One document for each video: an object or an array of one; for every tenth there is an empty array besides."""
     record = F.struct("video_id", "video_title", "upload_date", "matches", "error")
-    doc = F.when(F.col("pos") % 10 == 3, "[]").when(F.col("pos") % 10 == 4, F.to_json(F.array(record))).otherwise(F.to_json(record))
-    return _videos(spark, sf_dir).select(F.col("video_id").alias("file"), doc.alias("doc"))
+    doc = F.when(F.col("pos") % 10 == 4, F.to_json(F.array(record))).otherwise(F.to_json(record))
+    docs = F.when(F.col("pos") % 10 == 3, F.array(doc, F.lit("[]"))).otherwise(F.array(doc))
+    return _videos(spark, sf_dir).select(F.col("video_id").alias("file"), F.explode(docs).alias("doc"))
 
 
 @query(
-    f"""WITH {LISTED}, n AS (SELECT video_id, count(*) AS n FROM listed GROUP BY video_id), b AS (SELECT *, pos // 500 AS file, row_number() OVER (PARTITION BY pos // 500 ORDER BY pos) AS k FROM {{videos}})
-SELECT file, video_id, title AS video_title, error, CAST(coalesce(n, 0) AS INT) AS n_matches, NULL AS file_err FROM b LEFT JOIN n USING (video_id) WHERE file % 5 <> 1 AND (file % 5 <> 2 OR k = 1)
-UNION ALL SELECT DISTINCT file, NULL, NULL, NULL, -1, 'no videos found' FROM b WHERE file % 5 = 1"""
+    f"""WITH {LISTED}, n AS (SELECT video_id, count(*) AS n FROM listed GROUP BY video_id), b AS (SELECT *, pos // 500 AS file, row_number() OVER (PARTITION BY pos // 500 ORDER BY pos) AS k FROM {{videos}}),
+r AS (SELECT file, k, video_id, title AS video_title, error, CAST(coalesce(n, 0) AS INT) AS n_matches, NULL AS file_err FROM b LEFT JOIN n USING (video_id))
+SELECT * EXCLUDE (k) FROM r UNION ALL SELECT file + 2000000, * EXCLUDE (file, k) FROM r WHERE k = 1 UNION ALL SELECT DISTINCT file + 1000000, NULL, NULL, NULL, -1, 'no videos found' FROM b"""
 )
 def read_match_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of up to 500 videos each; every fifth holds an empty array, and every fifth its first video as one object."""
+    """Files of up to 500 videos each; beside each of them one that holds an empty array, and one with its first video as one object."""
     record = F.struct("pos", "video_id", "video_title", "upload_date", "matches", "error")
     files = _videos(spark, sf_dir).groupBy(F.floor(F.col("pos") / 500).alias("file")).agg(F.sort_array(F.collect_list(record)).alias("v"))
-    doc = F.when(F.col("file") % 5 == 1, "[]").when(F.col("file") % 5 == 2, F.to_json(F.get("v", F.lit(0)))).otherwise(F.to_json("v"))
+    docs = [(0, F.to_json("v")), (1_000_000, F.lit("[]")), (2_000_000, F.to_json(F.get("v", F.lit(0))))]
+    every = files.select(F.explode(F.array(*[F.struct((F.col("file") + k).alias("file"), doc.alias("value")) for k, doc in docs])).alias("_f")).select("_f.*")
     path = shared_path(spark, "matches")
-    files.select("file", doc.alias("value")).write.partitionBy("file").text(path)
+    every.write.partitionBy("file").text(path)
     rows = fl.read_match_json(spark, path).withColumn("file", F.regexp_extract("file", r"file=(\d+)/", 1).cast("long"))
     return rows.select("file", "video_id", "video_title", "error", F.coalesce(F.size("matches"), F.lit(-1)).alias("n_matches"), "file_err")
 

@@ -69,7 +69,7 @@ def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ended(jobs.stream_transitions(_as_stream(samples.union(last))))
 
 
-@query(f"{STAGED} SELECT video_id || '#' || match_pos AS match_id, CAST(offset_s AS INT) AS video_offset_seconds FROM good JOIN listed USING (video_id) WHERE error IS NULL AND pos % 10 <> 3")
+@query(f"{STAGED} SELECT video_id || '#' || match_pos AS match_id, CAST(offset_s AS INT) AS video_offset_seconds FROM good JOIN listed USING (video_id) WHERE error IS NULL")
 def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming, folder = shared_path(spark, "files"), shared_path(spark, "catalogue")
     # One JSON document on each line here; a file of many documents is read line by line.
