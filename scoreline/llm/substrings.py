@@ -40,7 +40,7 @@ from scoreline.llm.ranked import LAST, rows_of
 WINDOW, BLOCK = 50, 10
 SYMBOLS = WINDOW // BLOCK
 #: Suffixes that a task sorts at once, and that a group holds.
-RUN, GROUP = 1 << 20, 1 << 20
+RUN, GROUP = 1 << 19, 1 << 19
 #: Children of a split prefix.
 FAN = 256
 
@@ -90,7 +90,7 @@ def print_of(words: list[bytes]) -> bytes:
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n, print, anchors): the distinct anchors of all windows."""
+    """(doc_id, key, text) to (doc_id, key, n, print, anchors): the distinct anchors of all windows."""
     hashes = Words()
     for batch in batches:
         sizes, prints, anchors = [], [], []
@@ -100,7 +100,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(words))
             prints.append(print_of(words))
             anchors.append(np.unique(blocks[anchors_of(blocks)]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=["doc_id", "n", "print", "anchors"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "print", "anchors"])
 
 
 class Run:
@@ -169,7 +169,7 @@ def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, order, ident, shared, raw in zip(*rows, rows_of(batch.column("text"))):
             words = raw.split()
             if print_of(words) != ident:
-                continue  # another text of the same id
+                continue  # another text with the same key
             blocks = blocks_of(words, hashes)
             at = np.flatnonzero(np.isin(blocks[anchors_of(blocks)], np.array(shared, np.int64).view(np.uint64)))
             high = (blocks >> np.uint64(32)).astype(np.uint32)
@@ -241,18 +241,19 @@ def prefixes_of(runs: DataFrame, size: int) -> Prefixes:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row; needs doc_id and text."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    # The key brings a leader's text back, whatever rows share its id.
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
     order = F.coalesce("doc_id", F.lit(LAST))
-    signed = written(texts.mapInArrow(sign, "doc_id long, n long, print binary, anchors array<long>"), "signed")
+    signed = written(texts.mapInArrow(sign, "doc_id long, key long, n long, print binary, anchors array<long>"), "signed")
     # One row of each print; the window is cut to it in each task before the shuffle.
     of_print = Window.partitionBy("print").orderBy("order")
     leaders = signed.filter(F.col("n") >= WINDOW).withColumn("order", order).withColumn("_n", F.row_number().over(of_print)).filter("_n = 1")
-    leaders = written(leaders.select(F.monotonically_increasing_id().alias("row"), "order", "print", "anchors"), "leaders")
+    leaders = written(leaders.select(F.monotonically_increasing_id().alias("row"), "order", "key", "print", "anchors"), "leaders")
     anchors = leaders.select("row", F.explode("anchors").alias("anchor"))
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("_n")).filter("_n > 1").select("anchor")
     shared = anchors.join(repeated, "anchor").groupBy("row").agg(F.collect_list("anchor").alias("shared"))
-    live = leaders.select("row", "order", "print").join(shared, "row")
-    held = written(live.join(texts.select(order.alias("order"), "text"), "order"), "held")
+    live = leaders.select("row", "order", "key", "print").join(shared, "row")
+    held = written(live.join(texts.select(order.alias("order"), "key", "text"), ["order", "key"]), "held")
     cut_up = written(held.mapInArrow(suffixes, RUNS + ", row long, starts binary"), "suffixes")
     runs = cut_up.filter("row IS NULL").select("symbols", "doc", "pos", "rows", "orders")
     size = runs.agg(F.sum(F.octet_length("pos"))).first()[0] or 0
