@@ -7,9 +7,9 @@ that a model should learn: the text and end mark of assistant turns.
 
 In ``answer_pairs`` the chosen side is a conversation, and the rejected side is that conversation up to its last
 assistant turn, which the last assistant turn of another conversation replaces: a real answer, but to another
-question. Conversations with an assistant turn are dealt by a hash of their id to rings of about RING; the other one
-is the next in the ring by id, whatever ids there are, and after the last the first. One that is alone in its ring is paired with
-itself. A conversation without an assistant turn has no answer to be replaced and is its own rejected side.
+question. Conversations are dealt by a hash of their id to rings of about RING with an answer; the other one is the next of
+these in the ring by id, whatever ids there are, and after the last the first. One that is alone in its ring is paired with
+itself. A conversation without an assistant turn is rejected whole, with another one's answer after it, if its ring has any.
 
 If one side is a prefix of the other, its completion is empty; the prompt is then the whole of it. Turns are
 ordered by turn, role and text, so repeated turns keep a fixed order, and are all kept.
@@ -67,14 +67,15 @@ def answer_pairs(turns: DataFrame) -> DataFrame:
     # The place of the last assistant turn, from 1; 0 where there is none.
     last = F.array_max(F.transform("c", lambda t, i: F.when(t.role == "assistant", i + 1).otherwise(0)))
     placed = written(sides.withColumn("last", last), "conversations")
-    answered = placed.filter("last > 0")
-    rings = max(1, -(-answered.count() // RING))
+    rings = max(1, -(-placed.filter("last > 0").count() // RING))
     ring = F.pmod(F.conv(F.substring(F.md5(F.col("pair_id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(rings))
-    answer, order = F.element_at("c", F.col("last")), Window.partitionBy("ring").orderBy("pair_id")
-    dealt = answered.withColumns({"ring": ring, "own": answer})
-    other = F.coalesce(F.lead("own").over(order), F.first("own").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    pairs = dealt.select("pair_id", "c", F.concat(F.slice("c", F.lit(1), F.col("last") - 1), F.array(other)).alias("r"))
-    return formatted(pairs.union(placed.filter("last = 0").select("pair_id", "c", F.col("c").alias("r"))))
+    dealt = placed.withColumns({"ring": ring, "own": F.when(F.col("last") > 0, F.element_at("c", F.col("last")))})
+    # Going down by id, the last answer before a conversation is that of the next id; the last of all is that of the first.
+    down, before = Window.partitionBy("ring").orderBy(F.col("pair_id").desc()), Window.unboundedPreceding
+    answer = lambda upto: F.last("own", ignorenulls=True).over(down.rowsBetween(before, upto))
+    given = dealt.withColumn("other", F.coalesce(answer(-1), answer(Window.unboundedFollowing)))
+    kept = F.when(F.col("last") > 0, F.slice("c", F.lit(1), F.greatest(F.col("last") - 1, F.lit(0)))).otherwise(F.col("c"))
+    return formatted(given.select("pair_id", "c", F.concat(kept, F.filter(F.array("other"), lambda t: t.isNotNull())).alias("r")))
 
 
 def formatted(both: DataFrame) -> DataFrame:

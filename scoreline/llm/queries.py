@@ -152,14 +152,19 @@ WITH own AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 ends AS (SELECT pair_id, max(n) FILTER (role = 'assistant') AS last FROM own GROUP BY pair_id),
 given AS (SELECT pair_id, role, text FROM own JOIN ends USING (pair_id) WHERE n = last),
-rings AS (SELECT *, CAST('0x' || substr(md5(CAST(pair_id AS VARCHAR)), 1, 8) AS BIGINT) % greatest(1, (SELECT (count(*) + 999) // 1000 FROM given)) AS ring FROM given),
-answers AS (
-  SELECT pair_id, coalesce(lead(role) OVER w, first_value(role) OVER w) AS role, coalesce(lead(text) OVER w, first_value(text) OVER w) AS text
-  FROM rings WINDOW w AS (PARTITION BY ring ORDER BY pair_id)),
+rings AS (
+  SELECT e.pair_id, CASE WHEN g.pair_id IS NOT NULL THEN {'role': role, 'text': text} END AS own,
+         CAST('0x' || substr(md5(CAST(e.pair_id AS VARCHAR)), 1, 8) AS BIGINT) % greatest(1, (SELECT (count(*) + 999) // 1000 FROM given)) AS ring
+  FROM ends e LEFT JOIN given g ON e.pair_id = g.pair_id),
+others AS (
+  SELECT pair_id, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY ring ORDER BY pair_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                           last_value(own IGNORE NULLS) OVER (PARTITION BY ring ORDER BY pair_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other
+  FROM rings),
+answers AS (SELECT pair_id, other.role AS role, other.text AS text FROM others WHERE other IS NOT NULL),
 t AS (
   SELECT pair_id, 0 AS side, role, text, n FROM own
   UNION ALL SELECT pair_id, 1, role, text, n FROM own JOIN ends USING (pair_id) WHERE last IS NULL OR n < last
-  UNION ALL SELECT pair_id, 1, a.role, a.text, e.last FROM answers a JOIN ends e USING (pair_id)),
+  UNION ALL SELECT pair_id, 1, a.role, a.text, coalesce(e.last, (SELECT max(n) + 1 FROM own o WHERE o.pair_id = a.pair_id)) FROM answers a JOIN ends e USING (pair_id)),
 k AS (SELECT pair_id, n, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same FROM t GROUP BY pair_id, n),
 p AS (SELECT pair_id, CAST(coalesce(min(n) FILTER (NOT same) - 1, max(n)) AS INTEGER) AS common_turns FROM k GROUP BY pair_id),
 m AS (
