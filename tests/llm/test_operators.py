@@ -415,7 +415,7 @@ def test_answers_of_sparse_ids(spark, monkeypatch):
     turns = [(i, t, role, f"{role} {i}") for i in ids for t, role in enumerate(["user", "assistant"])] + [(9, 0, "user", "alone"), (None, 0, "user", "lost")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("last", F.lit("clash"))
     got = {r.pair_id: r for r in chat.answer_pairs(df).collect()}
-    assert sorted(got) == sorted([*ids, 9]) and (got[9].chosen, got[9].rejected) == ("", "")
+    assert sorted(got) == sorted([*ids, 9]) and got[9].chosen == "" and "assistant 70<" in got[9].rejected
     after = dict(zip(sorted(ids), [*sorted(ids)[1:], min(ids)]))
     for i in ids:
         assert got[i].common_turns == 1 and f"assistant {i}<" in got[i].chosen and f"assistant {after[i]}<" in got[i].rejected
