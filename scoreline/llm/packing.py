@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ END_ID = 2
 SHARD_BYTES = 4 << 20
 #: BM25's two constants.
 K1, B = 1.2, 0.75
+#: A term that more than one in DENSE of a shard's documents hold is kept as a row of all their weights; best documents sorted at first.
+DENSE, FEW = 4, 64
 #: Pivots for each shard, FAN at least in all; branches of a node of their tree, and its levels (10 bits of a key each).
 PIVOTS, FAN, LEVELS = 4, 512, 3
 #: No more pivots than this (64 MB), enough for 256 GB of text; beyond that more documents share a pivot.
@@ -72,6 +75,11 @@ class Corpus:
         self.df, self.docs, self.mean = df, docs, max(1.0, tokens / docs if docs else 1.0)
         self.idf = np.log1p((docs - df + 0.5) / (df + 0.5)).astype(np.float32)
 
+    @cached_property
+    def directions(self) -> np.ndarray:
+        """Made once by a worker, not by each of its tasks."""
+        return projection(self)
+
 
 class Index:
     """The inverted index of one shard: for each term the documents that hold it, with their BM25 weights."""
@@ -83,6 +91,13 @@ class Index:
         norm = (K1 * (1 - B + B * np.diff(bounds) / corpus.mean)).astype(np.float32)
         weight = corpus.idf[term] * tf * np.float32(K1 + 1) / (tf + norm[doc])
         self.terms = len(corpus.idf)
+        many = np.bincount(term, minlength=self.terms) * DENSE > len(self.docs)
+        often = many[term]
+        #: For each term that very many documents hold its row in dense, which has a column a document; else -1.
+        self.row = np.where(many, many.cumsum() - 1, -1)
+        self.dense = np.zeros((int(many.sum()), len(self.docs)))
+        self.dense[self.row[term[often]], doc[often]] = weight[often]
+        doc, term, weight = doc[~often], term[~often], weight[~often]
         self._hold(np.argsort(term, kind="stable"), doc.astype(np.intp), term, weight.astype(float))
 
     def _hold(self, order: np.ndarray, owner: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
@@ -95,15 +110,29 @@ class Index:
         kept = unused[self.docs]
         if 2 * kept.sum() < len(kept):
             place = kept.cumsum() - 1
-            self.docs = self.docs[kept]
+            self.docs, self.dense = self.docs[kept], self.dense[:, kept]
             self._hold(np.flatnonzero(kept[self.owner]), place[self.owner], self.term, self.weight)
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """Of the documents that are held, against all terms of these ids."""
-        asked = np.unique(ids)
+        ids = np.sort(ids)
+        asked = ids[np.append(True, ids[1:] != ids[:-1])[: len(ids)]]
         low, n = self.bounds[asked], self.bounds[asked + 1] - self.bounds[asked]
         entry = np.arange(n.sum()) + np.repeat(low - n.cumsum() + n, n)
-        return np.bincount(self.owner.take(entry, mode="clip"), self.weight.take(entry, mode="clip"), len(self.docs))
+        out = np.bincount(self.owner.take(entry, mode="clip"), self.weight.take(entry, mode="clip"), len(self.docs)).astype(float, copy=False)
+        row = self.row[asked]
+        for k in row[row >= 0].tolist():
+            out += self.dense[k]
+        return out
+
+
+def best_first(docs: np.ndarray, score: np.ndarray) -> Iterator[int]:
+    """docs by falling score, later ones first among equals; sorts the best FEW, then, if they are asked for, eight times as many, and so on."""
+    few = FEW
+    while len(docs):
+        best = score >= np.partition(score, -few)[-few] if len(docs) > 2 * few else np.ones(len(docs), bool)
+        yield from docs[best][np.argsort(score[best], kind="stable")][::-1].tolist()
+        docs, score, few = docs[~best], score[~best], 8 * few
 
 
 def fill_windows(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW, corpus: Corpus | None = None) -> Iterator[tuple[int, int, int, int, int]]:
@@ -122,7 +151,7 @@ def fill_windows(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW, corp
             rest = (next_seed, 0)
             unused[next_seed] = False
         seed = rest[0]
-        queue: list[int] | None = None
+        queue: Iterator[int] | None = None
         while rest is not None:
             doc, start = rest
             length = min(sizes[doc] - start, window - offset)
@@ -136,10 +165,10 @@ def fill_windows(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW, corp
                 index.keep(unused)
                 score = index.scores(ids[bounds[seed] : bounds[seed + 1]])
                 left = unused[index.docs]
-                queue = index.docs[left][np.argsort(score[left], kind="stable")].tolist()
-            if queue:
-                rest = (queue.pop(), 0)
-                unused[rest[0]] = False
+                queue = best_first(index.docs[left], score[left])
+            if (doc := next(queue, None)) is not None:
+                rest = (doc, 0)
+                unused[doc] = False
         # Here a window has just been filled, or no document is left unused.
 
 
@@ -258,7 +287,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
     one_in = lambda n: F.pmod("hash", F.lit(max(1, int(counts[terms]) // n))) == 0
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = projection(corpus.value)
+        table = corpus.value.directions
         for batch in batches:
             if len(batch):
                 rows = projected(*ids_of(batch.column("ids"), kind), table)
@@ -270,7 +299,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
     pivots = spark.sparkContext.broadcast(Pivots(rows if len(rows) else np.zeros((1, DIM), np.float32)))
 
     def with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        table = projection(corpus.value)
+        table = corpus.value.directions
         for batch in batches:
             if len(batch):
                 ids, bounds = ids_of(batch.column("ids"), kind)
