@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from scoreline.functions.similarity import same_players
 from scoreline.operators import importer, playlists
-from scoreline.operators.scoreboard import FIELDS, MIN_BREAK
+from scoreline.operators.scoreboard import MIN_BREAK
 from scoreline.sources.files import match_videos
 
 
@@ -45,7 +45,8 @@ def watch_time(positions: DataFrame) -> DataFrame:
 class WatchTime(StatefulProcessor):
     """Keeps the last position of each session that goes on, and the video's total, which closed sessions are part of.
 
-    A session closes once the watermark is SILENT past its last row: its state goes, its seconds stay in the total.
+    A session closes once the watermark is SILENT past its last row: its state goes, its seconds stay in the total. A video
+    reads and writes its sessions at once, and waits for one timer, that of the session which can close first.
     """
 
     def __init__(self, silent_ms: int):
@@ -53,56 +54,56 @@ class WatchTime(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sessions = handle.getMapState("sessions", "session long", "ts timestamp, seconds long")
+        self.sessions = handle.getListState("sessions", "session long, ts long, seconds long")
         self.total = handle.getValueState("total", "seconds long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        total = self.total.get()[0] if self.total.exists() else 0
-        for pdf in rows:
-            for session, group in pdf.groupby("session"):
-                row = group.sort_values(["ts", "position"]).iloc[-1]
-                known = self.sessions.getValue((int(session),)) if self.sessions.containsKey((int(session),)) else None
-                seconds = int(row["position"] // 1)
-                if known is None or (row["ts"], seconds) >= (pd.Timestamp(known[0]), known[1]):
-                    total += seconds - (known[1] if known is not None else 0)
-                    self.sessions.updateValue((int(session),), (row["ts"].to_pydatetime(), seconds))
-                    self.handle.registerTimer(millis(row["ts"]) + self.silent)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        total = (self.total.get() or (0,))[0]
+        known = {session: (ts, seconds) for session, ts, seconds in self.sessions.get()}
+        for row in rows:
+            before, now = known.get(row.session), (row.at, math.floor(row.position))
+            if before is None or now >= before:
+                total += now[1] - (before[1] if before is not None else 0)
+                known[row.session] = now
+        self.keep(known)
         self.total.update((total,))
-        yield pd.DataFrame({"video_id": [key[0]], "watched_seconds": [total]})
+        yield Row(video_id=key[0], watched_seconds=total)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        closed = [s for s, (ts, _) in self.sessions.iterator() if millis(pd.Timestamp(ts)) + self.silent <= expiredTimerInfo.getExpiryTimeInMs()]
-        for session in closed:
-            self.sessions.removeKey(session)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        self.keep({session: (ts, seconds) for session, ts, seconds in self.sessions.get() if ts // 1000 + self.silent > passed})
         return iter(())
 
+    def keep(self, known: dict[int, tuple[int, int]]) -> None:
+        if not known:
+            self.sessions.clear()
+            return
+        self.sessions.put([(session, *last) for session, last in known.items()])
+        self.handle.registerTimer(min(ts for ts, _ in known.values()) // 1000 + self.silent)
+
     def close(self) -> None:
         pass
 
 
-def millis(ts: pd.Timestamp) -> int:
-    """Milliseconds since the epoch of a wall clock time in the session's zone."""
-    return int(ts.timestamp() * 1000) if ts.tzinfo else int(ts.to_pydatetime().timestamp() * 1000)
-
-
 def stream_watch_time(positions: DataFrame, delay: str = "1 hour", silent_hours: float = 24.0) -> DataFrame:
     """A stream of new totals; positions: (video_id, session, ts, position). Needs the RocksDB state store.
 
     Rows later than delay are dropped. A session ends after silent_hours without a row; its id then begins another one.
     """
-    rows = positions.withWatermark("ts", delay)
-    return rows.groupBy("video_id").transformWithStateInPandas(WatchTime(int(silent_hours * 3_600_000)), "video_id string, watched_seconds long", outputMode="Update", timeMode="EventTime")
+    rows = positions.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    return rows.groupBy("video_id").transformWithState(WatchTime(int(silent_hours * 3_600_000)), "video_id string, watched_seconds long", outputMode="Update", timeMode="EventTime")
 
 
 #: What a buffered sample holds, in the order of its columns.
-SAMPLE = "at long, t double, success boolean, actual_ts double, player1 string, player2 string, set1 int, set2 int, game1 int, game2 int"
+SAMPLE = "at long, t double, success boolean, actual_ts double, player1 string, player2 string, set1 int, set2 int"
 
 
 class LiveTransitions(StatefulProcessor):
     """Buffers samples until the watermark has passed them, then goes through them in order.
 
     Of what has passed only the last sample stays, with where its run without a score began; a video that is silent for
-    `silent` milliseconds of event time loses that too.
+    `silent` milliseconds of event time loses that too. A video waits for one timer, that of its first sample that the
+    watermark hasn't passed; all that it has passed go then at once.
     """
 
     def __init__(self, silent_ms: int):
@@ -113,47 +114,45 @@ class LiveTransitions(StatefulProcessor):
         self.last = handle.getValueState("last", "at long, t double, success boolean, actual_ts double, player1 string, player2 string, sets int, run_start double")
         self.waiting = handle.getListState("waiting", SAMPLE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kinds = {"double": float, "boolean": bool, "string": str, "int": int}
-        fields = [(name, kinds[kind]) for name, kind in (c.split() for c in SAMPLE.split(", ")[1:])]
-        for pdf in rows:
-            at = [millis(ts) for ts in pdf["seen_at"]]
-            columns = [[None if pd.isna(v) else kind(v) for v in pdf[name]] for name, kind in fields]
-            self.waiting.appendList(list(zip(at, *columns)))
-            for a in set(at):
-                self.handle.registerTimer(a)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fields = [c.split()[0] for c in SAMPLE.split(", ")]
+        new = [tuple(row[c] for c in fields) for row in rows]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(min(s[0] for s in new))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = expiredTimerInfo.getExpiryTimeInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        upto = timerValues.getCurrentWatermarkInMs()
         held = list(self.waiting.get())
-        due = sorted((s for s in held if s[0] <= upto), key=lambda s: (s[1], s[0]))
+        due = sorted((s for s in held if s[0] <= upto), key=lambda s: s[:2])
         prev = self.last.get() if self.last.exists() else None
         if not due:
             if prev is not None and not held and prev[0] + self.silent <= upto:
                 self.last.clear()
             return
         later = [s for s in held if s[0] > upto]
-        self.waiting.put(later) if later else self.waiting.clear()
-        out = []
-        for at, t, success, actual_ts, player1, player2, set1, set2, _, _ in due:
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(s[0] for s in later))
+        else:
+            self.waiting.clear()
+        for at, t, success, actual_ts, player1, player2, set1, set2 in due:
             if prev is not None and t <= prev[1]:
                 continue  # an earlier second that was seen later than one that has passed
             if success:
                 sets = int(set1 + set2)
                 if prev is not None and not prev[2]:
                     if actual_ts - prev[7] >= MIN_BREAK:
-                        out.append((key[0], prev[7], actual_ts, "score_appears", player1, player2))
+                        yield Row(video_id=key[0], lo=prev[7], hi=actual_ts, kind="score_appears", player1=player1, player2=player2)
                 elif prev is not None and not same_players((prev[4], prev[5]), (player1, player2)):
-                    out.append((key[0], prev[3], actual_ts, "player_change", player1, player2))
+                    yield Row(video_id=key[0], lo=prev[3], hi=actual_ts, kind="player_change", player1=player1, player2=player2)
                 elif prev is not None and sets < prev[6]:
-                    out.append((key[0], prev[3], actual_ts, "set_reset", player1, player2))
+                    yield Row(video_id=key[0], lo=prev[3], hi=actual_ts, kind="set_reset", player1=player1, player2=player2)
                 prev = (at, t, True, actual_ts, player1, player2, sets, None)
             else:
                 prev = (at, t, False, actual_ts, None, None, None, prev[7] if prev is not None and not prev[2] else actual_ts)
         self.last.update(tuple(prev))
         self.handle.registerTimer(prev[0] + self.silent)
-        yield pd.DataFrame(out, columns=["video_id", "lo", "hi", "kind", "player1", "player2"])
 
     def close(self) -> None:
         pass
@@ -165,5 +164,7 @@ def stream_transitions(samples: DataFrame, delay: str = "10 minutes", silent_hou
     Samples that arrive out of order within delay give what all of them give in order; later ones are dropped, and
     the query's progress counts them (numRowsDroppedByWatermark). A transition comes out once the watermark has passed it.
     """
-    rows = samples.select("video_id", "seen_at", "t", "success", "actual_ts", *FIELDS).withWatermark("seen_at", delay)
-    return rows.groupBy("video_id").transformWithStateInPandas(LiveTransitions(int(silent_hours * 3_600_000)), "video_id string, lo double, hi double, kind string, player1 string, player2 string", outputMode="Append", timeMode="EventTime")
+    whole, read = ["set1", "set2"], F.unix_millis("seen_at").alias("at")
+    typed = [F.col(c).cast("double").alias(c) for c in ("t", "actual_ts")] + [F.col(c).cast("int").alias(c) for c in whole]
+    rows = samples.withWatermark("seen_at", delay).select("video_id", "seen_at", read, "success", "player1", "player2", *typed)
+    return rows.groupBy("video_id").transformWithState(LiveTransitions(int(silent_hours * 3_600_000)), "video_id string, lo double, hi double, kind string, player1 string, player2 string", outputMode="Append", timeMode="EventTime")
