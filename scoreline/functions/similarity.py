@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 from functools import reduce
 
@@ -16,6 +17,7 @@ from scoreline.functions.text import normalize_name
 RATIO = 0.92
 
 
+@functools.lru_cache(1 << 16)
 def similar(a: str | None, b: str | None) -> bool:
     """Equal letters and digits, or a matching-blocks ratio of RATIO at least; the order of a and b can matter."""
     if a is None or b is None:
