@@ -98,20 +98,20 @@ def save_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.load_queue(spark, path).select(ORDER)
 
 
-@query("SELECT video_id, CASE WHEN regexp_full_match(upload_date, '[+-]?\\d+') THEN make_timestamp(CAST(upload_date AS BIGINT) * 1000000) END AS uploaded FROM {videos} WHERE upload_date <> '' ORDER BY uploaded DESC NULLS LAST, video_id")
+@query("SELECT video_id, CASE WHEN regexp_full_match(upload_date, '[+-]?\\d+') THEN make_timestamp(CAST(upload_date AS BIGINT) * 1000000) END AS uploaded FROM {videos} ORDER BY uploaded DESC NULLS LAST, video_id")
 def read_pg_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The videos that have an upload date, in order, from a database that this session's JVM holds, read in parts.
+    """All videos in order of their upload, from a database that this session's JVM holds, read in parts.
 
     Executors of a cluster can't reach such a database; there the table is one of the session's catalog.
     """
     videos = frame(spark, sf_dir, "videos").select("pos", "video_id", "upload_date")
-    where, master = F.col("upload_date") != "", spark.sparkContext.master
+    master = spark.sparkContext.master
     if master.startswith("local") and not master.startswith("local-cluster"):
         url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
         # A key of its own type: strings are large objects there, which can't be compared.
         videos.write.format("jdbc").options(url=url, dbtable="videos", createTableColumnTypes="video_id VARCHAR(64), upload_date VARCHAR(64)", numPartitions="4").save()
-        rows = fl.read_table(spark, "videos", url, where=where, split="pos", fetchsize="10000")
+        rows = fl.read_table(spark, "videos", url, split="pos", fetchsize="10000")
     else:
         videos.createOrReplaceTempView("scoreline_videos")
-        rows = fl.read_table(spark, "scoreline_videos", where=where)
+        rows = fl.read_table(spark, "scoreline_videos")
     return rows.select("video_id", parse_upload_epoch(F.col("upload_date")).cast("timestamp_ntz").alias("uploaded")).orderBy(F.col("uploaded").desc_nulls_last(), "video_id")

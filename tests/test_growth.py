@@ -3,8 +3,12 @@
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from scoreline.plans import ORACLE, streams
+from scoreline.plans.adapters import frame
 from scoreline.streaming import jobs
 
+DATA = "/root/testdata/sf0.001"
+
 
 class State:
     """A list or a value, as a handle of a stateful processor gives it."""
@@ -89,3 +93,24 @@ def test_samples_of_a_video_pass_at_one_timer():
     got = list(live.handleExpiredTimer(("v",), Watermark(99), Watermark(0)))
     assert [(r.lo, r.hi, r.kind, r.player1) for r in got] == [(0.0, 15_000.0, "score_appears", "A"), (79 * 300.0, 80 * 300.0, "player_change", "CCCC")]
     assert len(handle.states["waiting"].held) == 100 and handle.timers == [0, 100, 10_099]
+
+
+class Clustered:
+    """A session as that of a cluster: its tables come from the catalog, no database is begun."""
+
+    class sparkContext:
+        master = "spark://somewhere"
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __getattr__(self, name):
+        return getattr(self.spark, name)
+
+
+def test_videos_without_an_upload_date_are_read_too(spark):
+    videos = frame(spark, DATA, "videos")
+    got = streams.read_pg_table(Clustered(spark), DATA)
+    assert videos.filter("upload_date = ''").count() > 0 and got.count() == videos.count()
+    assert "upload_date <>" not in ORACLE["read_pg_table"]
+    assert got.filter("uploaded IS NULL").count() == videos.filter("upload_date IN ('', 'not-a-number')").count()
