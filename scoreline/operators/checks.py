@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreline.functions.similarity import with_similar
 from scoreline.functions.text import normalize_name
-from scoreline.sources.scratch import shared_path, written
+from scoreline.sources.scratch import written
 
 
 def read_expected_csv(rows: DataFrame, path: str = "image_path", order: str = "line") -> DataFrame:
@@ -52,39 +54,170 @@ def reconcile_counts(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("video_id").agg(F.count("*").alias("candidates"), skipped.alias("skipped"), added.alias("added"), (F.count("*") == skipped + added).alias("consistent"))
 
 
-#: Paths, and characters of them, that one automaton holds.
+#: Paths, and characters of them, that one automaton holds; more of them are found by the hashes of their windows.
 BLOCK_PATHS, BLOCK_CHARS = 100_000, 2 << 20
 
+#: A filter's bits: 32 for each path, at most 2 ** MOST_BITS (32 MB). UTF-8 bytes of lines that are hashed at once.
+MOST_BITS, AT_ONCE = 28, 4 << 20
+
 
 def containing(images: DataFrame, lines: DataFrame) -> DataFrame:
     """(image, line): each distinct image in each line that contains it; nulls contain nothing.
 
-    The images go to the tasks in blocks of bounded size, as an automaton that finds all of them in one pass over a line;
-    what a block finds is written, so the plan doesn't grow with the blocks.
+    Each line is read once, however many images there are. A few go to the tasks whole, as an automaton; of more only two
+    filters of bounded size do, and what passes them meets the images by a join.
     """
-    spark = lines.sparkSession
     asked = written(images.filter("image IS NOT NULL").select("image").distinct(), "images")
     count, chars = asked.agg(F.count("*"), F.coalesce(F.sum(F.length("image")), F.lit(0))).first()
-    blocks = max(1, math.ceil(count / BLOCK_PATHS), math.ceil(chars / BLOCK_CHARS))
-    out = shared_path(spark, "contained")
-    for block in range(blocks):
-        # Images of one block, bounded above.
-        shared = spark.sparkContext.broadcast([r["image"] for r in asked.filter(F.pmod(F.xxhash64("image"), F.lit(blocks)) == block).toLocalIterator()])
-
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            automaton, everywhere = ahocorasick.Automaton(), [w for w in shared.value if not w]
-            for word in shared.value:
-                if word:
-                    automaton.add_word(word, word)
-            automaton.make_automaton()
-            for batch in batches:
-                found = [(w, line) for line in batch.column(0).to_pylist() for w in everywhere + (sorted({w for _, w in automaton.iter(line)}) if len(automaton) else [])]
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["image", "line"])
-
-        lines.filter("line IS NOT NULL").select("line").mapInArrow(find, "image string, line string").write.parquet(f"{out}/block={block}")
-    return spark.read.schema("image string, line string").parquet(out).select("image", "line")
+    some = lines.filter("line IS NOT NULL").select("line")
+    if count <= BLOCK_PATHS and chars <= BLOCK_CHARS:
+        return containing_few([r["image"] for r in asked.toLocalIterator()], some)
+    return containing_many(asked, count, some)
+
+
+def containing_few(images: list[str], lines: DataFrame) -> DataFrame:
+    """The same, for images of one automaton."""
+    shared = lines.sparkSession.sparkContext.broadcast(images)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton, everywhere = ahocorasick.Automaton(), [w for w in shared.value if not w]
+        for word in shared.value:
+            if word:
+                automaton.add_word(word, word)
+        automaton.make_automaton()
+        for batch in batches:
+            found = [(w, line) for line in batch.column(0).to_pylist() for w in everywhere + (sorted({w for _, w in automaton.iter(line)}) if len(automaton) else [])]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["image", "line"])
+
+    return written(lines.mapInArrow(find, "image string, line string"), "contained")
+
+
+def window_hashes(data: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(w, hashes of the w bytes from each place on) for w = 1, 2, 4, ... up to longest."""
+    hashes, w, base = mixed(data.astype(np.uint64) + np.uint64(1)), 1, np.uint64(0x9E3779B97F4A7C15)
+    while w <= longest and len(hashes):
+        yield w, hashes
+        hashes = mixed(hashes[:-w] * base + hashes[w:])
+        w *= 2
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Bits spread over the whole 64-bit number."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def whole(first: np.ndarray, last: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+    """The hash of a text of this length: its first and its last window, of a power of two bytes, cover it."""
+    return mixed(mixed(first + np.asarray(length).astype(np.uint64)) * np.uint64(0x94D049BB133111EB) + last)
+
+
+def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a hash in a filter of 2 ** bits."""
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64), (mixed(hashes) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def passing(filter_: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    a, b = places(hashes, bits)
+    return ((filter_[a >> 3] >> (a & 7)) & (filter_[b >> 3] >> (b & 7)) & 1).astype(bool)
+
+
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' UTF-8 bytes with a byte that no such text holds between them, so no window of a text reaches over it; and where each begins."""
+    coded = [t.encode() for t in texts]
+    return np.frombuffer(b"\xff".join(coded), np.uint8), np.cumsum([0, *[len(t) + 1 for t in coded]])
+
+
+def keyed_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(image, n, first, key): an image's bytes, the hash of its first window and of the whole."""
+    for batch in batches:
+        data, starts = joined(batch.column(0).to_pylist())
+        n = np.diff(starts) - 1
+        first, key = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+        for w, hashes in window_hashes(data, n.max(initial=0)):
+            own = np.flatnonzero((n >= w) & (n < 2 * w))
+            at = starts[own]
+            first[own] = hashes[at]
+            key[own] = whole(hashes[at], hashes[at + n[own] - w], n[own])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first.view(np.int64)), pa.array(key.view(np.int64))], names=["image", "n", "first", "key"])
+
+
+def filter_of(keyed: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The bits of this column's hashes. Pieces of it are put together in tasks; the driver gets 32 MB at most."""
+    piece = min(1 << 15, 1 << bits - 3)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(places(batch.column(0).to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at // (piece * 8), pa.int64()), pa.array(at % (piece * 8), pa.int64())], names=["piece", "bit"])
+
+    def join(table: pa.Table) -> pa.Table:
+        out = np.zeros(piece * 8, np.uint8)
+        out[table.column("bit").to_numpy()] = 1
+        return pa.table({"piece": table.column("piece")[:1], "held": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << bits - 3, np.uint8)
+    sent = keyed.select(column).mapInArrow(send, "piece long, bit long").distinct()
+    for row in sent.groupBy("piece").applyInArrow(join, "piece long, held binary").toLocalIterator():
+        out[row["piece"] * piece : (row["piece"] + 1) * piece] = np.frombuffer(row["held"], np.uint8)
+    return out
+
+
+def containing_many(asked: DataFrame, count: int, lines: DataFrame) -> DataFrame:
+    """The same, for any number of images: lines are searched for windows that begin an image, and then for whole images.
+
+    Windows and images are known by hashes in two filters; each place that passes both goes, with its line, to the images of
+    that hash, and is compared with them.
+    """
+    spark = lines.sparkSession
+    bits = min(MOST_BITS, max(10, math.ceil(math.log2(32 * max(1, count)))))
+    keyed = written(asked.filter("image <> ''").mapInArrow(keyed_images, "image string, n long, first long, key long"), "keyed")
+    # Different lengths add up to the text: a few thousand of them at most.
+    lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())
+    shared = spark.sparkContext.broadcast((lengths, filter_of(keyed, "first", bits), filter_of(keyed, "key", bits)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths, begins, wholes = shared.value
+        for batch in batches:
+            for part in parts_of(batch):
+                owner, keys = places_of_images(part, lengths, begins, wholes, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.take(pa.array(owner))], names=["key", "line"])
+
+    found = lines.mapInArrow(search, "key long, line string").join(keyed.select("key", "image"), "key").filter(F.col("line").contains(F.col("image"))).select("image", "line")
+    if asked.filter("image = ''").count():
+        found = found.union(lines.select(F.lit("").alias("image"), "line"))
+    return written(found, "contained")
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.Array]:
+    """The lines of a batch, so many at once as are AT_ONCE bytes, one at least."""
+    column = batch.column(0)
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + AT_ONCE, "right")))
+        yield column.slice(begin, end - begin)
+        begin = end
+
+
+def places_of_images(lines: pa.Array, lengths: list[int], begins: np.ndarray, wholes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key), each pair once, of all places of these lines that the two filters let pass."""
+    data, starts = joined(lines.to_pylist())
+    owners, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for w, hashes in window_hashes(data, lengths[-1] if lengths else 0):
+        own = [n for n in lengths if w <= n < 2 * w]
+        if own:
+            at = np.flatnonzero(passing(begins, hashes, bits))
+            for n in own:
+                here = at[at + n - w < len(hashes)]
+                key = whole(hashes[here], hashes[here + n - w], n)
+                good = passing(wholes, key, bits)
+                owners.append(np.searchsorted(starts, here[good], "right") - 1)
+                keys.append(key[good])
+    pairs = np.unique(np.rec.fromarrays([np.concatenate(owners), np.concatenate(keys)], names="owner,key"))
+    return pairs["owner"], pairs["key"].copy()
 
 
 def log_contains_join(images: DataFrame, lines: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """What must not grow faster than the input: timers and calls of states, cuts, passes over lines, batches."""
 
+import random
+
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from scoreline.operators import checks as ck
 from scoreline.plans import ORACLE, streams
 from scoreline.plans.adapters import frame
 from scoreline.streaming import jobs
@@ -114,3 +117,28 @@ def test_videos_without_an_upload_date_are_read_too(spark):
     assert videos.filter("upload_date = ''").count() > 0 and got.count() == videos.count()
     assert "upload_date <>" not in ORACLE["read_pg_table"]
     assert got.filter("uploaded IS NULL").count() == videos.filter("upload_date IN ('', 'not-a-number')").count()
+
+
+def test_lines_are_read_once_however_many_images_there_are(spark, monkeypatch):
+    rng = random.Random(5)
+    text = lambda most: "".join(rng.choice("aab é𝄞/.") for _ in range(rng.randrange(most)))
+    lines = [text(60) for _ in range(300)] + [None, ""]
+    images = [text(5) for _ in range(60)] + [x[k : k + rng.randrange(1, 40)] for x in lines if x for k in [rng.randrange(len(x))]] + [None, ""]
+    passes = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(line):
+        passes.add(1)
+        return line
+
+    frame = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string").repartition(3)
+    monkeypatch.setattr(ck, "BLOCK_PATHS", 20)
+    monkeypatch.setattr(ck, "AT_ONCE", 500)
+    # Without the empty image, which every line contains, lines are read once.
+    for asked, most in ((images[:-1], len(lines)), (images, 2 * len(lines))):
+        asked = [i for i in asked if i != "" or most > len(lines)]
+        passes.value = 0
+        got = sorted(map(tuple, ck.containing(frame("image", asked), frame("line", lines).select(read("line").alias("line"))).collect()))
+        want = [(i, x) for i in {i for i in asked if i is not None} for x in lines if x is not None and i in x]
+        assert got == sorted(want) and len(want) > 400
+        assert passes.value <= 2 * most  # the filter and what it lets pass may each ask for the text
