@@ -25,21 +25,26 @@ def similar(a: str | None, b: str | None) -> bool:
     x, y = (re.sub("[^A-Z0-9]", "", s.upper()) for s in (a, b))
     if x == y:
         return True
-    # No ratio can exceed twice the shorter length over the sum of both.
-    return 2 * min(len(x), len(y)) >= RATIO * (len(x) + len(y)) and difflib.SequenceMatcher(None, x, y).ratio() >= RATIO
+    # No ratio can exceed twice the shorter length over the sum of both, nor that of the letters that they share.
+    match = difflib.SequenceMatcher(None, x, y)
+    return 2 * min(len(x), len(y)) >= RATIO * (len(x) + len(y)) and match.quick_ratio() >= RATIO and match.ratio() >= RATIO
 
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
+def near_length(x: Column, y: Column) -> Column:
+    """Whether no bound by the lengths alone keeps two normalized names apart."""
+    return 2 * F.least(F.length(x), F.length(y)) >= F.lit(RATIO) * (F.length(x) + F.length(y))
+
+
 def undecided(x: Column, y: Column) -> Column:
     """Whether two different normalized names could still reach the ratio, by their lengths and by the letters they share."""
     total = F.length(x) + F.length(y)
     held = lambda name, letter: F.length(name) - F.length(F.replace(name, F.lit(letter), F.lit("")))
     shared = reduce(lambda a, b: a + b, [F.least(held(x, c), held(y, c)) for c in _LETTERS])
     # A matching can't hold more of a letter than either name has.
-    short = 2 * F.least(F.length(x), F.length(y)) >= F.lit(RATIO) * total
-    return F.when(x.isNull() | y.isNull() | (x == y) | ~short, False).otherwise(2 * shared >= F.lit(RATIO) * total)
+    return F.when(x.isNull() | y.isNull() | (x == y) | ~near_length(x, y), False).otherwise(2 * shared >= F.lit(RATIO) * total)
 
 
 def open_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -51,21 +56,24 @@ def open_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def with_similar(df: DataFrame, names: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Adds a boolean column for each pair of names: whether they are similar, in this order.
 
-    Equal names and those that their lengths or letters keep apart are settled in the JVM; of the others each ordered pair
-    goes to Python once, and comes back by a join.
+    Equal names and those that their lengths keep apart are settled in the JVM; the others go to Python beside their row, so
+    nothing is shuffled by names, of which a few can be those of most rows. A worker remembers the pairs that it met last.
     """
 
     @F.pandas_udf("boolean")
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([similar(x, y) for x, y in zip(left, right)], dtype="bool")
+        out = pd.Series(False, index=left.index)
+        asked = left.notna() & right.notna()
+        out[asked] = [similar(x, y) for x, y in zip(left[asked], right[asked])]
+        return out
 
+    ratio = ratio.asNondeterministic()  # asked once a row, in no filter again
     pairs = {out: (f"_{k}_x", f"_{k}_y") for k, out in enumerate(names)}
     keyed = df.withColumns({c: normalize_name(side) for out, both in names.items() for c, side in zip(pairs[out], both)})
-    near = open_pairs(keyed, list(pairs.values())).withColumn("near", ratio("x", "y")).filter("near")
-    for out, (x, y) in pairs.items():
-        close = near.select(F.col("x").alias(x), F.col("y").alias(y), F.lit(True).alias("_near"))
-        keyed = keyed.join(close, [x, y], "left").withColumn(out, F.coalesce(F.col(x) == F.col(y), F.lit(False)) | F.col("_near").isNotNull()).drop("_near")
-    return keyed.drop(*[c for both in pairs.values() for c in both])
+    unsettled = {out: (F.col(x) != F.col(y)) & near_length(F.col(x), F.col(y)) for out, (x, y) in pairs.items()}
+    asked = keyed.withColumns({f"_{k}_near": ratio(F.when(unsettled[out], F.col(f"_{k}_x")), F.when(unsettled[out], F.col(f"_{k}_y"))) for k, out in enumerate(names)})
+    found = asked.withColumns({out: F.coalesce(F.col(f"_{k}_x") == F.col(f"_{k}_y"), F.lit(False)) | F.col(f"_{k}_near") for k, out in enumerate(names)})
+    return found.drop(*[c for both in pairs.values() for c in both], *[f"_{k}_near" for k in range(len(names))])
 
 
 def with_same_pair(df: DataFrame, out: str, a1: Column, a2: Column, b1: Column, b2: Column) -> DataFrame:

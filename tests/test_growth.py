@@ -6,6 +6,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scoreline.operators import checks as ck
+from scoreline.operators import scoreboard as sb
 from scoreline.plans import ORACLE, streams
 from scoreline.plans.adapters import frame
 from scoreline.streaming import jobs
@@ -142,3 +143,10 @@ def test_lines_are_read_once_however_many_images_there_are(spark, monkeypatch):
         want = [(i, x) for i in {i for i in asked if i is not None} for x in lines if x is not None and i in x]
         assert got == sorted(want) and len(want) > 400
         assert passes.value <= 2 * most  # the filter and what it lets pass may each ask for the text
+
+
+def test_transitions_sort_a_video_once_and_shuffle_nothing_by_names(spark):
+    found = sb.transitions(frame(spark, DATA, "samples"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("row_number")]  # what stands above the adapter's own window
+    assert "Join" not in after and after.count(" Sort [") == 1
