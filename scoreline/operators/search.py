@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scoreline.functions.similarity import same_players
 from scoreline.functions.text import EARLY_POINTS, format_hms, score_flags
 from scoreline.operators import scoreboard as sb
-from scoreline.sources.scratch import written
+from scoreline.sources.scratch import limit_batches, written
 
 
 def in_reach(intervals: DataFrame, board: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def in_reach(intervals: DataFrame, board: DataFrame) -> DataFrame:
 def bisect_starts(intervals: DataFrame, board: DataFrame) -> DataFrame:
     """(video_id, lo, hi, start, player1, player2, approximate) of transitions in which a start is found.
 
-    All intervals of a batch are bisected together until none is wider than PRECISION. A 0:0 in a first game is kept, and
+    All intervals of a batch, whose bytes are bounded, are bisected together until none is wider than PRECISION. A 0:0 in a first game is kept, and
     the search goes on before it; an early score is a fallback from which points count back in time.
     """
 
@@ -44,6 +44,7 @@ def bisect_starts(intervals: DataFrame, board: DataFrame) -> DataFrame:
         for batch in batches:
             yield bisected(batch)
 
+    limit_batches(board.sparkSession)
     return in_reach(intervals, board).mapInArrow(search, "video_id string, lo double, hi double, start double, player1 string, player2 string, approximate boolean")
 
 
@@ -105,15 +106,24 @@ def dedup_starts(candidates: DataFrame) -> DataFrame:
     One goes if a kept one has the same players or is less than MIN_BREAK away. A video has tens of candidates.
     """
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[float, tuple[str, str]]] = []
-        for row in rows.sort_values(["phase", "ord", "start"]).itertuples():
-            pair = (row.player1, row.player2)
-            if not any(same_players(pair, p) or abs(t - row.start) < sb.MIN_BREAK for t, p in kept):
-                kept.append((row.start, pair))
-        return pd.DataFrame([(rows["video_id"].iloc[0], t, *p) for t, p in kept], columns=["video_id", "start", "player1", "player2"])
-
-    return candidates.select("video_id", "phase", "ord", "start", "player1", "player2").groupBy("video_id").applyInPandas(keep, "video_id string, start double, player1 string, player2 string")
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for video, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                kept: list[tuple[float, tuple[str, str]]] = []
+                for row in rows:
+                    pair = (row["player1"], row["player2"])
+                    if not any(abs(t - row["start"]) < sb.MIN_BREAK or same_players(pair, p) for t, p in kept):
+                        kept.append((row["start"], pair))
+                out += [(video, t, *p) for t, p in kept]
+            kinds = [pa.string(), pa.float64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["video_id", "start", "player1", "player2"])
+
+    limit_batches(candidates.sparkSession)
+    each = F.struct("phase", "ord", F.col("start").cast("double").alias("start"), "player1", "player2")
+    # Videos pass many at once, each as one row with its candidates in order.
+    rows = candidates.groupBy("video_id").agg(F.sort_array(F.collect_list(each)).alias("rows"))
+    return rows.mapInArrow(keep, "video_id string, start double, player1 string, player2 string")
 
 
 def match_starts(board: DataFrame) -> DataFrame:

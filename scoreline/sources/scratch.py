@@ -24,3 +24,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Arrow batches to Python hold at most so many rows and bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch of rows with long lists holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

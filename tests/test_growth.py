@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreline.operators import checks as ck
 from scoreline.operators import scoreboard as sb
+from scoreline.operators import search as se
 from scoreline.plans import ORACLE, streams
 from scoreline.plans.adapters import frame
 from scoreline.streaming import jobs
@@ -150,3 +151,12 @@ def test_transitions_sort_a_video_once_and_shuffle_nothing_by_names(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     after = plan[: plan.index("row_number")]  # what stands above the adapter's own window
     assert "Join" not in after and after.count(" Sort [") == 1
+
+
+def test_batches_of_intervals_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(spark.conf.__class__, "set", lambda self, name, value, real=spark.conf.__class__.set: (seen.append(name), real(self, name, value))[1])
+    board = frame(spark, DATA, "board")
+    found = se.match_starts(board)
+    assert "spark.sql.execution.arrow.maxBytesPerBatch" in seen
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()  # no call of Python for each video
