@@ -94,7 +94,12 @@ def import_matches(catalogue: dict[str, DataFrame], videos: DataFrame, run_ts: d
     Tournaments are created for failed videos too; what a video had before goes in any case.
     """
     # Written once: every table of the catalogue is made from it.
-    staged, rejected = import_policy(written(stage_videos(videos, run_ts), "staged"), policy)
+    return import_staged(catalogue, written(stage_videos(videos, run_ts), "staged"), policy)
+
+
+def import_staged(catalogue: dict[str, DataFrame], parsed: DataFrame, policy: str = "quarantine") -> dict[str, DataFrame]:
+    """import_matches of videos that are parsed already."""
+    staged, rejected = import_policy(parsed, policy)
     exploded = explode_matches(staged)
     new_matches = exploded.select(match_id(), "video_id", "tournament", "year", F.col("timestamp").cast("int").alias("video_offset_seconds"), F.coalesce(tt.is_doubles(F.col("player1"), F.col("player2")), F.lit(False)).alias("is_doubles"))
     new_people = participants_of(exploded)
@@ -141,13 +146,12 @@ def save_import(folder: str, number: int, videos: DataFrame, run_ts: datetime, p
     spark = videos.sparkSession
     store = Folder(spark, folder)
     now = store.newest(upto=number - 1) or {}
-    staged = written(videos, "incoming")
-    parsed = written(stage_videos(staged, run_ts), "parsed")
+    parsed = written(stage_videos(videos, run_ts), "parsed")
     people = participants_of(explode_matches(parsed.filter("err IS NULL")))
     parts = {"videos": touched_parts(parsed, "video_id"), "tournaments": touched_parts(parsed.filter("err IS NULL"), "tournament"), "players": touched_parts(people, "player")}
     parts |= {name: parts["videos"] for name in ("matches", "participants")}
     before = {name: read_parts(spark, folder, name, now, parts[name]) for name in SCHEMAS}
-    after = import_matches(before, staged, run_ts, policy)
+    after = import_staged(before, parsed, policy)
     after["participants"] = after["participants"].join(after["matches"].select("match_id", "video_id"), "match_id")
     pointers, attempt = {name: dict(now.get(name, {})) for name in SCHEMAS}, f"{number}-{uuid.uuid4().hex}"
     for name, key in PART_KEY.items():

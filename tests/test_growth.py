@@ -6,10 +6,12 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scoreline.operators import checks as ck
+from scoreline.operators import importer as im
 from scoreline.operators import scoreboard as sb
 from scoreline.operators import search as se
 from scoreline.plans import ORACLE, streams
 from scoreline.plans.adapters import frame
+from scoreline.plans.titles import RUN_TS
 from scoreline.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
@@ -160,3 +162,11 @@ def test_batches_of_intervals_are_bounded(spark, monkeypatch):
     found = se.match_starts(board)
     assert "spark.sql.execution.arrow.maxBytesPerBatch" in seen
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()  # no call of Python for each video
+
+
+def test_an_import_parses_its_videos_once(spark, tmp_path, monkeypatch):
+    passes = []
+    monkeypatch.setattr(im, "stage_videos", lambda videos, run_ts, real=im.stage_videos: (passes.append(1), real(videos, run_ts))[1])
+    videos = spark.createDataFrame([("a", "Court 1 | Island Cup 2025 | Day 1", "1700000000", [(5, "X", "Y")], None, 0)], "video_id string, video_title string, upload_date string, matches array<struct<timestamp:int,player1:string,player2:string>>, error string, pos int")
+    im.save_import(f"{tmp_path}/db", 0, videos, RUN_TS)
+    assert len(passes) == 1 and im.load_snapshot(spark, f"{tmp_path}/db")["matches"].count() == 1
