@@ -23,9 +23,8 @@ STAGED = f"WITH {PARSED}, {LISTED}, {SIDES}, {GOOD}"
 
 def _videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as match files hold them."""
-    rows = frame(spark, sf_dir, "video_matches").select("video_id", F.col("offset_s").alias("timestamp"), F.col("side").alias("player1")).distinct()
-    match = F.struct(F.col("timestamp"), F.col("player1"), F.lit("OPPONENT").alias("player2"))
-    matches = rows.groupBy("video_id").agg(F.sort_array(F.collect_list(match)).alias("matches"))
+    match = F.struct(F.col("offset_s").alias("timestamp"), F.col("side").alias("player1"), F.lit("OPPONENT").alias("player2"))
+    matches = frame(spark, sf_dir, "video_matches").repartition("video_id").groupBy("video_id").agg(F.sort_array(F.collect_set(match)).alias("matches"))
     return frame(spark, sf_dir, "videos").withColumnRenamed("title", "video_title").join(matches, "video_id", "left").withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<timestamp:int,player1:string,player2:string>>")))
 
 
@@ -45,12 +44,14 @@ SELECT * EXCLUDE (k) FROM r UNION ALL SELECT file + 2000000, * EXCLUDE (file, k)
 def read_match_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of up to 500 videos each; beside each of them one that holds an empty array, and one with its first video as one object."""
     record = F.struct("pos", "video_id", "video_title", "upload_date", "matches", "error")
-    files = _videos(spark, sf_dir).groupBy(F.floor(F.col("pos") / 500).alias("file")).agg(F.sort_array(F.collect_list(record)).alias("v"))
+    files = _videos(spark, sf_dir).withColumn("file", F.floor(F.col("pos") / 500)).repartition("file").groupBy("file").agg(F.sort_array(F.collect_list(record)).alias("v"))
     docs = [(0, F.to_json("v")), (1_000_000, F.lit("[]")), (2_000_000, F.to_json(F.get("v", F.lit(0))))]
-    every = files.select(F.explode(F.array(*[F.struct((F.col("file") + k).alias("file"), doc.alias("value")) for k, doc in docs])).alias("_f")).select("_f.*")
+    # A folder holds a thousand files, so few folders are made and listed.
+    place = lambda k: [F.concat_ws("-", F.lit(k), F.floor(F.col("file") / 1000)).alias("folder"), F.coalesce((F.col("file") + k).cast("string"), F.lit("none")).alias("stem")]
+    every = files.select(F.explode(F.array(*[F.struct(*place(k), doc.alias("doc")) for k, doc in docs])).alias("_f")).select("_f.*")
     path = shared_path(spark, "matches")
-    every.write.partitionBy("file").text(path)
-    rows = fl.read_match_json(spark, path).withColumn("file", F.regexp_extract("file", r"file=(\d+)/", 1).cast("long"))
+    fl.write_match_files(every, path)
+    rows = fl.read_match_json(spark, path).withColumn("file", F.regexp_extract("file", r"/(-?\d+)[.]json$", 1).try_cast("long"))
     return rows.select("file", "video_id", "video_title", "error", F.coalesce(F.size("matches"), F.lit(-1)).alias("n_matches"), "file_err")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoreline.functions.text import parse_duration
 from scoreline.operators.importer import numbered_last_wins
 from scoreline.sources.pointers import current_table, replace_table
+from scoreline.sources.scratch import limit_batches
 from scoreline.sources.tree import register
 
 MATCH_FILE = "array<struct<video_id:string,video_title:string,upload_date:string,matches:array<struct<timestamp:int,player1:string,player2:string>>,error:string>>"
@@ -23,11 +24,18 @@ def match_videos(docs: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def read_match_json(spark: SparkSession, path: str) -> DataFrame:
-    """Match files under path, one JSON document each."""
-    docs = spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"), F.col("_metadata.file_path").alias("file"))
+    """Match files in any folder under path, one JSON document each."""
+    docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("doc"), F.col("_metadata.file_path").alias("file"))
     return match_videos(docs)
 
 
+def write_match_files(docs: DataFrame, path: str) -> None:
+    """Replaces the tree at path: a file for each of docs' (folder, stem, doc), folder/stem.json."""
+    register(docs.sparkSession)
+    limit_batches(docs.sparkSession)
+    docs.select("folder", "stem", "doc").write.format("scoreline_tree").mode("append").option("tree", path).save()
+
+
 def ytdlp_lines(lines: DataFrame, line: str = "line", strict: bool = False) -> DataFrame:
     """Adds url, title, upload_date, duration_string, seconds and err to lines that hold a JSON object.
 

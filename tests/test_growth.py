@@ -1,5 +1,6 @@
 """What must not grow faster than the input: timers and calls of states, cuts, passes over lines, batches."""
 
+import os
 import random
 
 from pyspark.sql import Row
@@ -9,7 +10,7 @@ from scoreline.operators import checks as ck
 from scoreline.operators import importer as im
 from scoreline.operators import scoreboard as sb
 from scoreline.operators import search as se
-from scoreline.plans import ORACLE, streams
+from scoreline.plans import ORACLE, QUERIES, imports, streams
 from scoreline.plans.adapters import frame
 from scoreline.plans.titles import RUN_TS
 from scoreline.streaming import jobs
@@ -170,3 +171,20 @@ def test_an_import_parses_its_videos_once(spark, tmp_path, monkeypatch):
     videos = spark.createDataFrame([("a", "Court 1 | Island Cup 2025 | Day 1", "1700000000", [(5, "X", "Y")], None, 0)], "video_id string, video_title string, upload_date string, matches array<struct<timestamp:int,player1:string,player2:string>>, error string, pos int")
     im.save_import(f"{tmp_path}/db", 0, videos, RUN_TS)
     assert len(passes) == 1 and im.load_snapshot(spark, f"{tmp_path}/db")["matches"].count() == 1
+
+
+def test_match_files_stand_in_few_folders(spark, tmp_path):
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("part", "p_partkey")):
+        table = spark.read.parquet(f"{DATA}/{name}.parquet")
+        (table if name == "part" else table.filter(F.col(key) < 90).withColumn(key, F.col(key) * 500)).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = QUERIES["read_match_json"](spark, str(tmp_path))
+    files = got.inputFiles()
+    assert len(files) == 3 * 90 and len({os.path.dirname(f) for f in files}) == 3
+    rows = {r.file: r for r in got.collect()}
+    assert sorted(rows) == [k + f for k in (0, 1_000_000, 2_000_000) for f in range(90)] and got.count() == 3 * 90
+    assert all(rows[f].video_id == rows[f + 2_000_000].video_id == f"v{500 * f}" and rows[f + 1_000_000].file_err == "no videos found" for f in range(90))
+
+
+def test_matches_of_videos_are_shuffled_once(spark):
+    plan = imports._videos(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(video_id") == 2  # the matches, and the videos that they join
