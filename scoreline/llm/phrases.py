@@ -10,7 +10,8 @@
 4. Scores. Cuts are looked up by joins on the phrases' word ids; arithmetic is in decimals of 38 digits.
 
 Nothing but the numbers of words and rows reaches the driver. A shard is bounded by its bytes, and so is what it sends
-and gets back; a bucket takes about BUCKET of the corpus' tokens, of which it sees distinct phrases only.
+and gets back, which pass by sorted, row after row: no list or row holds all of it in the JVM. Its index is extended
+AT_ONCE occurrences at a time. A bucket takes about BUCKET of the corpus' tokens, of which it sees distinct phrases only.
 
 Defined results: null and empty texts have no words; a null lang is `und`; repeated rows count each; an empty table
 gives an empty table. doc_id and other columns don't matter.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,12 @@ SCALE, SHARE = 2_000_000, 80
 SHARD_BYTES = 8 << 20
 #: Tokens of the corpus for each bucket that sums phrases.
 BUCKET = 2 << 20
+#: Occurrences whose intervals are extended at once, and phrases or words that stand in one batch.
+AT_ONCE = 1 << 18
+#: Words are numbered in 32 bits: each occurs LEAST times, so as many take a hundred billion words of text.
+MOST_WORDS = 1 << 32
+#: Bytes of a row group of tables whose rows are long, which is what is written and read at once.
+GROUP_BYTES = 16 << 20
 #: Parts of a language that are ranked first, so that no task ranks all of its phrases.
 SALTS = 64
 
@@ -47,8 +54,10 @@ _BYTES = bytes(i + 32 if 65 <= i <= 90 else 10 if i in b".,;:!?\x0a\x0b\x0c\x0d"
 #: Stands for the end of a piece among its words, none of which can be it.
 _END = b","
 
-SHARDS = "shard string, tokens binary, lang string, word string, id int, n long"
-PACKED = "bucket int, shard string, words binary, counts binary"
+SHARDS = "shard long, tokens binary, lang string, word string, id int, n long"
+NUMBERED = "shard long, ids binary, numbers binary"
+PACKED = "length int, bucket int, shard long, words binary, counts binary"
+ANSWERS = "shard long, words binary, counts binary"
 
 
 class Ids(dict):
@@ -66,7 +75,7 @@ class Ids(dict):
 
 def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to SHARDS: one row with the tokens of each shard, and one for each of its words."""
-    types = [pa.string(), pa.binary(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+    types = [pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int32(), pa.int64()]
     names = [c.split()[0] for c in SHARDS.split(", ")]
     words: list[tuple[str, bytes]] = []
     langs: dict[str, Ids] = {}
@@ -76,12 +85,12 @@ def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flushed() -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate([np.zeros(1, np.uint32), *runs, np.zeros(1, np.uint32)])
         tokens = tokens[np.append(True, (tokens[1:] > 0) | (tokens[:-1] > 0))]  # one 0 between pieces
-        name, counts = uuid.uuid4().hex, np.bincount(tokens, minlength=len(words) + 1)[1:]
+        name, counts = uuid.uuid4().int >> 65, np.bincount(tokens, minlength=len(words) + 1)[1:]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((name, tokens.astype("<u4").tobytes(), None, None, None, None), types)], names=names)
         for a in range(0, len(words), 10_000):
             part = words[a : a + 10_000]
             n = len(part)
-            columns = [pa.array([name] * n), pa.nulls(n, pa.binary()), pa.array([w[0] for w in part]), pa.array([w[1] for w in part], pa.binary()).cast(pa.string()), pa.array(range(a + 1, a + n + 1), pa.int32()), pa.array(counts[a : a + n])]
+            columns = [pa.array([name] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([w[0] for w in part]), pa.array([w[1] for w in part], pa.binary()).cast(pa.string()), pa.array(range(a + 1, a + n + 1), pa.int32()), pa.array(counts[a : a + n])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     for batch in batches:
@@ -111,15 +120,16 @@ class Index:
         order = np.arange(len(tokens), dtype=np.int32)
         for k in reversed(range(depth)):
             order = order[by_rank(np.roll(tokens, -k)[order])]
-        self.before = tokens[order - 1]
+        self.before, self._place = tokens[order - 1], None
         #: Where the suffixes that begin with each word begin.
         self.first = np.append(0, np.bincount(tokens).cumsum())
 
     def longer(self, row: np.ndarray) -> np.ndarray:
         """For each row the row of the suffix that is one word longer: rows with the same word before them keep their order."""
-        place = np.empty(len(self.before), np.int32)
-        place[by_rank(self.before)] = np.arange(len(place), dtype=np.int32)
-        return place[row].astype(np.int64)
+        if self._place is None:
+            self._place = np.empty(len(self.before), np.int32)
+            self._place[by_rank(self.before)] = np.arange(len(self._place), dtype=np.int32)
+        return self._place[row].astype(np.int64)
 
 
 class Phrases:
@@ -131,6 +141,11 @@ class Phrases:
     def take(self, which: np.ndarray) -> Phrases:
         return Phrases(self.words[which], self.low[which], self.back[which], self.size[which])
 
+    def small(self) -> Phrases:
+        """Words and occurrences alone, in 32 bits."""
+        none = np.zeros(0, np.int64)
+        return Phrases(self.words.astype(np.uint32), none, none, self.size.astype(np.uint32))
+
 
 class ShardIndex:
     """A bidirectional FM-index of tokens, the pieces of which stand between 0s; the backward one is made when it is first asked.
@@ -172,84 +187,214 @@ class ShardIndex:
         return found.take(np.flatnonzero(word))  # 0 is no word
 
 
-def packed(name: str, words: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """PACKED: phrases of one length by bucket; words (phrases x length) are ids of the whole corpus."""
-    code = np.zeros(len(words), np.uint64)
+def runs(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Cuts a list so that these sizes add up to most in a run, or the run is one place."""
+    ends, begin = sizes.cumsum(), 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, "right")))
+        yield slice(begin, end)
+        begin = end
+
+
+def rows_of_runs(values: np.ndarray, cuts: list[int]) -> list[bytes]:
+    """The bytes between these places; of several rows of values, each of them one after another."""
+    return [np.ascontiguousarray(values[..., a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
+def packed(name: int, found: list[Phrases], length: int, number: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """PACKED: phrases of one length by bucket; their words are ids of the shard, and are sent as those of the whole corpus."""
+    words = np.concatenate([np.zeros((length, 0), np.uint32), *[number[p.words].T.astype("<u4") for p in found]], axis=1)
+    counts = np.concatenate([np.zeros(0, "<u4"), *[p.size.astype("<u4") for p in found]])
+    code = np.zeros(len(counts), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(words.shape[1]):
-            code = mix(code * _GOLDEN + words[:, k].astype(np.uint64))
-    bucket = (code % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    found, first = np.unique(bucket[order], return_index=True)
-    for b, which in zip(found.tolist(), np.split(order, first[1:])):
-        columns = [pa.array([b], pa.int32()), pa.array([name]), pa.array([words[which].astype("<u8").T.tobytes()], pa.binary()), pa.array([counts[which].astype("<u4").tobytes()], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "shard", "words", "counts"])
+        for row in words:
+            code = mix(code * _GOLDEN + row)
+    bucket = (code % np.uint64(buckets)).astype(np.int32)
+    del code
+    order = by_rank(bucket)
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0)[: len(order)]), len(order))
+    for run in runs(np.diff(cuts), AT_ONCE):
+        ends = cuts[run.start : run.stop + 1]
+        which, ends, n = order[ends[0] : ends[-1]], (ends - ends[0]).tolist(), len(ends) - 1
+        columns = [pa.array([length] * n, pa.int32()), pa.array(bucket[which[ends[:-1]]], pa.int32()), pa.array([name] * n, pa.int64()), pa.array(rows_of_runs(words[:, which], ends), pa.binary()), pa.array(rows_of_runs(counts[which], ends), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PACKED.split(", ")])
 
 
-def unpacked(words: bytes, length: int) -> np.ndarray:
-    return np.frombuffer(words, "<u8").reshape(length, -1).T
+def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Two 32-bit numbers in one."""
+    return first.astype(np.uint64) << np.uint64(32) | second
 
 
 class Bucket:
-    """Phrases of one length that several shards sent, summed."""
+    """Phrases of one length that several shards sent, summed; keys hold two words each."""
 
     def __init__(self, rows: pa.Table, length: int):
-        self.shards = rows.column("shard").to_pylist()
-        parts = [unpacked(w, length) for w in rows.column("words").to_pylist()]
-        counts = [np.frombuffer(c, "<u4") for c in rows.column("counts").to_pylist()]
+        self.length, self.shards = length, rows.column("shard").to_pylist()
+        words, counts = ([x for chunk in rows.column(c).chunks for x in views(chunk)] for c in ("words", "counts"))
         self.sizes = [len(c) for c in counts]
-        words, counts = np.concatenate(parts), np.concatenate(counts).astype(np.int64)
-        order = np.lexsort(words.T[::-1])
-        words = words[order]
-        first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]).any(axis=1))[: len(words)])
-        total = np.add.reduceat(counts[order], first)
-        self.words, self.total = words[first], total
-        #: For each phrase as it was sent its place among the distinct ones.
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        keys = [np.concatenate([paired(w[k], w[k + 1]) if k + 1 < length else w[k].astype(np.uint64) for w in (x.reshape(length, -1) for x in words)]) for k in range(0, length, 2)]
+        self.order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+        keys = [k[self.order] for k in keys]
+        self.first = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))[: len(self.order)])
+        self.total = np.add.reduceat(np.concatenate(counts).astype(np.int64)[self.order], self.first)
+        self.keys = [k[self.first] for k in keys]
 
     def frequent(self) -> np.ndarray:
         return np.flatnonzero(self.total >= LEAST)
 
+    def place(self) -> np.ndarray:
+        """For each phrase as it was sent its place among the distinct ones."""
+        out = np.empty(len(self.order), np.int32)
+        out[self.order] = np.repeat(np.arange(len(self.first), dtype=np.int32), np.diff(np.append(self.first, len(self.order))))
+        return out
+
+
+def views(column: pa.Array) -> list[np.ndarray]:
+    """Rows of 32-bit numbers, without a copy."""
+    return [np.frombuffer(x.as_buffer(), "<u4") for x in column]
+
+
+def lists(keys: list[np.ndarray], length: int) -> pa.Array:
+    """Phrases as lists of their words."""
+    words = np.empty((len(keys[0]), length), np.int64)
+    for k in range(length):
+        words[:, k] = keys[k // 2] >> np.uint64(32) if k % 2 == 0 and k + 1 < length else keys[k // 2] & np.uint64(MOST_WORDS - 1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * length, pa.int32()), pa.array(words.ravel()))
+
 
 def answer(key: tuple, rows: pa.Table) -> pa.Table:
     """(shard, words, counts): for each shard which of its pairs are frequent; without a shard, all frequent pairs and their counts."""
     bucket = Bucket(rows, 2)
-    often = bucket.total >= LEAST
-    names, words, counts = [None], [bucket.words[often].T.tobytes()], [bucket.total[often].astype("<i8").tobytes()]
-    for name, place in zip(bucket.shards, np.split(bucket.place, np.cumsum(bucket.sizes)[:-1])):
+    often, which = bucket.total >= LEAST, bucket.frequent()
+    names, words, counts = [None], [bucket.keys[0][which].tobytes()], [bucket.total[which].astype("<i8").tobytes()]
+    for name, place in zip(bucket.shards, np.split(bucket.place(), np.cumsum(bucket.sizes)[:-1])):
         names.append(name)
-        words.append(bucket.words[place[often[place]]].T.tobytes())
+        words.append(bucket.keys[0][place[often[place]]].tobytes())
         counts.append(None)
-    return pa.table({"shard": pa.array(names, pa.string()), "words": pa.array(words, pa.binary()), "counts": pa.array(counts, pa.binary())})
+    return pa.table({"shard": pa.array(names, pa.int64()), "words": pa.array(words, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
 
 def summed(key: tuple, rows: pa.Table) -> pa.Table:
     """(ws, a): the frequent phrases of a bucket, all of one length."""
     bucket = Bucket(rows, key[0].as_py())
     often = bucket.frequent()
-    return pa.table({"ws": pa.array(list(bucket.words[often].astype(np.int64)), pa.list_(pa.int64())), "a": pa.array(bucket.total[often])})
+    return pa.table({"ws": lists([k[often] for k in bucket.keys], bucket.length), "a": pa.array(bucket.total[often])})
 
 
-def ids_by_word(ids: list, numbers: list, size: int) -> np.ndarray:
-    """For each id of a shard the word's number in the whole corpus, or -1."""
-    out = np.full(size, -1, np.int64)
-    out[np.array(ids, np.int64)] = np.array(numbers, np.int64)
-    return out
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(words, counts) of pairs to (ws, a)."""
+    for batch in batches:
+        for keys, counts in zip(batch.column("words"), batch.column("counts")):
+            yield pa.RecordBatch.from_arrays([lists([np.frombuffer(keys.as_buffer(), "<u8")], 2), pa.array(np.frombuffer(counts.as_buffer(), "<i8"))], names=["ws", "a"])
+
+
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, id, number) to NUMBERED: of so many rows as stand together, one for each shard."""
+
+    def flushed() -> pa.RecordBatch:
+        shard, ids, numbers = (np.concatenate([h[k] for h in held]) for k in range(3))
+        order = np.argsort(shard, kind="stable")
+        shard = shard[order]
+        first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        cuts = [*first.tolist(), len(shard)]
+        columns = [pa.array(shard[first]), *(pa.array(rows_of_runs(x[order].astype("<u4"), cuts), pa.binary()) for x in (ids, numbers))]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in NUMBERED.split(", ")])
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if len(batch):
+            held.append([c.to_numpy().copy() for c in batch.columns])
+        if sum(len(h[0]) for h in held) >= AT_ONCE:
+            yield flushed()
+            held = []
+    if held:
+        yield flushed()
 
 
 def frequent_words(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shard, id, number) of frequent words in each shard, and (number, lang, word, f) of each."""
+    """NUMBERED, the frequent words of each shard, and (number, lang, word, f) of each."""
     counted = parts.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= LEAST)
     placed = written(counted.withColumn("place", F.monotonically_increasing_id()), "words")
     # Numbers without gaps stay small: a partition's first number is how many words come before it.
     part = F.shiftright("place", 33)
     sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # one row a partition
+    if sum(s["n"] for s in sizes) > MOST_WORDS:
+        raise OverflowError("more frequent words than 32 bits can number")
     offsets = [(r["part"], sum(s["n"] for s in sizes[:i])) for i, r in enumerate(sizes)]
     starts = parts.sparkSession.createDataFrame(offsets, "part long, start long")
     numbered = placed.withColumn("part", part).join(F.broadcast(starts), "part").select((F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("number"), "lang", "word", "f")
     numbered = written(numbered, "numbers")
-    return written(parts.join(numbered, ["lang", "word"]).select("shard", "id", "number"), "replies"), numbered
+    return written(parts.join(numbered, ["lang", "word"]).select("shard", "id", "number").mapInArrow(by_shard, NUMBERED), "replies", GROUP_BYTES), numbered
+
+
+class Shard:
+    """A shard's tokens, for each of its ids the word's number in the whole corpus, or -1, and its frequent pairs."""
+
+    def __init__(self, name: int, tokens: bytes):
+        self.name, self.tokens, self.pairs, self.asked = name, np.frombuffer(tokens, "<u4"), [], False
+        self.number = np.full(int(self.tokens.max()) + 1, -1, np.int64)
+
+    def known(self) -> np.ndarray:
+        """The frequent pairs in the shard's own ids, each in one number, sorted."""
+        ids = np.flatnonzero(self.number >= 0)
+        ids = ids[np.argsort(self.number[ids])]
+        sent, self.pairs = np.concatenate([np.zeros(0, "<u8"), *self.pairs]), []
+        first, second = (ids[np.searchsorted(self.number[ids], x)] for x in (sent >> np.uint64(32), sent & np.uint64(MOST_WORDS - 1)))
+        return np.sort(first * len(self.number) + second)
+
+
+def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+    """Shards that have frequent words, from (shard, kind, a, b) in order."""
+    held = None
+    for batch in batches:
+        for name, kind, a, b in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), batch.column("a"), batch.column("b")):
+            if kind == 0:
+                if held and held.asked:
+                    yield held
+                held = Shard(name, a.as_py())
+            elif kind == 1:
+                held.number[np.frombuffer(a.as_buffer(), "<u4")] = np.frombuffer(b.as_buffer(), "<u4")
+                held.asked = True
+            else:
+                held.pairs.append(np.frombuffer(a.as_py(), "<u8"))
+    if held and held.asked:
+        yield held
+
+
+def sent(shard: Shard, buckets: int) -> Iterator[pa.RecordBatch]:
+    """PACKED: a shard's pairs of frequent words."""
+    index, found = ShardIndex(shard.tokens), []
+    one = index.words(np.flatnonzero(shard.number >= 0))
+    for run in runs(one.size, AT_ONCE):
+        two = index.extended(one.take(run), left=True, last=True)
+        found.append(two.take(np.flatnonzero(shard.number[two.words[:, 0]] >= 0)).small())
+    yield from packed(shard.name, found, 2, shard.number, buckets)
+
+
+def longer(shard: Shard, buckets: int) -> Iterator[pa.RecordBatch]:
+    """PACKED: a shard's phrases of three and more words, as long as each pair within is frequent."""
+    known, span = shard.known(), len(shard.number)
+    if not len(known):
+        return
+
+    def frequent(phrases: Phrases, at: int) -> Phrases:
+        """Those of which the words from this place on are a frequent pair."""
+        code = phrases.words[:, at] * span + phrases.words[:, at + 1]
+        return phrases.take(np.flatnonzero(known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code))
+
+    index, threes, fours = ShardIndex(shard.tokens), [], []
+    often = np.zeros(span, bool)
+    often[known // span] = often[known % span] = True
+    one = index.words(np.flatnonzero(often))
+    for run in runs(one.size, AT_ONCE):
+        two = frequent(index.extended(one.take(run), left=True), 0)
+        three = frequent(index.extended(two, left=True, last=True), 0)
+        threes.append(three.small())
+        fours.append(frequent(index.extended(three, left=False, last=True), 2).small())
+    del index, known
+    for length, found in ((3, threes), (4, fours)):
+        yield from packed(shard.name, found, length, shard.number, buckets)
+        found.clear()
 
 
 def count_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -261,56 +406,21 @@ def count_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     size = tokens.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     buckets = max(1, math.ceil(size / 4 / BUCKET))
     replies, numbered = frequent_words(words)
-    of_shard = replies.groupBy("shard").agg(F.collect_list(F.struct("id", "number")).alias("known")).select("shard", F.col("known.id").alias("ids"), F.col("known.number").alias("numbers"))
-
-    def read(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, int]]:
-        for k, name in enumerate(batch.column("shard").to_pylist()):
-            found = np.frombuffer(batch.column("tokens")[k].as_buffer(), "<u4")
-            yield name, found, ids_by_word(batch.column("ids")[k].values.to_numpy(), batch.column("numbers")[k].values.to_numpy(), int(found.max()) + 1), k
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, found, number, _ in read(batch):
-                index = ShardIndex(found)
-                two = index.extended(index.words(np.flatnonzero(number >= 0)), left=True, last=True)
-                two = two.take(np.flatnonzero(number[two.words[:, 0]] >= 0))
-                yield from packed(name, number[two.words], two.size, buckets)
-
-    indexed = tokens.join(of_shard, "shard")
-    answers = written(indexed.mapInArrow(pairs, PACKED).groupBy("bucket").applyInArrow(answer, "shard string, words binary, counts binary"), "pairs")
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for both, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(list(unpacked(both, 2).astype(np.int64)), pa.list_(pa.int64())), pa.array(np.frombuffer(counts, "<i8"))], names=["ws", "a"])
-
-    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, found, number, k in read(batch):
-                often = np.concatenate([unpacked(w, 2) for w in batch.column("pairs")[k].as_py()]).astype(np.int64)
-                # The frequent pairs in the shard's own ids, each in one number.
-                ids, span = np.flatnonzero(number >= 0), len(number)
-                ids = ids[np.argsort(number[ids])]
-                local = ids[np.searchsorted(number[ids], often)]
-                known = np.sort(local[:, 0] * span + local[:, 1])
-
-                def paired(phrases: Phrases, at: int) -> Phrases:
-                    """Those of which the words from this place on are a frequent pair."""
-                    code = phrases.words[:, at] * span + phrases.words[:, at + 1]  # noqa: B023
-                    return phrases.take(np.flatnonzero(known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code))  # noqa: B023
-
-                if not len(known):
-                    continue
-                index = ShardIndex(found)
-                two = paired(index.extended(index.words(np.unique(local)), left=True), 0)
-                three = paired(index.extended(two, left=True, last=True), 0)
-                four = paired(index.extended(three, left=False, last=True), 2)
-                for phrases in (three, four):
-                    for out in packed(name, number[phrases.words], phrases.size, buckets):
-                        yield pa.RecordBatch.from_arrays([pa.array([phrases.words.shape[1]], pa.int32()), *(out.column(c) for c in ("bucket", "shard", "words", "counts"))], names=["length", "bucket", "shard", "words", "counts"])
-
-    sent = answers.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list("words").alias("pairs"))
-    more = indexed.join(sent, "shard").mapInArrow(longer, "length int, " + PACKED).groupBy("length", "bucket").applyInArrow(summed, "ws array<long>, a long")
+
+    def of_shards(function: Callable[[Shard, int], Iterator[pa.RecordBatch]], *more: DataFrame) -> DataFrame:
+        """PACKED, from each shard's rows side by side: its tokens, its frequent words, and what more there is."""
+        rows = tokens.select("shard", F.lit(0).alias("kind"), F.col("tokens").alias("a"), F.lit(None).cast("binary").alias("b"))
+        for kind, part in enumerate((replies, *more), 1):
+            rows = rows.union(part.select("shard", F.lit(kind), *part.columns[1:3]))
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for one in shards_of(batches):
+                yield from function(one, buckets)
+
+        return rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(send, PACKED).groupBy("length", "bucket")
+
+    answers = written(of_shards(sent).applyInArrow(answer, ANSWERS), "pairs", GROUP_BYTES)
+    more = of_shards(longer, answers.filter("shard IS NOT NULL")).applyInArrow(summed, "ws array<long>, a long")
     two = answers.filter("shard IS NULL").select("words", "counts").mapInArrow(listed, "ws array<long>, a long")
     return written(two.union(more), "phrases"), numbered, totals
 

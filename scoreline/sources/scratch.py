@@ -19,10 +19,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The frame as a Parquet table: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str = "table", group_bytes: int | None = None) -> DataFrame:
+    """The frame as a Parquet table: cuts the lineage, survives lost executors. Row groups of fewer bytes bound what long rows take."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -237,3 +238,34 @@ def test_index_extends_both_ways():
     four = index.extended(three, left=False, last=True)
     for size, held in ((1, one), (2, two), (3, three), (4, four)):
         assert dict(zip(map(tuple, held.words.tolist()), held.size.tolist())) == plain(size)
+
+
+def test_a_shard_takes_few_bytes_for_a_word_of_it():
+    """Where every pair is frequent, as in a large corpus: the index and what is sent, not the work of all extensions at once."""
+    rng = np.random.default_rng(7)
+    tokens = np.concatenate([[0], rng.zipf(1.3, 1_500_000).clip(1, 60_000), [0]]).astype(np.uint32)
+    held = phrases.Shard(1, tokens.tobytes())
+    held.number[1:] = np.arange(len(held.number) - 1)
+    codes = np.unique(held.number[tokens[1:-2]] << 32 | held.number[tokens[2:-1]]).astype("<u8")
+    held.pairs = list(np.array_split(codes, 50))
+    tracemalloc.start()
+    rows = [0, 0, 0, 0, 0]
+    for batch in phrases.longer(held, 200):
+        assert batch.nbytes < 10 << 20
+        for length, counts in zip(batch.column("length").to_pylist(), batch.column("counts").to_pylist()):
+            rows[length] += int(np.frombuffer(counts, "<u4").sum())
+    assert rows[3:] == [1_499_998, 1_499_997]
+    assert tracemalloc.get_traced_memory()[1] < 150 * len(tokens)
+    tracemalloc.stop()
+
+
+def test_a_shard_is_no_row_of_lists(spark):
+    """What comes back to a shard passes by sorted, for lists and joined rows of it pile up in the JVM."""
+    docs = spark.createDataFrame([("en", "a b c d " * 40)] * 3, "lang string, text string")
+    plans = []
+    real = phrases.written
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(phrases, "written", lambda df, name="", *a: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), real(df, name, *a))[1])
+        assert phrases.mine_phrases(docs).count() > 0
+    for name, plan in plans:
+        assert name not in ("pairs", "phrases") or "collect_list" not in plan and "SortMergeJoin" not in plan
