@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -188,3 +189,35 @@ def test_match_files_stand_in_few_folders(spark, tmp_path):
 def test_matches_of_videos_are_shuffled_once(spark):
     plan = imports._videos(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(video_id") == 2  # the matches, and the videos that they join
+
+
+def test_texts_that_pass_the_filters_weigh_less_than_the_lines(monkeypatch):
+    """Filters as full as 20 million paths make them, beside a few long items of many lengths, as at 6 GB."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    images = [f"out/u{rng.randrange(10**9)}-{k}.jpg" for k in range(20_000)] + [text(n) for n in range(81, 395, 2)]
+    lines = [text(3000) for _ in range(300)] + [f"seen {i}.bak" for i in images[:50]] + [images[-1] + images[-1]]
+    monkeypatch.setattr(ck, "MOST_BITS", 18)  # 13 bits for each path
+    monkeypatch.setattr(ck, "LEAST_BITS", 1 << 14)
+    counts = {}
+    for i in images:
+        counts[len(i)] = counts.get(len(i), 0) + 1
+    classes = ck.classes_of(counts)
+    assert sum(c.size for c in classes) <= (1 << 18) + (1 << 14) * len(classes)
+    held = np.zeros(sum(2 * c.size for c in classes), np.uint8)
+    held[ck.bits_of(images, classes)] = 1
+    found = [(k, t) for owner, texts in ck.texts_like_images(lines, classes, np.packbits(held, bitorder="little")) for k, t in zip(owner.to_pylist(), texts.to_pylist())]
+    assert {(k, t) for k, t in found if t in set(images)} == {(k, i) for k, x in enumerate(lines) for i in images if i in x}
+    assert len(found) == len(set(found)) and sum(len(t) for _, t in found) < sum(map(len, lines)) / 20
+
+
+def test_lines_stand_beside_no_image_until_the_end(spark, monkeypatch):
+    frame = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string").repartition(3)
+    tables = {}
+    monkeypatch.setattr(ck, "written", lambda df, name="", *a, real=ck.written: (tables.update({name: df.columns}), real(df, name, *a))[1])
+    for blocks in (100_000, 1):
+        monkeypatch.setattr(ck, "BLOCK_PATHS", blocks)
+        got = ck.log_contains_join(frame("image", ["a", "b", "none", None]), frame("line", ["a b", "Sampling at a", "b", "b", None]))
+        assert sorted(map(tuple, got.collect()), key=repr) == [("a", "Sampling at a", True), ("b", "a b", False), ("b", "b", False), ("b", "b", False), ("none", None, None)]
+        assert tables["contained"] == ["image", "number", "flag"]
